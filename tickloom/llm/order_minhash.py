@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.common import small_batches, table
-from tickloom.llm.hashing import mix, seeded, windows, word_hashes
+from tickloom.llm.hashing import mix, windows, word_hashes
 
 K = 3
 L = 2
 N_HASHES = 64
 #: k-mers hashed at a time by one function; bounds the temporaries.
-SLAB = 400_000
+SLAB = 30_000
+MULTIPLIERS = mix(np.arange(1, N_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
+EXPECTED = 16
 
 
 def numbered(kmers: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -61,18 +63,24 @@ def sketch(texts: list[str | None]) -> np.ndarray:
         part = full[begin:end]
         low, high = offsets[part[0]], offsets[part[-1] + 1]
         values, starts = base[low:high], offsets[part] - low
-        owner = np.repeat(np.arange(len(part)), counts[part])
+        sizes = counts[part]
+        owner = np.repeat(np.arange(len(part)), sizes)
+        # About EXPECTED k-mers of each text fall under its limit; sorting these few gives the L least.
+        limit = np.full(len(part), 2**64 - 1, np.uint64)
+        limit[sizes > EXPECTED] = (EXPECTED / sizes[sizes > EXPECTED] * 2.0**64).astype(np.uint64)
+        limit = np.repeat(limit, sizes)
         for f in range(N_HASHES):
-            h = seeded(values, f + 1) >> np.uint64(1)
-            picked = []
-            for _ in range(L):
-                least = np.minimum.reduceat(h, starts)
-                hit = np.flatnonzero(h == least[owner])
-                at = np.full(len(part), -1)
-                at[owner[hit][::-1]] = hit[::-1]  # the first of equal values
-                at[least == np.uint64(0xFFFFFFFFFFFFFFFF)] = -1
-                h[at[at >= 0]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-                picked.append(at)
+            h = values * MULTIPLIERS[f]  # values are well mixed and odd factors permute them
+            under = np.flatnonzero(h <= limit)
+            text = owner[under]
+            under = under[np.lexsort((h[under], text))]
+            first = np.searchsorted(text, np.arange(len(part) + 1))
+            have = np.diff(first)
+            picked = [np.where(have > i, under[np.minimum(first[:-1] + i, len(under) - 1)] if len(under) else -1, -1) for i in range(L)]
+            for t in np.flatnonzero(have < np.minimum(sizes, L)):  # too few under the limit: sort them all
+                least = np.argsort(h[starts[t] : starts[t] + sizes[t]], kind="stable")[:L] + starts[t]
+                for i, at in enumerate(least):
+                    picked[i][t] = at
             chosen = np.sort(np.stack(picked), axis=0)
             code = np.zeros(len(part), np.uint64)
             for at in chosen:
