@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.bag_minhash import op6_bag_minhash
 from tickloom.llm.langid import op10_language_id
 from tickloom.llm.order_minhash import op2_order_minhash
 from tickloom.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_order_minhash, op4_toxicity, op10_language_id]
+    found = [op2_order_minhash, op4_toxicity, op6_bag_minhash, op10_language_id]
     return {f.__name__: f for f in found}
 
 
