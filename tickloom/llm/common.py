@@ -50,3 +50,12 @@ def thin(df: DataFrame, key: Column, counts: DataFrame, label: str, bound: int)
     unit = (F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("_u")
     shares = counts.select(F.col(label).alias("_label"), (F.lit(float(bound)) / F.col("n")).alias("_share"))
     return df.join(F.broadcast(shares), df[label] == F.col("_label")).where(unit < F.col("_share")).drop("_label", "_share")
+
+
+#: Rows of up to this many are broadcast; larger sides are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, marked for broadcast if it has at most `limit` rows of a few numbers. Count it on a checkpoint."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
