@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, small_batches, table
+from tickloom.llm.common import cut, if_small, small_batches, table
 from tickloom.llm.components import links
 from tickloom.llm.hashing import mix, windows, word_hashes
 
@@ -153,6 +153,17 @@ def verifier(texts: DataFrame, similarity: float):
     return verify
 
 
+def elements(texts: DataFrame) -> DataFrame:
+    """(node, element, weight): the windows of each (node, text) and how often it holds them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            text, window, weight, _ = bags(list(batch["text"]))
+            yield pd.DataFrame({"node": batch["node"].to_numpy()[text], "element": window.view(np.int64), "weight": weight})
+
+    return texts.mapInPandas(run, "node long, element long, weight long")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs` (doc_id, text; others ignored): doc_id, class_id (the least doc_id), class_size."""
     rows = cut(signed(docs))
@@ -163,11 +174,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted = members.select(F.col("id").alias("node")).distinct()
     # One row of each wanted node gives its text: a text of that node, the same for all.
     wanted = rows.select("node", "tkey").join(wanted, "node").groupBy("node").agg(F.min("tkey").alias("tkey"))
-    holder = rows.join(wanted, ["node", "tkey"]).groupBy("node", "tkey").agg(F.min("doc_id").alias("holder"))
+    holder = cut(rows.join(wanted, ["node", "tkey"]).groupBy("node", "tkey").agg(F.min("doc_id").alias("holder")))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = holder.join(source, (source["tkey"] == holder["tkey"]) & source["doc_id"].eqNullSafe(holder["holder"]))
+    texts = source.join(if_small(holder), (source["tkey"] == holder["tkey"]) & source["doc_id"].eqNullSafe(holder["holder"]))
     texts = cut(texts.select("node", "text").dropDuplicates(["node"]))
-    found = links(members, verifier(texts, similarity))
+    found = links(members, verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
     of_node = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = of_node.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     of_node = of_node.join(named, "component").select("node", "component", "class_id")

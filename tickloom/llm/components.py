@@ -39,15 +39,21 @@ def components(edges: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, component) for the nodes that a verified link joins to another.
 
-    members: (bucket, id) rows, a node once in a bucket. verify: (a, b) pairs to those that are linked.
+    members: (bucket, id) rows, a node once in a bucket. verify: (a, b) pairs to those of Jaccard similarity
+    `similarity` or more. features: (node) rows to the elements of their sets, (node, element, weight).
 
     Round one compares each member with the least of the leaders of its buckets, a bucket's leader being its least
     member; round two with the leaders of its other buckets, where the components so far differ; round three compares,
     in buckets that still hold several components, each member outside the most frequent component with the members of
     other components. Pairs that are joined already are not compared, nor any pair twice.
+
+    Round three first counts, for each node, the weight of the elements that any other node of the round holds too. What
+    two nodes have in common is at most the lesser of these weights, so pairs for which that can't reach the similarity,
+    and nodes for which it can't with any partner, need no comparison: the texts of a group that differ by passages of
+    their own are told apart in one pass over the group.
     """
     leaders = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
     crowded = cut(members.join(leaders, "bucket"))
@@ -62,9 +68,13 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataF
     by_component = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     main = by_component.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("best"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", F.col("best.component").alias("main"))
     unsettled = cut(labelled.join(main, "bucket"))
-    outside = unsettled.where(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), "main")
-    rest = unsettled.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"))
-    apart = outside.join(rest, "bucket").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
+    shared = cut(_shared(features(unsettled.select(F.col("id").alias("node")).distinct())).where(F.col("shared") >= similarity * F.col("size")))
+    hopeful = unsettled.join(shared, unsettled["id"] == shared["node"])
+    outside = hopeful.where(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), "main", F.col("size").alias("wx"), F.col("shared").alias("sx"))
+    rest = hopeful.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("wy"), F.col("shared").alias("sy"))
+    common = F.least("sx", "sy")
+    possible = common >= similarity * (F.col("wx") + F.col("wy") - common)
+    apart = outside.join(rest, (outside["bucket"] == rest["bucket"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & possible)
     last = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(to_leader.distinct(), ["a", "b"], "left_anti")
     more = cut(verify(last))
     return label if more.isEmpty() else components(good.unionByName(more))
@@ -75,3 +85,11 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _shared(elements: DataFrame) -> DataFrame:
+    """(node, size, shared): a node's total weight, and that of the elements which another node holds too."""
+    alone = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node"), F.sum("weight").alias("weight")).where("df = 1")
+    own = alone.groupBy("node").agg(F.sum("weight").alias("own"))
+    sizes = elements.groupBy("node").agg(F.sum("weight").alias("size"))
+    return sizes.join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))

@@ -60,8 +60,8 @@ def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return points, starts, ends, np.concatenate([[0], np.cumsum(counts)])
 
 
-def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lines, and their signatures [line, M]; all EMPTY for a blank line."""
+def line_windows(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the lines; and for every shingle the number of its line and its hash."""
     up, down = _powers(len(points) + 1)
     prefix = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=prefix[1:])
@@ -72,12 +72,17 @@ def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     offsets = np.concatenate([[0], np.cumsum(windows)])
     at = starts[line] + np.arange(len(line)) - offsets[:-1][line]
     until = at + np.minimum(SHINGLE, sizes)[line]
-    h = mix((prefix[until] - prefix[at]) * down[at])
+    return node, line, mix((prefix[until] - prefix[at]) * down[at])
+
+
+def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines, and their signatures [line, M]; all EMPTY for a blank line."""
+    node, line, h = line_windows(points, starts, ends)
     bins = ((h >> np.uint64(32)) * np.uint64(M) >> np.uint64(32)).astype(np.int64)
     sig = np.full(len(starts) * M, EMPTY)
     np.minimum.at(sig, line * M + bins, (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
     sig = sig.reshape(-1, M)
-    some = np.flatnonzero((windows > 0) & (sig == EMPTY).any(1))
+    some = np.flatnonzero((ends > starts) & (sig == EMPTY).any(1))
     if len(some):
         rows = sig[some]
         twice = np.concatenate([rows, rows], 1) != EMPTY
@@ -156,6 +161,22 @@ def verifier(texts: DataFrame, similarity: float):
     return verify
 
 
+def elements(texts: DataFrame) -> DataFrame:
+    """(node, element, weight): the distinct shingles of each (node, text) of one line."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            points, starts, ends, _ = normalised(list(batch["text"]))
+            _, line, h = line_windows(points, starts, ends)
+            order = np.lexsort((h, line))
+            line, h = line[order], h[order]
+            first = np.ones(len(line), bool)
+            first[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+            yield pd.DataFrame({"node": batch["node"].to_numpy()[line[first]], "element": h[first].view(np.int64), "weight": 1})
+
+    return texts.mapInPandas(run, "node long, element long, weight long")
+
+
 def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line, component, first_doc, first_line) for the lines of components of several lines."""
     rows = cut(signed(docs))
@@ -169,7 +190,7 @@ def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     texts = source.join(if_small(places), F.col("doc_id") == F.col("at_doc"))
     line = F.get(F.split("text", "\n"), F.col("at_line"))
     texts = cut(texts.select("node", line.alias("text")).where(F.col("text").isNotNull()).dropDuplicates(["node"]))
-    found = links(members, verifier(texts, similarity))
+    found = links(members, verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
     counted = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("at"))
     of_node = counted.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = of_node.groupBy("component").agg(F.sum("n").alias("n"), F.min("at").alias("at")).where("n > 1")

@@ -10,11 +10,12 @@ from tickloom.llm.bag_minhash import op6_bag_minhash
 from tickloom.llm.langid import op10_language_id
 from tickloom.llm.line_dedup import op8_line_dedup
 from tickloom.llm.order_minhash import op2_order_minhash
+from tickloom.llm.packing import op7_packing
 from tickloom.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_order_minhash, op4_toxicity, op6_bag_minhash, op8_line_dedup, op10_language_id]
+    found = [op2_order_minhash, op4_toxicity, op6_bag_minhash, op7_packing, op8_line_dedup, op10_language_id]
     return {f.__name__: f for f in found}
 
 
