@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import crc_mod, small_batches, table, thin
+from tickloom.llm.common import crc_mod, cut, small_batches, table, thin
 
 # The core lexicon and the core exception phrases.
 CORE_TERMS = (
@@ -144,19 +144,29 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(b[0]), float(b[1])
 
 
-def train(spark: SparkSession, labelled: DataFrame, rows_per_label: int = 10_000, min_contexts: int = 4, max_terms: int = 2_000) -> Lexicon:
-    """Learn from about `rows_per_label` distinct texts of each label (documented bound), chosen by a hash of the text.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int) -> DataFrame:
+    """(text, toxic) of about `rows_per_label` labelled documents of each label (documented bound), one for each text.
+
+    Labels are thinned by a hash of their id before they meet the texts, so few ids are broadcast and no text moves
+    that is not wanted.
+    """
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    counts = marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+    chosen = F.broadcast(thin(marks, F.col("doc_id"), counts, "toxic", rows_per_label))
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").select("text", "toxic")
+    return cut(found.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic"))
+
+
+def train(sample: DataFrame, min_contexts: int = 4, max_terms: int = 2_000) -> Lexicon:
+    """Learn from a bounded sample of (text, toxic) rows.
 
     Counts by word, and by word and preceding word, are made by Spark; the driver gets at most `max_terms` terms, the
     exception pairs of these, and one number for each sampled row.
     """
-    lexicon = core()
-    labelled = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1))
-    sizes = labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
-    if len(sizes) < 2:
+    lexicon, spark = core(), sample.sparkSession
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
         return lexicon
-    counts = spark.createDataFrame([(r["toxic"], r["n"]) for r in sizes], "toxic int, n long")
-    sample = thin(labelled, F.col("text"), counts, "toxic", rows_per_label).groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text"))
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,7 +185,6 @@ def train(spark: SparkSession, labelled: DataFrame, rows_per_label: int = 10_000
                     seen.setdefault(word, [0, 0])[toxic] += 1
             yield pd.DataFrame([(w, *n) for w, n in seen.items()], columns=["word", "clean", "dirty"])
 
-    n = {r["toxic"]: min(r["n"], rows_per_label) for r in sizes}
     total = lambda label: F.log((F.col(label) + 0.5) / (n[int(label == "dirty")] + 1.0))
     odds = total("dirty") - total("clean")
     strength = odds / F.sqrt(1 / (F.col("dirty") + 0.5) + 1 / (F.col("clean") + 0.5))
@@ -220,15 +229,15 @@ def score_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *(T.StructField(*a) for a in added)]))
 
 
-def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows_per_label: int = 10_000) -> Lexicon:
+def learned(docs: DataFrame, labels: DataFrame, rows_per_label: int = 10_000) -> Lexicon:
     """A lexicon from the labelled documents whose crc32(doc_id as text) mod 5 is not 0."""
     marks = labels.select("doc_id", "toxic").where(crc_mod("doc_id", 5) != 0)
-    return train(spark, docs.select("doc_id", "text").join(marks, "doc_id"), rows_per_label)
+    return train(labelled_sample(docs, marks, rows_per_label))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    lexicon = learned(spark, docs, table(spark, sf_dir, "labels"))
+    lexicon = learned(docs, table(spark, sf_dir, "labels"))
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     return score_texts(docs.select("doc_id", held, "text"), lexicon).select("doc_id", "held_out", "score", "predicted", "n_matches", "terms")
