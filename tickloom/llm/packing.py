@@ -62,20 +62,31 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
-    """Patterns with fractional copies that cover the demand with the fewest sequences (the revised simplex method)."""
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500, tolerance: float = 0.003) -> list[tuple[np.ndarray, float]]:
+    """Patterns with fractional copies that cover the demand with the fewest sequences (the revised simplex method).
+
+    It ends when the best pattern is priced at no more than 1 + tolerance: the optimum is then nearer than that.
+    """
+    def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+        return (matrix * vector).sum(1)  # small, and so without the threads of a linear-algebra library
+
     n = len(sizes)
     basis = np.diag(np.maximum(capacity // sizes, 1)).astype(float)
     inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ demand
-    for k in range(rounds):
-        if k % 100 == 99:  # rounding errors do not add up
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0)
+    where = {int(c): i for i, c in enumerate(sizes)}
+    for i, c in enumerate(sizes):  # start with each large class beside the class that fills the sequence
+        j = where.get(capacity - int(c))
+        if 2 * c > capacity and j is not None:
+            few, many = (i, j) if demand[i] <= demand[j] else (j, i)
+            basis[[few, many], few] = 1
+            inverse[few, few] = 1
+            inverse[many, few] = -inverse[many, many]
+    x = times(inverse, demand)
+    for _ in range(rounds):
         value, counts = knapsack(sizes, np.maximum(inverse.sum(0), 0), capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + tolerance:
             break
-        direction = inverse @ counts
+        direction = times(inverse, counts)
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         leave = int(ratio.argmin())
         if not np.isfinite(ratio[leave]):
