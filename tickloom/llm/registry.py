@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm.bag_minhash import op6_bag_minhash
+from tickloom.llm import decontaminate
+from tickloom.llm.decontaminate import op1_decontaminate
 from tickloom.llm.langid import op10_language_id
 from tickloom.llm.line_dedup import op8_line_dedup
 from tickloom.llm.order_minhash import op2_order_minhash
@@ -15,9 +17,9 @@ from tickloom.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_order_minhash, op4_toxicity, op6_bag_minhash, op7_packing, op8_line_dedup, op10_language_id]
+    found = [op1_decontaminate, op2_order_minhash, op4_toxicity, op6_bag_minhash, op7_packing, op8_line_dedup, op10_language_id]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": decontaminate.ORACLE}
