@@ -36,6 +36,19 @@ class TextEncoder:
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.seen = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Drop the words seen once; all of them if that leaves more than half the room taken."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > MEMO // 2:
+            return self.clear()
+        words = list(self.memo)
+        sizes = np.diff(self.starts)[keep]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.flat = self.flat[np.repeat(self.starts[keep] - starts[:-1], sizes) + np.arange(starts[-1])]
+        self.memo = {words[i]: n for n, i in enumerate(keep.tolist())}
+        self.starts, self.seen = starts, np.ones(len(keep), np.int64)
 
     def units(self, text: str) -> list[str]:
         if not self.byte_level:
@@ -58,6 +71,7 @@ class TextEncoder:
         lists = [ids[stem] + ids[sign] if sign else ids[stem] for stem, sign in stems.values()]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         self.memo.update(zip(stems, range(len(self.starts) - 1, len(self.starts) - 1 + len(lists))))
+        self.seen = np.concatenate([self.seen, np.zeros(len(lists), np.int64)])
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
 
@@ -67,13 +81,14 @@ class TextEncoder:
         new = {w for ws in split for w in ws} - self.memo.keys()
         long = {w for w in new if len(w) > LONG}
         if len(self.memo) + len(new) > MEMO:
-            self.clear()
-            new = {w for ws in split for w in ws}
+            self.forget()
+            new = {w for ws in split for w in ws} - self.memo.keys()
         if new:
             self.learn(new)
         memo = self.memo
         counts = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter((memo[w] for ws in split for w in ws), np.int64, int(counts.sum()))
+        self.seen += np.bincount(at, minlength=len(self.seen))
         sizes = self.starts[at + 1] - self.starts[at]
         before = np.concatenate([[0], np.cumsum(sizes)])
         of_text = np.concatenate([[0], np.cumsum(counts)])
