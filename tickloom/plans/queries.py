@@ -587,10 +587,10 @@ def a38_wilcoxon(spark, sf_dir):
     return stats.wilcoxon(return_series(spark, sf_dir).withColumn("r", F.round("r", 9))).select("strategy_id", r("w_plus", 4).alias("w_plus"), "n")
 
 
-@query("""x AS (SELECT strategy_id, r > 0 AS u, lag(r > 0) OVER (PARTITION BY strategy_id ORDER BY ts) AS b FROM r)
+@query("""x AS (SELECT strategy_id, round(r, 9) > 0 AS u, lag(round(r, 9) > 0) OVER (PARTITION BY strategy_id ORDER BY ts) AS b FROM r)
  SELECT strategy_id, count(*) FILTER (u IS DISTINCT FROM b) AS runs, count(*) FILTER (u) AS n_up, count(*) FILTER (NOT u) AS n_down FROM x GROUP BY 1""")
 def a41_runs_test(spark, sf_dir):
-    return stats.runs_test(return_series(spark, sf_dir)).select("strategy_id", "runs", "n_up", "n_down")
+    return stats.runs_test(return_series(spark, sf_dir).withColumn("r", F.round("r", 9))).select("strategy_id", "runs", "n_up", "n_down")
 
 
 @query("""x AS (SELECT strategy_id, least(count(*) / 100000.0, 1.0) AS p FROM tr GROUP BY 1), y AS (SELECT *, row_number() OVER (ORDER BY p, strategy_id) AS k, count(*) OVER () AS m FROM x)
