@@ -46,45 +46,51 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], features
     `similarity` or more. features: (node) rows to the elements of their sets, (node, element, weight).
 
     Round one compares each member with the least of the leaders of its buckets, a bucket's leader being its least
-    member; round two with the leaders of its other buckets, where the components so far differ; round three compares,
-    in buckets that still hold several components, each member outside the most frequent component with the members of
-    other components. Pairs that are joined already are not compared, nor any pair twice.
-
-    Round three first counts, for each node, the weight of the elements that any other node of the round holds too. What
-    two nodes have in common is at most the lesser of these weights, so pairs for which that can't reach the similarity,
-    and nodes for which it can't with any partner, need no comparison: the texts of a group that differ by passages of
-    their own are told apart in one pass over the group.
+    member. Buckets that then hold several components go on. Of their nodes, the weight of the elements that any other
+    of these nodes holds too is counted. What two nodes have in common is at most the lesser of these weights, so pairs
+    for which that can't reach the similarity need no comparison. Round two compares the members with their bucket's
+    most central node, the one that shares most: copies of one text that differ by changes of their own are each nearer
+    to it than to one another. Round three compares, in buckets that still hold several components, each member outside
+    the most frequent component with the members of other components. Pairs that are joined already are not compared,
+    nor any pair twice.
     """
     leaders = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
     crowded = cut(members.join(leaders, "bucket"))
-    to_leader = crowded.where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
-    first = to_leader.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = crowded.where(F.col("id") != F.col("a")).groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    first = cut(first)
     good = cut(verify(first))
-    label = components(good)
-    other = _apart(to_leader.distinct().join(first, ["a", "b"], "left_anti"), label)
-    good = cut(good.unionByName(verify(other)))
     label = cut(components(good))
-    labelled = crowded.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    by_component = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = by_component.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("best"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", F.col("best.component").alias("main"))
-    unsettled = cut(labelled.join(main, "bucket"))
-    shared = cut(_shared(features(unsettled.select(F.col("id").alias("node")).distinct())).where(F.col("shared") >= similarity * F.col("size")))
-    hopeful = unsettled.join(shared, unsettled["id"] == shared["node"])
-    outside = hopeful.where(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), "main", F.col("size").alias("wx"), F.col("shared").alias("sx"))
-    rest = hopeful.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("wy"), F.col("shared").alias("sy"))
+    unsettled = cut(_unsettled(crowded.select("bucket", "id"), label))
+    shared = cut(_shared(features(unsettled.select(F.col("id").alias("node")).distinct())))
+    weighed = cut(unsettled.join(shared, unsettled["id"] == shared["node"]).where(F.col("shared") >= similarity * F.col("size")).drop("node"))
+    central = weighed.groupBy("bucket").agg(F.max(F.struct(F.col("shared") / F.col("size"), "id", "component", "size", "shared")).alias("m"))
+    central = central.select("bucket", F.col("m.id").alias("x"), F.col("m.component").alias("cx"), F.col("m.size").alias("wx"), F.col("m.shared").alias("sx"))
+    rest = weighed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("wy"), F.col("shared").alias("sy"))
     common = F.least("sx", "sy")
     possible = common >= similarity * (F.col("wx") + F.col("wy") - common)
-    apart = outside.join(rest, (outside["bucket"] == rest["bucket"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & possible)
-    last = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(to_leader.distinct(), ["a", "b"], "left_anti")
-    more = cut(verify(last))
+    second = central.join(rest, (central["bucket"] == rest["bucket"]) & (F.col("cx") != F.col("cy")) & possible)
+    second = cut(_ordered(second).join(first, ["a", "b"], "left_anti"))
+    good = cut(good.unionByName(verify(second)))
+    label = cut(components(good))
+    weighed = cut(_unsettled(weighed.drop("component", "main"), label))
+    outside = weighed.where(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), "main", F.col("size").alias("wx"), F.col("shared").alias("sx"))
+    rest = weighed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("wy"), F.col("shared").alias("sy"))
+    third = outside.join(rest, (outside["bucket"] == rest["bucket"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & possible)
+    third = _ordered(third).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    more = cut(verify(third))
     return label if more.isEmpty() else components(good.unionByName(more))
 
 
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose nodes are in different components."""
-    of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with `component` and the bucket's most frequent one, `main`."""
+    labelled = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    counts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("best"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", F.col("best.component").alias("main"))
+    return labelled.join(main, "bucket")
 
 
 def _shared(elements: DataFrame) -> DataFrame:
