@@ -7,7 +7,7 @@ hit's offset, and the words of up to CONTEXT positions to each side are compared
 least MATCH of the compared positions agree. Items shorter than SPAN are hashed whole, all positions, and must agree.
 
 Everything is built from DataFrame functions. The benchmark's hashes are broadcast if they are few (counted first), and
-joined by a shuffle else; the documents' windows are made and probed inside one stage, without moving texts.
+joined by a shuffle else. The documents' windows are made and probed inside one stage; no text moves.
 
 Defined results: null and empty texts, and items without words, have no windows. Repeated rows give repeated results
 only once, as results are grouped by the two ids. Rows with null ids are matched like others.
@@ -36,19 +36,11 @@ def coded(df: DataFrame, key: str, out: str) -> DataFrame:
     return df.select(F.col(key).alias(out), word_codes(F.col("text")).alias(f"{out}_words"))
 
 
-def _windows(df: DataFrame, words: str, spans: list[tuple[int, tuple[int, ...]]], at: str) -> DataFrame:
-    """`df` with a row for each window of `words`: its position, and its hash under each mask that fits there.
-
-    Windows are numbered by a sequence and their words are read by position, so the array itself is not copied.
-    """
+def _seeds(words: str, at: str, spans: list[tuple[int, tuple[int, ...]]]) -> Column:
+    """The hashes of the window at `at` under all masks; null where a mask does not fit."""
     least = min(span for span, _ in spans)
-    starts = F.when(F.size(words) >= least, F.sequence(F.lit(0), F.size(words) - least))
-    rows = df.withColumn(at, F.explode_outer(starts))  # the outer form keeps the optimiser from making the words twice
-    hashes = []
-    for k, (span, mask) in enumerate(spans):
-        code = F.xxhash64(F.lit(k), F.lit(span), *[F.get(F.col(words), F.col(at) + o) for o in mask])
-        hashes.append(F.when(F.col(at) + span <= F.size(words), code))
-    return rows.withColumn("seed", F.explode(F.array(*hashes))).where(F.col("seed").isNotNull())
+    codes = [F.xxhash64(F.lit(k), F.lit(span), *[F.get(F.col(words), F.col(at) + o) for o in mask]) for k, (span, mask) in enumerate(spans)]
+    return F.array(*[code if span == least else F.when(F.col(at) + span <= F.size(words), code) for code, (span, _) in zip(codes, spans)])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, match: float = MATCH) -> DataFrame:
@@ -60,8 +52,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, match: float = MATCH) -> DataFr
     spans = masks + [(n, tuple(range(n))) for n in short]
     seeds = _item_seeds(items, spans)
     seeds = cut(seeds.withColumnRenamed("seed", "item_seed"))
-    probes = _windows(coded(docs, "doc_id", "doc_id"), "doc_id_words", spans, "doc_at")
-    hits = probes.join(if_small(seeds), F.col("seed") == F.col("item_seed"))
+    # Only ids, places and hashes leave a document here; its words are read again for the few documents with hits.
+    coded_docs = coded(docs, "doc_id", "doc_id")
+    least = min(span for span, _ in spans)
+    starts = F.when(F.size("doc_id_words") >= least, F.sequence(F.lit(0), F.size("doc_id_words") - least))
+    # The outer form keeps the optimiser from making the words twice. Up to the join all is one generated function, in
+    # which rows refer to the document's words without copying them.
+    places = coded_docs.select("doc_id", "doc_id_words", F.explode_outer(starts).alias("doc_at"))
+    probes = places.select("doc_id", "doc_at", F.explode(_seeds("doc_id_words", "doc_at", spans)).alias("seed"))
+    hits = probes.join(if_small(seeds.select("item_seed", "item_id", "item_at")), F.col("seed") == F.col("item_seed"))
+    hits = cut(hits.select(F.col("doc_id").alias("hit_doc"), "doc_at", "item_id", "item_at").distinct())
+    wanted = if_small(cut(hits.select("hit_doc").distinct()))
+    again = coded(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left_semi"), "doc_id", "doc_id")
+    # The items are as many as the benchmark; hits hold four numbers each.
+    hits = again.join(if_small(hits), F.col("doc_id").eqNullSafe(F.col("hit_doc"))).join(if_small(items.withColumnRenamed("item_id", "_item")), F.col("item_id").eqNullSafe(F.col("_item")))
     before = F.least(F.col("doc_at"), F.col("item_at"), F.lit(CONTEXT))
     after = F.least(F.size("doc_id_words") - F.col("doc_at"), F.size("item_id_words") - F.col("item_at"), F.lit(SPAN + CONTEXT))
     compared = before + after
