@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.bag_minhash import overlaps
 from tickloom.llm.common import cut, if_small, small_batches, table
 from tickloom.llm.components import links
 from tickloom.llm.hashing import _powers, mix
@@ -133,26 +134,27 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def shingles(line: str) -> frozenset[str]:
+    """The shingles of one normalised line."""
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
+def sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, None]:
+    """(line, shingle hash, 1) of the distinct shingles of each raw line, in order."""
+    points, starts, ends, _ = normalised(lines)
+    _, line, h = line_windows(points, starts, ends)
+    order = np.lexsort((h, line))
+    line, h = line[order], h[order]
+    first = np.ones(len(line), bool)
+    first[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+    return line[first], h[first], np.ones(int(first.sum()), np.int64), None
+
+
 def verifier(texts: DataFrame, similarity: float):
     """texts: (node, text) with the raw line. Pairs (a, b) to those of Jaccard similarity `similarity` or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good, memo = np.zeros(len(batch), bool), {}
-            for i, pair in enumerate(zip(batch["text_a"], batch["text_b"])):
-                sets = []
-                for text in pair:
-                    if text not in memo:
-                        memo = memo if len(memo) < 1000 else {}
-                        points, starts, ends, _ = normalised([text])
-                        memo[text] = shingles("".join(map(chr, points[starts[0] : ends[0]])))
-                    sets.append(memo[text])
-                common = len(sets[0] & sets[1])
-                good[i] = common >= similarity * (len(sets[0]) + len(sets[1]) - common)
-            yield batch.loc[good, ["a", "b"]]
+            yield batch.loc[overlaps(list(batch["text_a"]), list(batch["text_b"]), sets) >= similarity, ["a", "b"]]
 
     def verify(pairs: DataFrame) -> DataFrame:
         of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
@@ -166,13 +168,8 @@ def elements(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            points, starts, ends, _ = normalised(list(batch["text"]))
-            _, line, h = line_windows(points, starts, ends)
-            order = np.lexsort((h, line))
-            line, h = line[order], h[order]
-            first = np.ones(len(line), bool)
-            first[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
-            yield pd.DataFrame({"node": batch["node"].to_numpy()[line[first]], "element": h[first].view(np.int64), "weight": 1})
+            line, h, weight, _ = sets(list(batch["text"]))
+            yield pd.DataFrame({"node": batch["node"].to_numpy()[line], "element": h.view(np.int64), "weight": weight})
 
     return texts.mapInPandas(run, "node long, element long, weight long")
 
