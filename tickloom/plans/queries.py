@@ -20,6 +20,7 @@ from tickloom.operators import coverage as cov
 from tickloom.operators import dataset as ds
 from tickloom.operators import ordered, quality, stats
 from tickloom.operators import resample as rs
+from tickloom.plans import pipelines as pl
 from tickloom.session import table
 from tickloom.sources import candles as cs
 from tickloom.sources import feature_store as fs
@@ -670,3 +671,54 @@ def r11_r12_retries(spark, sf_dir):
 def x16_s30_decoding(spark, sf_dir):
     value = F.when(F.col("event_id") % 3 == 0, F.lit("not json")).otherwise(F.col("props"))
     return ms.decoded(table(spark, sf_dir, "events").select("event_id", value.alias("value")), "k string").select("event_id", "parse_error")
+
+
+# Pipelines
+
+
+@query("""SELECT symbol, timestamp AS event_timestamp, close_price AS close_value FROM c WHERE timestamp >= '2024-01-10' AND timestamp <= '2024-01-20'
+ AND timestamp < (SELECT max(c2.timestamp) FROM c c2 WHERE c2.symbol = c.symbol AND c2.timestamp <= '2024-01-20') AND NOT EXISTS (SELECT 1 FROM q WHERE q.symbol = c.symbol AND q.timestamp = c.timestamp)""")
+def p1_preprocess(spark, sf_dir):
+    stored = candles(spark, sf_dir, "4h").select("symbol", F.col("timestamp").alias("event_timestamp"), "close_price")
+    made = pl.preprocess(ticks(spark, sf_dir), stored, "1h", [("close", {})], ["close_price"], "2024-01-10", "2024-01-20 00:59:59", 100)
+    return made.select("symbol", "event_timestamp", "close_value")
+
+
+@query("""x AS (SELECT s.symbol, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS timestamp FROM (SELECT symbol, greatest(min(timestamp), TIMESTAMP '2024-01-02') AS a, least(max(timestamp), TIMESTAMP '2024-01-12') AS b FROM c GROUP BY 1) s),
+ y AS (SELECT x.symbol, x.timestamp, q.close_price AS v FROM x LEFT JOIN q USING (symbol, timestamp)), h AS (SELECT symbol, min(timestamp) FILTER (v IS NOT NULL) AS f, count(*) AS n FROM y GROUP BY 1),
+ l AS (SELECT symbol, count(*) FILTER (timestamp < f) AS k FROM y JOIN h USING (symbol) GROUP BY 1)
+ SELECT symbol, count(*) AS n_expected, count(v) AS n_present, count(v) < count(*) AS needs_computation FROM y JOIN h USING (symbol) JOIN l USING (symbol) WHERE NOT (coalesce(timestamp < f, false) AND k < 0.05 * h.n) GROUP BY 1""")
+def p2_coverage_report(spark, sf_dir):
+    stored = candles(spark, sf_dir, "4h").select("symbol", F.col("timestamp").alias("event_timestamp"), "close_price")
+    return pl.coverage_report(candles(spark, sf_dir), stored, ["close_price"], "1h", "2024-01-02", "2024-01-12").select("symbol", "n_expected", "n_present", "needs_computation")
+
+
+@query("""x AS (SELECT c.symbol, c.timestamp, c.close_price, h.v4 FROM c ASOF LEFT JOIN (SELECT symbol, timestamp + INTERVAL 4 HOUR AS ct, high_price AS v4 FROM q) h ON c.symbol = h.symbol AND c.timestamp >= h.ct)
+ SELECT symbol, timestamp, v4 AS "HTF-240_top", CASE WHEN i < round_even(0.8 * n, 0) THEN 'train' WHEN i < round_even(0.8 * n, 0) + round_even(0.1 * n, 0) THEN 'validation' ELSE 'test' END AS split
+ FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM x)""")
+def p6_assembled(spark, sf_dir):
+    higher = candles(spark, sf_dir, "4h").select("symbol", "timestamp", F.col("high_price").alias("top"))
+    return pl.assembled(candles(spark, sf_dir), {"4h": higher}, ["symbol"]).select("symbol", "timestamp", "`HTF-240_top`", "split")
+
+
+@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN trim(o_orderpriority) = '' THEN 'symbol is empty' END, CASE WHEN o_custkey % 3 = 0 THEN 'no feature is enabled' END,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'end is not after start' END, CASE WHEN o_custkey % 5 = 0 THEN 'a target is not longer than the base' END], lambda s: s IS NOT NULL), '; ') AS errors
+ FROM orders WHERE o_custkey % 3 = 0 OR o_orderkey % 2 = 0 OR o_custkey % 5 = 0""")
+def f12_request_errors(spark, sf_dir):
+    start = F.col("o_orderdate").cast("timestamp")
+    requests = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("symbol"), F.lit("1h").alias("base"), F.array(F.when(F.col("o_custkey") % 5 == 0, "15m").otherwise("4h")).alias("targets"),
+        F.when(F.col("o_custkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("rsi"))).alias("features"), start.alias("start_ts"),
+        F.when(F.col("o_orderkey") % 2 == 0, start).otherwise(start + F.expr("interval 1 day")).alias("end_ts"),
+    )
+    return pl.checked_requests(requests)[1].select("o_orderkey", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("SELECT symbol, f AS feature FROM (SELECT DISTINCT symbol FROM c), (SELECT unnest(['bollinger', 'close', 'macd']) AS f) WHERE f <> 'close'")
+def f10_f11_to_compute(spark, sf_dir):
+    definitions = spark.createDataFrame([("bollinger", True, []), ("close", True, []), ("macd", True, [(True, {"fast": 12}), (False, {"fast": 5})]), ("rsi", False, [])], "feature string, enabled boolean, parameter_sets array<struct<enabled: boolean, parameters: map<string, int>>>")
+    symbols = candles(spark, sf_dir).select("symbol").distinct()
+    wanted = pl.expanded(definitions, symbols)
+    done = wanted.where("feature = 'close'").select("feature", F.lit(100.0).alias("coverage_pct"))
+    positions = wanted.select("symbol", "feature").withColumn("position", F.lit(0))
+    return cov.to_compute(positions, done).select("symbol", "feature")
