@@ -23,30 +23,33 @@ def full(column: Column, n: int, *keys: str) -> Column:
     return F.when(F.count(F.lit(1)).over(trailing(n, *keys)) >= n, column)
 
 
-def wilder(df: DataFrame, value: str, length: int, out: str, first: int = 1) -> DataFrame:
-    """Wilder's average of `value`: the mean of its first `length` rows, from row `first` on, then smoothing by 1/length.
+def wilder(df: DataFrame, values: dict[str, str], length: int, first: int = 1) -> DataFrame:
+    """Wilder's averages, out: value: the mean of the first `length` rows, from row `first` on, then smoothing by 1/length.
 
-    df has row_no from 0; rows before the seed get null.
+    df has row_no from 0; rows before the seed, and series too short for one, get null.
     """
     seed_at = first + length - 1
-    seed = df.where((F.col("row_no") >= first) & (F.col("row_no") <= seed_at)).groupBy(*KEYS).agg(F.avg(value).alias("_seed"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == length).drop("_n")
-    later = df.join(seed, KEYS).where(F.col("row_no") >= seed_at).withColumn("_i", F.col("row_no") - seed_at).withColumn("_x", F.when(F.col("_i") == 0, F.col("_seed")).otherwise(F.col(value)))
-    done = smoothed(later, KEYS, "_i", "_x", (length - 1) / length, out).select(*KEYS, "row_no", out)
-    return df.join(done, [*KEYS, "row_no"], "left")
+    head = df.where((F.col("row_no") >= first) & (F.col("row_no") <= seed_at))
+    seeds = head.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(v).alias(f"_seed_{o}") for o, v in values.items()]).where(F.col("_n") == length).drop("_n")
+    rows = df.join(seeds, KEYS, "left").withColumn("_i", F.col("row_no") - seed_at)
+    rows = rows.withColumns({f"_x_{o}": F.when(F.col("_i") == 0, F.col(f"_seed_{o}")).otherwise(F.coalesce(v, F.lit(0.0))) for o, v in values.items()})
+    out = smoothed(rows, KEYS, "_i", {o: f"_x_{o}" for o in values}, (length - 1) / length)
+    return out.drop("_i", *[f"_x_{o}" for o in values], *[f"_seed_{o}" for o in values])
 
 
 def rsi(candles: DataFrame, length: int = 14, out: str = "rsi") -> DataFrame:
     """Relative strength index; null for the first `length` candles; 100 where there are no losses."""
     step = F.col("close_price") - F.lag("close_price").over(by_time())
-    df = numbered(candles, KEYS, "timestamp").withColumn("_gain", F.greatest(step, F.lit(0.0))).withColumn("_loss", F.greatest(-step, F.lit(0.0)))
-    df = wilder(wilder(df, "_gain", length, "_up"), "_loss", length, "_down")
+    df = numbered(candles.withColumn("_step", step), KEYS, "timestamp")
+    df = df.withColumn("_gain", F.greatest("_step", F.lit(0.0))).withColumn("_loss", F.greatest(-F.col("_step"), F.lit(0.0)))
+    df = wilder(df, {"_up": "_gain", "_down": "_loss"}, length)
     value = F.when(F.col("_down") <= 1e-12 * F.greatest(F.col("_up"), F.lit(1e-300)), F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("_up") / F.col("_down")))
-    return df.withColumn(out, F.when(F.col("_up").isNotNull(), value)).drop("_gain", "_loss", "_up", "_down", "row_no")
+    return df.withColumn(out, F.when(F.col("_up").isNotNull(), value)).drop("_step", "_gain", "_loss", "_up", "_down", "row_no")
 
 
 def ema(df: DataFrame, value: str, length: int, out: str) -> DataFrame:
     """Exponential average with factor 2 / (length + 1), from the first value on; df has row_no."""
-    return smoothed(df, KEYS, "row_no", value, 1 - 2 / (length + 1), out)
+    return smoothed(df, KEYS, "row_no", {out: value}, 1 - 2 / (length + 1))
 
 
 def macd(candles: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -65,7 +68,7 @@ def atr(candles: DataFrame, length: int = 14, out: str = "atr") -> DataFrame:
     before = F.lag("close_price").over(by_time())
     reach = F.greatest(F.col("high_price") - F.col("low_price"), F.abs(F.col("high_price") - before), F.abs(F.col("low_price") - before))
     df = numbered(candles, KEYS, "timestamp").withColumn("_tr", reach)
-    return wilder(df, "_tr", length, out, first=0).drop("_tr", "row_no")
+    return wilder(df, {out: "_tr"}, length, first=0).drop("_tr", "row_no")
 
 
 def log_change(column: str, n: int) -> Column:

@@ -65,23 +65,26 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
     return found.select("_left.*", match.alias("_match")).select(*left.columns, *[F.col(f"_match.{c}").alias(c if c not in left.columns else f"{c}_right") for c in columns])
 
 
-def smoothed(df: DataFrame, keys: list[str], index: str, value: str, decay: float, out: str) -> DataFrame:
-    """y = decay * y + (1 - decay) * x along `index` (0, 1, 2 ... within keys), with y = x at index 0.
+def smoothed(df: DataFrame, keys: list[str], index: str, values: dict[str, str], decay: float) -> DataFrame:
+    """For each out: value of `values`, y = decay * y + (1 - decay) * x along `index`, with y = x at index 0.
 
-    The series is cut into chunks of 40 / (1 - decay) rows: what lies before the chunk before has decayed below double
-    precision, so a chunk needs the weighted sum of the one before it only, and windows run by chunk.
+    index is 0, 1, 2 ... within keys; rows of negative index get null. The series is cut into chunks of
+    40 / (1 - decay) rows: what lies before the chunk before has decayed below double precision, so a chunk needs the
+    weighted sum of the one before it only, and windows run by chunk.
     """
     if decay <= 0:
-        return df.withColumn(out, F.col(value))
+        return df.withColumns({out: F.when(F.col(index) >= 0, F.col(value)) for out, value in values.items()})
     size = max(2, math.ceil(40 / (1 - decay)))
     place = F.col("_k") + 1
-    weight = F.when(F.col(index) == 0, F.lit(1.0)).otherwise(F.lit(1 - decay))
+    weight = F.when(F.col(index) < 0, F.lit(0.0)).when(F.col(index) == 0, F.lit(1.0)).otherwise(F.lit(1 - decay))
     cut = df.withColumn("_chunk", F.floor(F.col(index) / size)).withColumn("_k", F.pmod(F.col(index), F.lit(size)))
-    ends = cut.groupBy(*keys, "_chunk").agg(F.sum(F.pow(F.lit(decay), F.lit(size) - place) * weight * F.col(value)).alias("_end"))
-    carries = ends.select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.col("_end").alias("_carry"))
+    ends = cut.groupBy(*keys, "_chunk").agg(*[F.sum(F.pow(F.lit(decay), F.lit(size) - place) * weight * F.col(value)).alias(f"_end_{out}") for out, value in values.items()])
+    carries = ends.withColumn("_chunk", F.col("_chunk") + 1)
     here = Window.partitionBy(*keys, "_chunk").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    inside = F.sum(F.pow(F.lit(decay), -place) * weight * F.col(value)).over(here)
-    return cut.withColumn("_inside", inside).join(carries, [*keys, "_chunk"], "left").withColumn(out, F.pow(F.lit(decay), place) * (F.coalesce("_carry", F.lit(0.0)) + F.col("_inside"))).drop("_chunk", "_k", "_inside", "_carry")
+    inside = cut.withColumns({f"_in_{out}": F.sum(F.pow(F.lit(decay), -place) * weight * F.col(value)).over(here) for out, value in values.items()})
+    joined = inside.join(carries, [*keys, "_chunk"], "left")
+    made = {out: F.when(F.col(index) >= 0, F.pow(F.lit(decay), place) * (F.coalesce(f"_end_{out}", F.lit(0.0)) + F.col(f"_in_{out}"))) for out in values}
+    return joined.withColumns(made).drop("_chunk", "_k", *[f"_in_{o}" for o in values], *[f"_end_{o}" for o in values])
 
 
 def islands(df: DataFrame, keys: list[str], ts: str, breaks: Column, out: str = "island") -> DataFrame:
