@@ -63,18 +63,19 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], features
     unsettled = cut(_unsettled(crowded.select("bucket", "id"), label))
     shared = cut(_shared(features(unsettled.select(F.col("id").alias("node")).distinct())))
     weighed = cut(unsettled.join(shared, unsettled["id"] == shared["node"]).where(F.col("shared") >= similarity * F.col("size")).drop("node"))
-    central = weighed.groupBy("bucket").agg(F.max(F.struct(F.col("shared") / F.col("size"), "id", "component", "size", "shared")).alias("m"))
-    central = central.select("bucket", F.col("m.id").alias("x"), F.col("m.component").alias("cx"), F.col("m.size").alias("wx"), F.col("m.shared").alias("sx"))
-    rest = weighed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("wy"), F.col("shared").alias("sy"))
-    common = F.least("sx", "sy")
-    possible = common >= similarity * (F.col("wx") + F.col("wy") - common)
+    central = weighed.groupBy("bucket").agg(F.max(F.struct(F.col("shared") / F.col("size"), "id", "component", "size", "shared", "parts")).alias("m"))
+    central = central.select("bucket", F.col("m.id").alias("x"), F.col("m.component").alias("cx"), F.col("m.size").alias("wx"), F.col("m.shared").alias("sx"), F.col("m.parts").alias("px"))
+    rest = weighed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("wy"), F.col("shared").alias("sy"), F.col("parts").alias("py"))
+    by_part = F.aggregate(F.zip_with("px", "py", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, x: total + x)
+    reach = lambda common: common >= similarity * (F.col("wx") + F.col("wy") - common)
+    possible = reach(F.least("sx", "sy")) & reach(by_part)
     second = central.join(rest, (central["bucket"] == rest["bucket"]) & (F.col("cx") != F.col("cy")) & possible)
     second = cut(_ordered(second).join(first, ["a", "b"], "left_anti"))
     good = cut(good.unionByName(verify(second)))
     label = cut(components(good))
     weighed = cut(_unsettled(weighed.drop("component", "main"), label))
-    outside = weighed.where(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), "main", F.col("size").alias("wx"), F.col("shared").alias("sx"))
-    rest = weighed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("wy"), F.col("shared").alias("sy"))
+    outside = weighed.where(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), "main", F.col("size").alias("wx"), F.col("shared").alias("sx"), F.col("parts").alias("px"))
+    rest = weighed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("wy"), F.col("shared").alias("sy"), F.col("parts").alias("py"))
     third = outside.join(rest, (outside["bucket"] == rest["bucket"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & possible)
     third = _ordered(third).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
     more = cut(verify(third))
@@ -93,9 +94,18 @@ def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
     return labelled.join(main, "bucket")
 
 
+#: Elements are dealt to so many parts by their hash; what two nodes share is bounded part by part.
+PARTS = 32
+
+
 def _shared(elements: DataFrame) -> DataFrame:
-    """(node, size, shared): a node's total weight, and that of the elements which another node holds too."""
+    """(node, size, shared, parts): a node's total weight; that of the elements which another node holds too, in all
+    and by part."""
+    part = F.pmod(F.xxhash64("element"), F.lit(PARTS))
+    by_part = F.array(*[F.sum(F.when(part == k, F.col("weight")).otherwise(0)) for k in range(PARTS)])
     alone = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node"), F.sum("weight").alias("weight")).where("df = 1")
-    own = alone.groupBy("node").agg(F.sum("weight").alias("own"))
-    sizes = elements.groupBy("node").agg(F.sum("weight").alias("size"))
-    return sizes.join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+    own = alone.groupBy("node").agg(F.sum("weight").alias("own"), by_part.alias("own_parts"))
+    sizes = elements.groupBy("node").agg(F.sum("weight").alias("size"), by_part.alias("all_parts"))
+    joined = sizes.join(own, "node", "left")
+    parts = F.when(F.col("own").isNull(), F.col("all_parts")).otherwise(F.zip_with("all_parts", "own_parts", lambda a, b: a - b))
+    return joined.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"), parts.alias("parts"))
