@@ -164,6 +164,38 @@ def test_decontamination(spark):
     assert decontaminate.leaks(frame.limit(0), bench).count() == 0 and decontaminate.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_parts(spark):
+    words = prose(59, 9).split()
+    assert len(set(words)) > 50
+    spans = [(0, 24), (5, 33), (10, 49), (15, 50), (0, 11), (48, 59), (20, 31), (20, 30)]
+    texts = [" ".join(["pre"] * 30 + words[a:b] + ["post"] * 30) for a, b in spans]
+    put = [(k, words[:k] + ["extra"] + words[k:25]) for k in range(26)] + [(k, words[:k] + words[k + 1 : 25]) for k in range(25)]
+    texts += [" ".join(["pre"] * 30 + w + ["post"] * 30) for _, w in put]
+    texts.append(" ".join(w if i % 2 else "other" for i, w in enumerate(words)))  # every other word alone is no leak
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:25]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    for d, (a, b) in enumerate(spans):
+        row = got.get((d, 1))
+        assert (row is not None) == (b - a >= 11), (a, b)
+        assert row is None or (row.matched, row.compared, row.position) == (b - a, b - a, 30)
+    for d, (k, w) in enumerate(put, len(spans)):
+        assert got[d, 2].matched >= max(k, 24 - k) and got[d, 2].compared <= 25, k
+        if 11 <= k <= 13:  # both sides long enough: joined
+            assert got[d, 2].matched == len(w) - ("extra" in w), k
+    assert not any(d == len(texts) - 1 for d, _ in got)
+
+
+def test_longest_stretch_is_that_of_all_stretches(spark):
+    rng = random.Random(4)
+    rows = [([int(rng.random() < p) for _ in range(rng.randrange(1, 40))],) for p in (0.2, 0.6, 0.8, 0.95) for _ in range(25)]
+    frame = spark.createDataFrame(rows, "x array<int>")
+    for r in frame.select("x", decontaminate._longest(F.col("x"), 0.8).alias("w")).collect():
+        n = len(r.x)
+        best = max(j - i for i in range(n + 1) for j in range(i, n + 1) if 10 * sum(r.x[i:j]) >= 8 * (j - i))
+        a, b = r.w["from"], r.w["to"]
+        assert b - a == best and 10 * sum(r.x[a:b]) >= 8 * (b - a)
+
+
 def test_language_held_out(spark):
     rows = langid.op10_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert rows.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97

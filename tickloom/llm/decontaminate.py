@@ -6,6 +6,12 @@ are hits, also where a word under an ignored position was replaced. Around a hit
 hit's offset, and the words of up to CONTEXT positions to each side are compared: the passage counts as a leak if at
 least MATCH of the compared positions agree. Items shorter than SPAN are hashed whole, all positions, and must agree.
 
+Where no hit of an item in a document passes so, only a part of the item may stand there, or one with words put in or
+left out. The longest stretch of at least LEAST positions of which MATCH agree is then looked for along the whole
+diagonal (place in the document less place in the item) of each hit, and stretches that follow one another on
+neighbouring diagonals are joined: `matched` and `compared` are then their sums, without differing words at the ends of
+a stretch.
+
 Everything is built from DataFrame functions. The benchmark's hashes are broadcast if they are few (counted first), and
 joined by a shuffle else. The documents' windows are made and probed inside one stage; no text moves.
 
@@ -25,6 +31,9 @@ SPAN = 11
 MASKS = ((0, 1, 2, 4, 6, 7, 9, 10), (0, 1, 3, 4, 5, 8, 9, 10), (0, 2, 3, 5, 6, 7, 8, 10))
 CONTEXT = 20
 MATCH = 0.8
+# A part of an item counts from this many words on; stretches of diagonals at most JOIN words apart are joined.
+LEAST = 11
+JOIN = 5
 
 
 def word_codes(text: Column) -> Column:
@@ -64,8 +73,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, match: float = MATCH) -> DataFr
     hits = cut(hits.select(F.col("doc_id").alias("hit_doc"), "doc_at", "item_id", "item_at").distinct())
     wanted = if_small(cut(hits.select("hit_doc").distinct()))
     again = coded(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left_semi"), "doc_id", "doc_id")
-    # The items are as many as the benchmark; hits hold four numbers each.
-    hits = again.join(if_small(hits), F.col("doc_id").eqNullSafe(F.col("hit_doc"))).join(if_small(items.withColumnRenamed("item_id", "_item")), F.col("item_id").eqNullSafe(F.col("_item")))
+    texts = items.withColumnRenamed("item_id", "_item")
+    places, hits = hits, _laid(again, hits, texts)
     before = F.least(F.col("doc_at"), F.col("item_at"), F.lit(CONTEXT))
     after = F.least(F.size("doc_id_words") - F.col("doc_at"), F.size("item_id_words") - F.col("item_at"), F.lit(SPAN + CONTEXT))
     compared = before + after
@@ -73,7 +82,86 @@ def leaks(docs: DataFrame, benchmark: DataFrame, match: float = MATCH) -> DataFr
     found = hits.select("doc_id", "item_id", F.aggregate(same, F.lit(0), lambda s, x: s + x).alias("matched"), compared.alias("compared"), (F.col("doc_at") - before).alias("position"))
     good = found.where(F.col("matched") >= match * F.col("compared"))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", -F.col("compared"), -F.col("position"))).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.matched").alias("matched"), (-F.col("best.col2")).alias("compared"), (-F.col("best.col3")).alias("position"))
+    best = cut(best.select("doc_id", "item_id", F.col("best.matched").alias("matched"), (-F.col("best.col2")).alias("compared"), (-F.col("best.col3")).alias("position")))
+    whole = best.select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_whole"))
+    rest = places.join(if_small(whole), F.col("hit_doc").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_whole")), "left_anti")
+    rest = cut(rest.select("hit_doc", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct())
+    return best.unionByName(_parts(_laid(again, rest, texts), match))
+
+
+def _laid(docs: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Hits with the words of their documents and items. The items are as many as the benchmark; hits hold a few numbers each."""
+    return docs.join(if_small(hits), F.col("doc_id").eqNullSafe(F.col("hit_doc"))).join(if_small(texts), F.col("item_id").eqNullSafe(F.col("_item")))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with `value` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, step, first: Column) -> Column:
+    """`first` and then step(the one before, x) for each x."""
+    return F.aggregate(values, F.array(first), lambda made, x: F.concat(made, F.array(step(F.element_at(made, -1), x))))
+
+
+def _longest(same: Column, match: float) -> Column:
+    """(from, to): the longest stretch of an array of 0 and 1 whose mean is at least `match`, the first of equal ones.
+
+    A stretch i..j qualifies if the sum of (x - match) up to j is not below that up to i. The least sum up to each i and
+    the greatest from each j on only fall, so one walk over both finds the farthest pair.
+    """
+    unit = 1000
+    sums = _running(F.transform(same, lambda x: (x * unit - round(match * unit)).cast("long")), lambda a, x: a + x, F.lit(0).cast("long"))
+
+    def walk(s: Column) -> Column:
+        low = _running(F.slice(s, F.lit(2), F.size(s)), F.least, F.get(s, F.lit(0)))
+        high = F.reverse(_running(F.slice(F.reverse(s), F.lit(2), F.size(s)), F.greatest, F.element_at(s, -1)))
+        zero = F.struct(*[F.lit(0).alias(c) for c in ("i", "j", "from", "to")], low.alias("low"), high.alias("high"))
+
+        def step(w: Column, _: Column) -> Column:
+            i, j = w["i"], w["j"]
+            ends = (j >= F.size(w["high"])) | (i >= F.size(w["low"]))
+            fits = F.coalesce(F.get(w["low"], i) <= F.get(w["high"], j), F.lit(False))
+            far = fits & (j - i > w["to"] - w["from"])
+            return F.struct(
+                (i + F.when(ends | fits, 0).otherwise(1)).alias("i"), (j + F.when(~ends & fits, 1).otherwise(0)).alias("j"),
+                F.when(far, i).otherwise(w["from"]).alias("from"), F.when(far, j).otherwise(w["to"]).alias("to"), w["low"].alias("low"), w["high"].alias("high"),
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), 2 * F.size(s)), zero, step, lambda w: F.struct(w["from"].alias("from"), w["to"].alias("to")))
+
+    return _once(sums, walk)
+
+
+def _parts(laid: DataFrame, match: float) -> DataFrame:
+    """The best joined stretches of each item in each document, from (doc_id, item_id, diagonal) with both texts' words."""
+    first = F.greatest(F.col("diagonal"), F.lit(0))
+    length = F.least(F.size("doc_id_words") - first, F.size("item_id_words") - (first - F.col("diagonal")))
+    same = F.zip_with(F.slice("doc_id_words", first + 1, length), F.slice("item_id_words", first - F.col("diagonal") + 1, length), lambda a, b: (a == b).cast("int"))
+
+    def stretch(x: Column) -> Column:
+        return _once(_longest(x, match), lambda w: F.struct(w["from"].alias("from"), F.slice(x, w["from"] + 1, w["to"] - w["from"]).alias("x")))
+
+    rows = laid.where(F.size("item_id_words") >= LEAST).select("doc_id", "item_id", "diagonal", first.alias("first"), _once(same, stretch).alias("s"))
+    rows = rows.where(F.size("s.x") >= LEAST)
+    head, tail = F.array_position("s.x", 1) - 1, F.array_position(F.reverse("s.x"), 1) - 1
+    rows = rows.select(
+        "doc_id", "item_id", (F.col("first") + F.col("s.from") + head).cast("int").alias("start"), "diagonal",
+        (F.size("s.x") - head - tail).cast("int").alias("compared"), F.aggregate("s.x", F.lit(0), lambda s, x: s + x).alias("matched"),
+    )
+    pairs = rows.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_set(F.struct("start", "diagonal", "compared", "matched"))).alias("found"))
+    names = ("matched", "compared", "position")
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("end", "diagonal", *names, "best_matched", "best_compared", "best_position")])
+
+    def follow(w: Column, x: Column) -> Column:
+        # The next stretch goes on where the last one ended, in the document and in the item.
+        joins = (w["matched"] > 0) & (F.abs(x["diagonal"] - w["diagonal"]) <= JOIN) & (x["start"] >= w["end"]) & (x["start"] - w["end"] <= SPAN) & (x["start"] - x["diagonal"] >= w["end"] - w["diagonal"])
+        run = [F.when(joins, w["matched"]).otherwise(0) + x["matched"], F.when(joins, w["compared"]).otherwise(0) + x["compared"], F.when(joins, w["position"]).otherwise(x["start"])]
+        better = (run[0] > w["best_matched"]) | ((run[0] == w["best_matched"]) & (run[1] < w["best_compared"]))
+        return F.struct((x["start"] + x["compared"]).alias("end"), x["diagonal"].alias("diagonal"), *[v.alias(c) for v, c in zip(run, names)], *[F.when(better, v).otherwise(w[f"best_{c}"]).alias(f"best_{c}") for v, c in zip(run, names)])
+
+    best = pairs.select("doc_id", "item_id", F.aggregate("found", zero, follow).alias("w"))
+    return best.select("doc_id", "item_id", *[F.col(f"w.best_{c}").alias(c) for c in names])
 
 
 def _item_seeds(items: DataFrame, spans: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
