@@ -240,6 +240,20 @@ def test_licences(spark):
     assert got == {1: ("MIT", "file"), 2: ("Apache-2.0", "inherited"), 3: ("Apache-2.0", "file"), 4: ("Apache-2.0", "inherited"), 5: (None, "none"), 6: ("CC-BY-NC-4.0", "header"), 7: (None, "none")}
 
 
+NOTICES = [
+    ("Copyright 2020 Acme Corp. Released under the MIT License.", "MIT"),
+    ("Copyright (c) 2021 Jane Doe. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("This text was written by hand and is released under the MIT License.", "MIT"),
+]
+
+
+@pytest.mark.parametrize("others", [20, 600])
+def test_licences_beside_other_words(spark, others):
+    rows = [(i, text) for i, (text, _) in enumerate(NOTICES)] + [(1000 + i, prose(30, i)) for i in range(others)]
+    got = {r.id: r.licence for r in licences.scan_lines(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
+    assert got == {i: name for i, (_, name) in enumerate(NOTICES)}
+
+
 @pytest.mark.parametrize("texts", [[], ODD])
 def test_odd_rows_pass_through_every_stage(spark, texts):
     frame = docs(spark, texts)

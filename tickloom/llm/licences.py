@@ -1,9 +1,11 @@
 """Licence scan: TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-Every line of every text is a candidate header; lines that hold none of the templates' telling words can't reach
-THRESHOLD (see anchors) and are left out before any comparison. The rest are compared with the templates by the cosine
-of their term vectors, weighted by inverse document frequency over all texts. A file's own licence is that of its best
-line. Files named LICENSE, LICENCE, COPYING or NOTICE speak for their directory, the best of several by cosine; a file
+A template of m words is compared with every window of m words of a text, across line ends, so that neither wrapping nor
+neighbouring words change the verdict, and with each whole line, paragraph (lines between empty ones) and text of fewer
+than m words. The cosine of their term vectors is weighted by inverse document frequency over all texts. Windows are
+left out before the frequency of their other words is counted only where a bound says that they can't reach THRESHOLD:
+such a word weighs 1 at least. SPDX tags are read as they are. A file's own licence is that of its best
+window. Files named LICENSE, LICENCE, COPYING or NOTICE speak for their directory, the best of several by cosine; a file
 without a licence of its own takes that of the nearest directory above it, by a join on the ancestors of its path.
 
 Defined results: null and empty texts have no own licence and inherit. A null path has no ancestors. Ties go to the
@@ -12,10 +14,17 @@ licence that comes first by name. Repeated rows are scanned alike. Empty tables
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickloom.llm.common import cut, if_small, table
+from tickloom.llm.common import cut, if_small, small_batches, table
 
 THRESHOLD = 0.6
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
@@ -41,7 +50,23 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
-# Words without which no line can be near a template.
+# Short names and titles of whole licence texts, which count only where all their words could stand.
+TITLES = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]+)", re.I)
+# Words of the lines by which document_files names licence files.
 ANCHORS = "license licensed licence licenced copyright redistribution permission cc0 gnu mozilla apache mit".split()
 
 
@@ -50,28 +75,120 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"\.(?![a-z0-9])", " "), r"[^a-z0-9.]+"), lambda w: w != "")
 
 
+POINT, WORD = re.compile(r"\.(?![a-z0-9])"), re.compile(r"[a-z0-9.]+")
+
+
+def words_of(text: str) -> list[str]:
+    """`terms` in Python."""
+    return WORD.findall(POINT.sub(" ", text.lower()))
+
+
+class Matcher:
+    """The windows of texts whose cosine to a template may reach THRESHOLD, whatever their other words weigh (1 at least)."""
+
+    def __init__(self, idf: dict[str, float]):
+        self.ids = {w: k for k, w in enumerate(sorted(idf))}
+        self.square = np.array([idf[w] ** 2 for w in sorted(idf)] + [1.0])  # the last one is for other words
+        self.templates = []
+        for k, (name, notice) in enumerate(TEMPLATES + TITLES):
+            found = words_of(notice)
+            gain = np.zeros(len(self.square))
+            for w, tf in Counter(found).items():
+                gain[self.ids[w]] = tf * idf[w] ** 2
+            norm = sum((tf * idf[w]) ** 2 for w, tf in Counter(found).items()) ** 0.5
+            self.templates.append((name, len(found), gain / norm, k < len(TEMPLATES)))
+        self.names = {name.lower(): name for name, _ in TEMPLATES}
+
+    def needed(self, idf: dict[str, float]) -> list[str]:
+        """Words of which each window at THRESHOLD holds one: what a template has besides them is below THRESHOLD of it."""
+        out = set()
+        for _, notice in TEMPLATES + TITLES:
+            parts = sorted(((tf * idf[w]) ** 2, w) for w, tf in Counter(words_of(notice)).items())
+            left, whole = 0.0, sum(x for x, _ in parts)
+            for x, w in parts:
+                left += x
+                if left >= 0.99 * THRESHOLD**2 * whole:
+                    out.add(w)
+        return sorted(out)
+
+    def find(self, texts: list[str | None]) -> Iterator[tuple]:
+        """(text's place, line, licence, dot, square of the known words, other words, their counts) of each window."""
+        words, line, owner, units = [], [], [], []
+        for d, text in enumerate(texts):
+            whole = paragraph = len(words)
+            for k, one in enumerate((text or "").split("\n")):
+                start, found = len(words), words_of(one)
+                words += found
+                line += [k] * len(found)
+                if found:
+                    units.append((start, len(words)))
+                elif not one.strip():
+                    units.append((paragraph, len(words)))
+                    paragraph = len(words)
+            owner += [d] * (len(words) - whole)
+            units += [(paragraph, len(words)), (whole, len(words))]
+            for m in SPDX.finditer(text or ""):
+                tag = re.sub(r"(-only|-or-later|\+)$", "", m[1].rstrip("."), flags=re.I)
+                yield d, text.count("\n", 0, m.start()), self.names.get(tag.lower(), tag), 1.0, 1.0, [], []
+        if not words:
+            return
+        ids, owner = np.array([self.ids.get(w, -1) for w in words]), np.array(owner)
+        spans = np.array(sorted({u for u in units if u[0] < u[1]}))
+        weight = np.concatenate([[0.0], np.cumsum(self.square[ids])])
+        for name, m, gain, short in self.templates:
+            dots = np.concatenate([[0.0], np.cumsum(gain[ids])])
+            at = np.arange(len(ids) - m + 1) if len(ids) >= m else np.zeros(0, int)
+            at = at[owner[at] == owner[at + m - 1]]
+            starts, ends = at, at + m
+            if short:
+                less = spans[spans[:, 1] - spans[:, 0] < m]
+                starts, ends = np.concatenate([starts, less[:, 0]]), np.concatenate([ends, less[:, 1]])
+            dot = dots[ends] - dots[starts]
+            near = dot >= 0.999 * THRESHOLD * np.sqrt(weight[ends] - weight[starts])
+            for i, j, x in zip(starts[near], ends[near], dot[near]):
+                counts = Counter(words[i:j])
+                known = sum(tf * tf * self.square[self.ids[w]] for w, tf in counts.items() if w in self.ids)
+                other = {w: tf for w, tf in counts.items() if w not in self.ids}
+                if x >= 0.999 * THRESHOLD * (known + sum(tf * tf for tf in other.values())) ** 0.5:
+                    yield int(owner[i]), line[i], name, float(x), float(known), list(other), list(other.values())
+
+
+def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df): in how many texts each wanted term stands; terms of no text are left out."""
+    held = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    return held.join(if_small(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def scan_lines(docs: DataFrame, key: str) -> DataFrame:
-    """(key, line, licence, similarity): the best template of each line that reaches THRESHOLD."""
+    """(key, line, licence, similarity): the best template of the windows that begin in each line, where one reaches THRESHOLD."""
     spark = docs.sparkSession
-    templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, licence string, notice string")
-    vocabulary = templates.select(F.explode(terms(F.col("notice"))).alias("term")).distinct()
-    known = [r["term"] for r in vocabulary.orderBy("term").collect()]
+    small_batches(spark)
+    known = sorted({w for _, notice in TEMPLATES + TITLES for w in words_of(notice)})
     held = F.array_intersect(F.array_distinct(terms(F.col("text"))), F.array(*map(F.lit, known)))
     counted = docs.select(F.explode_outer(held).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     # A row for each template word: a fixed number.
-    idf = cut(vocabulary.join(counted, "term", "left").select("term", (F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")))
-    weights = templates.select("template", "licence", F.explode(terms(F.col("notice"))).alias("term")).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weights = weights.join(F.broadcast(idf), "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = cut(weights.join(F.broadcast(norms), "template").select("template", "licence", "term", (F.col("w") / F.col("norm")).alias("w")))
-    lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.col("words").rlike(r"(?i)\b(" + "|".join(ANCHORS) + r")\b"))
-    tokens = lines.select(key, "line", F.explode(terms(F.col("words"))).alias("term")).groupBy(key, "line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    rare = F.log(F.lit(n + 1.0)) + 1.0
-    vectors = tokens.join(F.broadcast(idf), "term", "left").select(key, "line", "term", (F.col("tf") * F.coalesce("idf", rare)).alias("x"))
-    lengths = vectors.groupBy(key, "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    dots = vectors.join(F.broadcast(weights), "term").groupBy(key, "line", "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    scored = dots.join(lengths, [key, "line"]).select(key, "line", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
+    df = {r["term"]: r["df"] for r in counted.where("term is not null").collect()}
+    idf = {w: float(np.log((n + 1.0) / (df.get(w, 0) + 1.0)) + 1.0) for w in known}
+    matcher = Matcher(idf)
+    telling = r"(?i)(?<![a-z0-9])(" + "|".join(map(re.escape, matcher.needed(idf))) + r")(?![a-z0-9])|spdx-license-identifier"
+    shared = spark.sparkContext.broadcast(matcher)
+    kind = docs.schema[key].dataType
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = list(batch[key])
+            rows = [(keys[d], *rest) for d, *rest in shared.value.find(list(batch["text"]))]
+            yield pd.DataFrame(rows, columns=[key, "line", "licence", "dot", "known", "others", "counts"])
+
+    fields = [T.StructField(key, kind), *[T.StructField(c, t) for c, t in (("line", T.IntegerType()), ("licence", T.StringType()), ("dot", T.DoubleType()), ("known", T.DoubleType()), ("others", T.ArrayType(T.StringType())), ("counts", T.ArrayType(T.IntegerType())))]]
+    near = docs.where(F.col("text").rlike(telling)).select(key, "text").mapInPandas(run, T.StructType(fields))
+    near = cut(near.withColumn("window", F.monotonically_increasing_id()))
+    others = near.select("window", F.explode(F.arrays_zip("others", "counts")).alias("o")).select("window", F.col("o.others").alias("term"), F.col("o.counts").alias("tf"))
+    frequency = cut(document_frequency(docs, cut(others.select("term").distinct())))
+    x = F.col("tf") * (F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0)
+    rest = others.join(if_small(frequency), "term", "left").groupBy("window").agg(F.sum(x * x).alias("rest"))
+    scored = near.join(rest, "window", "left").select(key, "line", "licence", F.round(F.col("dot") / F.sqrt(F.col("known") + F.coalesce("rest", F.lit(0.0))), 6).alias("similarity"))
     scored = scored.where(F.col("similarity") >= THRESHOLD)
     return scored.groupBy(key, "line").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "licence")).alias("best")).select(key, "line", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("similarity"))
 
