@@ -254,6 +254,27 @@ def test_licences_beside_other_words(spark, others):
     assert got == {i: name for i, (_, name) in enumerate(NOTICES)}
 
 
+def test_licences_without_anchors_and_over_lines(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    mit = """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated
+documentation files (the "Software"), to deal"""
+    cases = [("CC BY 4.0", "CC-BY-4.0"), ("words\nCC BY-NC 4.0.", "CC-BY-NC-4.0"), (gpl, "GPL-3.0"), ("code\n\n" + gpl.replace("#", " *") + "\n\ncode", "GPL-3.0"), (mit, "MIT")]
+    cases += [("// SPDX-License-Identifier: MIT", "MIT"), ("x\nSPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: ISC", "ISC")]
+    cases += [("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright", "GPL-3.0"), ("Apache License\nVersion 2.0, January 2004", "Apache-2.0"), ("the licence of a driver is lost", None), ("4.0", None), (None, None)]
+    rows = [(i, None, text) for i, (text, _) in enumerate(cases)] + [(1000 + i, None, prose(30, i)) for i in range(200)]
+    got = {r.file_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert {i: got[i] for i in range(len(cases))} == {i: name for i, (_, name) in enumerate(cases)}
+    assert not any(got[1000 + i] for i in range(200))
+    # One line of the notice, among texts in which "the", "of" and the like are common.
+    one = spark.createDataFrame([(-1, gpl.split("\n")[0])], "doc_id long, text string")
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(one)
+    assert [r.licence for r in licences.scan_lines(frame, "doc_id").where("doc_id = -1").collect()] == ["GPL-3.0"]
+
+
 @pytest.mark.parametrize("texts", [[], ODD])
 def test_odd_rows_pass_through_every_stage(spark, texts):
     frame = docs(spark, texts)
