@@ -1,13 +1,15 @@
 """Hand-checked cases, and properties that hold for any input."""
 
 import datetime as dt
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import indicators, registry
 from tickloom.functions.timeframe import period_start
-from tickloom.operators import coverage, dataset, ordered
+from tickloom.operators import coverage, dataset, ordered, stats
 from tickloom.operators.resample import resample, roll_up
 from tickloom.sources import candles as cs
 from tickloom.sources import feature_store as fs
@@ -143,3 +145,14 @@ def test_stream_equals_batch_over_two_runs(spark, tmp_path):
     want = {r.timestamp: r.rsi for r in indicators.rsi(rows).collect()}
     got = {r.timestamp: r.rsi for r in spark.read.parquet(str(tmp_path / "rsi")).collect()}
     assert got.keys() == want.keys() and all((v is None) == (want[k] is None) and (v is None or abs(v - want[k]) < 1e-9) for k, v in got.items())
+
+
+def test_bootstrap_picks_are_independent(spark):
+    rng = random.Random(5)
+    n, sims = 250, 200
+    returns = [rng.gauss(0, 1) for _ in range(n)]
+    series = spark.createDataFrame([("s", i, x) for i, x in enumerate(returns)], "strategy_id string, i long, r double")
+    rows = stats.draws(series, sims).groupBy("sim").agg(F.avg("r").alias("m"), F.count_distinct("r").alias("k")).collect()
+    true = statistics.pstdev(returns) / n**0.5
+    assert len(rows) == sims and 0.85 < statistics.pstdev(r.m for r in rows) / true < 1.15
+    assert 0.61 < statistics.mean(r.k for r in rows) / n < 0.65

@@ -81,17 +81,21 @@ def corrected(tests: DataFrame, method: str) -> DataFrame:
     return rows.withColumn("p_adjusted", value).drop("_m", "_k")
 
 
-def draws(series: DataFrame, simulations: int, seed: int = 7, block: int = 1, steps: int | None = None) -> DataFrame:
-    """Bootstrap paths: for each simulation and step, a return picked by an integer recurrence over (simulation, step).
+def draws(series: DataFrame, simulations: int, seed: int = 7, block: int = 1, steps: int | None = None, picks: str = "hash") -> DataFrame:
+    """Bootstrap paths: for each simulation and step, a return picked by a hash of (seed, simulation, block).
 
     series: strategy_id, i (0, 1 ...), r. With block > 1, whole blocks of consecutive returns are picked. The picks are
-    integer arithmetic, so any engine repeats them. Result: strategy_id, sim, step, r.
+    the leading 32 bits of an md5, so any engine repeats them. picks="lattice" is a linear congruence, whose steps are not
+    independent: means of its paths spread too little. It serves the queries whose SQL has it. Result: strategy_id, sim,
+    step, r.
     """
     sizes = series.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"))
     length = F.col("n") if steps is None else F.lit(steps)
     grid = sizes.select(*ID, "n", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim")).withColumn("step", F.explode(F.sequence(F.lit(0), length - 1)))
     key = F.col("sim") * 7919 + F.expr(f"step div {block}") * 104729 + seed
-    mixed = F.pmod(F.pmod(key * 48271, F.lit(2147483647)) * 69621, F.lit(2147483647))
+    lattice = F.pmod(F.pmod(key * 48271, F.lit(2147483647)) * 69621, F.lit(2147483647))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "sim", F.expr(f"step div {block}")).cast("binary")), 1, 8), 16, 10).cast("long")
+    mixed = {"hash": hashed, "lattice": lattice}[picks]
     picked = grid.withColumn("i", F.pmod(mixed + F.col("step") % block, F.col("n")))
     return picked.join(series.select(*ID, "i", "r"), [*ID, "i"]).select(*ID, "sim", "step", "r")
 
@@ -113,10 +117,10 @@ def reality_check(series: DataFrame, simulations: int) -> DataFrame:
     return sims.join(F.broadcast(best)).agg(F.first("best").alias("best"), F.avg((F.col("v") >= F.col("best")).cast("double")).alias("p"))
 
 
-def simulated_paths(series: DataFrame, simulations: int, start: float, block: int = 1, seed: int = 7) -> DataFrame:
+def simulated_paths(series: DataFrame, simulations: int, start: float, block: int = 1, seed: int = 7, picks: str = "hash") -> DataFrame:
     """Equity paths: strategy_id, sim, step, value."""
     order = Window.partitionBy(*ID, "sim").orderBy("step")
-    return draws(series, simulations, seed, block).withColumn("value", F.lit(start) * F.exp(F.sum(F.log1p("r")).over(order)))
+    return draws(series, simulations, seed, block, picks=picks).withColumn("value", F.lit(start) * F.exp(F.sum(F.log1p("r")).over(order)))
 
 
 def bands(paths: DataFrame, lower: float = 0.05, upper: float = 0.95) -> DataFrame:

@@ -605,6 +605,9 @@ def a43_corrections(spark, sf_dir):
     return out
 
 
+# As in the reference.
+SIMULATIONS = 10_000
+
 DRAWS = """s AS (SELECT strategy_id, row_number() OVER (PARTITION BY strategy_id ORDER BY ts) - 1 AS i, r, count(*) OVER (PARTITION BY strategy_id) AS n FROM r),
  w AS (SELECT DISTINCT strategy_id, n FROM s), k AS (SELECT strategy_id, n, sim, step, sim * 7919 + (step // {block}) * 104729 + 7 AS key FROM w, range(20) a(sim), LATERAL (SELECT unnest(range(n)) AS step)),
  dr AS (SELECT k.strategy_id, sim, step, s.r FROM k JOIN s ON s.strategy_id = k.strategy_id AND s.i = (((key * 48271) % 2147483647 * 69621) % 2147483647 + step % {block}) % k.n)"""
@@ -612,31 +615,31 @@ DRAWS = """s AS (SELECT strategy_id, row_number() OVER (PARTITION BY strategy_id
 
 @query(f"x AS (SELECT 1), {DRAWS.format(block=1)} SELECT strategy_id, sim, round(avg(r), 9) AS mean_r, count(*) AS n FROM dr GROUP BY 1, 2")
 def a37_bootstrap_draws(spark, sf_dir):
-    return stats.draws(return_series(spark, sf_dir), 20).groupBy("strategy_id", "sim").agg(r(F.avg("r"), 9).alias("mean_r"), F.count(F.lit(1)).alias("n"))
+    return stats.draws(return_series(spark, sf_dir), 20, picks="lattice").groupBy("strategy_id", "sim").agg(r(F.avg("r"), 9).alias("mean_r"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""x AS (SELECT 1), {DRAWS.format(block=5)}, pa AS (SELECT strategy_id, sim, step, 1000 * exp(sum(ln(1 + r)) OVER (PARTITION BY strategy_id, sim ORDER BY step)) AS v FROM dr)
  SELECT strategy_id, step, round(quantile_cont(v, 0.05), 4) AS lower, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.95), 4) AS upper FROM pa GROUP BY 1, 2""")
 def a45_a46_bands(spark, sf_dir):
-    paths = stats.simulated_paths(return_series(spark, sf_dir), 20, 1000.0, block=5)
+    paths = stats.simulated_paths(return_series(spark, sf_dir), 20, 1000.0, block=5, picks="lattice")
     return stats.bands(paths).select("strategy_id", "step", r("lower", 4).alias("lower"), r("median", 4).alias("median"), r("upper", 4).alias("upper"))
 
 
 @query(f"""x AS (SELECT 1), {DRAWS.format(block=1)}, pa AS (SELECT strategy_id, sim, step, 1000 * exp(sum(ln(1 + r)) OVER (PARTITION BY strategy_id, sim ORDER BY step)) AS v FROM dr),
  en AS (SELECT strategy_id, sim, arg_max(v, step) AS f FROM pa GROUP BY 1, 2) SELECT strategy_id, round(avg((f > 1000)::INT), 6) AS win_rate, round(avg(f), 4) AS mean_final, round(stddev_pop(f), 4) AS sd_final FROM en GROUP BY 1""")
 def a47_outcome(spark, sf_dir):
-    paths = stats.simulated_paths(return_series(spark, sf_dir), 20, 1000.0)
+    paths = stats.simulated_paths(return_series(spark, sf_dir), 20, 1000.0, picks="lattice")
     return stats.outcome(paths, 1000.0).select("strategy_id", r("win_rate").alias("win_rate"), r("mean_final", 4).alias("mean_final"), r("sd_final", 4).alias("sd_final"))
 
 
 @query()
 def a37_bootstrap_mean(spark, sf_dir):
-    return stats.bootstrap_mean(return_series(spark, sf_dir), 200)
+    return stats.bootstrap_mean(return_series(spark, sf_dir), SIMULATIONS)
 
 
 @query()
 def a42_reality_check(spark, sf_dir):
-    return stats.reality_check(return_series(spark, sf_dir), 200)
+    return stats.reality_check(return_series(spark, sf_dir), SIMULATIONS)
 
 
 @query()
