@@ -224,6 +224,15 @@ def test_html_text(spark):
     assert html_crf.main_text("<script>a<b</script><!-- <p>no</p> --><p>a &eacute;\n b<p>c", None) == "a é b\nc"
 
 
+def test_html_of_unclosed_elements():
+    for tag in ("svg", "math", "canvas", "audio", "video", "object", "noscript", "template"):
+        assert html_crf.main_text(f"<article><p>one</p><{tag} class='x'><p>two</p><p>three</article>", None) == "one\ntwo\nthree", tag
+    for tag in ("math", "audio", "video", "object"):
+        assert html_crf.main_text(f"<p>one <{tag}>inner</{tag}> two</p>", None) == "one inner two", tag
+    for tag in ("script", "style", "iframe", "title"):
+        assert html_crf.main_text(f"<p>one</p><{tag}><p>two</p>", None) == "one", tag
+
+
 def test_viterbi_is_the_best_of_all_paths():
     import itertools
 

@@ -38,7 +38,8 @@ BLOCK_TAGS = frozenset(
     "textarea tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("script style noscript template svg iframe object head title math canvas audio video".split())
+SKIPPED_TAGS = frozenset("script style noscript template svg iframe head title canvas".split())
+RAW_TEXT_TAGS = frozenset("script style iframe title".split())  # without an end tag they go on to the page's end
 CLOSED_BY_SAME = {"p": ("p",), "li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 CLOSE_PARAGRAPH = BLOCK_TAGS - {"button", "label", "option", "body", "html"}
 # Words of class, id and role attributes that are features.
@@ -90,6 +91,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = [("html", ())]
     parts: list[str] = []
+    unclosed: set[str] = set()  # skipped elements that have no end tag from here on
     linked, links, position, end = 0, 0, 0, len(page)
 
     def flush() -> None:
@@ -128,11 +130,15 @@ def blocks(page: str | None) -> list[Block]:
         if tag in SKIPPED_TAGS:
             if attributes.endswith("/"):
                 continue
+            if tag in unclosed:
+                continue
             close = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body)", re.I).search(page, position)
             if close:
                 position = close.end()
-            elif tag != "head":
+            elif tag in RAW_TEXT_TAGS:
                 break
+            else:
+                unclosed.add(tag)
             continue
         if tag == "br":
             parts.append(" ")
