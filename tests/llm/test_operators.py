@@ -147,7 +147,7 @@ def test_line_dedup(spark):
     frame = docs(spark, [f"one two three\n{line}\n\n", f"{line}!\nother words here", line.replace("fox", "cat"), line, None, ""])
     got = {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(frame).collect()}
     assert got == {1: [0], 2: [0], 3: [0]}
-    kept = {r.doc_id: r.text for r in line_dedup.without_lines(frame, line_dedup.removed_lines(frame)).collect()}
+    kept = {r.doc_id: r.text for r in line_dedup.line_dedup_stage(spark, frame, SF).collect()}
     assert kept[1] == "other words here" and kept[0].startswith("one two three") and kept[4] is None
 
 
@@ -288,6 +288,6 @@ documentation files (the "Software"), to deal"""
 def test_odd_rows_pass_through_every_stage(spark, texts):
     frame = docs(spark, texts)
     assert bag_minhash.classes(frame).count() == len(texts)
-    assert line_dedup.without_lines(frame, line_dedup.removed_lines(frame)).count() == len(texts)
+    assert line_dedup.with_removed(frame, line_dedup.removed_lines(frame), 'gone').count() == len(texts)
     assert packing.packed(frame).select("doc_id").distinct().count() == len(texts)
     assert order_minhash.edited_fingerprints(frame, 2).count() == len(texts)

@@ -14,7 +14,8 @@ links of SIMILARITY or more join documents to classes (see components.links).
 Words are runs of letters and digits of the lower-cased text. Defined results: null and empty texts, and texts without
 words, form one class; a text of fewer than five words has one window, its word sequence, so it is near only its
 copies. Texts with the same words are copies. Repeated rows are copies of each other. Rows with a null id belong to
-classes like others; a class of such rows only has a null class_id.
+classes like others; a class of such rows only has a null class_id. Very long texts are compared whole. An empty table
+gives no rows. Other columns may have any name; the filtering stage returns them as they are.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, if_small, small_batches, table
-from tickloom.llm.components import links
+from tickloom.llm.common import cut, fresh, if_small, small_batches, table
+from tickloom.llm.components import crowded, links
 from tickloom.llm.hashing import mix, windows, word_hashes
 
 WORDS = 5
@@ -164,27 +165,35 @@ def elements(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "node long, element long, weight long")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of `docs` (doc_id, text; others ignored): doc_id, class_id (the least doc_id), class_size."""
+def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of `docs`, checkpointed: doc_id, tkey (a hash of the text), class_id and class_tkey (those of the
+    row of the class with the least doc_id), class_size."""
     rows = cut(signed(docs))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"), F.first("bands").alias("bands"))
-    members = nodes.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(members.join(crowded.select("bucket"), "bucket"))
-    wanted = members.select(F.col("id").alias("node")).distinct()
-    # One row of each wanted node gives its text: a text of that node, the same for all.
-    wanted = rows.select("node", "tkey").join(wanted, "node").groupBy("node").agg(F.min("tkey").alias("tkey"))
+    spot = F.struct("doc_id", "tkey")
+    nodes = rows.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), spot)).alias("spot"), F.min("tkey").alias("tkey"), F.count(F.lit(1)).alias("n"))
+    nodes = cut(nodes.select("node", "tkey", "n", "spot.doc_id", F.col("spot.tkey").alias("spot_tkey")))
+    members = cut(crowded(rows.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))))
+    wanted = nodes.select("node", "tkey").join(members.select(F.col("id").alias("node")).distinct(), "node")
+    # One row gives a node's text: one with the node's least text hash, and of these that of the least id.
     holder = cut(rows.join(wanted, ["node", "tkey"]).groupBy("node", "tkey").agg(F.min("doc_id").alias("holder")))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = source.join(if_small(holder), (source["tkey"] == holder["tkey"]) & source["doc_id"].eqNullSafe(holder["holder"]))
     texts = cut(texts.select("node", "text").dropDuplicates(["node"]))
     found = links(members, verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
-    of_node = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = of_node.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    of_node = of_node.join(named, "component").select("node", "component", "class_id")
-    labelled = rows.select("doc_id", "node").join(of_node, "node")
-    sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("class_size"))
-    return labelled.join(sizes, "component").select("doc_id", "class_id", "class_size")
+    # A class of one row needs no name but its own: only nodes of several rows or with links are looked up by the rows.
+    of_node = nodes.join(found, "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
+    spot = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "spot_tkey"))
+    named = of_node.groupBy("component").agg(F.min(spot).alias("spot"), F.sum("n").alias("class_size"))
+    of_node = of_node.select("node", "component").join(named, "component")
+    of_node = cut(of_node.select("node", F.lit(True).alias("several"), F.col("spot.doc_id").alias("class_id"), F.col("spot.spot_tkey").alias("class_tkey"), "class_size"))
+    out = rows.select("doc_id", "tkey", "node").join(if_small(of_node), "node", "left")
+    own = lambda c, x: F.when(F.col("several"), F.col(c)).otherwise(x).alias(c)
+    return cut(out.select("doc_id", "tkey", own("class_id", F.col("doc_id")), own("class_tkey", F.col("tkey")), own("class_size", F.lit(1))))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of `docs` (doc_id, text; others ignored): doc_id, class_id (the least doc_id), class_size."""
+    return labelled(docs, similarity).select("doc_id", "class_id", "class_size")
 
 
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,13 +202,16 @@ def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class, that of the least id; of repeated rows one. Rows with null ids stay."""
+    """Keep one document of each class, that of the least id (of rows that share it, that of the least text hash); of
+    repeated rows one. Rows with null ids stay."""
     small_batches(spark, 250)
-    columns = docs.columns
-    found = classes(docs)
-    keep = found.where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again"))
-    kept = docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id").cast("long") == F.col("_keep")).drop("_keep")
-    marked = kept.join(repeated, F.col("doc_id") == F.col("_again"), "left")
-    once = marked.where("_again IS NULL").unionByName(marked.where("_again IS NOT NULL").dropDuplicates(["doc_id"]))
-    return once.select(*columns).unionByName(docs.where("doc_id IS NULL"))
+    found = labelled(docs).where("doc_id IS NOT NULL")
+    gone = found.where("doc_id != class_id OR tkey != class_tkey").select("doc_id", "tkey", F.lit(True).alias("other")).distinct()
+    again = found.where("doc_id = class_id AND tkey = class_tkey").groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "tkey", F.lit(False).alias("other"))
+    marks = cut(gone.unionByName(again))
+    mark_id, mark_text, other = (fresh(docs.columns, c) for c in ("mark_id", "mark_text", "other"))
+    marks = if_small(marks.toDF(mark_id, mark_text, other))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(mark_id)) & F.xxhash64(F.coalesce("text", F.lit(""))).eqNullSafe(F.col(mark_text))
+    marked = docs.join(marks, same, "left")
+    once = marked.where(~F.col(other)).dropDuplicates(["doc_id", mark_text])
+    return marked.where(F.col(other).isNull()).select(*docs.columns).unionByName(once.select(*docs.columns))

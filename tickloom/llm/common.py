@@ -24,7 +24,7 @@ def crc_mod(col: str, modulus: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; where none is configured, as in tests, take a temporary one."""
+    """Use the cluster's shared checkpoint folder; where none is configured, a local session takes a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -32,6 +32,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not folder:
         import tempfile
 
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
     sc.setCheckpointDir(folder)
 
@@ -52,10 +54,30 @@ def thin(df: DataFrame, key: Column, counts: DataFrame, label: str, bound: int)
     return df.join(F.broadcast(shares), df[label] == F.col("_label")).where(unit < F.col("_share")).drop("_label", "_share")
 
 
-#: Rows of up to this many are broadcast; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, marked for broadcast if it has at most `limit` rows of a few numbers. Count it on a checkpoint."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+#: Bytes of numbers that are broadcast at most; larger sides are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, marked for broadcast if its rows take at most `limit` bytes. Measure it on a checkpoint."""
+    sizes = [F.lit(8 * (1 + len(df.columns)))]
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            sizes.append(F.octet_length(name))
+        elif kind == "array<string>":
+            sizes.append(F.octet_length(F.array_join(name, "  ")))
+        elif kind.startswith("array"):
+            sizes.append(8 * F.size(name))
+    if len(sizes) == 1:  # numbers alone: as many rows as fit need counting, no more
+        rows = limit // (8 * (1 + len(df.columns)))
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    total = df.agg(F.sum(sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes[1:]), sizes[0]))).first()[0]
+    return F.broadcast(df) if (total or 0) <= limit else df
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,18 +1,20 @@
 """Links inside hash buckets and connected components, as Spark jobs.
 
-`links` finds every verified link that a set of buckets suggests without writing out all pairs of a bucket: each member
-is first compared with the bucket's leader, and only members that the components so far leave apart are compared again.
-`components` is the alternating large-star and small-star algorithm, with a checkpoint in the shared folder each round.
+`links` finds the components that verified links of a set of buckets make, without writing out all pairs of a bucket:
+members are compared with leaders first, and of the members that this leaves apart only pairs with a rare element in
+common. `components` is the alternating large-star and small-star algorithm, with a checkpoint in the shared folder each
+round. Its joins have the neighbours of a hub on one side and one row for each node on the other, so adaptive execution
+can split a hub's rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut
+from tickloom.llm.common import cut, if_small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,73 +41,94 @@ def components(edges: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.min("component").alias("component"))
 
 
+def crowded(members: DataFrame) -> DataFrame:
+    """The (bucket, id) rows of buckets that hold several ids, with the least of them, `leader`; repeated rows are one."""
+    leaders = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader < most")
+    leaders = cut(leaders.select("bucket", "leader"))
+    kept = cut(members.join(if_small(leaders.select("bucket")), "bucket", "left_semi"))
+    return kept.distinct().join(leaders, "bucket")
+
+
 def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, component) for the nodes that a verified link joins to another.
 
-    members: (bucket, id) rows, a node once in a bucket. verify: (a, b) pairs to those of Jaccard similarity
-    `similarity` or more. features: (node) rows to the elements of their sets, (node, element, weight).
-
-    Round one compares each member with the least of the leaders of its buckets, a bucket's leader being its least
-    member. Buckets that then hold several components go on. Of their nodes, the weight of the elements that any other
-    of these nodes holds too is counted. What two nodes have in common is at most the lesser of these weights, so pairs
-    for which that can't reach the similarity need no comparison. Round two compares the members with their bucket's
-    most central node, the one that shares most: copies of one text that differ by changes of their own are each nearer
-    to it than to one another. Round three compares, in buckets that still hold several components, each member outside
-    the most frequent component with the members of other components. Pairs that are joined already are not compared,
-    nor any pair twice.
+    members: what `crowded` gives, checkpointed. verify: (a, b) pairs to those of Jaccard similarity `similarity` or
+    more. features: (node) rows to the elements of their sets, (node, element, weight).
+
+    Every member is compared with the leaders of all its buckets. That settles buckets of two, and those whose other
+    members are in one component. The rest is compared in two steps. First with the most central member of the bucket,
+    the one whose elements most others hold: copies of one text that differ by changes of their own are each nearer to it
+    than to one another. Then pairs of different components are compared which have an element of their prefixes in
+    common. A prefix is the rarest elements of a set, as many as make the rest lighter than `similarity` of the whole:
+    pairs at `similarity` always share one (see `_ranked`), so no link is lost, and as rare elements come first, few
+    others do.
     """
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
-    crowded = cut(members.join(leaders, "bucket"))
-    first = crowded.where(F.col("id") != F.col("a")).groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    first = cut(first)
+    first = members.where(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     good = cut(verify(first))
     label = cut(components(good))
-    unsettled = cut(_unsettled(crowded.select("bucket", "id"), label))
-    shared = cut(_shared(features(unsettled.select(F.col("id").alias("node")).distinct())))
-    weighed = cut(unsettled.join(shared, unsettled["id"] == shared["node"]).where(F.col("shared") >= similarity * F.col("size")).drop("node"))
-    central = weighed.groupBy("bucket").agg(F.max(F.struct(F.col("shared") / F.col("size"), "id", "component", "size", "shared", "parts")).alias("m"))
-    central = central.select("bucket", F.col("m.id").alias("x"), F.col("m.component").alias("cx"), F.col("m.size").alias("wx"), F.col("m.shared").alias("sx"), F.col("m.parts").alias("px"))
-    rest = weighed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("wy"), F.col("shared").alias("sy"), F.col("parts").alias("py"))
-    by_part = F.aggregate(F.zip_with("px", "py", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, x: total + x)
-    reach = lambda common: common >= similarity * (F.col("wx") + F.col("wy") - common)
-    possible = reach(F.least("sx", "sy")) & reach(by_part)
-    second = central.join(rest, (central["bucket"] == rest["bucket"]) & (F.col("cx") != F.col("cy")) & possible)
-    second = cut(_ordered(second).join(first, ["a", "b"], "left_anti"))
-    good = cut(good.unionByName(verify(second)))
-    label = cut(components(good))
-    weighed = cut(_unsettled(weighed.drop("component", "main"), label))
-    outside = weighed.where(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), "main", F.col("size").alias("wx"), F.col("shared").alias("sx"), F.col("parts").alias("px"))
-    rest = weighed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("wy"), F.col("shared").alias("sy"), F.col("parts").alias("py"))
-    third = outside.join(rest, (outside["bucket"] == rest["bucket"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & possible)
-    third = _ordered(third).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    more = cut(verify(third))
-    return label if more.isEmpty() else components(good.unionByName(more))
+    unsettled = cut(_unsettled(members.where(F.col("id") != F.col("leader")).select("bucket", "id"), label))
+    ranked = cut(_ranked(features(unsettled.select(F.col("id").alias("node")).distinct()), similarity))
+    nodes = ranked.where("place = 1").drop("element", "df", "before", "place")
+    # Members of which no rare element is another's have no link left to find.
+    open_nodes = nodes.join(ranked.where("df > 1").select("node").distinct(), "node")
+    weighed = unsettled.join(open_nodes, unsettled["id"] == open_nodes["node"]).drop("id")
+    central = weighed.groupBy("bucket").agg(F.max(F.struct("central", "node", "component", "size", "bits")).alias("m"))
+    central = central.select("bucket", *[F.col(f"m.{c}").alias(f"{c}_x") for c in ("node", "component", "size", "bits")])
+    second = weighed.join(if_small(cut(central)), "bucket").where((F.col("component") != F.col("component_x")) & _possible("", "_x", similarity))
+    second = second.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
+    stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    more = cut(verify(second))
+    if not more.isEmpty():
+        label = cut(components(stars.unionByName(more)))
+        stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    named = ranked.where("df > 1").join(if_small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named.groupBy("element").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("element")
+    named = cut(named.join(several, "element").select("element", "node", "component", "before", "size", "bits"))
+    x, y = (named.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "before", "size", "bits")]) for side in "xy")
+    after = F.least(F.col("size_x") - F.col("before_x"), F.col("size_y") - F.col("before_y"))
+    enough = after >= similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
+    third = x.join(y, (x["element"] == y["element"]) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & enough & _possible("_x", "_y", similarity))
+    more = cut(verify(third.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()))
+    return label if more.isEmpty() else components(stars.unionByName(more))
+
 
+def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with `component`."""
+    labelled = members.join(if_small(label.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
+    return labelled.join(if_small(cut(mixed)), "bucket")
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+#: Words of 64 bits in which the parities of a set's elements are summed up.
+BITS = 6
 
-def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with `component` and the bucket's most frequent one, `main`."""
-    labelled = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    counts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("best"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", F.col("best.component").alias("main"))
-    return labelled.join(main, "bucket")
-
-
-#: Elements are dealt to so many parts by their hash; what two nodes share is bounded part by part.
-PARTS = 32
-
-
-def _shared(elements: DataFrame) -> DataFrame:
-    """(node, size, shared, parts): a node's total weight; that of the elements which another node holds too, in all
-    and by part."""
-    part = F.pmod(F.xxhash64("element"), F.lit(PARTS))
-    by_part = F.array(*[F.sum(F.when(part == k, F.col("weight")).otherwise(0)) for k in range(PARTS)])
-    alone = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node"), F.sum("weight").alias("weight")).where("df = 1")
-    own = alone.groupBy("node").agg(F.sum("weight").alias("own"), by_part.alias("own_parts"))
-    sizes = elements.groupBy("node").agg(F.sum("weight").alias("size"), by_part.alias("all_parts"))
-    joined = sizes.join(own, "node", "left")
-    parts = F.when(F.col("own").isNull(), F.col("all_parts")).otherwise(F.zip_with("all_parts", "own_parts", lambda a, b: a - b))
-    return joined.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"), parts.alias("parts"))
+
+def _ranked(elements: DataFrame, similarity: float) -> DataFrame:
+    """(node, element, df, before, place, size, central, bits): the prefix elements that another node holds too, and each
+    node's first.
+
+    Elements are ordered by df, the number of nodes that hold them, then by value; `before` is the weight of those
+    earlier in the order. The prefix ends where what follows weighs less than `similarity` of the node's weight, `size`.
+    If the prefixes of two nodes have nothing in common, all that the sets share follows the prefix that ends first, so
+    it is less than `similarity` of one of them. `central` is the mean df of a node's elements. `bits` are the xor of one
+    bit for each element of odd weight: two sets differ by as much weight as bits at least.
+    """
+    df = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "element")
+    whole = Window.partitionBy("node")
+    spot = F.pmod(F.xxhash64("element"), F.lit(64 * BITS)).cast("int")
+    word = lambda k: F.when((F.col("weight") % 2 == 1) & (F.shiftright(spot, 6) == k), F.call_function("shiftleft", F.lit(1).cast("long"), spot % 64)).otherwise(F.lit(0).cast("long"))
+    out = elements.join(df, "element")
+    out = out.withColumn("before", F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = out.withColumn("place", F.row_number().over(order)).withColumn("size", F.sum("weight").over(whole))
+    out = out.withColumn("central", F.sum(F.col("weight") * F.col("df")).over(whole) / F.col("size"))
+    out = out.withColumn("bits", F.array(*[F.bit_xor(word(k)).over(whole) for k in range(BITS)]))
+    in_prefix = F.col("size") - F.col("before") >= similarity * F.col("size") - 1e-6
+    return out.where((F.col("place") == 1) | (in_prefix & (F.col("df") > 1))).select("node", "element", "df", "before", "place", "size", "central", "bits")
+
+
+def _possible(x: str, y: str, similarity: float):
+    """False only for two nodes that cannot reach `similarity`: by their sizes, or by the bits in which they differ."""
+    a, b = F.col(f"size{x}"), F.col(f"size{y}")
+    differ = sum((F.bit_count(F.get(f"bits{x}", F.lit(k)).bitwiseXOR(F.get(f"bits{y}", F.lit(k)))) for k in range(BITS)), F.lit(0))
+    return (F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * (a + b) + 1e-6)

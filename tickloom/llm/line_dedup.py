@@ -8,7 +8,9 @@ by a distributed union-find. The first line of a component, by document id and l
 
 Defined results: blank lines, and lines without letters or digits, are kept and never compared. A line shorter than a
 shingle is one shingle. Null texts have no lines. Rows with a null id are kept whole and not compared. Rows that share
-an id are one document: a line number that goes from one goes from all. Texts are split at line feeds only.
+an id but not the text are documents of their own, ordered by a hash of their texts; rows that share both are one
+document. Texts are split at line feeds only, and are read whole whatever their length. An empty table gives no rows.
+Other columns may have any name; the filtering stage returns them as they are.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.bag_minhash import overlaps
-from tickloom.llm.common import cut, if_small, small_batches, table
-from tickloom.llm.components import links
+from tickloom.llm.common import cut, fresh, if_small, small_batches, table
+from tickloom.llm.components import crowded, links
 from tickloom.llm.hashing import _powers, mix
 
 SHINGLE = 7
@@ -104,13 +106,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, node, bands) for every line with a letter or digit; bands once for each node and task at least."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, tkey, line, node, bands) for every line with a letter or digit; tkey is a hash of the text, bands come
+    once for each node and task at least."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            texts = batch.column(1).to_pylist()
             sizes = np.cumsum([len(t) for t in texts])
             cuts = sorted({0, len(texts), *map(int, np.searchsorted(sizes, np.arange(SLAB, sizes[-1], SLAB)))}) if len(texts) else []
             for low, high in zip(cuts, cuts[1:]):
@@ -127,15 +131,10 @@ def signed(docs: DataFrame) -> DataFrame:
                         fresh[i] = True
                 offsets = np.concatenate([[0], np.cumsum(fresh * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(offsets, band_keys(sig[some[fresh]]).ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low:high][owner]), pa.array((some - first[owner]).astype(np.int32)), pa.array(node[some]), bands], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low:high][owner]), pa.array(keys[low:high][owner]), pa.array((some - first[owner]).astype(np.int32)), pa.array(node[some]), bands], schema=schema)
 
-    source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, line int, node long, bands array<long>")
-
-
-def shingles(line: str) -> frozenset[str]:
-    """The shingles of one normalised line."""
-    return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
+    source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tkey"))
+    return source.mapInArrow(run, "doc_id long, tkey long, line int, node long, bands array<long>")
 
 
 def sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, None]:
@@ -175,62 +174,63 @@ def elements(texts: DataFrame) -> DataFrame:
 
 
 def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, line, component, first_doc, first_line) for the lines of components of several lines."""
+    """(doc_id, tkey, line, component, first) for the lines of components of several lines; first tells whether the line
+    is the first of its component."""
     rows = cut(signed(docs))
-    banded = rows.where(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))
-    whole = Window.partitionBy("bucket")
-    shared = banded.withColumn("least", F.min("id").over(whole)).withColumn("most", F.max("id").over(whole))
-    members = cut(shared.where("least < most").select("bucket", "id").distinct())
-    wanted = members.select(F.col("id").alias("node")).distinct()
-    places = cut(rows.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("node", F.col("at.doc_id").alias("at_doc"), F.col("at.line").alias("at_line")))
+    members = cut(crowded(rows.where(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))))
+    at = F.min(F.struct("doc_id", "tkey", "line")).alias("at")
+    places = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), at)
+    wanted = members.select(F.col("id").alias("node"), F.lit(True).alias("wanted")).distinct()
+    places = cut(places.join(if_small(cut(wanted)), "node", "left").where("n > 1 OR wanted"))
+    at_doc, at_text, at_line = (F.col("at.doc_id").alias("at_doc"), F.col("at.tkey").alias("at_text"), F.col("at.line").alias("at_line"))
+    holders = places.where("wanted").select("node", at_doc, at_text, at_line)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    texts = source.join(if_small(places), F.col("doc_id") == F.col("at_doc"))
+    texts = source.join(if_small(holders), (F.col("doc_id") == F.col("at_doc")) & (F.xxhash64("text") == F.col("at_text")))
     line = F.get(F.split("text", "\n"), F.col("at_line"))
-    texts = cut(texts.select("node", line.alias("text")).where(F.col("text").isNotNull()).dropDuplicates(["node"]))
+    texts = cut(texts.select("node", line.alias("text")).dropDuplicates(["node"]))
     found = links(members, verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
-    counted = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("at"))
-    of_node = counted.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = of_node.groupBy("component").agg(F.sum("n").alias("n"), F.min("at").alias("at")).where("n > 1")
-    kept = kept.select("component", F.col("at.doc_id").alias("first_doc"), F.col("at.line").alias("first_line"))
-    several = cut(of_node.select("node", "component").join(kept, "component"))
-    return rows.select("doc_id", "line", "node").join(if_small(several), "node").drop("node")
+    of_node = places.join(if_small(cut(found)), "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
+    kept = of_node.groupBy("component").agg(F.min("at").alias("at"))
+    several = cut(of_node.select("node", "component").join(kept.select("component", at_doc, at_text, at_line), "component"))
+    out = rows.select("doc_id", "tkey", "line", "node").join(if_small(several), "node")
+    first = (F.col("doc_id") == F.col("at_doc")) & (F.col("tkey") == F.col("at_text")) & (F.col("line") == F.col("at_line"))
+    return out.select("doc_id", "tkey", "line", "component", first.alias("first"))
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, removed): the numbers, from 0, of the lines that go from a document; documents that lose some."""
-    found = labelled_lines(docs, similarity).where((F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    """(doc_id, tkey, removed): the numbers, from 0, of the lines that go from a document; documents that lose some."""
+    found = labelled_lines(docs, similarity).where("NOT first")
+    return found.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """`docs` with the removed lines cut from `text`, and n_chars, where there is such a column, counted anew."""
-    columns = docs.columns
-    gone = removed.select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns, "_removed")
+def with_removed(docs: DataFrame, removed: DataFrame, name: str) -> DataFrame:
+    """`docs` with the numbers of the lines to go in a column `name`; null where none goes."""
+    mark_id, mark_text = fresh([*docs.columns, name], "mark_id"), fresh([*docs.columns, name], "mark_text")
+    marks = removed.select(F.col("doc_id").alias(mark_id), F.col("tkey").alias(mark_text), F.col("removed").alias(name))
+    return docs.join(marks, (F.col("doc_id").cast("long") == F.col(mark_id)) & (F.xxhash64("text") == F.col(mark_text)), "left").drop(mark_id, mark_text)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of lines, how many go, and the numbers of these lines."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    removed = removed_lines(docs)
-    n_lines = F.size(F.split("text", "\n"))
-    gone = removed.select(F.col("doc_id").alias("_doc"), "removed")
-    joined = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines")).join(gone, F.col("doc_id") == F.col("_doc"), "left")
-    removed_or_none = F.coalesce("removed", F.array().cast("array<int>"))
-    return joined.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(removed_or_none).cast("long").alias("n_removed"), removed_or_none.alias("removed"))
+    # The text is needed only to count lines and to tell rows apart, so both are taken before the join.
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    rows = docs.select("doc_id", n_lines.alias("n_lines"), F.xxhash64("text").alias("tkey"))
+    marks = removed_lines(docs).select(F.col("doc_id").alias("mark_id"), F.col("tkey").alias("mark_text"), "removed")
+    joined = rows.join(marks, (F.col("doc_id") == F.col("mark_id")) & (F.col("tkey") == F.col("mark_text")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; documents of which no letter or digit is left go."""
     small_batches(spark)
-    columns = docs.columns
-    cut_docs = without_lines(docs, removed_lines(docs))
+    gone = fresh(docs.columns, "gone")
+    joined = with_removed(docs, if_small(cut(removed_lines(docs))), gone)
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
+    out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     left = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
-    return cut_docs.where(F.col("_removed").isNull() | left).select(*columns)
+    return out.where(F.col(gone).isNull() | left).select(*docs.columns)

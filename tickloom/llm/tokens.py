@@ -1,22 +1,30 @@
 """Token ids of whole texts by a public tokenizer, with a memo of words.
 
 The `tokenizers` library encodes every distinct word once; a text's ids are those of its words. That is exact because
-the tokenizers used here split texts at spaces and line feeds before they merge: the lower-casing word tokenizer drops
-white space, the byte-level one puts a single space in front of the word that follows. Texts in which white space is
-not of that kind are encoded whole.
+the tokenizers used here split texts at white space before they merge: the lower-casing word tokenizer drops it, the
+byte-level one puts a single space in front of the word that follows and makes pieces of their own of the rest. Within a
+word they split letters from the signs behind them, so words are learnt as a stem and its signs. Stems are given to the
+library many in one text, whose ids are cut again at the tokens that end a word (word tokenizer) or begin with its space
+(byte level). Byte-level texts with control characters that the library and Python class differently are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
-#: Words in the memo at most; it is emptied when full. Longer words than LONG are not kept.
+#: Words in the memo at most; when full, those seen once are dropped. Longer words than LONG are not kept.
 MEMO = 800_000
 LONG = 64
 IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|\0")
-LAST_SIGNS = ".,;:!?"
+SEPARATORS = re.compile("[\x00\x1c-\x1f]")
+PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
+#: Signs that are no part of a contraction.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Stems that the library gets in one text.
+JOINED = 200
 
 
 class TextEncoder:
@@ -31,6 +39,11 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.byte_level = byte_level
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id begins a word with its space, or ends a word.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("\u0120") if byte_level else token.endswith("</w>")
         self.clear()
 
     def clear(self) -> None:
@@ -54,40 +67,64 @@ class TextEncoder:
         if not self.byte_level:
             return text.replace("\n", " ").split(" ")
         if IRREGULAR.search(text):
-            return [text]
+            return [text] if SEPARATORS.search(text) else PIECES.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def library(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def stem(self, word: str) -> tuple[str, str]:
+        """The letters of a word, lower-cased where case does not count, and the signs behind them; ("", word) if it is
+        not of that kind."""
+        lead = " " if self.byte_level and word[:1] == " " else ""
+        letters = word[len(lead) :].rstrip(SIGNS)
+        if not letters.isalpha() or (self.byte_level and not lead) or max(letters) >= "\u0250" or "\u0130" in letters:
+            return "", word
+        return lead + (letters if self.byte_level else letters.lower()), word[len(lead) + len(letters) :]
+
+    def stem_ids(self, stems: list[str]) -> list[list[int]]:
+        """The ids of stems, by texts of JOINED stems each."""
+        out: list[list[int]] = []
+        between = "" if self.byte_level else " "
+        for ids in self.library([between.join(stems[i : i + JOINED]) for i in range(0, len(stems), JOINED)]):
+            edges = np.flatnonzero(self.edge[ids]).tolist()
+            cuts = [*edges, len(ids)] if self.byte_level else [0, *(e + 1 for e in edges)]
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def learn(self, words: set[str]) -> None:
-        """Add the ids of new words. A sign behind a word of letters is a token of its own, so the word is looked up alone."""
-        stems: dict[str, tuple[str, str]] = {}
-        for word in words:
-            stem, sign = (word[:-1], word[-1]) if word and word[-1] in LAST_SIGNS and word[:-1].lstrip(" ").isalpha() and not word.startswith("  ") else (word, "")
-            stems[word] = (stem if self.byte_level or not stem.isascii() else stem.lower(), sign)
-        base = sorted({part for pair in stems.values() for part in pair})
-        ids = dict(zip(base, self.library(base)))
-        lists = [ids[stem] + ids[sign] if sign else ids[stem] for stem, sign in stems.values()]
+        """Add the ids of new words."""
+        split = {word: self.stem(word) for word in words}
+        known = lambda part: self.flat[self.starts[i] : self.starts[i + 1]].tolist() if (i := self.memo.get(part)) is not None else None
+        stems = {s for s, _ in split.values() if s}
+        ids = {s: k for s in stems & self.memo.keys() if (k := known(s)) is not None}
+        stems = sorted(stems - ids.keys())
+        ids.update(zip(stems, self.stem_ids(stems), strict=True))
+        tails = sorted({t for _, t in split.values()})
+        signs = dict(zip(tails, self.library(tails)))
+        lists = [ids[s] + signs[t] if s else signs[t] for s, t in split.values()]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.memo.update(zip(stems, range(len(self.starts) - 1, len(self.starts) - 1 + len(lists))))
+        self.memo.update(zip(split, range(len(self.starts) - 1, len(self.starts) - 1 + len(lists))))
         self.seen = np.concatenate([self.seen, np.zeros(len(lists), np.int64)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each followed by `end`, and the offsets of the texts in them."""
         split = [self.units(t) if t else [] for t in texts]
-        new = {w for ws in split for w in ws} - self.memo.keys()
-        long = {w for w in new if len(w) > LONG}
+        words = set().union(*split)
+        new = words - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
             self.forget()
-            new = {w for ws in split for w in ws} - self.memo.keys()
-        if new:
-            self.learn(new)
-        memo = self.memo
+            new = words - self.memo.keys()
+        long = {w for w in new if len(w) > LONG}
+        if new - long:
+            self.learn(new - long)
+        kept = len(self.starts)
+        if long:
+            self.learn(long)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((memo[w] for ws in split for w in ws), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         self.seen += np.bincount(at, minlength=len(self.seen))
         sizes = self.starts[at + 1] - self.starts[at]
         before = np.concatenate([[0], np.cumsum(sizes)])
@@ -96,6 +133,9 @@ class TextEncoder:
         ids = self.flat[np.repeat(begins, sizes) + np.arange(before[-1])]
         ends = before[of_text[1:]]
         out = np.insert(ids, ends, np.uint32(end))
-        if long:
-            self.clear()  # words that are not worth their memory
+        if long:  # words that are not worth their memory
+            for w in long:
+                del self.memo[w]
+            self.starts, self.seen = self.starts[:kept], self.seen[: kept - 1]
+            self.flat = self.flat[: self.starts[-1]]
         return out, np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
