@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, fresh, if_small, small_batches, table
-from tickloom.llm.components import crowded, links
+from tickloom.llm.components import SUMMARY, crowded, links, summaries
 from tickloom.llm.hashing import mix, windows, word_hashes
 
 WORDS = 5
@@ -165,6 +165,17 @@ def elements(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "node long, element long, weight long")
 
 
+def summed(texts: DataFrame, sets=bags) -> DataFrame:
+    """(node, SUMMARY) of each (node, text); `sets` makes their multisets, as `bags` does."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            text, window, weight, _ = sets(list(batch["text"]))
+            yield pd.DataFrame({"node": batch["node"].to_numpy()} | summaries(text, window, weight, len(batch)))
+
+    return texts.mapInPandas(run, "node long, " + ", ".join(f"{c} long" for c in SUMMARY))
+
+
 def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs`, checkpointed: doc_id, tkey (a hash of the text), class_id and class_tkey (those of the
     row of the class with the least doc_id), class_size."""
@@ -179,7 +190,7 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = source.join(if_small(holder), (source["tkey"] == holder["tkey"]) & source["doc_id"].eqNullSafe(holder["holder"]))
     texts = cut(texts.select("node", "text").dropDuplicates(["node"]))
-    found = links(members, verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
+    found = links(members, cut(summed(texts)), verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
     # A class of one row needs no name but its own: only nodes of several rows or with links are looked up by the rows.
     of_node = nodes.join(found, "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     spot = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "spot_tkey"))

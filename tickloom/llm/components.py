@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, if_small
+from tickloom.llm.hashing import mix
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -49,86 +51,101 @@ def crowded(members: DataFrame) -> DataFrame:
     return kept.distinct().join(leaders, "bucket")
 
 
-def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+#: Buckets of more members than this are not compared pair by pair.
+SMALL = 64
+#: Words of 64 bits in which the parities of a set's elements are summed up.
+BITS = 4
+SUMMARY = ["size", *(f"bits_{k}" for k in range(BITS))]
+
+
+def summaries(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """For n sets of weighted elements: their weights, and the xor of one bit for each element of odd weight. Two sets
+    differ by as much weight as bits at least."""
+    bits = np.zeros((n, BITS), np.uint64)
+    odd = weight % 2 == 1
+    spot = mix(element[odd].astype(np.uint64))
+    np.bitwise_xor.at(bits, (owner[odd], (spot >> np.uint64(6)) % np.uint64(BITS)), np.uint64(1) << (spot & np.uint64(63)))
+    return {"size": np.bincount(owner, weight, n).astype(np.int64)} | {f"bits_{k}": bits[:, k].view(np.int64) for k in range(BITS)}
+
+
+def links(members: DataFrame, summed: DataFrame, verify: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, component) for the nodes that a verified link joins to another.
 
-    members: what `crowded` gives, checkpointed. verify: (a, b) pairs to those of Jaccard similarity `similarity` or
-    more. features: (node) rows to the elements of their sets, (node, element, weight).
+    members: what `crowded` gives. summed: node and SUMMARY of every member, checkpointed. verify: (a, b) pairs to those
+    of Jaccard similarity `similarity` or more. features: (node) rows to the elements of their sets, (node, element,
+    weight).
 
     Every member is compared with the leaders of all its buckets. That settles buckets of two, and those whose other
-    members are in one component. The rest is compared in two steps. First with the most central member of the bucket,
-    the one whose elements most others hold: copies of one text that differ by changes of their own are each nearer to it
-    than to one another. Then pairs of different components are compared which have an element of their prefixes in
-    common. A prefix is the rarest elements of a set, as many as make the rest lighter than `similarity` of the whole:
-    pairs at `similarity` always share one (see `_ranked`), so no link is lost, and as rare elements come first, few
-    others do.
+    members are in one component. In what is left, pairs of different components are compared, in buckets of up to SMALL
+    members; a pair is verified only if the summaries don't rule it out. Larger buckets are compared in two steps: first
+    with the most central member, the one whose elements most others hold (copies of one text that differ by changes of
+    their own are each nearer to it than to one another); then pairs of different components are compared which have an
+    element of their prefixes in common. A prefix is the rarest elements of a set, as many as make the rest lighter than
+    `similarity` of the whole: pairs at `similarity` always share one (see `_ranked`), so no link is lost, and as rare
+    elements come first, few others do.
     """
+    of = lambda frame, on, side: frame.join(if_small(summed).select(F.col("node").alias(on), *[F.col(c).alias(f"{c}_{side}") for c in SUMMARY]), on)
     first = members.where(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    good = cut(verify(first))
+    good = cut(verify(of(of(first, "a", "x"), "b", "y").where(_possible(similarity)).select("a", "b")))
     label = cut(components(good))
+    stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
     unsettled = cut(_unsettled(members.where(F.col("id") != F.col("leader")).select("bucket", "id"), label))
-    ranked = cut(_ranked(features(unsettled.select(F.col("id").alias("node")).distinct()), similarity))
-    nodes = ranked.where("place = 1").drop("element", "df", "before", "place")
+    large = unsettled.where(F.col("n") > SMALL)
+    x, y = (of(unsettled.where(F.col("n") <= SMALL).select("bucket", F.col("id").alias(f"id_{side}"), F.col("component").alias(f"component_{side}")), f"id_{side}", side) for side in "xy")
+    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & _possible(similarity))
+    more = verify(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())
+    if large.isEmpty():
+        more = cut(more)
+        return label if more.isEmpty() else components(stars.unionByName(more))
+    ranked = cut(_ranked(features(large.select(F.col("id").alias("node")).distinct()), similarity))
     # Members of which no rare element is another's have no link left to find.
-    open_nodes = nodes.join(ranked.where("df > 1").select("node").distinct(), "node")
-    weighed = unsettled.join(open_nodes, unsettled["id"] == open_nodes["node"]).drop("id")
-    central = weighed.groupBy("bucket").agg(F.max(F.struct("central", "node", "component", "size", "bits")).alias("m"))
-    central = central.select("bucket", *[F.col(f"m.{c}").alias(f"{c}_x") for c in ("node", "component", "size", "bits")])
-    second = weighed.join(if_small(cut(central)), "bucket").where((F.col("component") != F.col("component_x")) & _possible("", "_x", similarity))
-    second = second.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
+    nodes = ranked.where("place = 1").select("node", "central").join(ranked.where("df > 1").select("node").distinct(), "node")
+    weighed = large.withColumnRenamed("id", "node").join(nodes, "node")
+    central = weighed.groupBy("bucket").agg(F.max(F.struct("central", "node", "component")).alias("m"))
+    central = cut(of(central.select("bucket", F.col("m.node").alias("a"), F.col("m.component").alias("component_x")), "a", "x"))
+    second = of(weighed.withColumnRenamed("node", "b"), "b", "y").join(if_small(central), "bucket").where((F.col("component") != F.col("component_x")) & _possible(similarity))
+    more = cut(more.unionByName(verify(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
+    label = cut(components(stars.unionByName(more)))
     stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    more = cut(verify(second))
-    if not more.isEmpty():
-        label = cut(components(stars.unionByName(more)))
-        stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    named = ranked.where("df > 1").join(if_small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = ranked.where("df > 1").select("element", "node", "before").join(if_small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = named.groupBy("element").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("element")
-    named = cut(named.join(several, "element").select("element", "node", "component", "before", "size", "bits"))
-    x, y = (named.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "before", "size", "bits")]) for side in "xy")
+    named = cut(named.join(several, "element"))
+    x, y = (of(named.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "before")]), f"node_{side}", side) for side in "xy")
     after = F.least(F.col("size_x") - F.col("before_x"), F.col("size_y") - F.col("before_y"))
     enough = after >= similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
-    third = x.join(y, (x["element"] == y["element"]) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & enough & _possible("_x", "_y", similarity))
+    third = x.join(y, (x["element"] == y["element"]) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & enough & _possible(similarity))
     more = cut(verify(third.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()))
     return label if more.isEmpty() else components(stars.unionByName(more))
 
 
 def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with `component`."""
+    """The members of buckets that hold several components, with `component` and the bucket's number of members, `n`."""
     labelled = members.join(if_small(label.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    return labelled.join(if_small(cut(mixed)), "bucket")
-
-
-#: Words of 64 bits in which the parities of a set's elements are summed up.
-BITS = 6
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    return labelled.join(if_small(cut(mixed.select("bucket", "n"))), "bucket")
 
 
 def _ranked(elements: DataFrame, similarity: float) -> DataFrame:
-    """(node, element, df, before, place, size, central, bits): the prefix elements that another node holds too, and each
-    node's first.
+    """(node, element, df, before, place, central): the prefix elements that another node holds too, and each node's first.
 
     Elements are ordered by df, the number of nodes that hold them, then by value; `before` is the weight of those
-    earlier in the order. The prefix ends where what follows weighs less than `similarity` of the node's weight, `size`.
-    If the prefixes of two nodes have nothing in common, all that the sets share follows the prefix that ends first, so
-    it is less than `similarity` of one of them. `central` is the mean df of a node's elements. `bits` are the xor of one
-    bit for each element of odd weight: two sets differ by as much weight as bits at least.
+    earlier in the order. The prefix ends where what follows weighs less than `similarity` of the node's weight. If the
+    prefixes of two nodes have nothing in common, all that the sets share follows the prefix that ends first, so it is
+    less than `similarity` of one of them. `central` is the mean df of a node's elements.
     """
     df = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("node").orderBy("df", "element")
     whole = Window.partitionBy("node")
-    spot = F.pmod(F.xxhash64("element"), F.lit(64 * BITS)).cast("int")
-    word = lambda k: F.when((F.col("weight") % 2 == 1) & (F.shiftright(spot, 6) == k), F.call_function("shiftleft", F.lit(1).cast("long"), spot % 64)).otherwise(F.lit(0).cast("long"))
     out = elements.join(df, "element")
     out = out.withColumn("before", F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = out.withColumn("place", F.row_number().over(order)).withColumn("size", F.sum("weight").over(whole))
     out = out.withColumn("central", F.sum(F.col("weight") * F.col("df")).over(whole) / F.col("size"))
-    out = out.withColumn("bits", F.array(*[F.bit_xor(word(k)).over(whole) for k in range(BITS)]))
     in_prefix = F.col("size") - F.col("before") >= similarity * F.col("size") - 1e-6
-    return out.where((F.col("place") == 1) | (in_prefix & (F.col("df") > 1))).select("node", "element", "df", "before", "place", "size", "central", "bits")
+    return out.where((F.col("place") == 1) | (in_prefix & (F.col("df") > 1))).select("node", "element", "df", "before", "place", "central")
 
 
-def _possible(x: str, y: str, similarity: float):
+def _possible(similarity: float) -> Column:
     """False only for two nodes that cannot reach `similarity`: by their sizes, or by the bits in which they differ."""
-    a, b = F.col(f"size{x}"), F.col(f"size{y}")
-    differ = sum((F.bit_count(F.get(f"bits{x}", F.lit(k)).bitwiseXOR(F.get(f"bits{y}", F.lit(k)))) for k in range(BITS)), F.lit(0))
+    a, b = F.col("size_x"), F.col("size_y")
+    differ = sum((F.bit_count(F.col(f"bits_{k}_x").bitwiseXOR(F.col(f"bits_{k}_y"))) for k in range(BITS)), F.lit(0))
     return (F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * (a + b) + 1e-6)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.bag_minhash import overlaps
+from tickloom.llm.bag_minhash import overlaps, summed
 from tickloom.llm.common import cut, fresh, if_small, small_batches, table
 from tickloom.llm.components import crowded, links
 from tickloom.llm.hashing import _powers, mix
@@ -188,7 +188,7 @@ def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     texts = source.join(if_small(holders), (F.col("doc_id") == F.col("at_doc")) & (F.xxhash64("text") == F.col("at_text")))
     line = F.get(F.split("text", "\n"), F.col("at_line"))
     texts = cut(texts.select("node", line.alias("text")).dropDuplicates(["node"]))
-    found = links(members, verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
+    found = links(members, cut(summed(texts, sets)), verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
     of_node = places.join(if_small(cut(found)), "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     kept = of_node.groupBy("component").agg(F.min("at").alias("at"))
     several = cut(of_node.select("node", "component").join(kept.select("component", at_doc, at_text, at_line), "component"))
