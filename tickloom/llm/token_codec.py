@@ -1,10 +1,12 @@
 """Token ids in compressed, independently decodable blocks.
 
 A block holds up to BLOCK ids. Each id is coded by a mixture of three predictions: the id that last followed the two ids
-before it (order 2), the id that last followed the id before it (order 1), and adaptive frequencies of id magnitudes
-(order 0: byte-pair ids are ranked by frequency, so magnitude tells much). How much weight the first two get depends on
-how often predictions of the same confidence were right in the block so far. The mixture drives a range coder. All
-state starts anew with each block, and a block carries a CRC-32 of its ids, so blocks are read alone and checked.
+before it (order 2), the id that last followed the id before it (order 1), and the frequencies of all ids of the block so
+far (order 0). These are kept in a tree of three levels (32, 64 and 64 branches), each of whose nodes counts its branches
+and gives unseen ones a small prior, so an id that is new to the block costs what its neighbours' frequency suggests. How
+much weight orders 2 and 1 get depends on how often predictions of the same confidence were right in the block so far.
+The mixture drives a range coder. All state starts anew with each block, and a block carries a CRC-32 of its ids, so
+blocks are read alone and checked.
 
 Blocks are independent, so a task codes many at once: the coder's state is a numpy vector with a lane for each block.
 
@@ -13,7 +15,9 @@ ids, steps, checksum and payload, and the index of its documents: id, ordinal in
 document's first position among the part's ids.
 
 Defined results: null and empty texts are the end id alone. Documents are written in ascending doc_id order, null ids
-first; rows that share an id are ordered by text and keep rows of their own. An empty table gives an empty file.
+first; rows that share an id are ordered by text and keep rows of their own. An empty table gives an empty file. Very
+long texts run over many blocks. Only doc_id and text are read, so other columns may have any name. The file is written
+while the query is built, in the shared checkpoint folder, and stays there.
 """
 
 from __future__ import annotations
@@ -32,13 +36,42 @@ from tickloom.llm.common import ensure_checkpoint_dir, small_batches, table
 from tickloom.llm.packing import _encoder
 
 END = 2
-BLOCK = 4096
-LANES = 1024
+BLOCK = 8192
+LANES = 512
 TABLE = 4096
-MAGNITUDES = 18
 #: Range coder: 32-bit low and range, bytes shifted out at the top; totals stay below BOTTOM.
 TOP, BOTTOM, WORD = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
 LEVELS = 16
+#: Order 0: bits of each level of an id, from the top; what an occurrence counts; the total at which a node is halved.
+SHAPE = (5, 6, 6)
+GAIN = 24
+FULL = 40_000
+#: The order-0 share of the mixture, in whose units the others are weighed.
+REST = 4096
+
+
+class _Frequencies:
+    """Order 0 of all lanes: counts of the branches of each node of the tree, and a prior for each."""
+
+    def __init__(self, lanes: int):
+        self.lane = np.arange(lanes)
+        self.counts, self.priors, above = [], [], 0
+        for level, bits in enumerate(SHAPE):
+            self.counts.append(np.zeros((lanes << above, 1 << bits), np.uint16))
+            # Byte-pair ids are ranked by frequency, so low branches are likelier at the top.
+            self.priors.append(np.maximum(96 // (1 + np.arange(1 << bits)), 1) if level == 0 else np.ones(1 << bits, np.int64))
+            above += bits
+
+    def node(self, level: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each lane's row of counts at a level, for ids of which the bits above are known; and their running sums."""
+        rows = (self.lane << sum(SHAPE[:level])) + (ids >> sum(SHAPE[level:]))
+        return rows, np.cumsum(self.counts[level][rows] + self.priors[level], axis=1)
+
+    def add(self, level: int, rows: np.ndarray, branch: np.ndarray, sums: np.ndarray) -> None:
+        self.counts[level][rows, branch] += np.uint16(GAIN)
+        full = rows[np.flatnonzero(sums[:, -1] > FULL)]
+        if len(full):
+            self.counts[level][full] >>= np.uint16(1)
 
 
 class _Model:
@@ -49,8 +82,7 @@ class _Model:
         self.two, self.one = np.zeros(lanes * TABLE, np.int32), np.zeros(lanes * TABLE, np.int32)  # id and confidence
         self.hits = np.ones((2, lanes * LEVELS), np.int32)
         self.tries = np.full((2, lanes * LEVELS), 2, np.int32)
-        self.cum = np.tile(np.arange(MAGNITUDES + 1, dtype=np.int64) * 4, (lanes, 1))
-        self.above = np.arange(MAGNITUDES + 1)
+        self.zero = _Frequencies(lanes)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self) -> None:
@@ -60,14 +92,12 @@ class _Model:
         e2, e1 = self.two[self.at2], self.one[self.at1]
         self.id2, self.id1 = e2 >> 4, e1 >> 4
         self.level2, self.level1 = self.lane * LEVELS + (e2 & 15), self.lane * LEVELS + (e1 & 15)
-        rest = self.cum[:, -1]
-        same = self.id1 == self.id2
-        # Weights in units of the order-0 total: odds of a right prediction at this confidence.
+        # Weights in units of the order-0 share: odds of a right prediction at this confidence.
         h2, t2 = self.hits[0, self.level2], self.tries[0, self.level2]
         h1, t1 = self.hits[1, self.level1], self.tries[1, self.level1]
-        self.w2 = np.minimum(rest * h2 // np.maximum(t2 - h2, 1), 30_000) + 1
-        self.w1 = np.where(same, 0, np.minimum(rest * h1 // np.maximum(t1 - h1, 1), 15_000) + 1)
-        self.total = self.w2 + self.w1 + rest
+        self.w2 = np.minimum(REST * h2 // np.maximum(t2 - h2, 1), 30_000) + 1
+        self.w1 = np.where(self.id1 == self.id2, 0, np.minimum(REST * h1 // np.maximum(t1 - h1, 1), 15_000) + 1)
+        self.total = self.w2 + self.w1 + REST
 
     def update(self, ids: np.ndarray) -> None:
         for k, (table, at, guess, level) in enumerate(((self.two, self.at2, self.id2, self.level2), (self.one, self.at1, self.id1, self.level1))):
@@ -77,28 +107,9 @@ class _Model:
             confidence = table[at] & 15
             confidence = np.where(right, np.minimum(confidence + 1, 15), confidence >> 1)
             table[at] = (np.where(right | (confidence > 2), guess, ids) << 4) | confidence
-        size = magnitude(ids)
-        self.cum += 8 * (self.above > size[:, None])
-        full = np.flatnonzero(self.cum[:, -1] > 8000)
-        if len(full):
-            counts = np.diff(self.cum[full], axis=1)
-            self.cum[full, 1:] = np.cumsum((counts + 1) >> 1, axis=1)
         self.before, self.last = self.last, ids
 
 
-_BITS = np.array([int(i).bit_length() for i in range(1 << 12)])
-
-
-def magnitude(ids: np.ndarray) -> np.ndarray:
-    """The bit length of each id."""
-    high = ids >> 12
-    return np.where(high > 0, 12 + _BITS[np.minimum(high, 4095)], _BITS[np.minimum(ids, 4095)])
-
-
-def _first(size: np.ndarray) -> np.ndarray:
-    return np.where(size > 0, np.int64(1) << np.maximum(size - 1, 0), 0)
-
-
 class _Encoder:
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, WORD)
@@ -169,19 +180,20 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     lanes, steps = ids.shape
     model, coder = _Model(lanes), _Encoder(lanes, steps)
     columns = np.ascontiguousarray(ids.T).astype(np.int64)
-    for t in range(steps):
-        now = columns[t]
+    for now in columns:
         model.predict()
         hit2 = now == model.id2
         hit1 = ~hit2 & (now == model.id1)
-        size = magnitude(now)
-        low, high = model.cum[model.lane, size], model.cum[model.lane, size + 1]
-        start = np.where(hit2, 0, np.where(hit1, model.w2, model.w2 + model.w1 + low))
-        share = np.where(hit2, model.w2, np.where(hit1, model.w1, high - low))
-        coder.put(start, share, model.total)
-        first = _first(size)
         hit = hit2 | hit1
-        coder.put(np.where(hit, 0, now - first), np.ones(lanes, np.int64), np.where(hit, 1, np.maximum(first, 1)))
+        start = np.where(hit2, 0, np.where(hit1, model.w2, model.w2 + model.w1))
+        coder.put(start, np.where(hit2, model.w2, np.where(hit1, model.w1, REST)), model.total)
+        for level, bits in enumerate(SHAPE):
+            rows, sums = model.zero.node(level, now)
+            branch = (now >> sum(SHAPE[level + 1 :])) & ((1 << bits) - 1)
+            high = sums[model.lane, branch]
+            low = np.where(branch > 0, sums[model.lane, branch - 1], 0)
+            coder.put(np.where(hit, 0, low), np.where(hit, 1, high - low), np.where(hit, 1, sums[:, -1]))
+            model.zero.add(level, rows, branch, sums)
         model.update(now)
     return coder.finish()
 
@@ -196,19 +208,20 @@ def decode_blocks(payloads: list[bytes], steps: int) -> np.ndarray:
         hit2 = at < model.w2
         hit1 = ~hit2 & (at < model.w2 + model.w1)
         hit = hit2 | hit1
-        inside = at - model.w2 - model.w1
-        size = np.clip((model.cum[:, 1:] <= inside[:, None]).sum(1), 0, MAGNITUDES - 1)
-        low, high = model.cum[model.lane, size], model.cum[model.lane, size + 1]
-        start = np.where(hit2, 0, np.where(hit1, model.w2, model.w2 + model.w1 + low))
-        share = np.where(hit2, model.w2, np.where(hit1, model.w1, high - low))
-        coder.take(start, share)
-        first = _first(size)
-        total = np.where(hit, 1, np.maximum(first, 1))
-        offset = coder.where(total)
-        coder.take(offset, np.ones(lanes, np.int64))
-        now = np.where(hit2, model.id2, np.where(hit1, model.id1, first + offset)).astype(np.int64)
-        out[t] = now
+        start = np.where(hit2, 0, np.where(hit1, model.w2, model.w2 + model.w1))
+        coder.take(start, np.where(hit2, model.w2, np.where(hit1, model.w1, REST)))
+        now = np.where(hit2, model.id2, np.where(hit1, model.id1, 0)).astype(np.int64)
+        for level, bits in enumerate(SHAPE):
+            rows, sums = model.zero.node(level, now)
+            below = sum(SHAPE[level + 1 :])
+            at = coder.where(np.where(hit, 1, sums[:, -1]))
+            branch = np.where(hit, (now >> below) & ((1 << bits) - 1), (sums <= at[:, None]).sum(1))
+            low = np.where(branch > 0, sums[model.lane, branch - 1], 0)
+            coder.take(np.where(hit, 0, low), np.where(hit, 1, sums[model.lane, branch] - low))
+            now = np.where(hit, now, now | (branch << below))
+            model.zero.add(level, rows, branch, sums)
         model.update(now)
+        out[t] = now
     return out.T
 
 
