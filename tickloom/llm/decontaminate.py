@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, if_small, table
+from tickloom.llm.common import cut, fresh, if_small, table
 
 SPAN = 11
 # The positions that each mask compares.
@@ -54,6 +54,7 @@ def _seeds(words: str, at: str, spans: list[tuple[int, tuple[int, ...]]]) -> Col
 
 def leaks(docs: DataFrame, benchmark: DataFrame, match: float = MATCH) -> DataFrame:
     """(doc_id, item_id, matched, compared, position): the best passage of each item in each document that holds one."""
+    docs = docs.select("doc_id", "text")
     items = cut(coded(benchmark, "item_id", "item_id").where(F.size("item_id_words") > 0))
     short = [r["n"] for r in items.where(F.size("item_id_words") < SPAN).select(F.size("item_id_words").alias("n")).distinct().orderBy("n").collect()]
     masks = [(SPAN, m) for m in MASKS]
@@ -206,6 +207,7 @@ FROM (SELECT doc_id, item_id, max({'m': matched, 'c': -compared, 'p': -position}
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leak of any benchmark item."""
+    leak = fresh(docs.columns, "leak")
     found = leaks(docs, table(spark, sf_dir, "benchmark"))
-    ids = cut(found.select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(if_small(ids), docs["doc_id"].eqNullSafe(ids["_leak"]), "left_anti")
+    ids = cut(found.select(F.col("doc_id").alias(leak)).distinct())
+    return docs.join(if_small(ids), docs["doc_id"].eqNullSafe(ids[leak]), "left_anti")

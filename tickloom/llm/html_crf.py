@@ -93,6 +93,7 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     unclosed: set[str] = set()  # skipped elements that have no end tag from here on
     linked, links, position, end = 0, 0, 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends after it, so none is looked for there
 
     def flush() -> None:
         nonlocal linked
@@ -104,8 +105,10 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     while position < end:
-        m = TOKEN.search(page, position)
+        m = TOKEN.search(page, position, last) if position < last else None
         until = m.start() if m else end
+        if not m and (comment := page.find("<!--", position)) >= 0:
+            until = comment  # without an end, it goes on to the page's
         if until > position:
             parts.append(page[position:until])
             if links:
@@ -115,6 +118,8 @@ def blocks(page: str | None) -> list[Block]:
         position = m.end()
         tag = m[2]
         if tag is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         tag = tag.lower()
         if m[1]:
@@ -323,10 +328,19 @@ def rewritten(found: list[Block], labels: list[int], words: list[str], rng: rand
     return out, marks
 
 
+#: Characters of a page that the chain is trained on, at most.
+LONGEST = 200_000
+
+
 def train(pages: DataFrame, sample: int = 300, variants: int = 3, seed: int = 11) -> Chain | None:
-    """Fit on about `sample` self-labelled pages (documented bound), the least by a hash of the page, and their rewrites."""
-    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", F.xxhash64("html").alias("h"))
-    texts = [r["html"] for r in marked.orderBy("h").limit(sample).collect()]
+    """Fit on up to `sample` different self-labelled pages of up to LONGEST characters (documented bounds), the least by a
+    hash of the page, and their rewrites."""
+    marked = pages.where((F.length("html") <= LONGEST) & F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", F.xxhash64("html").alias("h"))
+    # The hashes alone are sorted; copies of a page count once.
+    chosen = marked.select("h").distinct().orderBy("h").limit(sample).collect()
+    held = pages.sparkSession.createDataFrame([(r["h"],) for r in chosen], "h long")
+    found = marked.join(F.broadcast(held), "h").groupBy("h").agg(F.min("html").alias("html"))
+    texts = [r["html"] for r in sorted(found.collect(), key=lambda r: r["h"])]
     rng = random.Random(seed)
     found = [(b, y) for b in map(blocks, texts) if b and (y := own_labels(b)) and any(y)]
     if not found:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import crc_mod, small_batches, table, thin
+from tickloom.llm.common import crc_mod, fresh, small_batches, table, thin
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 48
@@ -130,7 +130,7 @@ def fit(words: list[str], counts: np.ndarray, languages: list[str], rows: np.nda
 
 
 def train(spark: SparkSession, labelled: DataFrame, vocabulary_path: str, rows_per_language: int = 500) -> Model | None:
-    """Fit on about `rows_per_language` rows of each language, chosen by a hash of the text (the documented bound).
+    """Fit on about `rows_per_language` different texts of each language, chosen by a hash of the text (the documented bound).
 
     Word counts are made by Spark; the driver gets the distinct words of that bounded sample.
     """
@@ -138,7 +138,8 @@ def train(spark: SparkSession, labelled: DataFrame, vocabulary_path: str, rows_p
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not counts:
         return None
-    sizes = spark.createDataFrame([(r["lang"], r["n"]) for r in counts], "lang string, n long")
+    # Copies count once, or one text's copies could be the whole sample or none of it.
+    sizes = labelled.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -148,6 +149,7 @@ def train(spark: SparkSession, labelled: DataFrame, vocabulary_path: str, rows_p
         yield pd.DataFrame([(a, w, n) for (a, w), n in seen.items()], columns=["lang", "word", "n"])
 
     sample = thin(labelled, F.col("text"), sizes, "lang", rows_per_language)
+    sample = sample.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
     found = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     if found.empty:
         return None
@@ -187,20 +189,21 @@ class Scorer:
         return labels, scores
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of `docs` (any columns beside `text`) with `lang_pred` and `score`, replacing such columns."""
-    docs = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, model: Model | None, label: str = "lang_pred", posterior: str = "score") -> DataFrame:
+    """All columns of `docs` (any columns beside `text`) with the language and its posterior, replacing columns of the
+    names they are given. Without a model, as where nothing could be learned, all languages are `und`."""
+    docs = docs.drop(label, posterior)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({label: F.lit("und"), posterior: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary times languages: bounded by the fixed vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for batch in batches:
             labels, scores = scorer.predict([t if isinstance(t, str) else None for t in batch["text"]])
-            yield batch.assign(lang_pred=labels, score=scores)
+            yield batch.assign(**{label: labels, posterior: scores})
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(posterior, T.DoubleType())])
     return docs.mapInPandas(run, schema)
 
 
@@ -224,9 +227,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
-    """Keep documents whose language is recognised: not `und`, and a posterior of at least `min_score`."""
+    """Keep documents whose language is recognised: not `und`, and a posterior of at least `min_score`. Where nothing
+    could be learned, all stay. Columns of any name come back as they are."""
     small_batches(spark)
-    columns = docs.columns
     model = learned(spark, table(spark, sf_dir, "documents"))
-    scored = identify(docs, model)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*columns)
+    if model is None:
+        return docs
+    label, posterior = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    scored = identify(docs, model, label, posterior)
+    return scored.where((F.col(label) != "und") & (F.col(posterior) >= min_score)).select(*docs.columns)

@@ -156,7 +156,8 @@ def edited_fingerprints(docs: DataFrame, partitions: int) -> DataFrame:
         moves = keyed.sparkSession.createDataFrame(into, "from_part int, to_part int, from_id long")
         copies = keyed.join(F.broadcast(moves), (F.col("part") == F.col("from_part")) & F.col("doc_id").eqNullSafe(F.col("from_id"))).groupBy("to_part", "doc_id").agg(F.min("text").alias("text"))
         keyed = keyed.withColumn("halo", F.lit(False)).unionByName(copies.select("doc_id", "text", F.col("to_part").alias("part"), F.lit(True).alias("halo")))
-    ordered = keyed.repartition(max(partitions, 1), "part").sortWithinPartitions("part", "halo", F.desc_nulls_last("doc_id"), "text")
+    # By number, not by a hash of it, so that each task gets one range.
+    ordered = keyed.repartitionById(max(partitions, 1), "part").sortWithinPartitions("part", "halo", F.desc_nulls_last("doc_id"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None  # the row before, which waits for its next text

@@ -14,6 +14,7 @@ null id are packed too. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -65,7 +66,8 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[floa
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500, tolerance: float = 0.003) -> list[tuple[np.ndarray, float]]:
     """Patterns with fractional copies that cover the demand with the fewest sequences (the revised simplex method).
 
-    It ends when the best pattern is priced at no more than 1 + tolerance: the optimum is then nearer than that.
+    It ends when the best pattern is priced at no more than 1 + tolerance: the optimum is then nearer than that. If it
+    has to end before, after `rounds` patterns, it warns with the price reached, which is how far off the plan can be.
     """
     def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
         return (matrix * vector).sum(1)  # small, and so without the threads of a linear-algebra library
@@ -98,6 +100,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, roun
         row = inverse[leave] / direction[leave]
         inverse -= np.outer(direction, row)
         inverse[leave] = row
+    else:
+        warnings.warn(f"column generation ended after {rounds} patterns; the plan takes at most {value:.4f} times the optimum", stacklevel=2)
     return [(basis[:, j].astype(np.int64), float(x[j])) for j in range(n)]
 
 

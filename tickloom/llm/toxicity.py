@@ -157,11 +157,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int) ->
     return cut(found.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic"))
 
 
-def train(sample: DataFrame, min_contexts: int = 4, max_terms: int = 2_000) -> Lexicon:
+def train(sample: DataFrame, min_contexts: int = 4) -> Lexicon:
     """Learn from a bounded sample of (text, toxic) rows.
 
-    Counts by word, and by word and preceding word, are made by Spark; the driver gets at most `max_terms` terms, the
-    exception pairs of these, and one number for each sampled row.
+    Counts by word, and by word and preceding word, are made by Spark; the driver gets the telling words of the
+    sample, their exception pairs, and one number for each sampled row.
     """
     lexicon, spark = core(), sample.sparkSession
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -190,7 +190,7 @@ def train(sample: DataFrame, min_contexts: int = 4, max_terms: int = 2_000) -> L
     strength = odds / F.sqrt(1 / (F.col("dirty") + 0.5) + 1 / (F.col("clean") + 0.5))
     by_word = sample.mapInPandas(words, "word string, clean long, dirty long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("dirty").alias("dirty"))
     strong = by_word.where((odds > 1.0) & (strength > 4.0) & (F.length("word") > 2)).select("word", "dirty", odds.alias("weight"), strength.alias("strength"))
-    top = strong.orderBy(F.desc("strength"), "word").limit(max_terms).toPandas()
+    top = strong.orderBy(F.desc("strength"), "word").toPandas()
     if len(top):
         candidates = spark.createDataFrame(top[["word"]], "word string")
         by_pair = sample.mapInPandas(pairs, "before string, word string, clean long, dirty long").join(F.broadcast(candidates), "word").groupBy("word", "before").agg(F.sum("clean").alias("clean"), F.sum("dirty").alias("dirty"))
