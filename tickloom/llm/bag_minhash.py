@@ -118,10 +118,10 @@ def signed(docs: DataFrame) -> DataFrame:
     return source.mapInPandas(run, "doc_id long, node long, tkey long, bands array<long>")
 
 
-def overlaps(left: list[str], right: list[str], sets=bags) -> np.ndarray:
-    """Exact weighted Jaccard similarity of each pair of texts; `sets` makes their multisets, as `bags` does."""
+def overlaps(left: list[str], right: list[str]) -> np.ndarray:
+    """Exact weighted Jaccard similarity of each pair of texts."""
     distinct = {t: i for i, t in enumerate(dict.fromkeys([*left, *right]))}
-    text, window, weight, _ = sets(list(distinct))
+    text, window, weight, _ = bags(list(distinct))
     offsets = np.searchsorted(text, np.arange(len(distinct) + 1))
     total = np.add.reduceat(np.append(weight, 0), offsets[:-1]) * (np.diff(offsets) > 0) if len(weight) else np.zeros(len(distinct))
     out = np.zeros(len(left))

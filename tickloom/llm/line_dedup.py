@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.bag_minhash import overlaps, summed
+from tickloom.llm.bag_minhash import summed
 from tickloom.llm.common import cut, fresh, if_small, small_batches, table
 from tickloom.llm.components import crowded, links
 from tickloom.llm.hashing import _powers, mix
@@ -138,14 +138,24 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, None]:
-    """(line, shingle hash, 1) of the distinct shingles of each raw line, in order."""
+    """(line, shingle hash of 48 bits, 1) of the distinct shingles of each raw line, in order; at most 65,536 lines."""
     points, starts, ends, _ = normalised(lines)
     _, line, h = line_windows(points, starts, ends)
-    order = np.lexsort((h, line))
-    line, h = line[order], h[order]
-    first = np.ones(len(line), bool)
-    first[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
-    return line[first], h[first], np.ones(int(first.sum()), np.int64), None
+    both = np.sort((line.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    return (both >> np.uint64(48)).astype(np.int64), both & np.uint64((1 << 48) - 1), np.ones(len(both), np.int64), None
+
+
+def jaccard(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of each pair of raw lines."""
+    distinct = {t: i for i, t in enumerate(dict.fromkeys([*left, *right]))}
+    line, h, _, _ = sets(list(distinct))
+    bounds = np.searchsorted(line, np.arange(len(distinct) + 1)).tolist()
+    values = h.tolist()
+    own = [frozenset(values[a:b]) for a, b in zip(bounds, bounds[1:])]
+    pairs = [(own[distinct[a]], own[distinct[b]]) for a, b in zip(left, right)]
+    common = [len(a & b) for a, b in pairs]
+    return np.array([n / (len(a) + len(b) - n) if a and b else float(a == b) for n, (a, b) in zip(common, pairs)])
 
 
 def verifier(texts: DataFrame, similarity: float):
@@ -153,7 +163,7 @@ def verifier(texts: DataFrame, similarity: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.loc[overlaps(list(batch["text_a"]), list(batch["text_b"]), sets) >= similarity, ["a", "b"]]
+            yield batch.loc[jaccard(list(batch["text_a"]), list(batch["text_b"])) >= similarity, ["a", "b"]]
 
     def verify(pairs: DataFrame) -> DataFrame:
         of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
@@ -183,11 +193,14 @@ def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     wanted = members.select(F.col("id").alias("node"), F.lit(True).alias("wanted")).distinct()
     places = cut(places.join(if_small(cut(wanted)), "node", "left").where("n > 1 OR wanted"))
     at_doc, at_text, at_line = (F.col("at.doc_id").alias("at_doc"), F.col("at.tkey").alias("at_text"), F.col("at.line").alias("at_line"))
-    holders = places.where("wanted").select("node", at_doc, at_text, at_line)
+    holders = places.where("wanted").select(at_doc, at_text, F.struct("node", F.col("at.line").alias("line")).alias("held"))
+    # A document is read once for all its lines that are wanted.
+    holders = cut(holders.groupBy("at_doc", "at_text").agg(F.collect_list("held").alias("held")))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     texts = source.join(if_small(holders), (F.col("doc_id") == F.col("at_doc")) & (F.xxhash64("text") == F.col("at_text")))
-    line = F.get(F.split("text", "\n"), F.col("at_line"))
-    texts = cut(texts.select("node", line.alias("text")).dropDuplicates(["node"]))
+    texts = texts.select(F.split("text", "\n").alias("lines"), "held")
+    texts = texts.select(F.explode(F.transform("held", lambda x: F.struct(x["node"].alias("node"), F.get("lines", x["line"]).alias("text")))).alias("held")).select("held.*")
+    texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")))
     found = links(members, cut(summed(texts, sets)), verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
     of_node = places.join(if_small(cut(found)), "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     kept = of_node.groupBy("component").agg(F.min("at").alias("at"))
