@@ -71,6 +71,12 @@ def atr(candles: DataFrame, length: int = 14, out: str = "atr") -> DataFrame:
     return wilder(df, {out: "_tr"}, length, first=0).drop("_tr", "row_no")
 
 
+def normalised_distance(candles: DataFrame, indicator: str, length: int = 14, out: str = "distance") -> DataFrame:
+    """(indicator - close) in units of the average true range; null where that is 0 or not known yet."""
+    ranged = atr(candles, length, "_atr")
+    return ranged.withColumn(out, F.when(F.col("_atr") > 0, (F.col(indicator) - F.col("close_price")) / F.col("_atr"))).drop("_atr")
+
+
 def log_change(column: str, n: int) -> Column:
     return F.log(F.col(column) / F.lag(column, n).over(by_time()))
 

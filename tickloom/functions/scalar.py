@@ -17,14 +17,21 @@ def paired_symbol(symbol: Column) -> Column:
     return F.when(up.rlike("^[A-Z0-9]{6,}$"), F.regexp_replace(up, "^(.{3})", "$1/")).otherwise(up)
 
 
+def canonical_json(parameters: Column) -> Column:
+    """A map of strings as JSON with its keys in order, a space behind commas and colons."""
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    pairs = F.transform(F.array_sort(F.map_entries(parameters)), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
 def parameter_hash(parameters: Column) -> Column:
-    """md5 of a map's JSON with its keys in order."""
-    return F.md5(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(parameters)))))
+    """md5 of a map's canonical JSON."""
+    return F.md5(canonical_json(parameters))
 
 
-def config_hash(json: Column) -> Column:
-    """The first ten hexadecimal digits of sha256."""
-    return F.substring(F.sha2(json, 256), 1, 10)
+def config_hash(parameters: Column) -> Column:
+    """The first ten hexadecimal digits of the sha256 of a map's canonical JSON."""
+    return F.substring(F.sha2(canonical_json(parameters), 256), 1, 10)
 
 
 def backoff_seconds(attempt: Column, base: float = 1.0, multiplier: float = 2.0, cap: float = 300.0) -> Column:

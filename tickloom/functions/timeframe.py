@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Minutes of each timeframe; a month counts 30 days, a tick none.
 MINUTES = {"tick": 0, "1m": 1, "5m": 5, "15m": 15, "30m": 30, "1h": 60, "4h": 240, "1d": 1440, "1w": 10080, "1M": 43200}
 # Provider names of timeframes.
-PROVIDER_TIMEFRAMES = {"1m": "1min", "5m": "5min", "15m": "15min", "30m": "30min", "1h": "1h", "4h": "4h", "1d": "1day", "1w": "1week", "1M": "1month"}
+PROVIDER_TIMEFRAMES = {"1m": "1min", "5m": "5min", "15m": "15min", "30m": "30min", "1h": "1h", "4h": "4h", "1d": "1day", "1w": "1week"}
 
 
 def minutes(timeframe: Column) -> Column:
@@ -45,8 +45,9 @@ def period_start_by(ts: Column, timeframe: Column) -> Column:
 
 
 def provider_timeframe(timeframe: Column) -> Column:
+    """The provider's name of a timeframe; one without such a name keeps its own."""
     pairs = [F.lit(x) for k, v in PROVIDER_TIMEFRAMES.items() for x in (k, v)]
-    return F.coalesce(F.create_map(*pairs)[timeframe], F.lit("1day"))
+    return F.coalesce(F.create_map(*pairs)[timeframe], timeframe)
 
 
 def grid(start: Column, end: Column, timeframe: str) -> Column:

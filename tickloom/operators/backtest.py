@@ -29,13 +29,14 @@ def closed(trades: DataFrame) -> DataFrame:
 
 
 def daily_loss(trades: DataFrame, account: float, limit_pct: float = 5.0, tz: str = "UTC") -> DataFrame:
-    """Profit by exit date in the account's time zone, the balance after it, and whether the day broke the limit."""
+    """Profit by exit date in the account's time zone, the balance after it, the day's loss in per cent of the account's
+    size, and whether it broke the limit."""
     day = F.to_date(F.from_utc_timestamp("exit_ts", tz)).alias("day")
     days = closed(trades).groupBy(*ID, day).agg(F.sum("profit").alias("day_profit"), F.count(F.lit(1)).alias("n_trades"))
     sums = F.sum("day_profit").over(Window.partitionBy(*ID).orderBy("day"))
     days = days.withColumn("balance", F.lit(account) + sums)
-    start = F.col("balance") - F.col("day_profit")
-    return days.withColumn("loss_pct", F.when(F.col("day_profit") < 0, -100 * F.col("day_profit") / start).otherwise(0.0)).withColumn("violates", F.col("loss_pct") > limit_pct)
+    loss = F.when(F.col("day_profit") < 0, -F.col("day_profit")).otherwise(0.0)
+    return days.withColumn("loss_pct", 100 * loss / account).withColumn("violates", loss > account * limit_pct / 100)
 
 
 def first_violations(days: DataFrame, k: int = 3) -> DataFrame:
@@ -51,13 +52,14 @@ def drawdowns(equity: DataFrame) -> DataFrame:
 
 
 def max_drawdown(equity: DataFrame) -> DataFrame:
-    """The deepest drawdown: its size, peak, trough, the last high before it and the first recovery after it."""
+    """The deepest drawdown in per cent: its size, trough, the last high before it and the first recovery after it; and
+    the greatest fall below a high in money, which may be another one."""
     rows = drawdowns(equity)
     deepest = rows.groupBy(*ID).agg(F.min(F.struct("drawdown_pct", "ts", "equity", "peak")).alias("low"))
     joined = rows.join(deepest, ID)
     return joined.groupBy(*ID).agg(
         F.first("low.drawdown_pct").alias("max_drawdown_pct"),
-        F.first(F.col("low.peak") - F.col("low.equity")).alias("amount"),
+        F.max(F.col("peak") - F.col("equity")).alias("amount"),
         F.max(F.when(F.col("new_high") & (F.col("ts") <= F.col("low.ts")), F.col("ts"))).alias("peak_ts"),
         F.first("low.ts").alias("trough_ts"),
         F.min(F.when((F.col("ts") > F.col("low.ts")) & (F.col("equity") >= F.col("low.peak")), F.col("ts"))).alias("recovered_ts"),

@@ -104,6 +104,18 @@ def catch_up(features: DataFrame, reference: str, timeframe: str) -> DataFrame:
     return out.withColumn("caught_up", behind < 60 * MINUTES[timeframe])
 
 
+def without_data(requested: DataFrame, analysis: DataFrame) -> DataFrame:
+    """An analysis row for every requested (symbol, timeframe, feature); those without data have no rows and 0 per cent."""
+    rows = requested.join(analysis, SERIES, "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_expected", "n_present")}
+    return rows.withColumns(zero | {"coverage_pct": F.coalesce("coverage_pct", F.lit(0.0)), "fully_covered": F.coalesce("fully_covered", F.lit(False))})
+
+
+def needed_features(analysis: DataFrame) -> DataFrame:
+    """The features that any timeframe of a symbol needs."""
+    return buckets(analysis).where("needs_computation").select("symbol", "feature").distinct()
+
+
 def to_compute(definitions: DataFrame, analysis: DataFrame, force: bool = False, skip_existing: bool = True) -> DataFrame:
     """definitions (position, feature): those to compute, in order; all if forced or if existing ones aren't skipped."""
     if force or not skip_existing:

@@ -46,10 +46,15 @@ def low_variance(frame: DataFrame, columns: list[str], least: float = 0.01) -> l
     return [c for c in columns if row[c] is None or row[c] <= least]
 
 
+def correlations(frame: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """One row with the correlation of each pair of columns, named a_b: all pairs in one pass over the rows."""
+    return frame.agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs])
+
+
 def correlated(frame: DataFrame, columns: list[str], most: float = 0.9) -> list[str]:
     """Columns whose correlation with an earlier one exceeds `most` in size: all pairs in one pass over the rows."""
     pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
     if not pairs:
         return []
-    row = frame.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return [b for b in columns if any(abs(row[f"c{i}"] or 0) > most for i, (_, x) in enumerate(pairs) if x == b)]
+    row = correlations(frame, pairs).first()
+    return [b for b in columns if any(abs(row[f"{a}_{b}"] or 0) > most for a, x in pairs if x == b)]

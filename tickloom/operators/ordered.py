@@ -32,6 +32,29 @@ def running_sum(df: DataFrame, keys: list[str], ts: str, value: str, out: str) -
     return day.withColumn("_here", F.sum(value).over(here)).join(offsets, [*keys, "_day"]).withColumn(out, F.col("_before") + F.col("_here")).drop("_day", "_here", "_before")
 
 
+def onto_first(first: DataFrame, others: list[DataFrame], key: list[str]) -> DataFrame:
+    """Rows of the first frame with the columns of the others by key; columns that are there already are left out."""
+    out = first
+    for other in others:
+        new = [c for c in other.columns if c not in out.columns]
+        out = out.join(other.select(*key, *new).dropDuplicates(key), key, "left")
+    return out
+
+
+def side_by_side(frames: list[DataFrame | None], key: list[str]) -> DataFrame:
+    """Full outer join of the frames that there are by key; of columns of the same name the first value that is there
+    wins. None stands for a source that gave nothing and is skipped."""
+    given = [f for f in frames if f is not None]
+    if not given:
+        raise ValueError("no frame to join")
+    out = given[0]
+    for k, other in enumerate(given[1:]):
+        shared = [c for c in other.columns if c in out.columns and c not in key]
+        joined = out.join(other.withColumnsRenamed({c: f"{c}_{k}_other" for c in shared}), key, "full")
+        out = joined.withColumns({c: F.coalesce(c, f"{c}_{k}_other") for c in shared}).drop(*[f"{c}_{k}_other" for c in shared])
+    return out
+
+
 def running_max(df: DataFrame, keys: list[str], ts: str, value: str, out: str) -> DataFrame:
     day = df.withColumn("_day", F.to_date(ts))
     tops = day.groupBy(*keys, "_day").agg(F.max(value).alias("_m"))

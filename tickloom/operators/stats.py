@@ -81,30 +81,51 @@ def corrected(tests: DataFrame, method: str) -> DataFrame:
     return rows.withColumn("p_adjusted", value).drop("_m", "_k")
 
 
-def draws(series: DataFrame, simulations: int, seed: int = 7, block: int = 1, steps: int | None = None, picks: str = "hash") -> DataFrame:
+def _pick(sim: Column, block: Column, seed: int) -> Column:
+    """The leading 32 bits of the md5 of (seed, simulation, block), which any engine repeats."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), sim, block).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def draws(series: DataFrame, simulations: int, seed: int = 7, block: int = 1, steps: int | None = None) -> DataFrame:
     """Bootstrap paths: for each simulation and step, a return picked by a hash of (seed, simulation, block).
 
-    series: strategy_id, i (0, 1 ...), r. With block > 1, whole blocks of consecutive returns are picked. The picks are
-    the leading 32 bits of an md5, so any engine repeats them. picks="lattice" is a linear congruence, whose steps are not
-    independent: means of its paths spread too little. It serves the queries whose SQL has it. Result: strategy_id, sim,
-    step, r.
+    series: strategy_id, i (0, 1 ...), r. With block > 1, whole blocks of consecutive returns are picked. Result:
+    strategy_id, sim, step, r.
     """
     sizes = series.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"))
     length = F.col("n") if steps is None else F.lit(steps)
     grid = sizes.select(*ID, "n", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim")).withColumn("step", F.explode(F.sequence(F.lit(0), length - 1)))
-    key = F.col("sim") * 7919 + F.expr(f"step div {block}") * 104729 + seed
-    lattice = F.pmod(F.pmod(key * 48271, F.lit(2147483647)) * 69621, F.lit(2147483647))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "sim", F.expr(f"step div {block}")).cast("binary")), 1, 8), 16, 10).cast("long")
-    mixed = {"hash": hashed, "lattice": lattice}[picks]
-    picked = grid.withColumn("i", F.pmod(mixed + F.col("step") % block, F.col("n")))
+    picked = grid.withColumn("i", F.pmod(_pick(F.col("sim"), F.expr(f"step div {block}"), seed) + F.col("step") % block, F.col("n")))
     return picked.join(series.select(*ID, "i", "r"), [*ID, "i"]).select(*ID, "sim", "step", "r")
 
 
+#: Returns of a strategy that are held as one array; longer series are drawn row by row.
+LONGEST = 100_000
+#: Simulations that one row works off.
+CHUNK = 100
+
+
+def draw_means(series: DataFrame, simulations: int, seed: int = 7) -> DataFrame:
+    """(strategy_id, sim, n, m): the mean of each bootstrap path, as `draws` makes them with blocks of one.
+
+    A series of up to LONGEST returns is an array beside its simulations, so no row is made for a single pick.
+    """
+    longest = series.groupBy(*ID).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest > LONGEST:
+        return draws(series, simulations, seed).groupBy(*ID, "sim").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"))
+    held = series.groupBy(*ID).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("rs"), F.count(F.lit(1)).alias("n"))
+    chunks = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((simulations - 1) // CHUNK)))).repartition(*ID, "chunk")
+    last = F.least(F.col("chunk") * CHUNK + CHUNK - 1, F.lit(simulations - 1))
+    sims = chunks.withColumn("sim", F.explode(F.sequence(F.col("chunk") * CHUNK, last)))
+    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda s, k: s + F.get("rs", F.pmod(_pick(F.col("sim"), k, seed), F.col("n")).cast("int")))
+    return sims.select(*ID, "sim", "n", (total / F.col("n")).alias("m"))
+
+
 def bootstrap_mean(series: DataFrame, simulations: int) -> DataFrame:
     """The share of bootstrap means of the centred series that are at least as large as the observed mean, in size."""
     means = series.groupBy(*ID).agg(F.avg("r").alias("observed"))
     centred = series.join(means, ID).select(*ID, "i", (F.col("r") - F.col("observed")).alias("r"))
-    sims = draws(centred, simulations).groupBy(*ID, "sim").agg(F.avg("r").alias("m"))
+    sims = draw_means(centred, simulations)
     return sims.join(means, ID).groupBy(*ID).agg(F.first("observed").alias("observed"), F.avg((F.abs("m") >= F.abs("observed")).cast("double")).alias("p"))
 
 
@@ -112,15 +133,15 @@ def reality_check(series: DataFrame, simulations: int) -> DataFrame:
     """White's check: the best strategy's scaled mean against the maximum over strategies of centred bootstrap means."""
     means = series.groupBy(*ID).agg(F.avg("r").alias("observed"), F.count(F.lit(1)).alias("n"))
     centred = series.join(means, ID).select(*ID, "i", (F.col("r") - F.col("observed")).alias("r"))
-    sims = draws(centred, simulations).groupBy(*ID, "sim").agg((F.avg("r") * F.sqrt(F.count(F.lit(1)))).alias("v")).groupBy("sim").agg(F.max("v").alias("v"))
+    sims = draw_means(centred, simulations).groupBy("sim").agg(F.max(F.col("m") * F.sqrt("n")).alias("v"))
     best = means.agg(F.max(F.col("observed") * F.sqrt("n")).alias("best"))
     return sims.join(F.broadcast(best)).agg(F.first("best").alias("best"), F.avg((F.col("v") >= F.col("best")).cast("double")).alias("p"))
 
 
-def simulated_paths(series: DataFrame, simulations: int, start: float, block: int = 1, seed: int = 7, picks: str = "hash") -> DataFrame:
+def simulated_paths(series: DataFrame, simulations: int, start: float, block: int = 1, seed: int = 7) -> DataFrame:
     """Equity paths: strategy_id, sim, step, value."""
     order = Window.partitionBy(*ID, "sim").orderBy("step")
-    return draws(series, simulations, seed, block, picks=picks).withColumn("value", F.lit(start) * F.exp(F.sum(F.log1p("r")).over(order)))
+    return draws(series, simulations, seed, block).withColumn("value", F.lit(start) * F.exp(F.sum(F.log1p("r")).over(order)))
 
 
 def bands(paths: DataFrame, lower: float = 0.05, upper: float = 0.95) -> DataFrame:

@@ -239,7 +239,7 @@ def x1_period_starts(spark, sf_dir):
     return ticks(spark, sf_dir).select("event_id", period_start(ts, "15m").alias("p15"), period_start(ts, "30m").alias("p30"), period_start(ts, "1w").alias("p1w"), period_start(ts, "1M").alias("p1m"))
 
 
-@query("""SELECT event_id, tf, m, CASE WHEN m > 0 THEN m || ' minutes' END AS step, coalesce(CASE tf WHEN '1h' THEN '1h' WHEN '1M' THEN '1month' WHEN '4h' THEN '4h' END, '1day') AS provider FROM (
+@query("""SELECT event_id, tf, m, CASE WHEN m > 0 THEN m || ' minutes' END AS step, tf AS provider FROM (
  SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tick' WHEN 1 THEN '1h' WHEN 2 THEN '1M' ELSE '4h' END AS tf, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 60 WHEN 2 THEN 43200 ELSE 240 END AS m FROM t)""")
 def x2_x5_timeframe_maps(spark, sf_dir):
     k = F.col("event_id") % 4
@@ -255,9 +255,11 @@ def x4_symbols(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", s.alias("s")).select("p_partkey", scalar.compact_symbol(F.col("s")).alias("compact"), scalar.paired_symbol(F.col("s")).alias("paired"))
 
 
-@query("SELECT event_id, sha256(props)[1:10] AS config_hash, md5(props) AS parameter_md5 FROM events")
+@query("""SELECT event_id, sha256(j)[1:10] AS config_hash, md5(j) AS parameter_md5 FROM (
+ SELECT event_id, '{"kind": "' || event_type || '", "user": "' || user_id || '", "weight": "1"}' AS j FROM events)""")
 def x6_x7_hashes(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", scalar.config_hash(F.col("props")).alias("config_hash"), F.md5("props").alias("parameter_md5"))
+    parameters = F.create_map(F.lit("weight"), F.lit("1"), F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", scalar.config_hash(parameters).alias("config_hash"), scalar.parameter_hash(parameters).alias("parameter_md5"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 12 <= 0 THEN 0.0 ELSE least(pow(2.0, event_id % 12 - 1), 300.0) END AS wait FROM events")
@@ -473,7 +475,8 @@ def a33_variances(spark, sf_dir):
 
 @query("SELECT round(corr(open_price, close_price), 6) AS open_close, round(corr(high_price, low_price), 6) AS high_low FROM c")
 def a34_correlations(spark, sf_dir):
-    return candles(spark, sf_dir).agg(r(F.corr("open_price", "close_price")).alias("open_close"), r(F.corr("high_price", "low_price")).alias("high_low"))
+    found = ds.correlations(candles(spark, sf_dir), [("open_price", "close_price"), ("high_price", "low_price")])
+    return found.select(r("open_price_close_price").alias("open_close"), r("high_price_low_price").alias("high_low"))
 
 
 # Backtests
@@ -484,10 +487,10 @@ def w20_a44_trade_columns(spark, sf_dir):
     return bt.trade_columns(trades(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_open").alias("n_open"), F.count_if("is_winning").alias("n_win"), F.sum("duration_s").alias("seconds"), r(F.sum("trade_return"), 4).alias("sum_return"))
 
 
-@query("""SELECT strategy_id, day, round(p, 4) AS day_profit, round(b, 4) AS balance, CASE WHEN p < 0 THEN round(-100 * p / (b - p), 6) ELSE 0.0 END > 5 AS violates FROM (
+@query("""SELECT strategy_id, day, round(p, 4) AS day_profit, round(b, 4) AS balance, round(CASE WHEN p < 0 THEN -p / 10000 ELSE 0.0 END, 6) AS loss_pct, p < -50000 AS violates FROM (
  SELECT strategy_id, day, p, 1000000 + sum(p) OVER (PARTITION BY strategy_id ORDER BY day) AS b FROM (SELECT strategy_id, exit_ts::DATE AS day, sum(profit) AS p FROM tr WHERE exit_ts IS NOT NULL GROUP BY 1, 2))""")
 def a20_w18_daily_loss(spark, sf_dir):
-    return bt.daily_loss(trades(spark, sf_dir), 1_000_000).select("strategy_id", "day", r("day_profit", 4).alias("day_profit"), r("balance", 4).alias("balance"), "violates")
+    return bt.daily_loss(trades(spark, sf_dir), 1_000_000).select("strategy_id", "day", r("day_profit", 4).alias("day_profit"), r("balance", 4).alias("balance"), r("loss_pct").alias("loss_pct"), "violates")
 
 
 @query("""SELECT strategy_id, round(min(100 * (equity - p) / p), 6) AS max_drawdown_pct FROM (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY ts) AS p FROM e) GROUP BY 1""")
@@ -496,8 +499,8 @@ def a21_w13_drawdown(spark, sf_dir):
 
 
 @query("""x AS (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY ts) AS p FROM e), y AS (SELECT *, coalesce(p > lag(p) OVER (PARTITION BY strategy_id ORDER BY ts), true) AS h, 100 * (equity - p) / p AS dd FROM x),
- z AS (SELECT strategy_id, arg_min(ts, dd) AS tt, min(dd) AS dd, arg_min(p, dd) AS tp, arg_min(equity, dd) AS te FROM y GROUP BY 1)
- SELECT y.strategy_id, round(any_value(z.dd), 6) AS max_drawdown_pct, round(any_value(tp - te), 4) AS amount, max(ts) FILTER (h AND ts <= tt) AS peak_ts, any_value(tt) AS trough_ts, min(ts) FILTER (ts > tt AND equity >= tp) AS recovered_ts FROM y JOIN z USING (strategy_id) GROUP BY 1""")
+ z AS (SELECT strategy_id, arg_min(ts, dd) AS tt, min(dd) AS dd, arg_min(p, dd) AS tp, max(p - equity) AS am FROM y GROUP BY 1)
+ SELECT y.strategy_id, round(any_value(z.dd), 6) AS max_drawdown_pct, round(any_value(am), 4) AS amount, max(ts) FILTER (h AND ts <= tt) AS peak_ts, any_value(tt) AS trough_ts, min(ts) FILTER (ts > tt AND equity >= tp) AS recovered_ts FROM y JOIN z USING (strategy_id) GROUP BY 1""")
 def a22_w14_drawdown_detail(spark, sf_dir):
     return bt.max_drawdown(equity(spark, sf_dir)).select("strategy_id", r("max_drawdown_pct").alias("max_drawdown_pct"), r("amount", 4).alias("amount"), "peak_ts", "trough_ts", "recovered_ts")
 
@@ -609,26 +612,26 @@ def a43_corrections(spark, sf_dir):
 SIMULATIONS = 10_000
 
 DRAWS = """s AS (SELECT strategy_id, row_number() OVER (PARTITION BY strategy_id ORDER BY ts) - 1 AS i, r, count(*) OVER (PARTITION BY strategy_id) AS n FROM r),
- w AS (SELECT DISTINCT strategy_id, n FROM s), k AS (SELECT strategy_id, n, sim, step, sim * 7919 + (step // {block}) * 104729 + 7 AS key FROM w, range(20) a(sim), LATERAL (SELECT unnest(range(n)) AS step)),
- dr AS (SELECT k.strategy_id, sim, step, s.r FROM k JOIN s ON s.strategy_id = k.strategy_id AND s.i = (((key * 48271) % 2147483647 * 69621) % 2147483647 + step % {block}) % k.n)"""
+ w AS (SELECT DISTINCT strategy_id, n FROM s), k AS (SELECT strategy_id, n, sim, step, ('0x' || md5('7:' || sim || ':' || (step // {block}))[1:8])::BIGINT AS key FROM w, range(100) a(sim), LATERAL (SELECT unnest(range(n)) AS step)),
+ dr AS (SELECT k.strategy_id, sim, step, s.r FROM k JOIN s ON s.strategy_id = k.strategy_id AND s.i = (key + step % {block}) % k.n)"""
 
 
 @query(f"x AS (SELECT 1), {DRAWS.format(block=1)} SELECT strategy_id, sim, round(avg(r), 9) AS mean_r, count(*) AS n FROM dr GROUP BY 1, 2")
 def a37_bootstrap_draws(spark, sf_dir):
-    return stats.draws(return_series(spark, sf_dir), 20, picks="lattice").groupBy("strategy_id", "sim").agg(r(F.avg("r"), 9).alias("mean_r"), F.count(F.lit(1)).alias("n"))
+    return stats.draws(return_series(spark, sf_dir), 100).groupBy("strategy_id", "sim").agg(r(F.avg("r"), 9).alias("mean_r"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""x AS (SELECT 1), {DRAWS.format(block=5)}, pa AS (SELECT strategy_id, sim, step, 1000 * exp(sum(ln(1 + r)) OVER (PARTITION BY strategy_id, sim ORDER BY step)) AS v FROM dr)
  SELECT strategy_id, step, round(quantile_cont(v, 0.05), 4) AS lower, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.95), 4) AS upper FROM pa GROUP BY 1, 2""")
 def a45_a46_bands(spark, sf_dir):
-    paths = stats.simulated_paths(return_series(spark, sf_dir), 20, 1000.0, block=5, picks="lattice")
+    paths = stats.simulated_paths(return_series(spark, sf_dir), 100, 1000.0, block=5)
     return stats.bands(paths).select("strategy_id", "step", r("lower", 4).alias("lower"), r("median", 4).alias("median"), r("upper", 4).alias("upper"))
 
 
 @query(f"""x AS (SELECT 1), {DRAWS.format(block=1)}, pa AS (SELECT strategy_id, sim, step, 1000 * exp(sum(ln(1 + r)) OVER (PARTITION BY strategy_id, sim ORDER BY step)) AS v FROM dr),
  en AS (SELECT strategy_id, sim, arg_max(v, step) AS f FROM pa GROUP BY 1, 2) SELECT strategy_id, round(avg((f > 1000)::INT), 6) AS win_rate, round(avg(f), 4) AS mean_final, round(stddev_pop(f), 4) AS sd_final FROM en GROUP BY 1""")
 def a47_outcome(spark, sf_dir):
-    paths = stats.simulated_paths(return_series(spark, sf_dir), 20, 1000.0, picks="lattice")
+    paths = stats.simulated_paths(return_series(spark, sf_dir), 100, 1000.0)
     return stats.outcome(paths, 1000.0).select("strategy_id", r("win_rate").alias("win_rate"), r("mean_final", 4).alias("mean_final"), r("sd_final", 4).alias("sd_final"))
 
 
@@ -725,3 +728,6 @@ def f10_f11_to_compute(spark, sf_dir):
     done = wanted.where("feature = 'close'").select("feature", F.lit(100.0).alias("coverage_pct"))
     positions = wanted.select("symbol", "feature").withColumn("position", F.lit(0))
     return cov.to_compute(positions, done).select("symbol", "feature")
+
+
+from tickloom.plans import more  # noqa: E402,F401  registers further queries

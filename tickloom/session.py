@@ -24,3 +24,15 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, of spark.checkpoint.dir; a local session without one takes a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="tickloom-", dir="/tmp")

@@ -23,6 +23,25 @@ def read_csv(spark: SparkSession, path: str | list[str], limit: int | None = Non
     return named if limit is None else named.orderBy("timestamp").limit(limit)
 
 
+# Names of a candle's columns in a feature frame.
+FRAME_NAMES = {"open_price": "Open", "high_price": "High", "low_price": "Low", "close_price": "Close", "volume": "Volume", "timestamp": "event_timestamp"}
+
+
+def feature_frame(candles: DataFrame) -> DataFrame:
+    """Candles under the names that features expect, with their time as the key."""
+    return candles.withColumnsRenamed(FRAME_NAMES)
+
+
+def time_key(frame: DataFrame, key: str = "event_timestamp", text: str = "Time") -> DataFrame:
+    """A frame with a time-valued key: the key as it is, or parsed from the text column; an error if there is neither."""
+    if dict(frame.dtypes).get(key) in ("timestamp", "timestamp_ntz"):
+        return frame
+    source = key if key in frame.columns else text
+    if source not in frame.columns:
+        raise ValueError(f"no time key: neither {key} nor {text} is a column")
+    return frame.withColumn(key, F.to_timestamp(F.col(source))).drop(*({text} - {key}))
+
+
 def flag_base(candles: DataFrame, base: str) -> DataFrame:
     return candles.withColumn("is_base", F.col("timeframe") == base)
 
@@ -32,7 +51,7 @@ def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
     missing = {*KEY, *COLUMNS} - {*new.columns}
     if missing:
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
-    both = existing.select(*KEY, *COLUMNS, F.lit(0).alias("_rank")).unionByName(new.select(*KEY, *COLUMNS[:-1], F.coalesce(F.col("volume").cast("long"), F.lit(0)).alias("volume"), F.lit(1).alias("_rank")))
+    both = existing.select(*KEY, *COLUMNS, F.lit(0).alias("_rank")).unionByName(new.select(*KEY, *COLUMNS[:-1], F.coalesce(F.col("volume").try_cast("long"), F.lit(0)).alias("volume"), F.lit(1).alias("_rank")))
     best = F.max_by(F.struct(*COLUMNS), F.struct("_rank", *COLUMNS)).alias("_best")
     return both.groupBy(*KEY).agg(best).select(*KEY, "_best.*")
 

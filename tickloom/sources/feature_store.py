@@ -29,6 +29,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).drop("year", "month", "day")
 
 
+def load(spark: SparkSession, path: str, days: list[tuple[str, str]]) -> DataFrame:
+    """The rows of the given (symbol, yyyy-mm-dd) partitions, in order of time; no other partition is listed or read."""
+    if not days:
+        return read(spark, path).limit(0)
+    wanted = [f"{path}/symbol={s}/year={d[:4]}/month={d[5:7]}/day={d[8:10]}" for s, d in sorted(set(days))]
+    rows = spark.read.option("basePath", path).parquet(*wanted)
+    return rows.drop("year", "month", "day").orderBy("event_timestamp", "symbol")
+
+
 def manifest(features: DataFrame) -> DataFrame:
     """Per symbol and day: first and last time, and rows."""
     return features.groupBy("symbol", F.to_date("event_timestamp").alias("date")).agg(F.min("event_timestamp").alias("min_ts"), F.max("event_timestamp").alias("max_ts"), F.count(F.lit(1)).alias("n_rows"))

@@ -17,12 +17,15 @@ from tickloom.operators.resample import ohlcv
 def closed_candles(ticks: DataFrame, timeframe: str, late: str = "10 minutes") -> DataFrame:
     """Candles of a tick or candle stream (or batch), emitted in append mode once the watermark has passed their period.
 
-    Windows need fixed lengths: months are grouped by their start, with the watermark column beside it.
+    Windows need fixed lengths, so months are grouped by their start, which is then the watermark's column: a month comes
+    out once rows of a later month are at least 32 days after its start, so late rows of the month before still count.
     """
-    marked = ticks.withWatermark("timestamp", late) if ticks.isStreaming else ticks
     if timeframe == "1M":
-        out = marked.groupBy("symbol", F.window("timestamp", "1 day").alias("w"), period_start(F.col("timestamp"), "1M").alias("period")).agg(*ohlcv())
-        return out.select("symbol", F.lit(timeframe).alias("timeframe"), F.col("w.start").alias("timestamp"), "period", "open_price", "high_price", "low_price", "close_price", "volume", "source_rows")
+        months = ticks.withColumn("_month", period_start(F.col("timestamp"), "1M"))
+        months = months.withWatermark("_month", "32 days") if ticks.isStreaming else months
+        out = months.groupBy("symbol", "_month").agg(*ohlcv())
+        return out.select("symbol", F.lit(timeframe).alias("timeframe"), F.col("_month").alias("timestamp"), "open_price", "high_price", "low_price", "close_price", "volume", "source_rows")
+    marked = ticks.withWatermark("timestamp", late) if ticks.isStreaming else ticks
     offset = {"1w": "4 days"}.get(timeframe, "0 seconds")
     size = f"{MINUTES[timeframe]} minutes"
     out = marked.groupBy("symbol", F.window("timestamp", size, size, offset).alias("w")).agg(*ohlcv())
