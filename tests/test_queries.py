@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from tickloom.plans import queries
 from tickloom.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -36,5 +37,6 @@ def test_matches_sql(spark, db, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
+def test_runs(spark, monkeypatch, name):
+    monkeypatch.setattr(queries, "SIMULATIONS", 200)
     assert QUERIES[name](spark, SF).count() > 0

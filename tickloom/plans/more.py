@@ -19,10 +19,10 @@ from tickloom.sources import feature_store as fs
 
 
 @query("""x AS (SELECT strategy_id, exit_ts::DATE AS day, sum(profit) AS p FROM tr WHERE exit_ts IS NOT NULL GROUP BY 1, 2)
- SELECT strategy_id, day, round(-p / 1000, 6) AS loss_pct, row_number() OVER (PARTITION BY strategy_id ORDER BY day) AS n FROM x WHERE p < -5000 QUALIFY n <= 3""")
+ SELECT strategy_id, day, round(-p / 1000, 9) AS loss_pct, row_number() OVER (PARTITION BY strategy_id ORDER BY day) AS n FROM x WHERE p < -5000 QUALIFY n <= 3""")
 def t4_first_violations(spark, sf_dir):
     days = bt.daily_loss(trades(spark, sf_dir), 100_000)
-    return bt.first_violations(days).select("strategy_id", "day", r("loss_pct").alias("loss_pct"), F.col("n").cast("long").alias("n"))
+    return bt.first_violations(days).select("strategy_id", "day", r("loss_pct", 9).alias("loss_pct"), F.col("n").cast("long").alias("n"))
 
 
 # Share of candles in which a column moved, as the coverage of two columns of one feature.

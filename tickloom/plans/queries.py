@@ -487,10 +487,10 @@ def w20_a44_trade_columns(spark, sf_dir):
     return bt.trade_columns(trades(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_open").alias("n_open"), F.count_if("is_winning").alias("n_win"), F.sum("duration_s").alias("seconds"), r(F.sum("trade_return"), 4).alias("sum_return"))
 
 
-@query("""SELECT strategy_id, day, round(p, 4) AS day_profit, round(b, 4) AS balance, round(CASE WHEN p < 0 THEN -p / 10000 ELSE 0.0 END, 6) AS loss_pct, p < -50000 AS violates FROM (
+@query("""SELECT strategy_id, day, round(p, 4) AS day_profit, round(b, 4) AS balance, round(CASE WHEN p < 0 THEN -p / 10000 ELSE 0.0 END, 9) AS loss_pct, p < -50000 AS violates FROM (
  SELECT strategy_id, day, p, 1000000 + sum(p) OVER (PARTITION BY strategy_id ORDER BY day) AS b FROM (SELECT strategy_id, exit_ts::DATE AS day, sum(profit) AS p FROM tr WHERE exit_ts IS NOT NULL GROUP BY 1, 2))""")
 def a20_w18_daily_loss(spark, sf_dir):
-    return bt.daily_loss(trades(spark, sf_dir), 1_000_000).select("strategy_id", "day", r("day_profit", 4).alias("day_profit"), r("balance", 4).alias("balance"), r("loss_pct").alias("loss_pct"), "violates")
+    return bt.daily_loss(trades(spark, sf_dir), 1_000_000).select("strategy_id", "day", r("day_profit", 4).alias("day_profit"), r("balance", 4).alias("balance"), r("loss_pct", 9).alias("loss_pct"), "violates")
 
 
 @query("""SELECT strategy_id, round(min(100 * (equity - p) / p), 6) AS max_drawdown_pct FROM (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY ts) AS p FROM e) GROUP BY 1""")
