@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, fresh, if_small, small_batches, table
-from tickloom.llm.components import SUMMARY, crowded, links, summaries
+from tickloom.llm.components import CELLS, SUMMARY, cells, crowded, links, prefixes, summaries
 from tickloom.llm.hashing import mix, windows, word_hashes
 
 WORDS = 5
@@ -154,15 +154,29 @@ def verifier(texts: DataFrame, similarity: float):
     return verify
 
 
-def elements(texts: DataFrame) -> DataFrame:
-    """(node, element, weight): the windows of each (node, text) and how often it holds them."""
+def ranked(texts: DataFrame, similarity: float, sets=bags) -> DataFrame:
+    """The prefixes of the multisets of each (node, text), as `prefixes` makes them. Only counters of fixed size and the
+    prefixes leave a task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(CELLS, np.int64)
         for batch in batches:
-            text, window, weight, _ = bags(list(batch["text"]))
-            yield pd.DataFrame({"node": batch["node"].to_numpy()[text], "element": window.view(np.int64), "weight": weight})
+            seen += np.bincount(cells(sets(list(batch["text"]))[1]), minlength=CELLS)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"cell": at, "n": seen[at]})
+
+    counters = np.zeros(CELLS, np.int64)
+    found = texts.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
+    counters[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(counters)
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            text, window, weight, _ = sets(list(batch["text"]))
+            out = prefixes(text, window.view(np.int64), weight, len(batch), shared.value, similarity)
+            yield pd.DataFrame({"node": batch["node"].to_numpy()[out.pop("owner")]} | out)
 
-    return texts.mapInPandas(run, "node long, element long, weight long")
+    return texts.mapInPandas(rank, "node long, element long, df long, before long, place long, central double")
 
 
 def summed(texts: DataFrame, sets=bags) -> DataFrame:
@@ -190,7 +204,7 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = source.join(if_small(holder), (source["tkey"] == holder["tkey"]) & source["doc_id"].eqNullSafe(holder["holder"]))
     texts = cut(texts.select("node", "text").dropDuplicates(["node"]))
-    found = links(members, cut(summed(texts)), verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
+    found = links(members, cut(summed(texts)), verifier(texts, similarity), lambda nodes: ranked(texts.join(nodes, "node"), similarity), similarity)
     # A class of one row needs no name but its own: only nodes of several rows or with links are looked up by the rows.
     of_node = nodes.join(found, "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     spot = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "spot_tkey"))

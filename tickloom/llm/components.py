@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, if_small
@@ -54,7 +54,7 @@ def crowded(members: DataFrame) -> DataFrame:
 #: Buckets of more members than this are not compared pair by pair.
 SMALL = 64
 #: Words of 64 bits in which the parities of a set's elements are summed up.
-BITS = 4
+BITS = 8
 SUMMARY = ["size", *(f"bits_{k}" for k in range(BITS))]
 
 
@@ -72,8 +72,7 @@ def links(members: DataFrame, summed: DataFrame, verify: Callable[[DataFrame], D
     """(node, component) for the nodes that a verified link joins to another.
 
     members: what `crowded` gives. summed: node and SUMMARY of every member, checkpointed. verify: (a, b) pairs to those
-    of Jaccard similarity `similarity` or more. features: (node) rows to the elements of their sets, (node, element,
-    weight).
+    of Jaccard similarity `similarity` or more. features: (node) rows to what `prefixes` gives for their sets.
 
     Every member is compared with the leaders of all its buckets. That settles buckets of two, and those whose other
     members are in one component. In what is left, pairs of different components are compared, in buckets of up to SMALL
@@ -81,7 +80,7 @@ def links(members: DataFrame, summed: DataFrame, verify: Callable[[DataFrame], D
     with the most central member, the one whose elements most others hold (copies of one text that differ by changes of
     their own are each nearer to it than to one another); then pairs of different components are compared which have an
     element of their prefixes in common. A prefix is the rarest elements of a set, as many as make the rest lighter than
-    `similarity` of the whole: pairs at `similarity` always share one (see `_ranked`), so no link is lost, and as rare
+    `similarity` of the whole: pairs at `similarity` always share one (see `prefixes`), so no link is lost, and as rare
     elements come first, few others do.
     """
     of = lambda frame, on, side: frame.join(if_small(summed).select(F.col("node").alias(on), *[F.col(c).alias(f"{c}_{side}") for c in SUMMARY]), on)
@@ -97,7 +96,7 @@ def links(members: DataFrame, summed: DataFrame, verify: Callable[[DataFrame], D
     if large.isEmpty():
         more = cut(more)
         return label if more.isEmpty() else components(stars.unionByName(more))
-    ranked = cut(_ranked(features(large.select(F.col("id").alias("node")).distinct()), similarity))
+    ranked = cut(features(large.select(F.col("id").alias("node")).distinct()))
     # Members of which no rare element is another's have no link left to find.
     nodes = ranked.where("place = 1").select("node", "central").join(ranked.where("df > 1").select("node").distinct(), "node")
     weighed = large.withColumnRenamed("id", "node").join(nodes, "node")
@@ -125,23 +124,33 @@ def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
     return labelled.join(if_small(cut(mixed.select("bucket", "n"))), "bucket")
 
 
-def _ranked(elements: DataFrame, similarity: float) -> DataFrame:
-    """(node, element, df, before, place, central): the prefix elements that another node holds too, and each node's first.
+#: Counters of elements by hash: a table of fixed size, made by all tasks and sent to all.
+CELLS = 1 << 18
 
-    Elements are ordered by df, the number of nodes that hold them, then by value; `before` is the weight of those
-    earlier in the order. The prefix ends where what follows weighs less than `similarity` of the node's weight. If the
-    prefixes of two nodes have nothing in common, all that the sets share follows the prefix that ends first, so it is
-    less than `similarity` of one of them. `central` is the mean df of a node's elements.
+
+def cells(element: np.ndarray) -> np.ndarray:
+    return (mix(element.view(np.uint64)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def prefixes(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, counters: np.ndarray, similarity: float) -> dict[str, np.ndarray]:
+    """The prefix elements of n sets that another set may hold too, and each set's first element.
+
+    Elements are ordered by df, the number of sets that hold an element of their cell, then by value; `before` is the
+    weight of those earlier in the order. The prefix ends where what follows weighs less than `similarity` of the set's
+    weight. If the prefixes of two sets have nothing in common, all that the sets share follows the prefix that ends
+    first, so it is less than `similarity` of one of them; that holds for any order that is the same for all sets.
+    `central` is the mean df of a set's elements.
     """
-    df = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("node").orderBy("df", "element")
-    whole = Window.partitionBy("node")
-    out = elements.join(df, "element")
-    out = out.withColumn("before", F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = out.withColumn("place", F.row_number().over(order)).withColumn("size", F.sum("weight").over(whole))
-    out = out.withColumn("central", F.sum(F.col("weight") * F.col("df")).over(whole) / F.col("size"))
-    in_prefix = F.col("size") - F.col("before") >= similarity * F.col("size") - 1e-6
-    return out.where((F.col("place") == 1) | (in_prefix & (F.col("df") > 1))).select("node", "element", "df", "before", "place", "central")
+    df = counters[cells(element)]
+    order = np.lexsort((element, df, owner))
+    owner, element, weight, df = owner[order], element[order], weight[order], df[order]
+    size, first = np.bincount(owner, weight, n), np.searchsorted(owner, np.arange(n + 1))
+    total = np.concatenate([[0], np.cumsum(weight)])
+    before = total[:-1] - total[first[owner]]
+    place = np.arange(len(owner)) - first[owner] + 1
+    central = np.bincount(owner, weight * df, n) / np.maximum(size, 1)
+    kept = (place == 1) | ((size[owner] - before >= similarity * size[owner] - 1e-6) & (df > 1))
+    return {"owner": owner[kept], "element": element[kept], "df": df[kept], "before": before[kept].astype(np.int64), "place": place[kept], "central": central[owner[kept]]}
 
 
 def _possible(similarity: float) -> Column:

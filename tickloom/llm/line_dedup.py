@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.bag_minhash import summed
+from tickloom.llm.bag_minhash import ranked, summed
 from tickloom.llm.common import cut, fresh, if_small, small_batches, table
 from tickloom.llm.components import crowded, links
 from tickloom.llm.hashing import _powers, mix
@@ -172,17 +172,6 @@ def verifier(texts: DataFrame, similarity: float):
     return verify
 
 
-def elements(texts: DataFrame) -> DataFrame:
-    """(node, element, weight): the distinct shingles of each (node, text) of one line."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            line, h, weight, _ = sets(list(batch["text"]))
-            yield pd.DataFrame({"node": batch["node"].to_numpy()[line], "element": h.view(np.int64), "weight": weight})
-
-    return texts.mapInPandas(run, "node long, element long, weight long")
-
-
 def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, tkey, line, component, first) for the lines of components of several lines; first tells whether the line
     is the first of its component."""
@@ -201,7 +190,7 @@ def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     texts = texts.select(F.split("text", "\n").alias("lines"), "held")
     texts = texts.select(F.explode(F.transform("held", lambda x: F.struct(x["node"].alias("node"), F.get("lines", x["line"]).alias("text")))).alias("held")).select("held.*")
     texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")))
-    found = links(members, cut(summed(texts, sets)), verifier(texts, similarity), lambda nodes: elements(texts.join(nodes, "node")), similarity)
+    found = links(members, cut(summed(texts, sets)), verifier(texts, similarity), lambda nodes: ranked(texts.join(nodes, "node"), similarity, sets), similarity)
     of_node = places.join(if_small(cut(found)), "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     kept = of_node.groupBy("component").agg(F.min("at").alias("at"))
     several = cut(of_node.select("node", "component").join(kept.select("component", at_doc, at_text, at_line), "component"))
