@@ -24,7 +24,7 @@ def series(spark, n, seed=1):
 
 def test_bootstrap_means_spread_as_they_should(spark):
     values, frame = series(spark, 400)
-    means = [x.m for x in stats.draw_means(frame, 400).collect()]
+    means = [x.m for x in stats.draw_stats(frame, 400).collect()]
     assert abs(np.std(means) / (values.std() / 20) - 1) < 0.12
     share = stats.draws(frame, 20).groupBy("sim").agg(F.countDistinct("r").alias("n")).agg(F.avg("n")).first()[0] / 400
     assert abs(share - (1 - np.exp(-1))) < 0.02
@@ -32,9 +32,9 @@ def test_bootstrap_means_spread_as_they_should(spark):
 
 def test_means_of_arrays_are_those_of_rows(spark, monkeypatch):
     _, frame = series(spark, 50)
-    held = {x.sim: x.m for x in stats.draw_means(frame, 130).collect()}
+    held = {x.sim: x.m for x in stats.draw_stats(frame, 130).collect()}
     monkeypatch.setattr(stats, "LONGEST", 10)
-    rows = {x.sim: x.m for x in stats.draw_means(frame, 130).collect()}
+    rows = {x.sim: x.m for x in stats.draw_stats(frame, 130).collect()}
     assert held.keys() == rows.keys() == set(range(130)) and all(abs(held[k] - rows[k]) < 1e-12 for k in held)
 
 
@@ -45,8 +45,31 @@ def test_bootstrap_p_value_by_plain_python(spark):
     centred = values - values.mean()
     pick = lambda sim, k: int(hashlib.md5(f"7:{sim}:{k}".encode()).hexdigest()[:8], 16) % 30
     means = [np.mean([centred[pick(sim, k)] for k in range(30)]) for sim in range(60)]
-    got = stats.bootstrap_mean(frame, 60).first()
-    assert abs(got.p - np.mean([abs(m) >= abs(values.mean()) for m in means])) < 1e-9
+    got = stats.bootstrap_test(frame, 60).first()
+    side = 1 if values.mean() > 0 else -1
+    assert abs(got.p_mean - np.mean([side * m >= side * values.mean() for m in means])) < 1e-9
+    drawn = [values[[pick(sim, k) for k in range(30)]] for sim in range(60)]
+    ratio = values.mean() / (values.std(ddof=1) + 1e-10)
+    assert abs(got.p_ratio - np.mean([side * d.mean() / (d.std() + 1e-10) >= side * ratio for d in drawn])) < 1e-9
+
+
+def test_t_probabilities_are_those_of_the_density(spark):
+    import math
+
+    rows = [(t, df) for df in (3.0, 5.0, 12.0, 60.0, 500.0) for t in (0.0, 0.4, 1.3, -2.2, 4.0)]
+    got = spark.createDataFrame(rows, "t double, df double").select("t", "df", stats.student_p(F.col("t"), F.col("df")).alias("p"), stats.student_quantile(0.975, F.col("df")).alias("q")).collect()
+    for x in got:
+        grid = np.linspace(0, 1, 200_001)[1:]
+        beyond = lambda start: np.sum((1 + (start + (1 - grid) / grid) ** 2 / x.df) ** (-(x.df + 1) / 2) / grid**2) / 200_000 * math.exp(math.lgamma((x.df + 1) / 2) - math.lgamma(x.df / 2)) / math.sqrt(x.df * math.pi)  # noqa: E731, B023
+        assert abs(x.p - 2 * beyond(abs(x.t))) < 2e-4
+        assert x.df < 10 or abs(beyond(x.q) - 0.025) < 1e-5
+
+
+def test_normal_paths_have_the_moments_of_the_series(spark):
+    values, frame = series(spark, 300)
+    drawn = stats.parametric_draws(frame, 50).agg(F.avg("r").alias("m"), F.stddev("r").alias("sd"), F.kurtosis("r").alias("k")).first()
+    sd = values.std(ddof=1)
+    assert abs(drawn.m - values.mean()) < 4 * sd / 15_000**0.5 and abs(drawn.sd / sd - 1) < 0.03 and abs(drawn.k) < 0.2
 
 
 def test_month_candles_of_a_stream_are_those_of_the_batch(spark, tmp_path):

@@ -574,9 +574,18 @@ def a32_p7_suite(spark, sf_dir):
 # Statistics
 
 
-@query("SELECT strategy_id, count(*) AS n, round(avg(r) / (stddev_samp(r) / sqrt(count(*))), 6) AS t FROM r GROUP BY 1")
+#: The normal distribution function, for SQL: half the mass outside of (-z, z), for z of 0 or more.
+TAIL = """(0.5 * exp(-{z} * {z} / 2) * (1 / (1 + 0.3275911 * {z} / sqrt(2))) * (0.254829592 + (1 / (1 + 0.3275911 * {z} / sqrt(2))) * (-0.284496736 + (1 / (1 + 0.3275911 * {z} / sqrt(2)))
+ * (1.421413741 + (1 / (1 + 0.3275911 * {z} / sqrt(2))) * (-1.453152027 + (1 / (1 + 0.3275911 * {z} / sqrt(2))) * 1.061405429)))))"""
+
+
+@query(f"""x AS (SELECT strategy_id, count(*) AS n, count(*) - 1.0::DOUBLE AS df, avg(r) / (stddev_samp(r) / sqrt(count(*))) AS t FROM r GROUP BY 1),
+ y AS (SELECT *, 48 * (df - 0.5) ** 2 AS b, (df - 0.5) * ln(1 + t * t / df) AS y, 1.959963984540054 + 2.3722711 / df + 2.8224983 / df ** 2 + 2.5558497 / df ** 3 AS c FROM x),
+ z AS (SELECT *, (((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b) + y + 3.0) / b + 1.0) * sqrt(y) AS z, (abs(t) - c * (1 - 1 / (4 * df))) / sqrt(1 + c * c / (2 * df)) AS w FROM y),
+ v AS (SELECT *, 2 * {TAIL.format(z="z")} AS p, abs(w) AS u FROM z)
+ SELECT strategy_id, n, round(t, 6) AS t, round(p, 5) AS p, round(CASE WHEN t > 0 THEN p / 2 ELSE 1 - p / 2 END, 5) AS p_one_tailed, round(CASE WHEN w < 0 THEN {TAIL.format(z="u")} ELSE 1 - {TAIL.format(z="u")} END, 5) AS power FROM v""")
 def a36_t_statistic(spark, sf_dir):
-    return stats.t_statistic(return_series(spark, sf_dir)).select("strategy_id", "n", r("t").alias("t"))
+    return stats.t_statistic(return_series(spark, sf_dir)).select("strategy_id", "n", r("t").alias("t"), *[r(c, 5).alias(c) for c in ("p", "p_one_tailed", "power")])
 
 
 @query("""x AS (SELECT strategy_id, count(*) AS n, avg(r) AS m FROM r GROUP BY 1), y AS (SELECT r.strategy_id, any_value(n) AS n, avg((r - m) ** 2) AS m2, avg((r - m) ** 3) AS m3, avg((r - m) ** 4) AS m4 FROM r JOIN x USING (strategy_id) GROUP BY 1)
@@ -613,7 +622,7 @@ SIMULATIONS = 10_000
 
 DRAWS = """s AS (SELECT strategy_id, row_number() OVER (PARTITION BY strategy_id ORDER BY ts) - 1 AS i, r, count(*) OVER (PARTITION BY strategy_id) AS n FROM r),
  w AS (SELECT DISTINCT strategy_id, n FROM s), k AS (SELECT strategy_id, n, sim, step, ('0x' || md5('7:' || sim || ':' || (step // {block}))[1:8])::BIGINT AS key FROM w, range(100) a(sim), LATERAL (SELECT unnest(range(n)) AS step)),
- dr AS (SELECT k.strategy_id, sim, step, s.r FROM k JOIN s ON s.strategy_id = k.strategy_id AND s.i = (key + step % {block}) % k.n)"""
+ dr AS (SELECT k.strategy_id, sim, step, s.r FROM k JOIN s ON s.strategy_id = k.strategy_id AND s.i = (key % greatest(k.n - {block} + 1, 1) + step % {block}) % k.n)"""
 
 
 @query(f"x AS (SELECT 1), {DRAWS.format(block=1)} SELECT strategy_id, sim, round(avg(r), 9) AS mean_r, count(*) AS n FROM dr GROUP BY 1, 2")
@@ -628,16 +637,37 @@ def a45_a46_bands(spark, sf_dir):
     return stats.bands(paths).select("strategy_id", "step", r("lower", 4).alias("lower"), r("median", 4).alias("median"), r("upper", 4).alias("upper"))
 
 
-@query(f"""x AS (SELECT 1), {DRAWS.format(block=1)}, pa AS (SELECT strategy_id, sim, step, 1000 * exp(sum(ln(1 + r)) OVER (PARTITION BY strategy_id, sim ORDER BY step)) AS v FROM dr),
- en AS (SELECT strategy_id, sim, arg_max(v, step) AS f FROM pa GROUP BY 1, 2) SELECT strategy_id, round(avg((f > 1000)::INT), 6) AS win_rate, round(avg(f), 4) AS mean_final, round(stddev_pop(f), 4) AS sd_final FROM en GROUP BY 1""")
+PATH_ENDS = """pa AS (SELECT strategy_id, sim, step, 1000 * exp(sum(ln(1 + r)) OVER (PARTITION BY strategy_id, sim ORDER BY step)) AS v FROM dr),
+ tops AS (SELECT *, 1 - v / greatest(max(v) OVER (PARTITION BY strategy_id, sim ORDER BY step), 1000) AS dd FROM pa), en AS (SELECT strategy_id, sim, arg_max(v, step) AS f, max(dd) AS dd FROM tops GROUP BY 1, 2),
+ own AS (SELECT strategy_id, exp(sum(ln(1 + r))) - 1 AS o FROM r GROUP BY 1)
+ SELECT strategy_id, round(avg((f > 1000)::INT), 6) AS win_rate, round(avg((f <= 1000)::INT), 6) AS p_loss, round(avg(f), 4) AS mean_final, round(quantile_cont(f, 0.5), 4) AS median_final,
+ round(stddev_pop(f), 4) AS sd_final, round(avg(dd), 6) AS mean_dd, round(max(dd), 6) AS worst_dd, round(100 * any_value(o), 6) AS original_return, round(100 * avg((f / 1000 - 1 < o)::INT), 4) AS percentile
+ FROM en JOIN own USING (strategy_id) GROUP BY 1"""
+
+
+def _outcome(paths, series):
+    places = {"win_rate": 6, "p_loss": 6, "mean_final": 4, "median_final": 4, "sd_final": 4, "mean_dd": 6, "worst_dd": 6, "original_return": 6, "percentile": 4}
+    return stats.outcome(paths, 1000.0, series).select("strategy_id", *[r(c, k).alias(c) for c, k in places.items()])
+
+
+@query(f"x AS (SELECT 1), {DRAWS.format(block=1)}, {PATH_ENDS}")
 def a47_outcome(spark, sf_dir):
-    paths = stats.simulated_paths(return_series(spark, sf_dir), 100, 1000.0)
-    return stats.outcome(paths, 1000.0).select("strategy_id", r("win_rate").alias("win_rate"), r("mean_final", 4).alias("mean_final"), r("sd_final", 4).alias("sd_final"))
+    rows = return_series(spark, sf_dir)
+    return _outcome(stats.simulated_paths(rows, 100, 1000.0), rows)
+
+
+@query(f"""x AS (SELECT strategy_id, count(*) AS n, avg(r) AS m, stddev_samp(r) AS sd FROM r GROUP BY 1),
+ k AS (SELECT strategy_id, m, sd, sim, step, md5('7:' || sim || ':' || step) AS h FROM x, range(100) a(sim), LATERAL (SELECT unnest(range(n)) AS step)),
+ dr AS (SELECT strategy_id, sim, step, m + sd * sqrt(-2 * ln((('0x' || h[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * ((('0x' || h[9:16])::BIGINT + 0.5::DOUBLE) / 4294967296)) AS r FROM k), {PATH_ENDS}""")
+def a45_parametric_outcome(spark, sf_dir):
+    rows = return_series(spark, sf_dir)
+    return _outcome(stats.paths(stats.parametric_draws(rows, 100), 1000.0), rows)
 
 
 @query()
 def a37_bootstrap_mean(spark, sf_dir):
-    return stats.bootstrap_mean(return_series(spark, sf_dir), SIMULATIONS)
+    """The mean and the ratio of mean and deviation, tested on the same 10,000 paths."""
+    return stats.bootstrap_test(return_series(spark, sf_dir), SIMULATIONS)
 
 
 @query()
