@@ -112,3 +112,41 @@ def test_works_without_the_llm_folders(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) > 80 and set(e.oracle_sql()) <= set(q); import bench"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={"PYTHONPATH": str(copy), "PATH": "/usr/bin:/bin"}, timeout=120)
     assert done.returncode == 0, done.stderr[-500:]
+
+
+def test_csv_files_are_converted_by_symbol_and_timeframe(spark, tmp_path):
+    for name, close in (("AB_1h", 2.0), ("AB_4h", 3.0)):
+        (tmp_path / f"{name}.csv").write_text(f"Time\tOpen\tHigh\tLow\tClose\tVolume\tX\n2024-01-01 00:00:00\t1\t4\t1\t{close}\t5\t0\n")
+    cs.convert_csv(spark, str(tmp_path / "*.csv"), str(tmp_path / "out"))
+    assert (tmp_path / "out" / "symbol=AB" / "timeframe=4h").is_dir()
+    assert sorted((x.timeframe, x.close_price) for x in spark.read.parquet(str(tmp_path / "out")).collect()) == [("1h", 2.0), ("4h", 3.0)]
+
+
+def test_validation_names_unknown_checks_and_counts_absent_ones_as_failed(spark):
+    from tickloom.operators import checks
+
+    ts = "timestamp'2024-01-0{} 00:00:00'"
+    trades = spark.sql(f"SELECT 's' AS strategy_id, 'x' AS symbol, {ts.format(1)} AS entry_ts, CAST(NULL AS timestamp) AS exit_ts, 10.0D AS entry_price, 2.0D AS size, 1 AS direction, 5.0D AS profit, 9.0D AS stop_loss")
+    equity = spark.sql(f"SELECT 's' AS strategy_id, {ts.format(1)} AS ts, 100.0D AS equity")
+    with pytest.raises(KeyError, match="nothing"):
+        checks.validated(trades, equity, [("nothing", {}), ("stop_loss", {})])
+    rows = checks.validated(trades, equity, [("stop_loss", {}), ("win_rate", {}), ("position_size", {"limit": 3})]).collect()
+    assert {(x.check, x.passed, x.all_passed) for x in rows} == {("stop_loss", True, False), ("position_size", True, False)}
+    assert "met" in rows[0].explanation
+
+
+def test_longest_streak_falls_from_the_balance_after_its_first_loss(spark):
+    from tickloom.operators import backtest
+
+    profits = [10.0, -10.0, -20.0, -10.0, 5.0, -1.0]
+    rows = [("s", f"2024-01-{i + 1:02d} 00:00:00", p) for i, p in enumerate(profits)]
+    made = spark.createDataFrame(rows, "strategy_id string, ts string, profit double").selectExpr("strategy_id", "timestamp(ts) AS exit_ts", "timestamp(ts) AS entry_ts", "profit", "1.0D AS size")
+    got = backtest.longest_streaks(made, 90.0).first()
+    assert got.max_losses == 3 and abs(got.streak_drawdown_pct - 100 * 30 / 90) < 1e-9
+
+
+def test_no_view_of_a_role_is_an_error(spark):
+    views = spark.createDataFrame([("v", "reward", "a")], "view string, feature_role string, symbol string")
+    assert fs.views_of(views, "reward", "a").count() == 1
+    with pytest.raises(ValueError, match="no feature view"):
+        fs.views_of(views, "reward", "b")

@@ -76,7 +76,7 @@ def profit_target(equity: DataFrame, account: float, target_pct: float = 10.0) -
 
 def trading_days(trades: DataFrame, tz: str = "UTC") -> DataFrame:
     days = trades.select(*ID, F.explode(F.array("entry_ts", "exit_ts")).alias("ts")).where(F.col("ts").isNotNull()).select(*ID, F.to_date(F.from_utc_timestamp("ts", tz)).alias("day"))
-    out = days.groupBy(*ID).agg(F.countDistinct("day").alias("trading_days"), (F.datediff(F.max("day"), F.min("day")) + 1).alias("span_days"))
+    out = days.groupBy(*ID).agg(F.countDistinct("day").alias("trading_days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), (F.datediff(F.max("day"), F.min("day")) + 1).alias("span_days"))
     return out.withColumn("frequency", F.col("trading_days") / F.col("span_days"))
 
 
@@ -121,6 +121,18 @@ def losing_streaks(trades: DataFrame) -> DataFrame:
     return runs.where("profit < 0").groupBy(*ID, "_run").agg(F.count(F.lit(1)).alias("losses"), F.sum("profit").alias("lost"), F.min("exit_ts").alias("from_ts"), F.max("exit_ts").alias("to_ts"))
 
 
+def longest_streaks(trades: DataFrame, account: float) -> DataFrame:
+    """The length of the longest run of losing trades (the first of several), and the greatest fall in it of the balance
+    after its first trade, in per cent; 0 and 0 where no trade loses. Nothing closed: no row."""
+    order = Window.partitionBy(*ID).orderBy("exit_ts", "entry_ts", "profit", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = closed(trades).withColumns({"_run": F.sum(F.when(F.col("profit") < 0, 0).otherwise(1)).over(order), "_balance": F.lit(account) + F.sum("profit").over(order)})
+    losing = rows.where("profit < 0").groupBy(*ID, "_run").agg(F.count(F.lit(1)).alias("losses"), F.max("_balance").alias("_first"), F.min("_balance").alias("_last"))
+    depth = F.when(F.col("_first") > 0, 100 * (F.col("_first") - F.col("_last")) / F.col("_first")).alias("depth")
+    longest = losing.groupBy(*ID).agg(F.max_by(F.struct("losses", depth), F.struct("losses", -F.col("_run"))).alias("_top"))
+    out = closed(trades).select(*ID).distinct().join(longest, ID, "left")
+    return out.select(*ID, F.coalesce("_top.losses", F.lit(0)).alias("max_losses"), F.coalesce("_top.depth", F.lit(0.0)).alias("streak_drawdown_pct"))
+
+
 def max_consecutive_losses(trades: DataFrame) -> DataFrame:
     longest = losing_streaks(trades).groupBy(*ID).agg(F.max("losses").alias("max_losses"))
     return closed(trades).select(*ID).distinct().join(longest, ID, "left").select(*ID, F.coalesce("max_losses", F.lit(0)).alias("max_losses"))

@@ -122,3 +122,8 @@ def to_compute(definitions: DataFrame, analysis: DataFrame, force: bool = False,
         return definitions.orderBy("position")
     needs = buckets(analysis).groupBy("feature").agg(F.bool_or("needs_computation").alias("needs"))
     return definitions.join(needs, "feature", "left").where(F.coalesce("needs", F.lit(True))).drop("needs").orderBy("position")
+
+
+def inactive(state: DataFrame, active: DataFrame) -> DataFrame:
+    """The symbols that hold state but are not active, each once."""
+    return state.select("symbol").distinct().join(active.select("symbol"), "symbol", "left_anti")

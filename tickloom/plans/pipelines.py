@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.registry import FEATURES, compute
@@ -12,6 +12,7 @@ from tickloom.functions.timeframe import MINUTES, minutes
 from tickloom.operators import coverage, dataset
 from tickloom.operators.quality import clean
 from tickloom.operators.resample import complete_only, roll_up
+from tickloom.sources import feature_store as fs
 
 
 def request_errors() -> Column:
@@ -71,6 +72,29 @@ def preprocess(base: DataFrame, existing: DataFrame, timeframe: str, definitions
     return made.join(held, ["symbol", "timestamp"], "left_anti").withColumnRenamed("timestamp", "event_timestamp")
 
 
+def store(spark: SparkSession, frames: dict[str, DataFrame], path: str, order: str, window: tuple[str, str] | None = None, online: DataFrame | None = None) -> tuple[dict[str, int], DataFrame | None]:
+    """Computed features by timeframe go into the offline store, each timeframe into a folder of its own under `path`.
+
+    A backfill gives its `window`, outside of which nothing is stored; rows that are there already stay. With an
+    `online` table, the stored rows are materialised: the newest row of each symbol is given back. Returns the number of
+    new rows by timeframe, and the online table.
+    """
+    stored = {}
+    for timeframe, frame in frames.items():
+        rows = fs.storable(frame, *(window or (None, None)))
+        stored[timeframe] = fs.append(spark, rows, f"{path}/timeframe={timeframe}", order)
+        online = fs.push_online(online, rows) if online is not None else None
+    return stored, online
+
+
+def request_totals(runs: DataFrame) -> DataFrame:
+    """Totals of a log of requests (columns: those of features by timeframe, elapsed_ms): requests, features, mean time
+    and features of a request; zeros for an empty log. The two key columns of a frame are no features."""
+    n = F.greatest(F.count(F.lit(1)), F.lit(1))
+    made = F.coalesce(F.sum(F.aggregate(F.map_values("columns"), F.lit(0).cast("long"), lambda s, x: s + x - 2)), F.lit(0))
+    return runs.agg(F.count(F.lit(1)).alias("requests"), made.alias("features"), (F.coalesce(F.sum("elapsed_ms"), F.lit(0)) / n).alias("mean_ms"), (made / n).alias("features_per_request"))
+
+
 def coverage_report(base: DataFrame, stored: DataFrame, columns: list[str], timeframe: str, start: str, end: str) -> DataFrame:
     """Coverage of every stored column over the part of the window for which there are candles."""
     available = coverage.availability(base)

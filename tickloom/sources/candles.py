@@ -62,6 +62,12 @@ def write_table(candles: DataFrame, path: str) -> None:
     dated.repartition("timeframe", "date").sortWithinPartitions("symbol", "timestamp").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "date").parquet(path)
 
 
+def convert_csv(spark: SparkSession, path: str | list[str], out: str) -> None:
+    """CSV candles to Parquet, in a folder for each symbol and timeframe; only those that were read are replaced."""
+    rows = read_csv(spark, path).repartition("symbol", "timeframe").sortWithinPartitions("timestamp")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "timeframe").parquet(out)
+
+
 def save(spark: SparkSession, new: DataFrame, path: str, staging: str) -> None:
     """Upsert into the table at `path`: the touched dates are read, merged, staged and put in their place."""
     new = required(new, *KEY)

@@ -107,6 +107,17 @@ def push_online(table: DataFrame, features: DataFrame) -> DataFrame:
     return online(table.unionByName(features, allowMissingColumns=True))
 
 
+def views_of(views: DataFrame, role: str, symbol: str) -> DataFrame:
+    """The feature views of a role and symbol; it is an error if there are none.
+
+    views: view, feature_role, symbol, one row for each view.
+    """
+    found = views.where((F.col("feature_role") == role) & (F.col("symbol") == symbol))
+    if not found.take(1):
+        raise ValueError(f"no feature view of role {role} and symbol {symbol}: store offline features first")
+    return found
+
+
 def upsert_config(configs: DataFrame, new: DataFrame) -> DataFrame:
     """Configuration versions by hash; the new record wins."""
     both = configs.withColumn("_rank", F.lit(0)).unionByName(new.withColumn("_rank", F.lit(1)))

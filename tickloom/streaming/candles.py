@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.functions.timeframe import MINUTES, period_start
 from tickloom.operators.resample import ohlcv
+from tickloom.sources import feature_store as fs
 
 
 def closed_candles(ticks: DataFrame, timeframe: str, late: str = "10 minutes") -> DataFrame:
@@ -65,6 +66,43 @@ def upsert_each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None]
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def online_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Every batch of a feature stream is pushed to the online table: the newest row of each symbol stays.
+
+    Each batch writes the whole table (one row for each symbol) as `path`/v{batch}, from the one before it, so a batch
+    that runs again after a failure gives the same table. `online_table` reads the newest.
+    """
+
+    def push(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = fs.online(batch)
+        held = _versions(spark, path)
+        before = [v for v in held if v < number]
+        if before:
+            rows = fs.push_online(spark.read.parquet(f"{path}/v{max(before)}"), batch)
+        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return stream.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the finished versions of an online table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    done = [s.getPath() for s in system.listStatus(folder) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName()[1:]) for p in done)
+
+
+def online_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest online table that `online_updates` wrote; an error if there is none."""
+    held = _versions(spark, path)
+    if not held:
+        raise ValueError(f"no online table at {path}")
+    return spark.read.parquet(f"{path}/v{held[-1]}")
+
+
 def tick_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
     """The events table as a stream of ticks."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
