@@ -54,10 +54,11 @@ def x20_explanations(spark, sf_dir):
     return checks.trading_days(trades(spark, sf_dir), equity(spark, sf_dir), {"least": 2000}).select("strategy_id", "explanation")
 
 
-@query("SELECT DISTINCT symbol FROM c WHERE symbol NOT IN (SELECT symbol FROM c WHERE close_price > 99)")
+@query("x AS (SELECT symbol, arg_max(close_price, timestamp) AS last FROM c GROUP BY 1) SELECT symbol FROM x WHERE last <= (SELECT avg(last) FROM x)")
 def u3_inactive(spark, sf_dir):
     rows = candles(spark, sf_dir)
-    return cov.inactive(rows, rows.where("close_price > 99"))
+    last = rows.groupBy("symbol").agg(F.max_by("close_price", "timestamp").alias("last"))
+    return cov.inactive(rows, last.join(last.agg(F.avg("last").alias("mean")), F.col("last") > F.col("mean")))
 
 
 @query("SELECT 'view_' || min(event_id) AS view, event_type AS symbol, 'reward' AS feature_role FROM events WHERE event_id % 2 = 1 GROUP BY event_type QUALIFY row_number() OVER (ORDER BY event_type) = 1")
