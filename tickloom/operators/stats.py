@@ -76,7 +76,8 @@ def wilcoxon(series: DataFrame) -> DataFrame:
 
 
 def anderson_darling(series: DataFrame) -> DataFrame:
-    """A-squared against the normal of the sample's mean and deviation, with the small-sample factor."""
+    """A-squared against the normal of the sample's mean and deviation, with the small-sample factor; p by the formulas
+    of D'Agostino and Stephens (1986)."""
     moments = series.groupBy(*ID).agg(F.count("r").alias("n"), F.avg("r").alias("_m"), F.stddev_samp("r").alias("_s")).where("_s > 0")
     order = Window.partitionBy(*ID).orderBy("r")
     ranked = series.join(moments, ID).withColumn("_i", F.row_number().over(order))
@@ -84,7 +85,11 @@ def anderson_darling(series: DataFrame) -> DataFrame:
     term = (2 * F.col("_i") - 1) * F.log(p) + (2 * (F.col("n") - F.col("_i")) + 1) * F.log(1 - p)
     out = ranked.groupBy(*ID).agg(F.first("n").alias("n"), F.sum(term).alias("_s"))
     a2 = (-F.col("n") - F.col("_s") / F.col("n")) * (1 + 0.75 / F.col("n") + 2.25 / (F.col("n") * F.col("n")))
-    return out.select(*ID, "n", a2.alias("a2"))
+    # Coefficients of the exponent for A-squared from each bound on.
+    small = lambda a, b, c: 1 - F.exp(a + b * F.col("a2") + c * F.col("a2") * F.col("a2"))
+    large = lambda a, b, c: F.exp(a + b * F.col("a2") + c * F.col("a2") * F.col("a2"))
+    p = F.when(F.col("a2") >= 0.6, large(1.2937, -5.709, 0.0186)).when(F.col("a2") >= 0.34, large(0.9177, -4.279, -1.38)).when(F.col("a2") >= 0.2, small(-8.318, 42.796, -59.938)).otherwise(small(-13.436, 101.14, -223.73))
+    return out.select(*ID, "n", a2.alias("a2")).withColumn("p", p)
 
 
 def runs_test(series: DataFrame) -> DataFrame:

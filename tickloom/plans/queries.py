@@ -573,7 +573,6 @@ def a32_p7_suite(spark, sf_dir):
 
 # Statistics
 
-
 #: The normal distribution function, for SQL: half the mass outside of (-z, z), for z of 0 or more.
 TAIL = """(0.5 * exp(-{z} * {z} / 2) * (1 / (1 + 0.3275911 * {z} / sqrt(2))) * (0.254829592 + (1 / (1 + 0.3275911 * {z} / sqrt(2))) * (-0.284496736 + (1 / (1 + 0.3275911 * {z} / sqrt(2)))
  * (1.421413741 + (1 / (1 + 0.3275911 * {z} / sqrt(2))) * (-1.453152027 + (1 / (1 + 0.3275911 * {z} / sqrt(2))) * 1.061405429)))))"""
@@ -589,21 +588,29 @@ def a36_t_statistic(spark, sf_dir):
 
 
 @query("""x AS (SELECT strategy_id, count(*) AS n, avg(r) AS m FROM r GROUP BY 1), y AS (SELECT r.strategy_id, any_value(n) AS n, avg((r - m) ** 2) AS m2, avg((r - m) ** 3) AS m3, avg((r - m) ** 4) AS m4 FROM r JOIN x USING (strategy_id) GROUP BY 1)
- SELECT strategy_id, round(m3 / m2 ** 1.5, 4) AS skew, round(m4 / m2 ** 2 - 3, 4) AS excess FROM y""")
+ SELECT strategy_id, round(m3 / m2 ** 1.5, 4) AS skew, round(m4 / m2 ** 2 - 3, 4) AS excess, round(n / 6 * (m3 ** 2 / m2 ** 3 + (m4 / m2 ** 2 - 3) ** 2 / 4), 3) AS jb,
+ round(exp(-n / 12 * (m3 ** 2 / m2 ** 3 + (m4 / m2 ** 2 - 3) ** 2 / 4)), 6) AS p FROM y""")
 def a39_jarque_bera(spark, sf_dir):
-    return stats.jarque_bera(return_series(spark, sf_dir)).select("strategy_id", r("skew", 4).alias("skew"), r("excess", 4).alias("excess"))
+    found = stats.jarque_bera(return_series(spark, sf_dir))
+    return found.select("strategy_id", r("skew", 4).alias("skew"), r("excess", 4).alias("excess"), r("jb", 3).alias("jb"), r("p").alias("p"))
 
 
-@query("""x AS (SELECT *, rank() OVER (PARTITION BY strategy_id ORDER BY abs(r)) + (count(*) OVER (PARTITION BY strategy_id, abs(r)) - 1) / 2.0 AS k FROM (SELECT strategy_id, round(r, 9) AS r FROM r) WHERE r <> 0)
- SELECT strategy_id, round(sum(k) FILTER (r > 0), 4) AS w_plus, count(*) AS n FROM x GROUP BY 1""")
+@query(f"""x AS (SELECT *, rank() OVER (PARTITION BY strategy_id ORDER BY abs(r)) + (count(*) OVER (PARTITION BY strategy_id, abs(r)) - 1) / 2.0 AS k FROM (SELECT strategy_id, round(r, 9) AS r FROM r) WHERE r <> 0)
+, ti AS (SELECT strategy_id, sum(k ** 3 - k) AS ties FROM (SELECT strategy_id, count(*)::DOUBLE AS k FROM x GROUP BY strategy_id, abs(r)) GROUP BY 1),
+ y AS (SELECT strategy_id, sum(k) FILTER (r > 0) AS w_plus, count(*) AS n FROM x GROUP BY 1), v AS (SELECT *, (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS s, abs(s) AS u FROM y JOIN ti USING (strategy_id))
+ SELECT strategy_id, round(w_plus, 4) AS w_plus, n, round(s, 6) AS z, round(2 * {TAIL.format(z="u")}, 5) AS p FROM v""")
 def a38_wilcoxon(spark, sf_dir):
-    return stats.wilcoxon(return_series(spark, sf_dir).withColumn("r", F.round("r", 9))).select("strategy_id", r("w_plus", 4).alias("w_plus"), "n")
+    found = stats.wilcoxon(return_series(spark, sf_dir).withColumn("r", F.round("r", 9)))
+    return found.select("strategy_id", r("w_plus", 4).alias("w_plus"), "n", r("z").alias("z"), r("p", 5).alias("p"))
 
 
-@query("""x AS (SELECT strategy_id, round(r, 9) > 0 AS u, lag(round(r, 9) > 0) OVER (PARTITION BY strategy_id ORDER BY ts) AS b FROM r)
- SELECT strategy_id, count(*) FILTER (u IS DISTINCT FROM b) AS runs, count(*) FILTER (u) AS n_up, count(*) FILTER (NOT u) AS n_down FROM x GROUP BY 1""")
+@query(f"""x AS (SELECT strategy_id, round(r, 9) > 0 AS u, lag(round(r, 9) > 0) OVER (PARTITION BY strategy_id ORDER BY ts) AS b FROM r),
+ y AS (SELECT strategy_id, count(*) FILTER (u IS DISTINCT FROM b) AS runs, count(*) FILTER (u) AS n_up, count(*) FILTER (NOT u) AS n_down, 2.0::DOUBLE * n_up * n_down AS ab, n_up + n_down AS n FROM x GROUP BY 1),
+ v AS (SELECT *, (runs - ab / n - 1) / sqrt(ab * (ab - n) / (n * n * (n - 1.0::DOUBLE))) AS s, abs(s) AS z FROM y)
+ SELECT strategy_id, runs, n_up, n_down, round(s, 6) AS z, round(2 * {TAIL.format(z="z")}, 5) AS p FROM v""")
 def a41_runs_test(spark, sf_dir):
-    return stats.runs_test(return_series(spark, sf_dir).withColumn("r", F.round("r", 9))).select("strategy_id", "runs", "n_up", "n_down")
+    found = stats.runs_test(return_series(spark, sf_dir).withColumn("r", F.round("r", 9)))
+    return found.select("strategy_id", "runs", "n_up", "n_down", r("z").alias("z"), r("p", 5).alias("p"))
 
 
 @query("""x AS (SELECT strategy_id, least(count(*) / 100000.0, 1.0) AS p FROM tr GROUP BY 1), y AS (SELECT *, row_number() OVER (ORDER BY p, strategy_id) AS k, count(*) OVER () AS m FROM x)
@@ -675,9 +682,13 @@ def a42_reality_check(spark, sf_dir):
     return stats.reality_check(return_series(spark, sf_dir), SIMULATIONS)
 
 
-@query()
+@query(f"""x AS (SELECT strategy_id, count(*) AS n, avg(r) AS m, stddev_samp(r) AS sd FROM r GROUP BY 1), y AS (SELECT strategy_id, n, (r - m) / sd AS s, abs(s) AS z, row_number() OVER (PARTITION BY strategy_id ORDER BY r) AS i FROM r JOIN x USING (strategy_id)),
+ v AS (SELECT *, greatest(least(CASE WHEN s < 0 THEN {TAIL.format(z="z")} ELSE 1 - {TAIL.format(z="z")} END, 1 - 1e-12), 1e-12) AS c FROM y),
+ w AS (SELECT strategy_id, any_value(n) AS n, (-any_value(n) - sum((2 * i - 1) * ln(c) + (2 * (n - i) + 1) * ln(1 - c)) / any_value(n)) * (1 + 0.75 / any_value(n) + 2.25 / any_value(n) ** 2) AS a FROM v GROUP BY 1)
+ SELECT strategy_id, n, round(a, 4) AS a2, round(CASE WHEN a >= 0.6 THEN exp(1.2937 - 5.709 * a + 0.0186 * a * a) WHEN a >= 0.34 THEN exp(0.9177 - 4.279 * a - 1.38 * a * a)
+ WHEN a >= 0.2 THEN 1 - exp(-8.318 + 42.796 * a - 59.938 * a * a) ELSE 1 - exp(-13.436 + 101.14 * a - 223.73 * a * a) END, 5) AS p FROM w""")
 def a40_anderson_darling(spark, sf_dir):
-    return stats.anderson_darling(return_series(spark, sf_dir))
+    return stats.anderson_darling(return_series(spark, sf_dir)).select("strategy_id", "n", r("a2", 4).alias("a2"), r("p", 5).alias("p"))
 
 
 # Messages
