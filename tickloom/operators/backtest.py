@@ -16,7 +16,7 @@ ID = ["strategy_id"]
 
 def trade_columns(trades: DataFrame) -> DataFrame:
     seconds = F.unix_timestamp("exit_ts") - F.unix_timestamp("entry_ts")
-    return trades.withColumns({"is_open": F.col("exit_ts").isNull(), "is_winning": F.col("profit") > 0, "duration_s": seconds, "trade_return": trade_return()})
+    return trades.withColumns({"is_open": F.col("exit_ts").isNull(), "is_winning": F.col("profit") > 0, "duration_s": seconds, "trade_return": trade_return(), "risk_reward": risk_reward()})
 
 
 def trade_return() -> Column:
@@ -24,6 +24,13 @@ def trade_return() -> Column:
     return F.when(value > 0, F.col("profit") / value).otherwise(F.col("profit"))
 
 
+def risk_reward() -> Column:
+    """The price's move over the distance of the stop, null for open trades and those without such a distance. The move
+    counts upwards, for short trades too."""
+    risk, move = F.abs(F.col("entry_price") - F.col("stop_loss")), F.col("profit") * F.col("direction") / F.col("size")
+    return F.when(F.col("exit_ts").isNotNull() & (risk > 0) & (F.col("size") != 0), move / risk)
+
+
 def closed(trades: DataFrame) -> DataFrame:
     return trades.where(F.col("exit_ts").isNotNull())
 
@@ -123,14 +130,15 @@ def losing_streaks(trades: DataFrame) -> DataFrame:
 
 def longest_streaks(trades: DataFrame, account: float) -> DataFrame:
     """The length of the longest run of losing trades (the first of several), and the greatest fall in it of the balance
-    after its first trade, in per cent; 0 and 0 where no trade loses. Nothing closed: no row."""
+    after its first trade, in per cent, with that balance and the least one of the run; 0 and 0 where no trade loses.
+    Nothing closed: no row."""
     order = Window.partitionBy(*ID).orderBy("exit_ts", "entry_ts", "profit", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = closed(trades).withColumns({"_run": F.sum(F.when(F.col("profit") < 0, 0).otherwise(1)).over(order), "_balance": F.lit(account) + F.sum("profit").over(order)})
     losing = rows.where("profit < 0").groupBy(*ID, "_run").agg(F.count(F.lit(1)).alias("losses"), F.max("_balance").alias("_first"), F.min("_balance").alias("_last"))
     depth = F.when(F.col("_first") > 0, 100 * (F.col("_first") - F.col("_last")) / F.col("_first")).alias("depth")
-    longest = losing.groupBy(*ID).agg(F.max_by(F.struct("losses", depth), F.struct("losses", -F.col("_run"))).alias("_top"))
+    longest = losing.groupBy(*ID).agg(F.max_by(F.struct("losses", depth, "_first", "_last"), F.struct("losses", -F.col("_run"))).alias("_top"))
     out = closed(trades).select(*ID).distinct().join(longest, ID, "left")
-    return out.select(*ID, F.coalesce("_top.losses", F.lit(0)).alias("max_losses"), F.coalesce("_top.depth", F.lit(0.0)).alias("streak_drawdown_pct"))
+    return out.select(*ID, F.coalesce("_top.losses", F.lit(0)).alias("max_losses"), F.coalesce("_top.depth", F.lit(0.0)).alias("streak_drawdown_pct"), F.col("_top._first").alias("start_balance"), F.col("_top._last").alias("least_balance"))
 
 
 def max_consecutive_losses(trades: DataFrame) -> DataFrame:

@@ -482,9 +482,10 @@ def a34_correlations(spark, sf_dir):
 # Backtests
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (exit_ts IS NULL) AS n_open, count(*) FILTER (profit > 0) AS n_win, sum((epoch(exit_ts) - epoch(entry_ts))::BIGINT)::BIGINT AS seconds, round(sum(profit / (size * entry_price)), 4) AS sum_return FROM tr")
+@query("""SELECT count(*) AS n, count(*) FILTER (exit_ts IS NULL) AS n_open, count(*) FILTER (profit > 0) AS n_win, sum((epoch(exit_ts) - epoch(entry_ts))::BIGINT)::BIGINT AS seconds, round(sum(profit / (size * entry_price)), 4) AS sum_return,
+ round(avg(profit * direction / size / abs(entry_price - stop_loss)) FILTER (exit_ts IS NOT NULL AND abs(entry_price - stop_loss) > 0), 6) AS mean_ratio FROM tr""")
 def w20_a44_trade_columns(spark, sf_dir):
-    return bt.trade_columns(trades(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_open").alias("n_open"), F.count_if("is_winning").alias("n_win"), F.sum("duration_s").alias("seconds"), r(F.sum("trade_return"), 4).alias("sum_return"))
+    return bt.trade_columns(trades(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_open").alias("n_open"), F.count_if("is_winning").alias("n_win"), F.sum("duration_s").alias("seconds"), r(F.sum("trade_return"), 4).alias("sum_return"), r(F.avg("risk_reward")).alias("mean_ratio"))
 
 
 @query("""SELECT strategy_id, day, round(p, 4) AS day_profit, round(b, 4) AS balance, round(CASE WHEN p < 0 THEN -p / 10000 ELSE 0.0 END, 9) AS loss_pct, p < -50000 AS violates FROM (

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tickloom.operators import backtest as bt
 from tickloom.operators import checks
 from tickloom.operators import coverage as cov
 from tickloom.plans import pipelines as pl
+from tickloom.plans.more import analysis
 from tickloom.plans.queries import candles, equity, query, r, trades
 from tickloom.session import shared_folder, table
 from tickloom.sources import feature_store as fs
@@ -101,3 +103,26 @@ def r14_online_updates(spark, sf_dir):
     stream = st.tick_stream(spark, f"{folder}/events").select("symbol", F.col("timestamp").alias("event_timestamp"), "close_price")
     st.online_updates(stream, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return st.online_table(spark, f"{folder}/table").select("symbol", "event_timestamp", "close_price")
+
+
+@query("""x AS (SELECT *, sum(CASE WHEN profit < 0 THEN 0 ELSE 1 END) OVER o AS run, 10000000 + sum(profit) OVER o AS b FROM tr WHERE exit_ts IS NOT NULL WINDOW o AS (PARTITION BY strategy_id ORDER BY exit_ts, entry_ts, profit, size ROWS UNBOUNDED PRECEDING))
+ SELECT strategy_id, count(*) AS max_losses, round(max(b), 2) AS start_balance, round(min(b), 2) AS least_balance FROM x WHERE profit < 0 GROUP BY strategy_id, run QUALIFY row_number() OVER (PARTITION BY strategy_id ORDER BY count(*) DESC, run) = 1""")
+def a29_streak_balances(spark, sf_dir):
+    found = bt.longest_streaks(trades(spark, sf_dir), 10_000_000.0)
+    return found.select("strategy_id", "max_losses", r("start_balance", 2).alias("start_balance"), r("least_balance", 2).alias("least_balance"))
+
+
+@query("""x AS (SELECT unnest([1, 2, 3, 4]) AS k, unnest(['open_price', 'close_price', 'volume', 'low_price']) AS name, unnest([var_pop(open_price), var_pop(close_price), var_pop(volume), var_pop(low_price)]) AS v FROM c),
+ p AS (SELECT unnest([2, 3, 3, 4, 4, 4]) AS k, unnest([1, 1, 2, 1, 2, 3]) AS before, unnest([corr(open_price, close_price), corr(open_price, volume), corr(close_price, volume), corr(open_price, low_price), corr(close_price, low_price), corr(volume, low_price)]) AS r FROM c)
+ SELECT name FROM x WHERE v > 0.01 AND NOT EXISTS (SELECT 1 FROM p JOIN x b ON b.k = p.before WHERE p.k = x.k AND b.v > 0.01 AND abs(p.r) > 0.4)""")
+def p8_selected(spark, sf_dir):
+    kept = pl.selected(candles(spark, sf_dir), ["open_price", "close_price", "volume", "low_price"], 0.01, 0.4)
+    return spark.createDataFrame([(name,) for name in kept], "name string")
+
+
+@query("""x AS (SELECT symbol, count(*) AS n, count(*) FILTER (volume > 2) AS k, max(timestamp) FILTER (volume > 2) AS upto, min(timestamp) AS earliest FROM c GROUP BY 1)
+ SELECT symbol, CASE WHEN k > 0 AND n >= 30 THEN greatest(upto - INTERVAL 30 HOUR, earliest) END AS warm_up_start, CASE WHEN k > 0 AND n >= 30 THEN upto END AS warm_up_end FROM x WHERE k < n AND k > 0""")
+def a15_warm_up(spark, sf_dir):
+    last = candles(spark, sf_dir).where("volume > 2").groupBy("symbol", "timeframe").agg(F.max("timestamp").alias("last_present"))
+    found = analysis(spark, sf_dir).where("timeframe = '1h'").join(last, ["symbol", "timeframe"], "left")
+    return cov.warm_up(found, cov.availability(candles(spark, sf_dir)), "1h", 30)
