@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm.bag_minhash import op6_bag_minhash
-from tickloom.llm import decontaminate
+from tickloom.llm import decontaminate, merkle
 from tickloom.llm.decontaminate import op1_decontaminate
 from tickloom.llm.html_crf import op5_html_extraction
 from tickloom.llm.langid import op10_language_id
 from tickloom.llm.licences import op3_licences
 from tickloom.llm.line_dedup import op8_line_dedup
+from tickloom.llm.merkle import op12_merkle_manifest
 from tickloom.llm.order_minhash import op2_order_minhash
 from tickloom.llm.packing import op7_packing
 from tickloom.llm.token_codec import op9_token_codec
@@ -20,9 +21,9 @@ from tickloom.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_order_minhash, op3_licences, op4_toxicity, op5_html_extraction, op6_bag_minhash, op7_packing, op8_line_dedup, op9_token_codec, op10_language_id]
+    found = [op1_decontaminate, op2_order_minhash, op3_licences, op4_toxicity, op5_html_extraction, op6_bag_minhash, op7_packing, op8_line_dedup, op9_token_codec, op10_language_id, op12_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
