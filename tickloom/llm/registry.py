@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.bag_minhash import op6_bag_minhash
 from tickloom.llm import decontaminate, merkle
 from tickloom.llm.decontaminate import op1_decontaminate
+from tickloom.llm.byte_bpe import op13_byte_bpe
 from tickloom.llm.html_crf import op5_html_extraction
 from tickloom.llm.langid import op10_language_id
 from tickloom.llm.licences import op3_licences
@@ -21,7 +22,7 @@ from tickloom.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_order_minhash, op3_licences, op4_toxicity, op5_html_extraction, op6_bag_minhash, op7_packing, op8_line_dedup, op9_token_codec, op10_language_id, op12_merkle_manifest]
+    found = [op1_decontaminate, op2_order_minhash, op3_licences, op4_toxicity, op5_html_extraction, op6_bag_minhash, op7_packing, op8_line_dedup, op9_token_codec, op10_language_id, op12_merkle_manifest, op13_byte_bpe]
     return {f.__name__: f for f in found}
 
 
