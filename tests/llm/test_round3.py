@@ -1,16 +1,18 @@
-"""Byte-level BPE against the library, the Merkle manifest against plain loops."""
+"""Byte-level BPE against the library; the Merkle manifest and vector codes against plain loops."""
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, merkle
+from tickloom.llm import byte_bpe, merkle, vector_codes
 
 SF = "/root/testdata/sf0.001"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -118,3 +120,66 @@ def test_manifest_of_odd_documents(spark, tmp_path):
     assert sorted(r.leaf for r in got) == leaves and len({r.root for r in got}) == 1
     assert all(r.verified for r in got if r.doc_id is None or not crc(r)) and not all(r.verified for r in got)
     assert all(r.verified == (r.folded_root == r.root) for r in got)
+
+
+def plain_codes(rows, parts, entries, rounds):
+    """The contract in plain integers: (key, code, error) of usable rows and the final codebooks."""
+    kept = [(k, v) for k, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    width = len(kept[0][1]) // parts
+    cut = [(k, [[math.floor(4096 * x) for x in v[p * width : (p + 1) * width]] for p in range(parts)], v) for k, v in kept]
+    books = [[x[1][p] for x in sorted(cut, key=lambda x: (x[0] is None, x[0] or 0, x[2]))[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    for now in range(rounds + 1):
+        held = [[min(range(len(books[p])), key=lambda e: (far(x[1][p], books[p][e]), e)) for p in range(parts)] for x in cut]  # noqa: B023
+        if now < rounds:
+            for p in range(parts):
+                for e in range(len(books[p])):
+                    mine = [x[1][p] for x, h in zip(cut, held) if h[p] == e]
+                    if mine:
+                        books[p][e] = [sum(column) // len(mine) for column in zip(*mine)]
+    return sorted((str(x[0]), "".join(f"{e:02x}" for e in h), sum(far(x[1][p], books[p][e]) for p, e in enumerate(h))) for x, h in zip(cut, held)), books
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "few"])
+def test_codes_are_those_of_plain_rounds(spark, kind):
+    rng = np.random.default_rng(4)
+    n = {"spread": 260, "ties": 200, "few": 5}[kind]
+    values = rng.integers(-1, 2, (n, 8)) / 4096 if kind == "ties" else rng.normal(0, 1, (n, 8)) + rng.integers(0, 4, (n, 1)) * 3
+    rows = [(i // 2 if i % 11 else None, [float(x) for x in v]) for i, v in enumerate(values)]
+    rows += [(1, None), (2, [1.0] * 7 + [None]), (3, [math.nan] + [0.0] * 7), (4, [math.inf] + [0.0] * 7), *rows[:3]]
+    found, books = vector_codes.coded(spark.createDataFrame([(k, v, None) for k, v in rows], "vec_id long, e array<double>, code int"), "vec_id", "e", "code", parts=4, entries=7)
+    want, plain = plain_codes(rows, 4, 7, 6)
+    assert sorted((str(r.key), r.code, r.error) for r in found.collect()) == want
+    assert books.tolist() == plain
+
+
+def test_bounds_leave_scans_out_and_hold():
+    """Fewer scans than without bounds, and every bound is one at each round."""
+    rng = np.random.default_rng(2)
+    x = np.floor(4096 * (rng.normal(0, 0.2, (3000, 8)) + rng.integers(0, 5, (3000, 1)))).astype(np.int64)
+    history, state, scans = x[:16].reshape(16, 2, 4).transpose(1, 0, 2)[None], None, []
+    for now in range(6):
+        state, n = vector_codes.assigned(x, state, history)
+        scans.append(n)
+        book = history[now].copy()
+        for p in range(2):
+            mine = x[:, 4 * p : 4 * p + 4]
+            d = ((mine[:, None] - book[p]) ** 2).sum(-1)
+            assert (state["entry"][:, p] == d.argmin(1)).all()
+            then = history[state["upper_at"][:, p], p, state["entry"][:, p]]
+            assert np.allclose(state["upper"][:, p], np.sqrt(((mine - then) ** 2).sum(1)))
+            for e in range(16):
+                if (hit := state["entry"][:, p] == e).any():
+                    book[p, e] = mine[hit].sum(0) // hit.sum()
+        history = np.concatenate([history, book[None]])
+    assert scans[0] == 6000 and max(scans[2:]) < 4000
+
+
+def test_codes_of_odd_tables(spark, tmp_path):
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert vector_codes.op11_vector_codes(spark, str(tmp_path)).count() == 0
+    rows = spark.createDataFrame([(1, [0.0] * 8, 1), (2, [1.0] * 8, None), (3, [2.0] * 16, 1)], "vec_id long, e array<double>, label int")
+    found, books = vector_codes.coded(rows, "vec_id", "e", "label")
+    assert {(r.key, r.code, r.error) for r in found.collect()} == {(1, "00" * 8, 0), (2, "01" * 8, 0)} and books.shape == (8, 2, 1)
+    with pytest.raises(ValueError, match="equal parts"):
+        vector_codes.coded(rows, "vec_id", "e", "label", parts=3)
