@@ -52,8 +52,9 @@ class Ranks(dict):
         for token, i in ranks.items():
             self.bytes_of[i] = token
         self.pattern = regex.compile(pattern)
-        masked = self.unlike(pattern)
-        self.masked = regex.compile("[" + "".join(map(regex.escape, masked)) + "]") if masked else None
+        self.stand_in = dict.fromkeys(map(ord, self.unlike(pattern)), SIGN)
+        self.masked = np.zeros(sys.maxunicode + 1, bool)
+        self.masked[list(self.stand_in)] = True
 
     @staticmethod
     def unlike(pattern: str) -> list[str]:
@@ -78,9 +79,9 @@ class Ranks(dict):
 
     def pieces(self, text: str, start: int = 0) -> list[str]:
         """The pre-tokens of text from `start` on."""
-        if text.isascii() or self.masked is None or not self.masked.search(text):
+        if text.isascii() or not self.masked[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
             return self.pattern.findall(text, start)
-        shown, at = self.pattern.findall(self.masked.sub(SIGN, text), start), start
+        shown, at = self.pattern.findall(text.translate(self.stand_in), start), start
         for k, piece in enumerate(shown):
             shown[k] = text[at : at + len(piece)]
             at += len(piece)
