@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 
 from tickloom.llm.common import cut, fresh, if_small, small_batches, table
 
-#: Code points of a chunk and of what it shares with the next one.
-CHUNK, OVERLAP = 16_384, 512
+#: Code points of a chunk and of what it shares with the next one. Moving a text costs disk, and 64 K code points are
+#: encoded in a tenth of a second, so only longer texts are worth it.
+CHUNK, OVERLAP = 65_536, 1_024
 #: Boundaries so near to a chunk's right end may change with what follows: a contraction has three signs.
 MARGIN = 3
 #: Pre-tokens that a worker keeps with their ids; longer ones than LONG are not kept.
@@ -163,6 +164,7 @@ def stitched(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int
     heads = held.where("no > 0").select("digest", (F.col("no") - 1).alias("no"), inside(0, overlap).alias("_head"))
     links = cut(tails.join(heads, ["digest", "no"]).select("digest", "no", F.array_min(F.array_intersect("_tail", "_head")).alias("stitch")))
     apart = if_small(cut(links.where("stitch IS NULL").select("digest").distinct()))
+    near = if_small(links)  # so that chunks stay where they are, if there are not too many
 
     def encoded(begins, shown, firsts, lasts):
         ranks, out = ranks_of(path, pattern), []
@@ -175,8 +177,8 @@ def stitched(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int
             out.append(ranks.encode(pieces))
         return out
 
-    firsts = links.select("digest", (F.col("no") + 1).alias("no"), F.col("stitch").alias("first"))
-    ready = held.join(apart, "digest", "left_anti").join(links.withColumnRenamed("stitch", "last"), ["digest", "no"], "left").join(firsts, ["digest", "no"], "left")
+    firsts = near.select("digest", (F.col("no") + 1).alias("no"), F.col("stitch").alias("first"))
+    ready = held.join(apart, "digest", "left_anti").join(near.withColumnRenamed("stitch", "last"), ["digest", "no"], "left").join(firsts, ["digest", "no"], "left")
     ids = _with(ready, ["digest", "no"], ["begin", "part", "first", "last"], encoded, pa.binary(), T.BinaryType(), "ids")
     joined = ids.groupBy("digest").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY no)").alias("ids"))
     whole = texts.join(apart, "digest", "left_semi").dropDuplicates(["digest"])
