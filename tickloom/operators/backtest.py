@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import running_max, running_sum
+from tickloom.operators.ordered import numbered, running_max, running_sum
+from tickloom.operators.pieces import running, windowed
 
 ID = ["strategy_id"]
 
@@ -53,9 +54,9 @@ def first_violations(days: DataFrame, k: int = 3) -> DataFrame:
 
 def drawdowns(equity: DataFrame) -> DataFrame:
     """equity with its running maximum, the drawdown in per cent (not above 0) and whether the row is a new high."""
-    top = running_max(equity, ID, "ts", "equity", "peak")
-    before = F.lag("peak").over(Window.partitionBy(*ID).orderBy("ts"))
-    return top.withColumns({"drawdown_pct": 100 * (F.col("equity") - F.col("peak")) / F.col("peak"), "new_high": F.coalesce(F.col("peak") > before, F.lit(True))})
+    top = running_max(equity, ID, "ts", "equity", "peak", "_earlier")
+    new_high = F.coalesce(F.col("equity") > F.col("_earlier"), F.lit(True))
+    return top.withColumns({"drawdown_pct": 100 * (F.col("equity") - F.col("peak")) / F.col("peak"), "new_high": new_high}).drop("_earlier")
 
 
 def max_drawdown(equity: DataFrame) -> DataFrame:
@@ -118,22 +119,31 @@ def win_rate(trades: DataFrame, min_trades: int = 1) -> DataFrame:
     return out.withColumn("win_rate", F.col("n_wins") / F.col("n_closed")).withColumn("enough", F.col("n_closed") >= min_trades)
 
 
+#: What orders trades that close at the same time.
+TIES = ("entry_ts", "profit", "size")
+
+
+def _with_runs(trades: DataFrame, **sums: Column) -> DataFrame:
+    """Closed trades with the number of those that don't lose up to each, which is equal in a run of losses, and with
+    other running sums: by (strategy, day), carried over days by one row for each."""
+    return running(closed(trades), ID, "exit_ts", {"_run": F.when(F.col("profit") < 0, 0).otherwise(1), **sums}, *TIES)
+
+
 def losing_streaks(trades: DataFrame) -> DataFrame:
     """Runs of losing closed trades by exit time: length and summed loss. Ties in time are ordered by entry and profit.
 
-    A run is the trades between two that don't lose, so its number is a running count of the latter.
+    A run is the trades between two that don't lose, so its number is a running count of the latter; runs over several
+    days are put together by their number.
     """
-    order = Window.partitionBy(*ID).orderBy("exit_ts", "entry_ts", "profit", "size")
-    runs = closed(trades).withColumn("_run", F.sum(F.when(F.col("profit") < 0, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.where("profit < 0").groupBy(*ID, "_run").agg(F.count(F.lit(1)).alias("losses"), F.sum("profit").alias("lost"), F.min("exit_ts").alias("from_ts"), F.max("exit_ts").alias("to_ts"))
+    losing = _with_runs(trades).where("profit < 0")
+    return losing.groupBy(*ID, "_run").agg(F.count(F.lit(1)).alias("losses"), F.sum("profit").alias("lost"), F.min("exit_ts").alias("from_ts"), F.max("exit_ts").alias("to_ts"))
 
 
 def longest_streaks(trades: DataFrame, account: float) -> DataFrame:
     """The length of the longest run of losing trades (the first of several), and the greatest fall in it of the balance
     after its first trade, in per cent, with that balance and the least one of the run; 0 and 0 where no trade loses.
     Nothing closed: no row."""
-    order = Window.partitionBy(*ID).orderBy("exit_ts", "entry_ts", "profit", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = closed(trades).withColumns({"_run": F.sum(F.when(F.col("profit") < 0, 0).otherwise(1)).over(order), "_balance": F.lit(account) + F.sum("profit").over(order)})
+    rows = _with_runs(trades, _gain=F.col("profit")).withColumn("_balance", F.lit(account) + F.col("_gain"))
     losing = rows.where("profit < 0").groupBy(*ID, "_run").agg(F.count(F.lit(1)).alias("losses"), F.max("_balance").alias("_first"), F.min("_balance").alias("_last"))
     depth = F.when(F.col("_first") > 0, 100 * (F.col("_first") - F.col("_last")) / F.col("_first")).alias("depth")
     longest = losing.groupBy(*ID).agg(F.max_by(F.struct("losses", depth, "_first", "_last"), F.struct("losses", -F.col("_run"))).alias("_top"))
@@ -148,8 +158,8 @@ def max_consecutive_losses(trades: DataFrame) -> DataFrame:
 
 def returns(equity: DataFrame) -> DataFrame:
     """Percent change from row to row; the first row of a curve goes."""
-    change = F.col("equity") / F.lag("equity").over(Window.partitionBy(*ID).orderBy("ts")) - 1
-    return equity.withColumn("r", change).where(F.col("r").isNotNull())
+    changed = windowed(equity, ID, "ts", 1, lambda w: {"r": F.col("equity") / F.lag("equity").over(w) - 1})
+    return changed.where(F.col("r").isNotNull())
 
 
 def sharpe(equity: DataFrame, periods: int = 252) -> DataFrame:
@@ -159,10 +169,11 @@ def sharpe(equity: DataFrame, periods: int = 252) -> DataFrame:
 
 def calmar(equity: DataFrame, periods: int = 252, years: int = 3) -> DataFrame:
     """Annualised compound return over the greatest drawdown of the compounded last `years` years of returns."""
-    newest = Window.partitionBy(*ID).orderBy(F.desc("ts"))
-    tail = returns(equity).withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= periods * years)
-    grown = F.sum(F.log1p("r")).over(Window.partitionBy(*ID).orderBy("ts"))
-    path = tail.withColumn("_w", F.exp(grown)).withColumn("_top", F.greatest(F.max("_w").over(Window.partitionBy(*ID).orderBy("ts")), F.lit(0.0)))
+    rows = numbered(returns(equity), ID, "ts", "_i")
+    sizes = rows.groupBy(*ID).agg(F.count(F.lit(1)).alias("_n"))
+    tail = rows.join(sizes, ID).where(F.col("_i") >= F.col("_n") - periods * years)
+    grown = running(tail, ID, "ts", {"_log": F.log1p("r")}).withColumn("_w", F.exp("_log"))
+    path = running_max(grown, ID, "ts", "_w", "_top")
     out = path.groupBy(*ID).agg(F.exp(F.sum(F.log1p("r"))).alias("growth"), F.count(F.lit(1)).alias("n"), F.max(1 - F.col("_w") / F.col("_top")).alias("max_dd"))
     yearly = F.pow("growth", F.lit(float(periods)) / F.col("n")) - 1
     return out.withColumn("annual_return", yearly).withColumn("calmar", F.when(F.col("max_dd") > 0, F.col("annual_return") / F.col("max_dd")).otherwise(0.0))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import asof, numbered
+from tickloom.operators.pieces import windowed
 
+# Columns of a candle, under both namings.
 NOT_CARRIED = {"Open", "High", "Low", "Close", "Close_Time", "Volume", "open_price", "high_price", "low_price", "close_price", "volume", "source_rows", "timeframe"}
 
 
 def detected_step(frame: DataFrame, keys: list[str]) -> DataFrame:
     """The most frequent step between consecutive times in seconds, the least of equally frequent ones."""
-    step = F.unix_timestamp("timestamp") - F.unix_timestamp(F.lag("timestamp").over(Window.partitionBy(*keys).orderBy("timestamp")))
-    counts = frame.select(*keys, step.alias("step_seconds")).where(F.col("step_seconds").isNotNull()).groupBy(*keys, "step_seconds").agg(F.count(F.lit(1)).alias("n"))
+    step = lambda w: {"step_seconds": F.unix_timestamp("timestamp") - F.unix_timestamp(F.lag("timestamp").over(w))}
+    counts = windowed(frame.select(*keys, "timestamp"), keys, "timestamp", 1, step).where(F.col("step_seconds").isNotNull()).groupBy(*keys, "step_seconds").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(*keys).agg(F.min_by("step_seconds", F.struct((-F.col("n")).alias("n"), "step_seconds")).alias("step_seconds"))
 
 

@@ -43,25 +43,34 @@ def onto_first(first: DataFrame, others: list[DataFrame], key: list[str]) -> Dat
 
 def side_by_side(frames: list[DataFrame | None], key: list[str]) -> DataFrame:
     """Full outer join of the frames that there are by key; of columns of the same name the first value that is there
-    wins. None stands for a source that gave nothing and is skipped."""
+    wins, in the order of the frames. None stands for a source that gave nothing and is skipped.
+
+    The frames' rows are stacked and aggregated by key, so any number of frames takes one shuffle. A frame gives one row
+    for each key; of several, the value of any. A column needs one type in all frames.
+    """
     given = [f for f in frames if f is not None]
     if not given:
         raise ValueError("no frame to join")
-    out = given[0]
-    for k, other in enumerate(given[1:]):
-        shared = [c for c in other.columns if c in out.columns and c not in key]
-        joined = out.join(other.withColumnsRenamed({c: f"{c}_{k}_other" for c in shared}), key, "full")
-        out = joined.withColumns({c: F.coalesce(c, f"{c}_{k}_other") for c in shared}).drop(*[f"{c}_{k}_other" for c in shared])
-    return out
+    columns = list(dict.fromkeys(c for f in given for c in f.columns if c not in key))
+    stacked = None
+    for k, frame in enumerate(given):
+        rows = frame.withColumn("_frame", F.lit(k))
+        stacked = rows if stacked is None else stacked.unionByName(rows, allowMissingColumns=True)
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_frame"))).alias(c) for c in columns]
+    return stacked.groupBy(*key).agg(*first) if first else stacked.select(*key).distinct()
 
 
-def running_max(df: DataFrame, keys: list[str], ts: str, value: str, out: str) -> DataFrame:
+def running_max(df: DataFrame, keys: list[str], ts: str, value: str, out: str, earlier: str | None = None) -> DataFrame:
+    """Running maximum by `ts` within `keys`; `earlier` names a column for that of the rows before (times being unique)."""
     day = df.withColumn("_day", F.to_date(ts))
     tops = day.groupBy(*keys, "_day").agg(F.max(value).alias("_m"))
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tops.withColumn("_before", F.max("_m").over(before)).drop("_m")
-    here = Window.partitionBy(*keys, "_day").orderBy(ts).rangeBetween(Window.unboundedPreceding, 0)
-    return day.withColumn("_here", F.max(value).over(here)).join(offsets, [*keys, "_day"]).withColumn(out, F.greatest("_before", "_here")).drop("_day", "_here", "_before")
+    here = Window.partitionBy(*keys, "_day").orderBy(ts)
+    inside = day.withColumn("_here", F.max(value).over(here.rangeBetween(Window.unboundedPreceding, 0)))
+    inside = inside.withColumn("_less", F.max(value).over(here.rowsBetween(Window.unboundedPreceding, -1))) if earlier else inside
+    made = {out: F.greatest("_before", "_here")} | ({earlier: F.greatest("_before", "_less")} if earlier else {})
+    return inside.join(offsets, [*keys, "_day"]).withColumns(made).drop("_day", "_here", "_before", "_less")
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, tolerance_seconds: int | None = None) -> DataFrame:
@@ -108,9 +117,3 @@ def smoothed(df: DataFrame, keys: list[str], index: str, values: dict[str, str],
     joined = inside.join(carries, [*keys, "_chunk"], "left")
     made = {out: F.when(F.col(index) >= 0, F.pow(F.lit(decay), place) * (F.coalesce(f"_end_{out}", F.lit(0.0)) + F.col(f"_in_{out}"))) for out in values}
     return joined.withColumns(made).drop("_chunk", "_k", *[f"_in_{o}" for o in values], *[f"_end_{o}" for o in values])
-
-
-def islands(df: DataFrame, keys: list[str], ts: str, breaks: Column, out: str = "island") -> DataFrame:
-    """Numbers of runs: one more at each row where `breaks` (which may use lag over `keys` by `ts`) holds."""
-    order = Window.partitionBy(*keys).orderBy(ts)
-    return df.withColumn(out, F.sum(F.when(breaks, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))

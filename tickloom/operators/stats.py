@@ -9,6 +9,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.pieces import cumulative, windowed
+
 ID = ["strategy_id"]
 
 
@@ -67,8 +69,7 @@ def wilcoxon(series: DataFrame) -> DataFrame:
     """Signed-rank test: zeros dropped, equal sizes share their mean rank, normal approximation."""
     sized = series.where("r != 0").withColumn("_a", F.abs("r"))
     counts = sized.groupBy(*ID, "_a").agg(F.count(F.lit(1)).alias("_k"), F.count_if(F.col("r") > 0).alias("_up"))
-    before = F.coalesce(F.sum("_k").over(Window.partitionBy(*ID).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("_rank", before + (F.col("_k") + 1) / 2)
+    ranked = cumulative(counts, ID, "_a", {"_less": F.col("_k")}).withColumn("_rank", F.col("_less") + (F.col("_k") + 1) / 2)
     out = ranked.groupBy(*ID).agg(F.sum(F.col("_rank") * F.col("_up")).alias("w_plus"), F.sum("_k").alias("n"), F.sum(F.col("_k") * F.col("_k") * F.col("_k") - F.col("_k")).alias("_ties"))
     mean = F.col("n") * (F.col("n") + 1) / 4
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("_ties") / 48
@@ -79,11 +80,12 @@ def anderson_darling(series: DataFrame) -> DataFrame:
     """A-squared against the normal of the sample's mean and deviation, with the small-sample factor; p by the formulas
     of D'Agostino and Stephens (1986)."""
     moments = series.groupBy(*ID).agg(F.count("r").alias("n"), F.avg("r").alias("_m"), F.stddev_samp("r").alias("_s")).where("_s > 0")
-    order = Window.partitionBy(*ID).orderBy("r")
-    ranked = series.join(moments, ID).withColumn("_i", F.row_number().over(order))
+    counts = cumulative(series.groupBy(*ID, "r").agg(F.count(F.lit(1)).alias("_k")), ID, "r", {"_less": F.col("_k")})
     p = F.greatest(F.least(normal_cdf((F.col("r") - F.col("_m")) / F.col("_s")), F.lit(1 - 1e-12)), F.lit(1e-12))
-    term = (2 * F.col("_i") - 1) * F.log(p) + (2 * (F.col("n") - F.col("_i")) + 1) * F.log(1 - p)
-    out = ranked.groupBy(*ID).agg(F.first("n").alias("n"), F.sum(term).alias("_s"))
+    # The sums of 2i - 1 and of 2(n - i) + 1 over the ranks i of equal returns are differences of squares.
+    upto, above = (F.col("_less") + F.col("_k")).cast("double"), (F.col("n") - F.col("_less")).cast("double")
+    term = (upto * upto - F.col("_less") * F.col("_less")) * F.log(p) + (above * above - (above - F.col("_k")) * (above - F.col("_k"))) * F.log(1 - p)
+    out = counts.join(moments, ID).groupBy(*ID).agg(F.first("n").alias("n"), F.sum(term).alias("_s"))
     a2 = (-F.col("n") - F.col("_s") / F.col("n")) * (1 + 0.75 / F.col("n") + 2.25 / (F.col("n") * F.col("n")))
     # Coefficients of the exponent for A-squared from each bound on.
     small = lambda a, b, c: 1 - F.exp(a + b * F.col("a2") + c * F.col("a2") * F.col("a2"))
@@ -94,8 +96,8 @@ def anderson_darling(series: DataFrame) -> DataFrame:
 
 def runs_test(series: DataFrame) -> DataFrame:
     """Wald and Wolfowitz: runs of returns above and not above zero."""
-    order = Window.partitionBy(*ID).orderBy("i")
-    marked = series.withColumn("_up", (F.col("r") > 0).cast("int")).withColumn("_new", F.coalesce(F.col("_up") != F.lag("_up").over(order), F.lit(True)).cast("int"))
+    flagged = series.withColumn("_up", (F.col("r") > 0).cast("int"))
+    marked = windowed(flagged, ID, "i", 1, lambda w: {"_new": F.coalesce(F.col("_up") != F.lag("_up").over(w), F.lit(True)).cast("int")}, "i")
     marked = marked.select(*ID, "_up", "_new")
     out = marked.groupBy(*ID).agg(F.sum("_new").alias("runs"), F.sum("_up").alias("n_up"), F.sum(1 - F.col("_up")).alias("n_down"))
     a, b = F.col("n_up").cast("double"), F.col("n_down").cast("double")
@@ -122,24 +124,43 @@ def _pick(sim: Column, block: Column, seed: int, word: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), sim, block).cast("binary")), 1 + 8 * word, 8), 16, 10).cast("long")
 
 
+#: Returns of a strategy that are held as one array; longer series are drawn row by row.
+LONGEST = 100_000
+#: Simulations that one row works off.
+CHUNK = 100
+
+
+def _held(series: DataFrame, simulations: int) -> DataFrame | None:
+    """(strategy_id, rs, n, chunk, sim): the returns of a strategy in order, beside each simulation, dealt out by chunks of
+    simulations; None if a series is longer than LONGEST."""
+    longest = series.groupBy(*ID).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest > LONGEST:
+        return None
+    held = series.groupBy(*ID).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("rs"), F.count(F.lit(1)).alias("n"))
+    chunks = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((simulations - 1) // CHUNK)))).repartition(*ID, "chunk")
+    last = F.least(F.col("chunk") * CHUNK + CHUNK - 1, F.lit(simulations - 1))
+    return chunks.withColumn("sim", F.explode(F.sequence(F.col("chunk") * CHUNK, last)))
+
+
 def draws(series: DataFrame, simulations: int, seed: int = 7, block: int = 1, steps: int | None = None) -> DataFrame:
     """Bootstrap paths: for each simulation and step, a return picked by a hash of (seed, simulation, block).
 
     series: strategy_id, i (0, 1 ...), r. With block > 1, whole blocks of consecutive returns are picked, none
-    of which runs over the end of the series. Result: strategy_id, sim, step, r.
+    of which runs over the end of the series. Result: strategy_id, chunk (of simulations), sim, step, r. A path's picks
+    come from an array beside it, one hash a block, so nothing is joined; series longer than LONGEST are joined.
     """
-    sizes = series.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"))
-    length = F.col("n") if steps is None else F.lit(steps)
-    grid = sizes.select(*ID, "n", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim")).withColumn("step", F.explode(F.sequence(F.lit(0), length - 1)))
     starts = F.greatest(F.col("n") - block + 1, F.lit(1))
+    length = F.col("n") if steps is None else F.lit(steps).cast("long")
+    if (sims := _held(series, simulations)) is not None:
+        blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"({'n' if steps is None else steps} - 1) div {block}"))
+        offsets = F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))
+        picked = lambda start: F.transform(offsets, lambda j: F.get("rs", ((start + j) % F.col("n")).cast("int")))
+        rs = F.flatten(F.transform(blocks, lambda b: _with(_pick(F.col("sim"), b, seed) % starts, picked)))
+        return sims.select(*ID, "chunk", "sim", F.posexplode(F.slice(rs, 1, length.cast("int"))).alias("step", "r"))
+    sizes = series.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"))
+    grid = sizes.select(*ID, "n", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim")).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), length - 1)))
     picked = grid.withColumn("i", (_pick(F.col("sim"), F.expr(f"step div {block}"), seed) % starts + F.col("step") % block) % F.col("n"))
-    return picked.join(series.select(*ID, "i", "r"), [*ID, "i"]).select(*ID, "sim", "step", "r")
-
-
-#: Returns of a strategy that are held as one array; longer series are drawn row by row.
-LONGEST = 100_000
-#: Simulations that one row works off.
-CHUNK = 100
+    return picked.join(series.select(*ID, "i", "r"), [*ID, "i"]).select(*ID, F.expr(f"sim div {CHUNK}").cast("int").alias("chunk"), "sim", "step", "r")
 
 
 def draw_stats(series: DataFrame, simulations: int, seed: int = 7) -> DataFrame:
@@ -147,13 +168,9 @@ def draw_stats(series: DataFrame, simulations: int, seed: int = 7) -> DataFrame:
 
     A series of up to LONGEST returns is an array beside its simulations, so no row is made for a single pick.
     """
-    longest = series.groupBy(*ID).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if longest > LONGEST:
+    sims = _held(series, simulations)
+    if sims is None:
         return draws(series, simulations, seed).groupBy(*ID, "sim").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"), F.stddev_pop("r").alias("sd"))
-    held = series.groupBy(*ID).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("rs"), F.count(F.lit(1)).alias("n"))
-    chunks = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((simulations - 1) // CHUNK)))).repartition(*ID, "chunk")
-    last = F.least(F.col("chunk") * CHUNK + CHUNK - 1, F.lit(simulations - 1))
-    sims = chunks.withColumn("sim", F.explode(F.sequence(F.col("chunk") * CHUNK, last)))
     steps = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
     picked = sims.withColumn("picks", F.transform(steps, lambda k: F.get("rs", (_pick(F.col("sim"), k, seed) % F.col("n")).cast("int")))).drop("rs")
     means = picked.withColumn("m", F.aggregate("picks", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
@@ -193,12 +210,12 @@ def parametric_draws(series: DataFrame, simulations: int, seed: int = 7) -> Data
     fitted = series.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_r"), F.stddev_samp("r").alias("sd_r"))
     grid = fitted.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     u, v = ((_pick(F.col("sim"), F.col("step"), seed, word) + 0.5) / 2.0**32 for word in (0, 1))
-    return grid.select(*ID, "sim", "step", (F.col("mean_r") + F.col("sd_r") * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)).alias("r"))
+    return grid.select(*ID, F.expr(f"sim div {CHUNK}").cast("int").alias("chunk"), "sim", "step", (F.col("mean_r") + F.col("sd_r") * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)).alias("r"))
 
 
 def paths(drawn: DataFrame, start: float) -> DataFrame:
     """Equity paths of drawn returns: strategy_id, sim, step, value. A return of -1 or less ends a path at 0."""
-    order = Window.partitionBy(*ID, "sim").orderBy("step")
+    order = Window.partitionBy(*ID, "chunk", "sim").orderBy("step")
     grown = F.exp(F.sum(F.log1p(F.when(F.col("r") > -1, F.col("r")).otherwise(0.0))).over(order))
     ruined = F.max(F.col("r") <= -1).over(order)
     return drawn.withColumn("value", F.when(ruined, 0.0).otherwise(F.lit(start) * grown))
@@ -217,9 +234,9 @@ def bands(paths: DataFrame, lower: float = 0.05, upper: float = 0.95) -> DataFra
 def outcome(simulated: DataFrame, start: float, series: DataFrame) -> DataFrame:
     """Final values of the simulations: share of wins, probability of loss, moments, and drawdowns; and the return of
     the series itself in per cent, with the percentage of simulations that end below it."""
-    order = Window.partitionBy(*ID, "sim").orderBy("step")
+    order = Window.partitionBy(*ID, "chunk", "sim").orderBy("step")
     top = F.greatest(F.max("value").over(order), F.lit(start))
-    ends = simulated.withColumn("_dd", 1 - F.col("value") / top).groupBy(*ID, "sim").agg(F.max_by("value", "step").alias("final"), F.max("_dd").alias("dd"))
+    ends = simulated.withColumn("_dd", 1 - F.col("value") / top).groupBy(*ID, "chunk", "sim").agg(F.max_by("value", "step").alias("final"), F.max("_dd").alias("dd"))
     ends = ends.join(series.groupBy(*ID).agg((F.exp(F.sum(F.log1p("r"))) - 1).alias("_own")), ID)
     return ends.groupBy(*ID).agg(
         F.avg((F.col("final") > start).cast("double")).alias("win_rate"), F.avg((F.col("final") <= start).cast("double")).alias("p_loss"),

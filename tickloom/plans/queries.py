@@ -100,8 +100,7 @@ def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def return_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bt.returns(equity(spark, sf_dir))
-    return rows.select("strategy_id", "ts", (F.row_number().over(Window.partitionBy("strategy_id").orderBy("ts")) - 1).alias("i"), "r")
+    return ordered.numbered(bt.returns(equity(spark, sf_dir)), ["strategy_id"], "ts", "i").select("strategy_id", "ts", "i", "r")
 
 
 OHLCV_SQL = "open_price, high_price, low_price, close_price, volume"
@@ -324,7 +323,11 @@ def w4_atr(spark, sf_dir):
  CASE WHEN count(*) OVER w >= 10 THEN len(list_filter(list(close_price) OVER w, lambda z: z < close_price)) / 10.0 END AS pct
  FROM c WINDOW o AS (PARTITION BY symbol ORDER BY timestamp), w AS (PARTITION BY symbol ORDER BY timestamp ROWS 9 PRECEDING)""")
 def w5_w10_variations(spark, sf_dir):
-    return candles(spark, sf_dir).select("symbol", "timestamp", r(ind.log_change("close_price", 3)).alias("roc3"), ind.is_rolling_high("close_price", 10).alias("high10"), ind.above_mean("close_price", 10).alias("above10"), r(ind.relative_volume(10)).alias("rvol"), ind.place_of_maximum("close_price", 10).alias("place"), ind.rolling_percentile("close_price", 10).alias("pct"))
+    made = ind.trailing_columns(
+        candles(spark, sf_dir), roc3=ind.log_change("close_price", 3), high10=ind.is_rolling_high("close_price", 10), above10=ind.above_mean("close_price", 10),
+        rvol=ind.relative_volume(10), place=ind.place_of_maximum("close_price", 10), pct=ind.rolling_percentile("close_price", 10),
+    )
+    return made.select("symbol", "timestamp", r("roc3").alias("roc3"), "high10", "above10", r("rvol").alias("rvol"), "place", "pct")
 
 
 @query("SELECT symbol, close_price AS close_value FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1")
@@ -354,7 +357,8 @@ def j4_context_join(spark, sf_dir):
 
 @query("SELECT symbol, timestamp, q.volume AS v4, d.volume AS v24 FROM q FULL JOIN d USING (symbol, timestamp)")
 def j5_combine_frames(spark, sf_dir):
-    return candles(spark, sf_dir, "4h").select("symbol", "timestamp", F.col("volume").alias("v4")).join(candles(spark, sf_dir, "1d").select("symbol", "timestamp", F.col("volume").alias("v24")), ["symbol", "timestamp"], "full")
+    frame = lambda tf, name: candles(spark, sf_dir, tf).select("symbol", "timestamp", F.col("volume").alias(name))
+    return ordered.side_by_side([frame("4h", "v4"), frame("1d", "v24")], ["symbol", "timestamp"])
 
 
 @query("SELECT symbol, timestamp, close_price FROM c WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.symbol = c.symbol AND q.timestamp = c.timestamp)")
@@ -388,12 +392,14 @@ def f13_online_projection(spark, sf_dir):
 # Coverage
 
 GRID = """x AS (SELECT s.symbol, g.g AS timestamp, c.close_price AS value FROM (SELECT DISTINCT symbol FROM c) s,
- (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-29 23:00', INTERVAL 1 HOUR)) AS g) g LEFT JOIN c ON c.symbol = s.symbol AND c.timestamp = g.g AND c.volume > 1)"""
+ (SELECT unnest(generate_series(min(timestamp), max(timestamp), INTERVAL 1 HOUR)) AS g FROM c) g LEFT JOIN c ON c.symbol = s.symbol AND c.timestamp = g.g)"""
 
 
 def series(spark, sf_dir):
-    rows = candles(spark, sf_dir).where("volume > 1")
-    requests = candles(spark, sf_dir).select("symbol").distinct().select("symbol", F.lit("2024-01-01").cast("timestamp").alias("start_ts"), F.lit("2024-01-29 23:00:00").cast("timestamp").alias("end_ts"))
+    """Hourly closes of every symbol on the grid from the first candle of the table to the last."""
+    rows = candles(spark, sf_dir)
+    bounds = rows.agg(F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"))
+    requests = rows.select("symbol").distinct().join(F.broadcast(bounds))  # one row
     return cov.on_grid(cov.expected(requests, "1h"), rows, ["close_price"])
 
 
