@@ -13,6 +13,7 @@ from tickloom.operators import coverage, dataset, ordered, stats
 from tickloom.operators.resample import resample, roll_up
 from tickloom.sources import candles as cs
 from tickloom.sources import feature_store as fs
+from tickloom.sources import versioned
 
 T0 = dt.datetime(2024, 1, 1, 10)
 SCHEMA = "symbol string, timestamp timestamp, open_price double, high_price double, low_price double, close_price double, volume long"
@@ -109,9 +110,9 @@ def test_feature_store_appends_once(spark, tmp_path):
 def test_candle_table_upsert(spark, tmp_path):
     rows = candles(spark, [1.0] * 30, 3600).withColumn("timeframe", F.lit("1h"))
     path = str(tmp_path / "candles")
-    cs.save(spark, rows, path, str(tmp_path / "stage1"))
-    cs.save(spark, rows.limit(5).withColumn("close_price", F.lit(1.5)), path, str(tmp_path / "stage2"))
-    got = spark.read.parquet(path)
+    cs.save(spark, rows, path)
+    cs.save(spark, rows.limit(5).withColumn("close_price", F.lit(1.5)), path)
+    got = versioned.read(spark, path)
     assert (got.count(), got.where("close_price = 1.5").count()) == (30, 5)
 
 

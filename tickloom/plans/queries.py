@@ -778,4 +778,4 @@ def f10_f11_to_compute(spark, sf_dir):
     return cov.to_compute(positions, done).select("symbol", "feature")
 
 
-from tickloom.plans import more, validation  # noqa: E402,F401  register further queries
+from tickloom.plans import more, stored, validation  # noqa: E402,F401  register further queries

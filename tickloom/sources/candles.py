@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.quality import clean, required
+from tickloom.sources import versioned
 
 CSV_SCHEMA = "Time timestamp, Open double, High double, Low double, Close double, Volume long, X int"
 KEY = ["symbol", "timeframe", "timestamp"]
@@ -47,41 +48,33 @@ def flag_base(candles: DataFrame, base: str) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing and new rows by key, the new one wins; of several new ones the last by `created_at` where present."""
+    """Existing and new rows by key, the new one wins; of several new ones the last by `created_at` if there is such a
+    column, then the greatest by prices and volume."""
     missing = {*KEY, *COLUMNS} - {*new.columns}
     if missing:
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
-    both = existing.select(*KEY, *COLUMNS, F.lit(0).alias("_rank")).unionByName(new.select(*KEY, *COLUMNS[:-1], F.coalesce(F.col("volume").try_cast("long"), F.lit(0)).alias("volume"), F.lit(1).alias("_rank")))
-    best = F.max_by(F.struct(*COLUMNS), F.struct("_rank", *COLUMNS)).alias("_best")
+    made = F.col("created_at").cast("timestamp") if "created_at" in new.columns else F.lit(None).cast("timestamp")
+    volume = F.coalesce(F.col("volume").try_cast("long"), F.lit(0)).alias("volume")
+    both = existing.select(*KEY, *COLUMNS, F.lit(0).alias("_rank"), F.lit(None).cast("timestamp").alias("_made")).unionByName(new.select(*KEY, *COLUMNS[:-1], volume, F.lit(1).alias("_rank"), made.alias("_made")))
+    best = F.max_by(F.struct(*COLUMNS), F.struct("_rank", "_made", *COLUMNS)).alias("_best")
     return both.groupBy(*KEY).agg(best).select(*KEY, "_best.*")
 
 
-def write_table(candles: DataFrame, path: str) -> None:
-    """Partitions by timeframe and date; only those that `candles` holds are replaced. One task writes a partition."""
-    dated = candles.withColumn("date", F.to_date("timestamp"))
-    dated.repartition("timeframe", "date").sortWithinPartitions("symbol", "timestamp").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "date").parquet(path)
-
-
 def convert_csv(spark: SparkSession, path: str | list[str], out: str) -> None:
     """CSV candles to Parquet, in a folder for each symbol and timeframe; only those that were read are replaced."""
     rows = read_csv(spark, path).repartition("symbol", "timeframe").sortWithinPartitions("timestamp")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "timeframe").parquet(out)
 
 
-def save(spark: SparkSession, new: DataFrame, path: str, staging: str) -> None:
-    """Upsert into the table at `path`: the touched dates are read, merged, staged and put in their place."""
-    new = required(new, *KEY)
-    dates = new.select("timeframe", F.to_date("timestamp").alias("date")).distinct()
-    schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("timestamp", T.TimestampType()), *[T.StructField(c, T.DoubleType()) for c in COLUMNS[:-1]], T.StructField("volume", T.LongType()), T.StructField("timeframe", T.StringType()), T.StructField("date", T.DateType())])
-    try:
-        existing = spark.read.schema(schema).parquet(path)
-        old = existing.join(F.broadcast(dates), ["timeframe", "date"], "left_semi")  # as many rows as touched dates
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        old = spark.createDataFrame([], schema)
-    write_table(upsert(old, new), staging)
-    write_table(spark.read.schema(schema).parquet(staging).select(*KEY, *COLUMNS), path)
+def save(spark: SparkSession, new: DataFrame, path: str, batch: int | None = None) -> bool:
+    """Upsert into the table at `path`: the touched dates are read, merged and committed at once, so a failure leaves the
+    table as it was. False, and no change, if `batch` is in already. Rows without a key are left out."""
+    dated = required(new, *KEY).withColumn("date", F.to_date("timestamp"))
+    old = versioned.read(spark, path, dated.select("timeframe", "date").distinct())
+    if old is None:
+        old = spark.createDataFrame([], T.StructType([dated.schema[c] for c in KEY] + [T.StructField(c, T.DoubleType()) for c in COLUMNS[:-1]] + [T.StructField("volume", T.LongType())]))
+    rows = upsert(old, dated).withColumn("date", F.to_date("timestamp"))
+    return versioned.commit(spark, path, rows, ["timeframe", "date"], ["symbol", "timestamp"], batch)
 
 
 def latest_timestamp(candles: DataFrame) -> DataFrame:
@@ -94,8 +87,25 @@ def in_range(candles: DataFrame, symbols: list[str], start: str, end: str, timef
     return (rows if timeframe is None else rows.where(F.col("timeframe") == timeframe)).orderBy("symbol", "timestamp")
 
 
+def page_days(candles: DataFrame, limit: int, offset: int) -> DataFrame:
+    """(symbol, day, start): the days that hold a page of the order by symbol and time, with the number of rows before
+    each. The index is one count for each symbol and day."""
+    days = candles.groupBy("symbol", F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    symbols = days.groupBy("symbol").agg(F.sum("n").alias("_all"))
+    ahead = symbols.select("symbol", (F.sum("_all").over(Window.orderBy("symbol")) - F.col("_all")).alias("_ahead"))  # one row a symbol
+    inside = F.sum("n").over(Window.partitionBy("symbol").orderBy("day")) - F.col("n")
+    starts = days.withColumn("_inside", inside).join(ahead, "symbol").withColumn("start", F.col("_ahead") + F.col("_inside"))
+    return starts.where((F.col("start") < offset + limit) & (F.col("start") + F.col("n") > offset)).select("symbol", "day", "start")
+
+
 def page(candles: DataFrame, limit: int, offset: int) -> DataFrame:
-    return candles.orderBy("symbol", "timestamp").offset(offset).limit(limit)
+    """`limit` rows from `offset` on, by symbol and time. A deep page costs what the first one does: an index of counts
+    finds its days, and only their rows are ordered. There are at most `limit` such days, as a day has a row."""
+    wanted = page_days(candles, limit, offset)
+    rows = candles.withColumn("day", F.to_date("timestamp")).join(F.broadcast(wanted), ["symbol", "day"])
+    here = F.row_number().over(Window.partitionBy("symbol", "day").orderBy("timestamp"))
+    place = F.col("start") + here - 1
+    return rows.withColumn("_place", place).where((F.col("_place") >= offset) & (F.col("_place") < offset + limit)).drop("day", "start", "_place").orderBy("symbol", "timestamp")
 
 
 def latest(candles: DataFrame, *keys: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import backoff_seconds
+from tickloom.functions.timeframe import minutes
 
 # Topics of completion events by processing context.
 COMPLETION_TOPICS = {"training": "completed.preprocess-data.training", "inference": "completed.preprocess-data.inference", "backfill": "completed.preprocess-data.backfill"}
@@ -13,9 +16,10 @@ DEFAULT_TOPIC = "completed.preprocess-data"
 
 
 def candle_messages(candles: DataFrame, per_message: int = 1000) -> DataFrame:
-    """Per symbol, timeframe and chunk of `per_message` periods: a JSON list of candles; lists are bounded."""
-    day = F.floor(F.unix_timestamp("timestamp") / (60 * per_message))
-    rows = candles.withColumn("chunk", day).groupBy("symbol", "timeframe", "chunk").agg(F.array_sort(F.collect_list(F.struct("timestamp", "open_price", "high_price", "low_price", "close_price", "volume"))).alias("candles"))
+    """Per symbol, timeframe and chunk of `per_message` periods of that timeframe: a JSON list of candles; lists are
+    bounded."""
+    periods = F.unix_timestamp("timestamp") / (60 * minutes(F.col("timeframe")) * per_message)
+    rows = candles.withColumn("chunk", F.floor(periods)).groupBy("symbol", "timeframe", "chunk").agg(F.array_sort(F.collect_list(F.struct("timestamp", "open_price", "high_price", "low_price", "close_price", "volume"))).alias("candles"))
     return rows.select(F.col("symbol").alias("key"), F.to_json(F.struct("symbol", "timeframe", F.size("candles").alias("n_candles"), "candles")).alias("value"))
 
 
@@ -45,6 +49,35 @@ def routed(failed: DataFrame, max_attempts: int, retry_topic: str, dead_topic: s
     )
 
 
+#: A handler takes the valid messages of its topic: key, attempt and the fields of its schema as `data`.
+Handler = Callable[[DataFrame], None]
+
+
+def dispatched(batch: DataFrame, handlers: dict[str, tuple[str, Handler]], max_attempts: int, retry_topic: str, dead_topic: str) -> DataFrame:
+    """Messages (key, value, topic, attempt) to the handlers of their topics, topic: (schema, handler). What does not parse
+    and what has no handler is `routed` to retries and dead letters, which are returned.
+
+    Each message is parsed by the schema of its topic in one pass, whose result is written down once for all handlers; a
+    handler that fails fails the batch, so handlers have to bear repetition.
+    """
+    known = F.col("topic").isin(*handlers)
+    rows = batch.withColumn("error", F.when(~F.coalesce(known, F.lit(False)), "no handler"))
+    for k, (topic, (schema, _)) in enumerate(handlers.items()):
+        parsed = decoded(batch.where(F.col("topic") == topic), schema)
+        rows = rows.where(F.coalesce(F.col("topic") != topic, F.lit(True))).unionByName(
+            parsed.select("key", "value", "topic", "attempt", F.when(F.col("parse_error"), "not an object of the schema").alias("error"), F.when(~F.col("parse_error"), F.col("data")).alias(f"_data_{k}")),
+            allowMissingColumns=True,
+        )
+    held = rows.persist()
+    try:
+        for k, (topic, (_, handle)) in enumerate(handlers.items()):
+            handle(held.where((F.col("topic") == topic) & F.col("error").isNull()).select("key", "attempt", F.col(f"_data_{k}").alias("data")))
+        failed = held.where(F.col("error").isNotNull()).select("key", "value", "topic", "attempt", "error")
+        return routed(failed, max_attempts, retry_topic, dead_topic)
+    finally:
+        held.unpersist()
+
+
 def kafka_stream(spark: SparkSession, servers: str, topics: list[str]) -> DataFrame:
     """A request stream; needs Spark's Kafka connector on the class path."""
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("includeHeaders", "true").load()

@@ -11,8 +11,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.functions.timeframe import MINUTES, period_start
+from tickloom.operators import incremental
 from tickloom.operators.resample import ohlcv
+from tickloom.sources import candles as cs
 from tickloom.sources import feature_store as fs
+from tickloom.sources.versioned import finished
 
 
 def closed_candles(ticks: DataFrame, timeframe: str, late: str = "10 minutes") -> DataFrame:
@@ -61,11 +64,35 @@ def rsi_updates(candles: DataFrame, length: int = 14) -> DataFrame:
     return candles.groupBy("symbol").applyInPandasWithState(step, "symbol string, timestamp timestamp, rsi double", "n long, last double, up double, down double", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """At-least-once delivery to an idempotent writer: offsets are committed after it returns."""
+def upsert_each_batch(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Every batch of candles is upserted into the table at `path`. Offsets are committed after a batch is in the table,
+    and a batch that comes again changes nothing, so each takes effect once."""
+    write = lambda batch, number: cs.save(batch.sparkSession, batch, path, number)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def resampled_each_batch(stream: DataFrame, folder: str, timeframes: list[str], checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """A stream of ticks as candles of several timeframes (`incremental.candles`), with late rows apart in `folder`/late:
+    each row goes, for each timeframe, either into one candle or to the late rows.
+
+    Without `interval` the query takes what there is and ends; with it, it goes on at that pace. Both may follow each
+    other on one checkpoint.
+    """
+    step = lambda batch, number: incremental.run(batch.sparkSession, batch, folder, timeframes, batch=number)
+    pace = {"availableNow": True} if interval is None else {"processingTime": interval}
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**pace).start()
+
+
+def catch_up(stream: Callable[[], DataFrame], folder: str, timeframes: list[str], checkpoint: str, interval: str = "10 seconds") -> StreamingQuery:
+    """From the backlog to live: runs over what there is until one finds nothing new, then goes on at `interval` on the same
+    checkpoint. `stream` makes the source anew for each query. Returns the live query."""
+    while True:
+        query = resampled_each_batch(stream(), folder, timeframes, checkpoint)
+        query.awaitTermination()
+        if not any(p.numInputRows for p in query.recentProgress):
+            return resampled_each_batch(stream(), folder, timeframes, checkpoint, interval)
+
+
 def online_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Every batch of a feature stream is pushed to the online table: the newest row of each symbol stays.
 
@@ -76,7 +103,7 @@ def online_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     def push(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = fs.online(batch)
-        held = _versions(spark, path)
+        held = finished(spark, path)
         before = [v for v in held if v < number]
         if before:
             rows = fs.push_online(spark.read.parquet(f"{path}/v{max(before)}"), batch)
@@ -85,19 +112,9 @@ def online_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return stream.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the finished versions of an online table."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return []
-    done = [s.getPath() for s in system.listStatus(folder) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(p.getName()[1:]) for p in done)
-
-
 def online_table(spark: SparkSession, path: str) -> DataFrame:
     """The newest online table that `online_updates` wrote; an error if there is none."""
-    held = _versions(spark, path)
+    held = finished(spark, path)
     if not held:
         raise ValueError(f"no online table at {path}")
     return spark.read.parquet(f"{path}/v{held[-1]}")
