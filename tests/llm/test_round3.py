@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, merkle, vector_codes
+from tickloom.llm import byte_bpe, langid, merkle, packing, vector_codes
 
 SF = "/root/testdata/sf0.001"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -183,3 +183,13 @@ def test_codes_of_odd_tables(spark, tmp_path):
     assert {(r.key, r.code, r.error) for r in found.collect()} == {(1, "00" * 8, 0), (2, "01" * 8, 0)} and books.shape == (8, 2, 1)
     with pytest.raises(ValueError, match="equal parts"):
         vector_codes.coded(rows, "vec_id", "e", "label", parts=3)
+
+
+def test_numbers_are_no_letters():
+    assert langid.words_of("½ ² Ⅷ ٣ 5 _ !") == [] and langid.words_of("a½b Ünï² x5y") == ["a", "b", "ünï", "x", "y"]
+
+
+def test_pieces_of_one_id_are_placed_alike_in_any_order(spark):
+    rows = [(1, 0, 7, crc) for crc in range(60)] + [(2, 0, 2000, crc) for crc in range(5)]
+    place = lambda made: sorted((r.doc_id, r.crc, r.sequence_id, r.offset) for r in packing.pack(spark.createDataFrame(made, "doc_id long, start long, length long, crc long").repartition(3)).collect())
+    assert place(rows) == place(rows[::-1])

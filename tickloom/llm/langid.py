@@ -36,6 +36,8 @@ MEMO = 400_000
 
 def words_of(text: str | None) -> list[str]:
     found = LETTERS.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, found)):  # fractions, exponents and Roman numerals are no letters
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     if any(len(w) > BLOCK for w in found):
         found = [w[i : i + BLOCK] for w in found for i in range(0, len(w), BLOCK)]
     return found

@@ -189,7 +189,8 @@ def pack(cut_pieces: DataFrame) -> DataFrame:
     salted = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("class", "salt", F.coalesce("before", F.lit(0)).alias("before"))
-    here = Window.partitionBy("class", "salt").orderBy(F.desc("length"), "doc_id", "start")
+    rest = [c for c in cut_pieces.columns if c not in ("doc_id", "start", "length")]  # tells rows of one id apart
+    here = Window.partitionBy("class", "salt").orderBy(F.desc("length"), "doc_id", "start", *rest)
     ranked = salted.withColumn("here", F.row_number().over(here) - 1).join(before, ["class", "salt"]).withColumn("rank", F.col("before") + F.col("here"))
     within = (F.col("class") == F.col("s_class")) & (F.col("rank") >= F.col("s_first")) & (F.col("rank") < F.col("s_first") + F.col("s_each") * F.col("s_copies"))
     # The slots are as many as the patterns' distinct classes: bounded by the number of classes, not by the corpus.
