@@ -196,7 +196,11 @@ def bootstrap_test(series: DataFrame, simulations: int) -> DataFrame:
 
 
 def reality_check(series: DataFrame, simulations: int) -> DataFrame:
-    """White's check: the best strategy's scaled mean against the maximum over strategies of centred bootstrap means."""
+    """White's check: the best strategy's scaled mean against the maximum over strategies of centred bootstrap means.
+
+    A pick is the place of a return in the strategy's own series, modulo its length: strategies of equal length are
+    drawn at the same places, others at places of their own.
+    """
     means = series.groupBy(*ID).agg(F.avg("r").alias("observed"), F.count(F.lit(1)).alias("n"))
     centred = series.join(means, ID).select(*ID, "i", (F.col("r") - F.col("observed")).alias("r"))
     sims = draw_stats(centred, simulations).groupBy("sim").agg(F.max(F.col("m") * F.sqrt("n")).alias("v"))
@@ -227,8 +231,16 @@ def simulated_paths(series: DataFrame, simulations: int, start: float, block: in
 
 
 def bands(paths: DataFrame, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
-    cut = F.percentile("value", F.array(F.lit(lower), F.lit(0.5), F.lit(upper)))
-    return paths.groupBy(*ID, "step").agg(cut.alias("_b")).select(*ID, "step", F.col("_b")[0].alias("lower"), F.col("_b")[1].alias("median"), F.col("_b")[2].alias("upper"))
+    """Percentiles of the simulations' values at each step, interpolated between neighbours."""
+    held = paths.groupBy(*ID, "step").agg(F.sort_array(F.collect_list("value")).alias("_v"))
+    last = F.size("_v") - 1
+
+    def at(share: float) -> Column:
+        place = share * last
+        low = F.get("_v", F.floor(place).cast("int"))
+        return low + (F.get("_v", F.ceil(place).cast("int")) - low) * (place - F.floor(place))
+
+    return held.select(*ID, "step", at(lower).alias("lower"), at(0.5).alias("median"), at(upper).alias("upper"))
 
 
 def outcome(simulated: DataFrame, start: float, series: DataFrame) -> DataFrame:

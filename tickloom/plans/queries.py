@@ -689,6 +689,24 @@ def a42_reality_check(spark, sf_dir):
     return stats.reality_check(return_series(spark, sf_dir), SIMULATIONS)
 
 
+#: The greatest scaled bootstrap mean of each simulation, and the best observed one.
+OBSERVED = "ob AS (SELECT strategy_id, avg(r) AS m, avg(r) / (stddev_samp(r) + 1e-10) AS ratio, count(*) AS n FROM r GROUP BY 1), sm AS (SELECT strategy_id, sim, avg(r) AS dm, avg(r) / (stddev_pop(r) + 1e-10) AS dratio FROM dr GROUP BY 1, 2)"
+
+
+@query(f"""x AS (SELECT 1), {DRAWS.format(block=1)}, {OBSERVED} SELECT strategy_id, round(any_value(m), 9) AS mean_r, avg((CASE WHEN m > 0 THEN dm - m >= m ELSE dm - m <= m END)::INT) AS p_mean, round(any_value(ratio), 6) AS ratio,
+ avg((CASE WHEN ratio > 0 THEN dratio >= ratio ELSE dratio <= ratio END)::INT) AS p_ratio, round(avg(dratio), 6) AS drawn_ratio, round(stddev_pop(dm), 9) AS drawn_sd FROM sm JOIN ob USING (strategy_id) GROUP BY 1""")
+def a37_bootstrap_mean_100(spark, sf_dir):
+    """As a37_bootstrap_mean, over as many paths as SQL repeats in little time."""
+    places = {"mean_r": 9, "p_mean": 9, "ratio": 6, "p_ratio": 9, "drawn_ratio": 6, "drawn_sd": 9}
+    return stats.bootstrap_test(return_series(spark, sf_dir), 100).select("strategy_id", *[r(c, k).alias(c) for c, k in places.items()])
+
+
+@query(f"""x AS (SELECT 1), {DRAWS.format(block=1)}, {OBSERVED}, tops AS (SELECT sim, max((dm - m) * sqrt(n)) AS v FROM sm JOIN ob USING (strategy_id) GROUP BY 1), best AS (SELECT max(m * sqrt(n)) AS best FROM ob)
+ SELECT round(any_value(best), 9) AS best, avg((v >= best)::INT) AS p FROM tops, best""")
+def a42_reality_check_100(spark, sf_dir):
+    return stats.reality_check(return_series(spark, sf_dir), 100).select(r("best", 9).alias("best"), "p")
+
+
 @query(f"""x AS (SELECT strategy_id, count(*) AS n, avg(r) AS m, stddev_samp(r) AS sd FROM r GROUP BY 1), y AS (SELECT strategy_id, n, (r - m) / sd AS s, abs(s) AS z, row_number() OVER (PARTITION BY strategy_id ORDER BY r) AS i FROM r JOIN x USING (strategy_id)),
  v AS (SELECT *, greatest(least(CASE WHEN s < 0 THEN {TAIL.format(z="z")} ELSE 1 - {TAIL.format(z="z")} END, 1 - 1e-12), 1e-12) AS c FROM y),
  w AS (SELECT strategy_id, any_value(n) AS n, (-any_value(n) - sum((2 * i - 1) * ln(c) + (2 * (n - i) + 1) * ln(1 - c)) / any_value(n)) * (1 + 0.75 / any_value(n) + 2.25 / any_value(n) ** 2) AS a FROM v GROUP BY 1)
