@@ -6,9 +6,11 @@ link text, punctuation, place). A chain over the blocks with two labels (content
 likelihood and decoded by Viterbi; the text is the content blocks, joined by line feeds in page order.
 
 Labelled pages: pages with an article or main element label themselves, as what stands inside it, less what stands in
-inner navigation, asides, footers, forms, adverts and comments. So that the chain does not rest on that one tag, each
-such page is also rewritten with the same blocks under other containers, and with menus, side bars, notices, adverts,
-forms and comments around and between them, made of the words of other pages.
+inner navigation, asides, footers, forms, adverts and comments. So that the chain rests neither on that one tag nor on the
+layout of these pages, each such page is also rewritten: its blocks stand in lists, tables, quotes, definition lists,
+preformatted text and headings under other containers, and menus, side bars, notices, adverts, forms and comments stand
+around and between them, made of the words of other pages. Attribute words of the nearest elements are features apart
+from those farther up; those of html and body are none.
 
 Defined results: a null or empty page has an empty text. Unclosed and stray tags are tolerated. Repeated rows are
 extracted alike. Character references are decoded, white space in a block becomes one space, blocks without text are
@@ -18,6 +20,7 @@ dropped. Without any self-labelling page, the tags named above decide alone.
 from __future__ import annotations
 
 import html as html_lib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -42,15 +45,21 @@ SKIPPED_TAGS = frozenset("script style noscript template svg iframe head title c
 RAW_TEXT_TAGS = frozenset("script style iframe title".split())  # without an end tag they go on to the page's end
 CLOSED_BY_SAME = {"p": ("p",), "li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 CLOSE_PARAGRAPH = BLOCK_TAGS - {"button", "label", "option", "body", "html"}
-# Words of class, id and role attributes that are features.
+# Words of class, id and role attributes that are features, those of other blocks by kind, with their tags.
 CONTENT_WORDS = "article body content entry main page post story text".split()
-BOILER_WORDS = (
-    "ad ads advert advertisement alert author banner bar bottom brand breadcrumb breadcrumbs comment comments consent contentinfo cookie "
-    "cookies copyright discussion disqus foot footer form gdpr head header legal links login logo masthead menu meta modal nav navbar "
-    "navigation newsletter notice notification pager pagination pagetop popular popup promo recommended related replies reply "
-    "respond response responses search share sharing side sidebar signup social sponsor sponsored subscribe tags teaser toolbar top widget"
-).split()
+BOILER = {
+    "menu": ("nav ul div", "bar breadcrumb breadcrumbs links menu nav navbar navigation pager pagination tags toolbar"),
+    "header": ("header div", "banner brand head header login logo masthead pagetop top"),
+    "footer": ("footer div", "bottom contentinfo copyright foot footer legal"),
+    "side": ("aside div section", "author meta popular recommended related side sidebar teaser widget"),
+    "notice": ("div section", "alert consent cookie cookies gdpr modal notice notification popup"),
+    "advert": ("div aside", "ad ads advert advertisement promo sponsor sponsored"),
+    "form": ("form div", "form newsletter search share sharing signup social subscribe"),
+    "comments": ("section div ol ul", "comment comments discussion disqus replies reply respond response responses"),
+}
+BOILER_WORDS = sorted({w for _, words in BOILER.values() for w in words.split()})
 ATTRIBUTE_WORDS = frozenset(CONTENT_WORDS) | frozenset(BOILER_WORDS)
+NEAR = 3  # elements, from the block's own upwards, whose attribute words are features apart from those farther up
 
 TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -66,18 +75,28 @@ class Block:
     linked: int  # characters of link text
 
 
-_PATHS: dict[tuple, tuple[str, ...]] = {}
+class Path(tuple):
+    """(tags and attribute words of all elements down to one, attribute words of the nearest NEAR elements)."""
+
+    __slots__ = ()
+
+    @property
+    def features(self) -> tuple[str, ...]:
+        return self[0] + tuple(sorted({f"near:{w}" for words in self[1] for w in words}))
+
+
+ROOT = Path(((), ()))
+_PATHS: dict[tuple, Path] = {}
 
 
-def _path(parent: tuple[str, ...], tag: str, attributes: str) -> tuple[str, ...]:
-    key = (parent, tag, attributes if "=" in attributes else "")
+def _path(parent: Path, tag: str, attributes: str) -> Path:
+    # Attributes of the root elements describe the whole page, not a part of it.
+    key = (parent, tag, attributes if "=" in attributes and tag not in ("html", "body") else "")
     found = _PATHS.get(key)
     if found is None:
-        own = {f"in:{tag}"}
-        for _, value in ATTRIBUTE.findall(attributes):
-            words = WORD.findall(CAMEL.sub(r"\1 \2", value).lower())
-            own |= {f"at:{w}" for w in words if w in ATTRIBUTE_WORDS}
-        found = tuple(sorted(own.union(parent)))
+        words = {w for _, value in ATTRIBUTE.findall(key[2]) for w in WORD.findall(CAMEL.sub(r"\1 \2", value).lower())} & ATTRIBUTE_WORDS
+        far = {f"in:{tag}", *(f"at:{w}" for w in words)}.union(parent[0])
+        found = Path((tuple(sorted(far)), (*parent[1], tuple(sorted(words)))[-NEAR:]))
         if len(_PATHS) > 50_000:
             _PATHS.clear()
         _PATHS[key] = found
@@ -89,7 +108,7 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = [("html", ())]
+    stack: list[tuple[str, Path]] = [("html", ROOT)]
     parts: list[str] = []
     unclosed: set[str] = set()  # skipped elements that have no end tag from here on
     linked, links, position, end = 0, 0, 0, len(page)
@@ -100,7 +119,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, stack[-1][0], stack[-1][1], min(linked, len(text))))
+                out.append(Block(text, stack[-1][0], stack[-1][1].features, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -209,43 +228,50 @@ class Chain:
 
 def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> Chain:
     """Maximum likelihood by forward and backward passes over all pages together, with Adam steps."""
-    pages = [p for p in pages if p[1]]
+    # Longest first: the pages that reach a place are then the first ones, and places follow each other in flat arrays.
+    pages = sorted((p for p in pages if p[1]), key=lambda p: -len(p[1]))
     names: dict[str, int] = {}
     for rows, _ in pages:
         for row in rows:
             for f in row:
                 names.setdefault(f, len(names))
-    longest = max(len(y) for _, y in pages)
     count = len(pages)
-    cell, ids = [], []  # (page, place) of each active feature
-    y, mask = np.zeros((count, longest), np.int64), np.zeros((count, longest), bool)
-    for p, (rows, labels) in enumerate(pages):
-        y[p, : len(labels)], mask[p, : len(labels)] = labels, True
-        for t, row in enumerate(rows):
-            ids += [names[f] for f in row]
-            cell += [p * longest + t] * len(row)
-    cell, ids = np.array(cell), np.array(ids)
+    distinct: dict[tuple[str, ...], int] = {}  # blocks with equal features are scored once
+    kind, y, starts = [], [], [0]
+    for t in range(len(pages[0][1])):
+        for rows, labels in itertools.takewhile(lambda p: len(p[1]) > t, pages):
+            kind.append(distinct.setdefault(tuple(rows[t]), len(distinct)))
+            y.append(labels[t])
+        starts.append(len(y))
+    kind, y = np.array(kind), np.array(y)
+    later = np.arange(starts[1], len(y))
+    earlier = np.concatenate([np.arange(starts[t - 1], starts[t - 1] + starts[t + 1] - starts[t]) for t in range(1, len(starts) - 1)] or [later])
+    final = np.ones(len(y), bool)
+    final[earlier] = False  # the last block of each page
+    cell = np.repeat(np.arange(len(distinct)), [len(row) for row in distinct])
+    ids = np.array([names[f] for row in distinct for f in row])
+    gold = np.eye(2)[y]
+    gold_move = np.bincount(2 * y[earlier] + y[later], minlength=4).reshape(2, 2)
+    # The page of each block, by its place among those of equal rank.
+    page = np.concatenate([np.arange(starts[t + 1] - starts[t]) for t in range(len(starts) - 1)])
     emit, move = np.zeros((len(names), 2)), np.zeros((2, 2))
-    gold = np.zeros((count * longest, 2))
-    gold[np.flatnonzero(mask.ravel()), y.ravel()[mask.ravel()]] = 1
-    pairs = mask[:, 1:] & mask[:, :-1]
-    gold_move = np.bincount((2 * y[:, :-1] + y[:, 1:])[pairs], minlength=4).reshape(2, 2)
     state = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
     for step in range(1, steps + 1):
-        s = np.stack([np.bincount(cell, weights=emit[ids, k], minlength=count * longest) for k in (0, 1)], 1).reshape(count, longest, 2)
+        s = np.stack([np.bincount(cell, weights=emit[ids, k], minlength=len(distinct)) for k in (0, 1)], 1)[kind]
         alpha, beta = s.copy(), np.zeros_like(s)
-        for t in range(1, longest):
-            on = mask[:, t, None]
-            alpha[:, t] = np.where(on, s[:, t] + np.logaddexp.reduce(alpha[:, t - 1, :, None] + move, axis=1), alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            on = mask[:, t + 1, None]
-            beta[:, t] = np.where(on, np.logaddexp.reduce(move + (s[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2), 0)
-        total = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        marginal = np.exp(alpha + beta - total[:, None, None]) * mask[:, :, None]
-        joint = np.exp(alpha[:, :-1, :, None] + move + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * pairs[:, :, None, None]
-        off = (marginal.reshape(-1, 2) - gold)[cell]
+        for t in range(1, len(starts) - 1):
+            before = alpha[starts[t - 1] : starts[t - 1] + starts[t + 1] - starts[t]]
+            alpha[starts[t] : starts[t + 1]] += np.logaddexp(before[:, :1] + move[0], before[:, 1:] + move[1])
+        for t in range(len(starts) - 2, 0, -1):
+            after = s[starts[t] : starts[t + 1]] + beta[starts[t] : starts[t + 1]]
+            beta[starts[t - 1] : starts[t - 1] + len(after)] = np.logaddexp(after[:, :1] + move[:, 0], after[:, 1:] + move[:, 1])
+        total = np.empty(count)
+        total[page[final]] = np.logaddexp(alpha[final, 0], alpha[final, 1])
+        off = np.exp(alpha + beta - total[page][:, None]) - gold
+        joint = np.exp(alpha[earlier][:, :, None] + move + (s + beta)[later][:, None, :] - total[page[later]][:, None, None])
+        off = np.stack([np.bincount(kind, weights=off[:, k], minlength=len(distinct)) for k in (0, 1)], 1)[cell]
         down = np.stack([np.bincount(ids, weights=off[:, k], minlength=len(names)) for k in (0, 1)], 1) / count + ridge * emit
-        down_move = (joint.sum((0, 1)) - gold_move) / count + ridge * move
+        down_move = (joint.sum(0) - gold_move) / count + ridge * move
         for value, gradient, i in ((emit, down, 0), (move, down_move, 2)):
             state[i] = 0.9 * state[i] + 0.1 * gradient
             state[i + 1] = 0.999 * state[i + 1] + 0.001 * gradient**2
@@ -264,65 +290,87 @@ def own_labels(found: list[Block]) -> list[int] | None:
     return [int(ok and not EXCLUDED.intersection(b.path)) for ok, b in zip(inside, found)]
 
 
-# Containers for rewritten pages, as (tag, attributes).
-CONTENT_PLACES = [("div", 'class="content"'), ("div", 'class="post"'), ("div", 'id="main"'), ("section", 'class="article-body"'), ("div", 'class="entry-content"'), ("div", ""), ("main", ""), ("article", ""), ("div", 'class="story"'), ("div", 'class="page"')]
-BOILER_PLACES = {
-    "menu": [("nav", ""), ("div", 'class="menu"'), ("ul", 'class="nav"'), ("div", 'id="navbar"'), ("div", 'class="breadcrumb"'), ("div", "")],
-    "header": [("header", ""), ("div", 'class="header"'), ("div", 'id="masthead"'), ("div", 'class="top"')],
-    "footer": [("footer", ""), ("div", 'class="footer"'), ("div", 'id="copyright"'), ("div", 'role="contentinfo"')],
-    "side": [("aside", ""), ("div", 'class="sidebar"'), ("div", 'class="related"'), ("div", 'class="widget"'), ("section", 'class="recommended"')],
-    "notice": [("div", 'class="cookie-notice"'), ("div", 'class="alert"'), ("div", 'id="consent-banner"'), ("div", 'class="popup"'), ("div", 'role="alert"')],
-    "advert": [("div", 'class="ad"'), ("div", 'class="advert"'), ("aside", 'class="sponsored"'), ("div", 'class="promo"')],
-    "form": [("form", ""), ("form", 'class="newsletter"'), ("div", 'class="subscribe"'), ("form", 'id="search"')],
-    "comments": [("div", 'class="comments"'), ("section", 'id="comments"'), ("ol", 'class="comment-list"'), ("div", 'class="responses"'), ("div", 'class="discussion"')],
-}
+# Containers for rewritten pages, as (tag, attributes), and forms of content in them, as (outer tags, tags of the
+# blocks, least and most words of a block).
+CONTENT_PLACES = [("div", 'class="content"'), ("div", 'class="post"'), ("div", 'id="main"'), ("section", 'class="article-body"'), ("div", 'class="entry-content"'), ("div", ""), ("main", ""), ("article", ""), ("div", 'class="story"'), ("div", 'class="page"'), ("div", 'class="text"'), ("body", "")]
+CONTENT_FORMS = [
+    ("ul", "li", 1, 15), ("ol", "li", 1, 15), ("ul li", "p", 3, 40), ("table tbody tr", "td th", 1, 6), ("table tr", "td th", 1, 6),
+    ("table tbody tr td", "p", 1, 30), ("dl", "dt dd", 1, 20), ("", "pre", 3, 100), ("figure", "pre figcaption", 2, 60),
+    ("", "blockquote", 5, 60), ("blockquote", "p", 5, 60), ("", "h2 h3 h4 h5", 1, 9), ("", "div", 3, 100), ("div", "div", 3, 60),
+    ("section", "h2 h3 p", 2, 60), ("details", "summary p", 2, 40), ("section", "address center", 2, 30),
+]
+WRAPPERS = [("div", 'class="has-sidebar"'), ("div", 'class="sticky-header"'), ("div", 'id="page-top"'), ("div", 'class="with-nav"'), ("div", 'class="wrap"')]
 
 
 def rewritten(found: list[Block], labels: list[int], words: list[str], rng: random.Random) -> tuple[list[Block], list[int]]:
-    """A labelled page with the same content blocks under another container and other blocks around them."""
+    """A labelled page with its content blocks in other forms under another container, and with other blocks around and between
+    them; one of 20 is left without content."""
     out, marks = [], []
 
-    def put(tag: str, path: tuple[str, ...], text: str, linked: int, label: int) -> None:
-        out.append(Block(text, tag, _path(path, tag, ""), linked))
+    def put(parent: Path, tag: str, text: str, label: int, linked: bool = False) -> None:
+        path = parent if tag == "" else _path(parent, tag, "")
+        out.append(Block(text, tag, path.features, len(text) if linked else 0))
         marks.append(label)
 
     def prose(low: int, high: int) -> str:
         start = rng.randrange(max(1, len(words) - high))
-        return " ".join(words[start : start + rng.randint(low, high)])
-
-    body = _path((), "body", "")
-
-    def extra(kind: str, parent: tuple[str, ...]) -> None:
-        tag, attributes = rng.choice(BOILER_PLACES[kind])
-        path = _path(parent, tag, attributes)
-        for _ in range(rng.randint(1, 5) if kind in ("menu", "side", "comments", "form") else rng.randint(1, 2)):
-            long = kind in ("comments", "side", "notice", "advert") and rng.random() < 0.7
+        text = " ".join(words[start : start + rng.randint(low, high)])
+        return text[:1].upper() + text[1:] if rng.random() < 0.5 else text
+
+    def down(path: Path, tags: str) -> Path:
+        for tag in tags.split():
+            path = _path(path, tag, "")
+        return path
+
+    def extra(kind: str, parent: Path) -> None:
+        tags, names = BOILER[kind]
+        tag = rng.choice(tags.split())
+        bare = tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.5 or kind == "menu" and rng.random() < 0.2
+        path = _path(parent, tag, "" if bare else f'{rng.choice(["class", "id", "role"])}="{rng.choice(names.split())}"')
+        # What stands deeper in such an element belongs to it, too.
+        inside = down(path, rng.choice(["", "", "", "div", "ul", "ol li", "div div", "ul li div", "table tr"]))
+        many = kind in ("menu", "side", "comments", "form")
+        if many and rng.random() < 0.4:
+            put(path, rng.choice(["h2", "h3", "h4", "p"]), prose(1, 4), 0)
+        for _ in range(rng.randint(1, 5 if many else 2)):
+            long = kind in ("comments", "side", "notice", "advert", "form") and rng.random() < 0.6
             text = prose(6, 60) if long else prose(1, 6)
             link = kind in ("menu", "side") and rng.random() < 0.8 or kind == "footer" and rng.random() < 0.4
-            inner = rng.choice(["li", "p", "div", "span"]) if kind != "form" else rng.choice(["label", "button", "option", "p", "div"])
-            if kind == "footer" and rng.random() < 0.5:
-                text = f"© {text}"
-            if inner == "span":
-                out.append(Block(text, tag, path, len(text) if link else 0))
-                marks.append(0)
-            else:
-                put(inner, path, text, len(text) if link else 0, 0)
+            inner = rng.choice("label button option p div".split() if kind == "form" else "li p p div div blockquote".split())
+            put(inside, inner if rng.random() < 0.8 else rng.choice(["p", "div"]), f"© {text}" if kind == "footer" and rng.random() < 0.5 else text, 0, link)
+
+    def content(b: Block, parent: Path) -> None:
+        if rng.random() < 0.4:
+            put(parent, b.tag if b.tag not in ("article", "main", "body", "html") else "p", b.text, 1)
+            return
+        outer, tags, low, high = rng.choice(CONTENT_FORMS)
+        parent, parts, at = down(parent, outer), b.text.split(), 0
+        for _ in range(8):
+            size = rng.randint(low, high)
+            text = " ".join(parts[at : at + size]) if rng.random() < 0.9 else str(rng.randint(0, 9999))
+            if not text:
+                break
+            put(parent, rng.choice(tags.split()), text, 1, rng.random() < 0.05)
+            at += size
 
+    body = down(ROOT, "body")
+    if rng.random() < 0.15:
+        body = _path(body, *rng.choice(WRAPPERS))
     for kind in ("notice", "menu", "header", "advert"):
         if rng.random() < 0.6:
             extra(kind, body)
-    tag, attributes = rng.choice(CONTENT_PLACES)
-    place = _path(body, tag, attributes)
-    content = [b for b, label in zip(found, labels) if label]
-    for i, b in enumerate(content):
-        put(b.tag if b.tag not in ("article", "main", "body", "html") else "p", place, b.text, b.linked, 1)
-        if rng.random() < 0.3 and i + 1 < len(content):
-            extra(rng.choice(["advert", "notice", "form", "side"]), place)
-    inner = place if rng.random() < 0.5 else body
-    for kind in ("comments", "form", "side"):
-        if rng.random() < 0.5:
-            extra(kind, inner)
-            inner = body if rng.random() < 0.5 else inner
+    inner = body
+    if rng.random() < 0.95:
+        tag, attributes = rng.choice(CONTENT_PLACES)
+        place = inner = body if tag == "body" else _path(body, tag, attributes)
+        kept = [b for b, label in zip(found, labels) if label]
+        for i, b in enumerate(kept):
+            content(b, place)
+            if rng.random() < 0.25 and i + 1 < len(kept):
+                extra(rng.choice(["advert", "notice", "form", "side", "menu", "comments"]), place)
+    for kind in rng.sample(["comments", "form", "side", "notice"], 4):
+        if rng.random() < 0.4:
+            extra(kind, inner if rng.random() < 0.6 else body)
     if rng.random() < 0.8:
         extra("footer", body)
     return out, marks
