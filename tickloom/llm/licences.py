@@ -9,7 +9,9 @@ window. Files named LICENSE, LICENCE, COPYING or NOTICE speak for their director
 without a licence of its own takes that of the nearest directory above it, by a join on the ancestors of its path.
 
 Defined results: null and empty texts have no own licence and inherit. A null path has no ancestors. Ties go to the
-licence that comes first by name. Repeated rows are scanned alike. Empty tables give no rows.
+licence that comes first by name. Rows are told apart by id, path and text together, so rows that share an id, or have
+none, each keep their own licence; rows equal in all three get equal results. Texts are scanned whole, however long.
+Empty tables give no rows. Columns beside id, path and text have no part in the scan, whatever their names.
 """
 
 from __future__ import annotations
@@ -194,16 +196,18 @@ def scan_lines(docs: DataFrame, key: str) -> DataFrame:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """files: (file_id, path, text), an id once. One row for each: its licence, where it comes from, and the cosine."""
-    found = scan_lines(files, "file_id")
-    own = cut(found.groupBy("file_id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "licence")).alias("best")).select("file_id", F.col("best.licence").alias("own"), (-F.col("best.less")).alias("similarity")))
+    """files: (file_id, path, text). One row for each: its licence, where it comes from, and the cosine."""
+    ident = F.md5(F.to_json(F.struct("file_id", "path", F.xxhash64("text").alias("text"))).cast("binary")).alias("row")
+    files = files.select("file_id", "path", "text", ident)
+    found = scan_lines(files, "row")
+    own = cut(found.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "licence")).alias("best")).select("row", F.col("best.licence").alias("own"), (-F.col("best.less")).alias("similarity")))
     parts = F.split("path", "/")
-    placed = files.select("file_id", "path", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))).alias("above"), F.element_at(parts, -1).alias("name")).join(if_small(own), "file_id", "left")
+    placed = files.select("row", "file_id", "path", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))).alias("above"), F.element_at(parts, -1).alias("name")).join(if_small(own), "row", "left")
     folders = placed.where(F.col("own").isNotNull() & F.col("name").rlike(LICENCE_FILE)).select(F.array_join("above", "/").alias("folder"), "own", "similarity")
     folders = cut(folders.groupBy("folder").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "own")).alias("best")).select("folder", F.col("best.own").alias("folder_licence")))
-    bare = placed.where(F.col("own").isNull() & F.col("path").isNotNull()).select("file_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("above")), lambda n: F.array_join(F.slice("above", F.lit(1), n), "/"))).alias("depth", "folder"))
-    nearest = bare.join(if_small(folders), "folder").groupBy("file_id").agg(F.max(F.struct("depth", "folder", "folder_licence")).alias("near"))
-    joined = placed.join(nearest, "file_id", "left")
+    bare = placed.where(F.col("own").isNull() & F.col("path").isNotNull()).select("row", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("above")), lambda n: F.array_join(F.slice("above", F.lit(1), n), "/"))).alias("depth", "folder"))
+    nearest = bare.join(if_small(folders), "folder").groupBy("row").agg(F.max(F.struct("depth", "folder", "folder_licence")).alias("near"))
+    joined = placed.join(nearest, "row", "left")
     licence = F.coalesce("own", "near.folder_licence")
     how = F.when(F.col("own").isNotNull() & F.col("name").rlike(LICENCE_FILE), "file").when(F.col("own").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     return joined.select("file_id", "path", licence.alias("licence"), how.alias("origin"), F.col("near.folder").alias("from_folder"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
@@ -213,6 +217,7 @@ def document_files(docs: DataFrame) -> DataFrame:
     """Documents as files of a tree: their source, then folders of a thousand and of ten ids.
 
     A document that opens or ends with a line that holds a licence word stands as the LICENSE file of its folder of a thousand.
+    A null id or source is left out of the path: without an id a document is a file named like its source.
     """
     ident = F.col("doc_id").cast("string")
     lines = F.split("text", "\n")
