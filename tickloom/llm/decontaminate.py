@@ -15,8 +15,14 @@ a stretch.
 Everything is built from DataFrame functions. The benchmark's hashes are broadcast if they are few (counted first), and
 joined by a shuffle else. The documents' windows are made and probed inside one stage; no text moves.
 
-Defined results: null and empty texts, and items without words, have no windows. Repeated rows give repeated results
-only once, as results are grouped by the two ids. Rows with null ids are matched like others.
+Hits are gathered by diagonal before any words are joined, so a text and an item that repeat one word take a row for
+each diagonal, not one for each pair of equal windows.
+
+Defined results: null and empty texts, items without words and empty tables give no rows. Repeated rows give repeated
+results only once, as results are grouped by the two ids. Rows with null ids are matched like others. Of several texts
+(or items) of one id the best passage of any of them is given. Of equally long passages the one compared on fewer places,
+then the first one, is given. Texts are used whole, however long. Only the columns of ids and text are read; others, of
+whatever names, stay in `decontaminate_stage` and have no part in `leaks`.
 """
 
 from __future__ import annotations
@@ -42,7 +48,8 @@ def word_codes(text: Column) -> Column:
 
 
 def coded(df: DataFrame, key: str, out: str) -> DataFrame:
-    return df.select(F.col(key).alias(out), word_codes(F.col("text")).alias(f"{out}_words"))
+    # The hash of the text tells texts of one id apart.
+    return df.select(F.col(key).alias(out), F.xxhash64("text").alias(f"{out}_key"), word_codes(F.col("text")).alias(f"{out}_words"))
 
 
 def _seeds(words: str, at: str, spans: list[tuple[int, tuple[int, ...]]]) -> Column:
@@ -68,31 +75,53 @@ def leaks(docs: DataFrame, benchmark: DataFrame, match: float = MATCH) -> DataFr
     starts = F.when(F.size("doc_id_words") >= least, F.sequence(F.lit(0), F.size("doc_id_words") - least))
     # The outer form keeps the optimiser from making the words twice. Up to the join all is one generated function, in
     # which rows refer to the document's words without copying them.
-    places = coded_docs.select("doc_id", "doc_id_words", F.explode_outer(starts).alias("doc_at"))
-    probes = places.select("doc_id", "doc_at", F.explode(_seeds("doc_id_words", "doc_at", spans)).alias("seed"))
-    hits = probes.join(if_small(seeds.select("item_seed", "item_id", "item_at")), F.col("seed") == F.col("item_seed"))
-    hits = cut(hits.select(F.col("doc_id").alias("hit_doc"), "doc_at", "item_id", "item_at").distinct())
-    wanted = if_small(cut(hits.select("hit_doc").distinct()))
-    again = coded(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left_semi"), "doc_id", "doc_id")
+    places = coded_docs.select("doc_id", "doc_id_key", "doc_id_words", F.explode_outer(starts).alias("doc_at"))
+    probes = places.select("doc_id", "doc_id_key", "doc_at", F.explode(_seeds("doc_id_words", "doc_at", spans)).alias("seed"))
+    hits = probes.join(if_small(seeds.select("item_seed", "item_id", "item_id_key", "item_at")), F.col("seed") == F.col("item_seed"))
+    hits = hits.select(F.col("doc_id").alias("hit_doc"), F.col("doc_id_key").alias("hit_key"), "item_id", F.col("item_id_key").alias("hit_item_key"), "doc_at", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+    # A diagonal holds as many places as its item has words, at most.
+    hits = cut(hits.groupBy("hit_doc", "hit_key", "item_id", "hit_item_key", "diagonal").agg(F.collect_set("doc_at").alias("places")))
+    wanted = if_small(cut(hits.select("hit_doc", "hit_key").distinct()))
+    again = coded(docs, "doc_id", "doc_id").join(wanted, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("doc_id_key") == F.col("hit_key")), "left_semi")
     texts = items.withColumnRenamed("item_id", "_item")
-    places, hits = hits, _laid(again, hits, texts)
-    before = F.least(F.col("doc_at"), F.col("item_at"), F.lit(CONTEXT))
-    after = F.least(F.size("doc_id_words") - F.col("doc_at"), F.size("item_id_words") - F.col("item_at"), F.lit(SPAN + CONTEXT))
-    compared = before + after
-    same = F.zip_with(F.slice("doc_id_words", F.col("doc_at") - before + 1, compared), F.slice("item_id_words", F.col("item_at") - before + 1, compared), lambda a, b: (a == b).cast("int"))
-    found = hits.select("doc_id", "item_id", F.aggregate(same, F.lit(0), lambda s, x: s + x).alias("matched"), compared.alias("compared"), (F.col("doc_at") - before).alias("position"))
-    good = found.where(F.col("matched") >= match * F.col("compared"))
-    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", -F.col("compared"), -F.col("position"))).alias("best"))
-    best = cut(best.select("doc_id", "item_id", F.col("best.matched").alias("matched"), (-F.col("best.col2")).alias("compared"), (-F.col("best.col3")).alias("position")))
+    laid = _laid(again, hits, texts).select("doc_id", "item_id", _passage(match).alias("best")).where(F.col("best").isNotNull())
+    best = laid.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    best = cut(best.select("doc_id", "item_id", F.col("best.matched").alias("matched"), (-F.col("best.fewer")).alias("compared"), (-F.col("best.earlier")).alias("position")))
     whole = best.select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_whole"))
-    rest = places.join(if_small(whole), F.col("hit_doc").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_whole")), "left_anti")
-    rest = cut(rest.select("hit_doc", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct())
-    return best.unionByName(_parts(_laid(again, rest, texts), match))
+    rest = hits.drop("places").join(if_small(whole), F.col("hit_doc").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_whole")), "left_anti")
+    return best.unionByName(_parts(_laid(again, cut(rest), texts), match))
 
 
 def _laid(docs: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
     """Hits with the words of their documents and items. The items are as many as the benchmark; hits hold a few numbers each."""
-    return docs.join(if_small(hits), F.col("doc_id").eqNullSafe(F.col("hit_doc"))).join(if_small(texts), F.col("item_id").eqNullSafe(F.col("_item")))
+    own = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("doc_id_key") == F.col("hit_key"))
+    return docs.join(if_small(hits), own).join(if_small(texts), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_id_key") == F.col("hit_item_key")))
+
+
+def _agreement() -> Column:
+    """1 where the words along the diagonal agree, 0 where not; its first place in the document is `_first()`."""
+    first = _first()
+    length = F.least(F.size("doc_id_words") - first, F.size("item_id_words") - (first - F.col("diagonal")))
+    return F.zip_with(F.slice("doc_id_words", first + 1, length), F.slice("item_id_words", first - F.col("diagonal") + 1, length), lambda a, b: (a == b).cast("int"))
+
+
+def _first() -> Column:
+    return F.greatest(F.col("diagonal"), F.lit(0))
+
+
+def _passage(match: float) -> Column:
+    """The best passage around the places of one diagonal, by most words matched, fewest compared and first place; null for none."""
+
+    def around(same: Column, p: Column) -> Column:
+        before = F.least(p, p - F.col("diagonal"), F.lit(CONTEXT))
+        compared = before + F.least(F.size("doc_id_words") - p, F.size("item_id_words") - p + F.col("diagonal"), F.lit(SPAN + CONTEXT))
+        matched = F.aggregate(F.slice(same, p - before - _first() + 1, compared), F.lit(0), lambda s, x: s + x)
+        return F.struct(matched.alias("matched"), (-compared).alias("fewer"), (before - p).alias("earlier"))
+
+    def best(same: Column) -> Column:
+        return F.array_max(F.filter(F.transform("places", lambda p: around(same, p)), lambda x: x["matched"] >= -match * x["fewer"]))
+
+    return _once(_agreement(), best)
 
 
 def _once(value: Column, use) -> Column:
@@ -136,14 +165,11 @@ def _longest(same: Column, match: float) -> Column:
 
 def _parts(laid: DataFrame, match: float) -> DataFrame:
     """The best joined stretches of each item in each document, from (doc_id, item_id, diagonal) with both texts' words."""
-    first = F.greatest(F.col("diagonal"), F.lit(0))
-    length = F.least(F.size("doc_id_words") - first, F.size("item_id_words") - (first - F.col("diagonal")))
-    same = F.zip_with(F.slice("doc_id_words", first + 1, length), F.slice("item_id_words", first - F.col("diagonal") + 1, length), lambda a, b: (a == b).cast("int"))
 
     def stretch(x: Column) -> Column:
         return _once(_longest(x, match), lambda w: F.struct(w["from"].alias("from"), F.slice(x, w["from"] + 1, w["to"] - w["from"]).alias("x")))
 
-    rows = laid.where(F.size("item_id_words") >= LEAST).select("doc_id", "item_id", "diagonal", first.alias("first"), _once(same, stretch).alias("s"))
+    rows = laid.where(F.size("item_id_words") >= LEAST).select("doc_id", "item_id", "diagonal", _first().alias("first"), _once(_agreement(), stretch).alias("s"))
     rows = rows.where(F.size("s.x") >= LEAST)
     head, tail = F.array_position("s.x", 1) - 1, F.array_position(F.reverse("s.x"), 1) - 1
     rows = rows.select(
