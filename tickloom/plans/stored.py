@@ -12,6 +12,7 @@ from tickloom.plans.queries import candles, query, ticks
 from tickloom.session import shared_folder, table
 from tickloom.sources import candles as cs
 from tickloom.sources import messages as ms
+from tickloom.sources import router
 from tickloom.sources import versioned
 from tickloom.streaming import candles as st
 
@@ -104,3 +105,42 @@ def s30_r11_handlers(spark, sf_dir):
     failed = ms.dispatched(batch, {"closes": ("value double", adding("closes", "data.value")), "users": ("user_id long", adding("users", "data.user_id"))}, 2, "retry", "dead")
     counts = failed.groupBy(F.lit(None).cast("string").alias("topic"), F.col("target").alias("outcome"), F.col("next_attempt").alias("attempt")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total"))
     return counts.unionByName(spark.read.parquet(f"{folder}/closes")).unionByName(spark.read.parquet(f"{folder}/users").withColumn("total", F.col("total").cast("double")))
+
+
+@query("""x AS (SELECT symbol, timestamp, close_price, day(timestamp) AS k, hour(timestamp) % 2 = 0 AND day(timestamp) IN (5, 6, 8) AS again FROM c), b AS (SELECT symbol, min(timestamp) AS lo, max(timestamp) AS hi FROM x WHERE again GROUP BY 1)
+ SELECT x.symbol, timestamp AS event_timestamp, close_price + CASE WHEN again THEN 2 WHEN k > 15 THEN 1 ELSE 0 END AS close_price
+ FROM x LEFT JOIN b USING (symbol) WHERE k <= 20 AND (again OR lo IS NULL OR NOT timestamp BETWEEN lo AND hi)""")
+def s19_store_router(spark, sf_dir):
+    """Two incremental batches that overlap, of which the first one's rows stay, and a backfill that replaces all in its
+    interval; the last batch comes twice."""
+    folder, rows = _folder(spark, "router"), candles(spark, sf_dir).select("symbol", F.col("timestamp").alias("event_timestamp"), "close_price")
+    day, price = F.dayofmonth("event_timestamp"), F.col("close_price")
+    router.route(spark, rows.where(day <= 15), folder, "incremental", "close_price", 0)
+    router.route(spark, rows.where(day.between(10, 20)).withColumn("close_price", price + 1), folder, "incremental", "close_price", 1)
+    again = rows.where((F.hour("event_timestamp") % 2 == 0) & day.isin(5, 6, 8)).withColumn("close_price", price + 2)
+    router.route(spark, again, folder, "backfill", "close_price", 2)
+    router.route(spark, rows, folder, "backfill", "close_price", 2)
+    return router.offline(spark, folder).select("symbol", "event_timestamp", "close_price")
+
+
+@query("""SELECT 'prices' AS view, symbol, max(timestamp) AS event_timestamp, 'close_price' AS name, arg_max(close_price, timestamp) AS value FROM c
+ WHERE day(timestamp) <= 20 OR symbol = (SELECT min(symbol) FROM c) GROUP BY 2
+ UNION ALL SELECT 'volumes', symbol, max(timestamp), 'volume', arg_max(volume, timestamp)::DOUBLE FROM c WHERE day(timestamp) <= 20 GROUP BY 2""")
+def s20_s21_views(spark, sf_dir):
+    """Two views are materialised by two intervals; later rows of one symbol are pushed into its view of prices, then older
+    ones, which change nothing."""
+    folder, rows = _folder(spark, "views"), candles(spark, sf_dir).select("symbol", F.col("timestamp").alias("event_timestamp"), "close_price", "volume")
+    day = F.dayofmonth("event_timestamp")
+    router.route(spark, rows.where(day <= 20), f"{folder}/offline", "incremental", "close_price")
+    symbols = rows.select("symbol").distinct()
+    kinds = (("prices", "observation", ["close_price", "absent"]), ("volumes", "context", ["volume"]), ("nothing", "observation", ["absent"]))
+    views = None
+    for view, role, columns in kinds:
+        made = symbols.select(F.lit(view).alias("view"), F.lit(role).alias("feature_role"), "symbol", F.array(*map(F.lit, columns)).alias("columns"))
+        views = made if views is None else views.unionByName(made)
+    ends = rows.agg(F.min("event_timestamp").alias("first"), F.max(F.when(day <= 10, F.col("event_timestamp"))).alias("middle"), F.max("event_timestamp").alias("last"), F.min("symbol").alias("symbol")).first()
+    router.materialise(spark, f"{folder}/offline", views, f"{folder}/online", ends["first"], ends["middle"])
+    router.materialise(spark, f"{folder}/offline", views, f"{folder}/online", ends["middle"], ends["last"])
+    for part in (day > 20, day <= 3):
+        router.push(spark, rows.where(part), views, "observation", ends["symbol"], f"{folder}/online")
+    return router.online(spark, f"{folder}/online").select("view", "symbol", "event_timestamp", F.explode("values").alias("name", "value"))

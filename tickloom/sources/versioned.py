@@ -58,8 +58,9 @@ def last_batch(spark: SparkSession, path: str) -> int | None:
     return None if listed is None else listed.agg(F.max("batch")).first()[0]
 
 
-def commit(spark: SparkSession, path: str, rows: DataFrame, partition: list[str], order: list[str], batch: int | None = None) -> bool:
-    """Put `rows` in the place of the partitions that they touch; False, and no change, if `batch` is in already.
+def commit(spark: SparkSession, path: str, rows: DataFrame, partition: list[str], order: list[str], batch: int | None = None, replaced: DataFrame | None = None) -> bool:
+    """Put `rows` in the place of the partitions that they touch, and of those in `replaced` (partition columns); False, and no
+    change, if `batch` is in already.
 
     One task writes a partition, sorted by `order`. Partition values are not null and need no escaping in a path.
     """
@@ -73,6 +74,8 @@ def commit(spark: SparkSession, path: str, rows: DataFrame, partition: list[str]
     placed = rows.withColumn("version", F.lit(version)).repartition(*partition).sortWithinPartitions(*partition, *order)
     placed.write.mode("append").partitionBy(*partition, "version").parquet(f"{path}/data")
     written = spark.read.schema(placed.schema).parquet(f"{path}/data").where(F.col("version") == version).select(*partition).distinct()
+    if before is not None and replaced is not None:
+        before = before.join(replaced.select(*partition).distinct(), partition, "left_anti")
     _publish(spark, path, number, written, version, partition, before, batch if batch is not None else known)
     return True
 
