@@ -22,6 +22,15 @@ def numbered(df: DataFrame, keys: list[str], ts: str, out: str = "row_no") -> Da
     return day.withColumn("_here", here).join(offsets, [*keys, "_day"]).withColumn(out, F.col("_before") + F.col("_here")).drop("_day", "_here", "_before")
 
 
+def newest_days(df: DataFrame, keys: list[str], ts: str, least: int) -> DataFrame:
+    """The rows of each key's last days, of as many as hold `least` rows (all days if there are fewer rows)."""
+    day = df.withColumn("_day", F.to_date(ts))
+    counts = day.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy(*keys).orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).where(F.col("_later") < least)
+    return day.join(wanted.select(*keys, "_day"), [*keys, "_day"], "left_semi").select(*df.columns)
+
+
 def running_sum(df: DataFrame, keys: list[str], ts: str, value: str, out: str) -> DataFrame:
     """Running sum by `ts` within `keys`; rows of equal time get the sum of all of them."""
     day = df.withColumn("_day", F.to_date(ts))

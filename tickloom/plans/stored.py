@@ -6,15 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import indicators as ind
+from tickloom.functions import registry
 from tickloom.operators import incremental
 from tickloom.operators.quality import clean
-from tickloom.plans.queries import candles, query, ticks
+from tickloom.plans.queries import SERIES, _wilder, candles, query, r, ticks
 from tickloom.session import shared_folder, table
 from tickloom.sources import candles as cs
 from tickloom.sources import messages as ms
 from tickloom.sources import router
 from tickloom.sources import versioned
 from tickloom.streaming import candles as st
+from tickloom.streaming import features as sf
 
 SHORT = "symbol, timestamp, open_price, high_price, low_price, close_price, volume"
 
@@ -144,3 +147,47 @@ def s20_s21_views(spark, sf_dir):
     for part in (day > 20, day <= 3):
         router.push(spark, rows.where(part), views, "observation", ends["symbol"], f"{folder}/online")
     return router.online(spark, f"{folder}/online").select("view", "symbol", "event_timestamp", F.explode("values").alias("name", "value"))
+
+
+VALUES = ("rsi_14", "close_value", "bb_upper", "atr_5")
+
+
+@query(f"""{SERIES}, g AS (SELECT symbol, i, timestamp, close_price AS close_value, greatest(s, 0) AS up, greatest(-s, 0) AS down, greatest(high_price - low_price, coalesce(abs(high_price - b), 0), coalesce(abs(low_price - b), 0)) AS tr,
+  CASE WHEN count(*) OVER v >= 20 THEN round(avg(close_price) OVER v + 2 * stddev_pop(close_price) OVER v, 6) END AS bb_upper FROM x WINDOW v AS (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING)),
+ {_wilder('g', 'up', 1, 14, 'u')}, {_wilder('g', 'down', 1, 14, 'w')}, {_wilder('g', 'tr', 0, 5, 'a')},
+ f AS (SELECT g.symbol, g.timestamp, round(CASE WHEN w.w <= 1e-12 * greatest(u.u, 1e-300) THEN 100.0 ELSE 100 - 100 / (1 + u.u / w.w) END, 6) AS rsi_14, round(close_value, 6) AS close_value, bb_upper, round(a.a, 6) AS atr_5
+  FROM g LEFT JOIN u USING (symbol, i) LEFT JOIN w USING (symbol, i) LEFT JOIN a USING (symbol, i)),
+ h AS (SELECT make_timestamp((epoch_us(min(timestamp)) + epoch_us(max(timestamp))) // 2) AS middle FROM f)
+ SELECT 'table' AS way, * FROM f UNION ALL SELECT 'stream', * FROM f
+ UNION ALL SELECT 'late', symbol, timestamp, NULL, NULL, NULL, NULL FROM f, h WHERE timestamp <= middle AND hour(timestamp) % 7 = 0
+ UNION ALL SELECT * FROM (SELECT 'latest', * FROM f QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1)""")
+def e1_e3_r9_one_definition(spark, sf_dir):
+    """Four features of every candle over the table, of each symbol's newest candle, and in a stream that stops in the middle and goes
+    on; when it goes on, some candles of the first half come again."""
+    folder, rows = _folder(spark, "features"), candles(spark, sf_dir)
+    wanted = [("rsi", {}), ("close", {}), ("bollinger", {"length": 20}), ("atr", {"length": 5})]
+    ends = rows.agg(F.min(F.unix_micros("timestamp")).alias("first"), F.max(F.unix_micros("timestamp")).alias("last")).first()
+    early = F.unix_micros("timestamp") <= ((ends["first"] or 0) + (ends["last"] or 0)) // 2
+    for part in (early, ~early | (F.hour("timestamp") % 7 == 0)):
+        rows.where(part).write.mode("append").parquet(f"{folder}/candles")
+        made = sf.updates(spark.readStream.schema(rows.schema).parquet(f"{folder}/candles"), wanted)
+        st.run_available(made, f"{folder}/out", f"{folder}/checkpoint")
+    ways = [
+        (F.lit("table"), registry.compute(rows, wanted)),
+        (F.when(F.col("late"), "late").otherwise("stream"), spark.read.parquet(f"{folder}/out")),
+        (F.lit("latest"), registry.latest(rows, wanted)),
+    ]
+    out = None
+    for way, frame in ways:
+        told = frame.select(way.alias("way"), "symbol", "timestamp", *[r(c).alias(c) for c in VALUES])
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query(f"""{SERIES}, g AS (SELECT symbol, i, timestamp, close_price, avg(close_price) OVER (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING) AS line,
+  greatest(high_price - low_price, coalesce(abs(high_price - b), 0), coalesce(abs(low_price - b), 0)) AS tr FROM x), {_wilder('g', 'tr', 0, 14, 'a')}
+ SELECT g.symbol, g.timestamp, CASE WHEN a.a > 0 THEN round((line - close_price) / a.a, 6) END AS distance FROM g LEFT JOIN a USING (symbol, i)""")
+def w7_distance(spark, sf_dir):
+    """How far the mean of ten closes is from the close."""
+    mean = ind.Trailing(9, lambda w: F.avg("close_price").over(w.rowsBetween(-9, 0)))
+    return ind.normalised_distance(ind.trailing_columns(candles(spark, sf_dir), line=mean), "line").select("symbol", "timestamp", r("distance").alias("distance"))

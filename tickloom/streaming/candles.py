@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.functions.timeframe import MINUTES, period_start
 from tickloom.operators import incremental
@@ -16,6 +14,7 @@ from tickloom.operators.resample import ohlcv
 from tickloom.sources import candles as cs
 from tickloom.sources import feature_store as fs
 from tickloom.sources.versioned import finished
+from tickloom.streaming.features import updates
 
 
 def closed_candles(ticks: DataFrame, timeframe: str, late: str = "10 minutes") -> DataFrame:
@@ -43,25 +42,8 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
 
 def rsi_updates(candles: DataFrame, length: int = 14) -> DataFrame:
-    """Incremental RSI: state by symbol is the averages, the last close and the number of candles, whatever the history."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, up, down = state.get if state.exists else (0, 0.0, 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("timestamp")
-        out = []
-        for ts, close in zip(rows["timestamp"], rows["close_price"]):
-            if n:
-                gain, loss = max(close - last, 0.0), max(last - close, 0.0)
-                if n <= length:
-                    up, down = up + gain / length, down + loss / length
-                else:
-                    up, down = (up * (length - 1) + gain) / length, (down * (length - 1) + loss) / length
-            n, last = n + 1, close
-            out.append((key[0], ts, (100.0 if down <= 1e-12 * max(up, 1e-300) else 100 - 100 / (1 + up / down)) if n > length else None))
-        state.update((n, last, up, down))
-        yield pd.DataFrame(out, columns=["symbol", "timestamp", "rsi"])
-
-    return candles.groupBy("symbol").applyInPandasWithState(step, "symbol string, timestamp timestamp, rsi double", "n long, last double, up double, down double", "append", GroupStateTimeout.NoTimeout)
+    """Incremental RSI of each candle, by `features.updates`."""
+    return updates(candles, [("rsi", {"length": length})]).select("symbol", "timestamp", F.col(f"rsi_{length}").alias("rsi"))
 
 
 def upsert_each_batch(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
