@@ -11,7 +11,8 @@ about one or two points per window enough.
 Signatures are cut into bands; documents that share a band are compared by the exact overlap of their multisets, and
 links of SIMILARITY or more join documents to classes (see components.links).
 
-Words are runs of letters and digits of the lower-cased text. Defined results: null and empty texts, and texts without
+Words are runs of letters, digits and
+all signs beyond ASCII (dashes and curly quotes too, see `hashing`) of the lower-cased text. Defined results: null and empty texts, and texts without
 words, form one class; a text of fewer than five words has one window, its word sequence, so it is near only its
 copies. Texts with the same words are copies. Repeated rows are copies of each other. Rows with a null id belong to
 classes like others; a class of such rows only has a null class_id. Very long texts are compared whole. An empty table

@@ -8,7 +8,8 @@ distance, also where only the order of passages changes.
 
 Defined results: null texts count as empty; texts without words share the all-zero fingerprint; a text of fewer than
 K words has one k-mer, its word sequence; one of fewer than L k-mers uses those it has. Equal texts have equal
-fingerprints. Words are runs of letters and digits of the lower-cased text. Repeated rows are ordered among
+fingerprints. Words are runs of letters, digits and
+all signs beyond ASCII (dashes and curly quotes too, see `hashing`) of the lower-cased text. Repeated rows are ordered among
 themselves by text. With one document only, that document is its own next one. Rows with null ids come last.
 """
 
