@@ -21,7 +21,7 @@ from tickloom.operators import dataset as ds
 from tickloom.operators import ordered, quality, stats
 from tickloom.operators import resample as rs
 from tickloom.plans import pipelines as pl
-from tickloom.session import table
+from tickloom.session import cut, table
 from tickloom.sources import candles as cs
 from tickloom.sources import feature_store as fs
 from tickloom.sources import messages as ms
@@ -83,20 +83,29 @@ def several(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    ship, order = F.col("l_shipdate").cast("timestamp"), F.col("o_orderdate").cast("timestamp")
+    # What a line item alone decides is worked out before the join, so that fewer and narrower columns are shuffled.
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return rows.select(
-        F.col("o_orderpriority").alias("strategy_id"), F.col("l_returnflag").alias("symbol"), F.least(ship, order).alias("entry_ts"),
-        F.when((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45), F.lit(None)).otherwise(F.greatest(ship, order)).alias("exit_ts"),
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("_ship"), F.coalesce((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45), F.lit(False)).alias("_open"),
         price.alias("entry_price"), F.col("l_quantity").alias("size"), F.when(F.col("l_partkey") % 2 == 0, 1).otherwise(-1).alias("direction"),
         (F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))).alias("profit"), F.when(F.col("l_linenumber") == 1, F.lit(None)).otherwise(0.9 * price).alias("stop_loss"),
     )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("strategy_id"), F.col("o_orderdate").cast("timestamp").alias("_ordered"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "strategy_id", "symbol", F.least("_ship", "_ordered").alias("entry_ts"), F.when(F.col("_open"), F.lit(None)).otherwise(F.greatest("_ship", "_ordered")).alias("exit_ts"),
+        "entry_price", "size", "direction", "profit", "stop_loss",
+    )
 
 
 def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = bt.closed(trades(spark, sf_dir)).groupBy("strategy_id", F.date_trunc("day", "exit_ts").alias("ts")).agg(F.sum("profit").alias("p"))
-    return days.select("strategy_id", "ts", (F.lit(1_000_000) + F.sum("p").over(Window.partitionBy("strategy_id").orderBy("ts"))).alias("equity"))
+    return curve(trades(spark, sf_dir))
+
+
+def curve(trades: DataFrame) -> DataFrame:
+    """The equity after each day of a strategy. Most queries read it several times, so it is checkpointed: the join that
+    trades come from runs once."""
+    days = bt.closed(trades).groupBy("strategy_id", F.date_trunc("day", "exit_ts").alias("ts")).agg(F.sum("profit").alias("p"))
+    return cut(days.select("strategy_id", "ts", (F.lit(1_000_000) + F.sum("p").over(Window.partitionBy("strategy_id").orderBy("ts"))).alias("equity")))
 
 
 def return_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
     import tempfile
 
     return tempfile.mkdtemp(prefix="tickloom-", dir="/tmp")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared folder: plans built on it read it from there."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
