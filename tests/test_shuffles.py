@@ -3,7 +3,7 @@
 import pytest
 
 from tickloom.operators import stats
-from tickloom.plans import queries
+from tickloom.plans import queries, validation  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +24,8 @@ def test_line_items_are_narrow_before_the_join(spark):
     join = plan(df).split("Join Inner")[1]
     kept = next(line for line in join.splitlines() if "Project [l_orderkey" in line)
     assert "profit" in kept and kept.count(" AS ") <= 3
+
+
+def test_the_validation_joins_trades_once(spark):
+    found = queries.QUERIES["a32_e5_validation"](spark, SF)
+    assert "l_orderkey" not in plan(found) and found.count() == 40
