@@ -21,6 +21,7 @@ gives no rows. Other columns may have any name; the filtering stage returns them
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,29 +156,44 @@ def verifier(texts: DataFrame, similarity: float):
     return verify
 
 
+#: Rows in which a task sends its counters: slices of the table of CELLS.
+SLICES = 16
+
+
 def ranked(texts: DataFrame, similarity: float, sets=bags) -> DataFrame:
-    """The prefixes of the multisets of each (node, text), as `prefixes` makes them. Only counters of fixed size and the
-    prefixes leave a task."""
+    """(node, central, element, before) of each (node, text): the prefixes of their multisets, as `prefixes` makes them, a
+    row for each node. Only counters of fixed size and the prefixes leave a task."""
+    width = CELLS // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(CELLS, np.int64)
         for batch in batches:
             seen += np.bincount(cells(sets(list(batch["text"]))[1]), minlength=CELLS)
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"cell": at, "n": seen[at]})
+        parts = [(k, part) for k, part in enumerate(seen.reshape(SLICES, width)) if part.any()]
+        yield pd.DataFrame({"slice": [k for k, _ in parts], "counts": [zlib.compress(part.tobytes(), 1) for _, part in parts]})
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(width, np.int64)
+        for counts in part["counts"]:
+            total += np.frombuffer(zlib.decompress(counts), np.int64)
+        return pd.DataFrame({"slice": part["slice"].iloc[:1], "counts": [total.tobytes()]})
 
     counters = np.zeros(CELLS, np.int64)
-    found = texts.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
-    counters[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    layout = "slice int, counts binary"
+    for r in texts.mapInPandas(count, layout).groupBy("slice").applyInPandas(add, layout).collect():  # SLICES rows at most
+        counters[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     shared = texts.sparkSession.sparkContext.broadcast(counters)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text, window, weight, _ = sets(list(batch["text"]))
             out = prefixes(text, window.view(np.int64), weight, len(batch), shared.value, similarity)
-            yield pd.DataFrame({"node": batch["node"].to_numpy()[out.pop("owner")]} | out)
+            rare, central = out["df"] > 1, np.zeros(len(batch))
+            central[out["owner"]] = out["central"]
+            bounds = np.searchsorted(out["owner"][rare], np.arange(1, len(batch)))
+            yield pd.DataFrame({"node": batch["node"].to_numpy(), "central": central, "element": np.split(out["element"][rare], bounds), "before": np.split(out["before"][rare], bounds)})
 
-    return texts.mapInPandas(rank, "node long, element long, df long, before long, place long, central double")
+    return texts.mapInPandas(rank, "node long, central double, element array<long>, before array<long>")
 
 
 def summed(texts: DataFrame, sets=bags) -> DataFrame:
@@ -198,7 +214,9 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spot = F.struct("doc_id", "tkey")
     nodes = rows.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), spot)).alias("spot"), F.min("tkey").alias("tkey"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes.select("node", "tkey", "n", "spot.doc_id", F.col("spot.tkey").alias("spot_tkey")))
-    members = cut(crowded(rows.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))))
+    # Copies are one before their bands become rows.
+    distinct = rows.select("node", "bands").dropDuplicates(["node"])
+    members = cut(crowded(distinct.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))))
     wanted = nodes.select("node", "tkey").join(members.select(F.col("id").alias("node")).distinct(), "node")
     # One row gives a node's text: one with the node's least text hash, and of these that of the least id.
     holder = cut(rows.join(wanted, ["node", "tkey"]).groupBy("node", "tkey").agg(F.min("doc_id").alias("holder")))

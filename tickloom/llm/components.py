@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, if_small
@@ -44,11 +44,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """The (bucket, id) rows of buckets that hold several ids, with the least of them, `leader`; repeated rows are one."""
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader < most")
-    leaders = cut(leaders.select("bucket", "leader"))
-    kept = cut(members.join(if_small(leaders.select("bucket")), "bucket", "left_semi"))
-    return kept.distinct().join(leaders, "bucket")
+    """The (bucket, id) rows of buckets that hold several ids, with the least of them, `leader`; repeated rows are one.
+
+    The rows are shuffled once, by bucket; most of them are alone in their bucket and end there."""
+    bucket = Window.partitionBy("bucket")
+    ends = members.select("bucket", "id", F.min("id").over(bucket).alias("leader"), F.max("id").over(bucket).alias("most"))
+    return ends.where("leader < most").select("bucket", "id", "leader").dropDuplicates(["bucket", "id"])
 
 
 #: Buckets of more members than this are not compared pair by pair.
@@ -72,7 +73,8 @@ def links(members: DataFrame, summed: DataFrame, verify: Callable[[DataFrame], D
     """(node, component) for the nodes that a verified link joins to another.
 
     members: what `crowded` gives. summed: node and SUMMARY of every member, checkpointed. verify: (a, b) pairs to those
-    of Jaccard similarity `similarity` or more. features: (node) rows to what `prefixes` gives for their sets.
+    of Jaccard similarity `similarity` or more. features: (node) rows to (node, central, element, before): what `prefixes`
+    gives for their sets, elements of the prefix and the weights before them as arrays.
 
     Every member is compared with the leaders of all its buckets. That settles buckets of two, and those whose other
     members are in one component. In what is left, pairs of different components are compared, in buckets of up to SMALL
@@ -96,20 +98,21 @@ def links(members: DataFrame, summed: DataFrame, verify: Callable[[DataFrame], D
     if large.isEmpty():
         more = cut(more)
         return label if more.isEmpty() else components(stars.unionByName(more))
-    ranked = cut(features(large.select(F.col("id").alias("node")).distinct()))
     # Members of which no rare element is another's have no link left to find.
-    nodes = ranked.where("place = 1").select("node", "central").join(ranked.where("df > 1").select("node").distinct(), "node")
-    weighed = large.withColumnRenamed("id", "node").join(nodes, "node")
+    ranked = cut(features(large.select(F.col("id").alias("node")).distinct()).where(F.size("element") > 0))
+    weighed = large.withColumnRenamed("id", "node").join(ranked.select("node", "central"), "node")
     central = weighed.groupBy("bucket").agg(F.max(F.struct("central", "node", "component")).alias("m"))
     central = cut(of(central.select("bucket", F.col("m.node").alias("a"), F.col("m.component").alias("component_x")), "a", "x"))
     second = of(weighed.withColumnRenamed("node", "b"), "b", "y").join(if_small(central), "bucket").where((F.col("component") != F.col("component_x")) & _possible(similarity))
     more = cut(more.unionByName(verify(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
     label = cut(components(stars.unionByName(more)))
     stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    named = ranked.where("df > 1").select("element", "node", "before").join(if_small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = named.groupBy("element").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("element")
-    named = cut(named.join(several, "element"))
-    x, y = (of(named.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "before")]), f"node_{side}", side) for side in "xy")
+    # Only members of buckets that still hold several components go on; what is known of a node is joined before its
+    # elements become rows.
+    left = _unsettled(large.select("bucket", "id"), label).select(F.col("id").alias("node"), "component").distinct()
+    named = cut(ranked.select("node", F.arrays_zip("element", "before").alias("rare")).join(left, "node").join(if_small(summed), "node"))
+    side = lambda s: named.select("node", "component", *SUMMARY, F.inline("rare")).select("element", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "before", *SUMMARY)])
+    x, y = side("x"), side("y")
     after = F.least(F.col("size_x") - F.col("before_x"), F.col("size_y") - F.col("before_y"))
     enough = after >= similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
     third = x.join(y, (x["element"] == y["element"]) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & enough & _possible(similarity))
