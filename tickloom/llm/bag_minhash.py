@@ -29,8 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, fresh, if_small, small_batches, table
-from tickloom.llm.components import CELLS, SUMMARY, cells, crowded, links, prefixes, summaries
+from tickloom.llm.common import cut, fresh, if_small, of_pairs, small_batches, table
+from tickloom.llm.components import BITS, CELLS, cells, crowded, links, prefixes, summaries, summary
 from tickloom.llm.hashing import mix, windows, word_hashes
 
 WORDS = 5
@@ -150,7 +150,9 @@ def verifier(texts: DataFrame, similarity: float):
                 yield part[["a", "b"]][overlaps(list(part["text_a"]), list(part["text_b"])) >= similarity]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+        pairs = cut(pairs)
+        held = of_pairs(texts, pairs)
+        of = lambda side: held.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
         return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
     return verify
@@ -196,15 +198,15 @@ def ranked(texts: DataFrame, similarity: float, sets=bags) -> DataFrame:
     return texts.mapInPandas(rank, "node long, central double, element array<long>, before array<long>")
 
 
-def summed(texts: DataFrame, sets=bags) -> DataFrame:
-    """(node, SUMMARY) of each (node, text); `sets` makes their multisets, as `bags` does."""
+def summed(texts: DataFrame, sets=bags, words: int = BITS) -> DataFrame:
+    """node and the `summary` of so many words of each (node, text); `sets` makes their multisets, as `bags` does."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text, window, weight, _ = sets(list(batch["text"]))
-            yield pd.DataFrame({"node": batch["node"].to_numpy()} | summaries(text, window, weight, len(batch)))
+            yield pd.DataFrame({"node": batch["node"].to_numpy()} | summaries(text, window, weight, len(batch), words))
 
-    return texts.mapInPandas(run, "node long, " + ", ".join(f"{c} long" for c in SUMMARY))
+    return texts.mapInPandas(run, "node long, " + ", ".join(f"{c} long" for c in summary(words)))
 
 
 def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, written once as Parquet in the shared folder: later plans read the columns they need, and a wide column takes
+    less room than in a checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def thin(df: DataFrame, key: Column, counts: DataFrame, label: str, bound: int) -> DataFrame:
     """About `bound` rows of each label, chosen by a hash of `key`, so the choice does not depend on partitioning.
 
@@ -75,6 +86,14 @@ def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (total or 0) <= limit else df
 
 
+def of_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of `texts` (node, ...) that `pairs` (a, b; checkpointed) name; all rows if the pairs are too many to be sent
+    to all tasks."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    rows = BROADCAST_BYTES // 16
+    return texts.join(F.broadcast(nodes), "node", "left_semi") if nodes.limit(rows + 1).count() <= rows else texts
+
+
 def fresh(columns: list[str], name: str) -> str:
     """`name`, lengthened until no column has it."""
     taken = {c.lower() for c in columns}

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, if_small
+from tickloom.llm.common import BROADCAST_BYTES, cut, if_small
 from tickloom.llm.hashing import mix
 
 
@@ -32,11 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
         if state["n"] == 0 or (state["n"], state["h"]) == before:
             break
         before = (state["n"], state["h"])
+        # n edges have at most 2 n nodes of two numbers each. Where these can be sent to all tasks, edges stay in place.
+        few = state["n"] <= BROADCAST_BYTES // 48
+        sent = F.broadcast if few else lambda frame: frame
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        large = both.join(sent(least), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where(F.col("u") != F.col("v"))
+        large = large if few else large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(sent(least), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")))
     found = found.unionByName(loops.select("node", F.col("node").alias("component")))
@@ -54,25 +58,29 @@ def crowded(members: DataFrame) -> DataFrame:
 
 #: Buckets of more members than this are not compared pair by pair.
 SMALL = 64
-#: Words of 64 bits in which the parities of a set's elements are summed up.
+#: Words of 64 bits in which the parities of a set's elements are summed up, unless sets are known to be short.
 BITS = 8
-SUMMARY = ["size", *(f"bits_{k}" for k in range(BITS))]
 
 
-def summaries(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) -> dict[str, np.ndarray]:
+def summary(words: int = BITS) -> list[str]:
+    """The columns of a summary."""
+    return ["size", *(f"bits_{k}" for k in range(words))]
+
+
+def summaries(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, words: int = BITS) -> dict[str, np.ndarray]:
     """For n sets of weighted elements: their weights, and the xor of one bit for each element of odd weight. Two sets
-    differ by as much weight as bits at least."""
-    bits = np.zeros((n, BITS), np.uint64)
+    differ by as much weight as bits at least, however many words there are."""
+    bits = np.zeros(n * words, np.uint64)
     odd = weight % 2 == 1
     spot = mix(element[odd].astype(np.uint64))
-    np.bitwise_xor.at(bits, (owner[odd], (spot >> np.uint64(6)) % np.uint64(BITS)), np.uint64(1) << (spot & np.uint64(63)))
-    return {"size": np.bincount(owner, weight, n).astype(np.int64)} | {f"bits_{k}": bits[:, k].view(np.int64) for k in range(BITS)}
+    np.bitwise_xor.at(bits, owner[odd] * words + ((spot >> np.uint64(6)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
+    return dict(zip(summary(words), [np.bincount(owner, weight, n).astype(np.int64), *bits.view(np.int64).reshape(n, words).T]))
 
 
 def links(members: DataFrame, summed: DataFrame, verify: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, component) for the nodes that a verified link joins to another.
 
-    members: what `crowded` gives. summed: node and SUMMARY of every member, checkpointed. verify: (a, b) pairs to those
+    members: what `crowded` gives. summed: node and `summary` of every member, checkpointed. verify: (a, b) pairs to those
     of Jaccard similarity `similarity` or more. features: (node) rows to (node, central, element, before): what `prefixes`
     gives for their sets, elements of the prefix and the weights before them as arrays.
 
@@ -85,37 +93,43 @@ def links(members: DataFrame, summed: DataFrame, verify: Callable[[DataFrame], D
     `similarity` of the whole: pairs at `similarity` always share one (see `prefixes`), so no link is lost, and as rare
     elements come first, few others do.
     """
-    of = lambda frame, on, side: frame.join(if_small(summed).select(F.col("node").alias(on), *[F.col(c).alias(f"{c}_{side}") for c in SUMMARY]), on)
+    kept, possible = [c for c in summed.columns if c != "node"], _possible(similarity, len(summed.columns) - 2)
+    known = if_small(summed)
+    sided = lambda side: [F.col(c).alias(f"{c}_{side}") for c in kept]
+    of = lambda frame, on, side: frame.join(known.select(F.col("node").alias(on), *sided(side)), on)
     first = members.where(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    good = cut(verify(of(of(first, "a", "x"), "b", "y").where(_possible(similarity)).select("a", "b")))
+    good = cut(verify(of(of(first, "a", "x"), "b", "y").where(possible).select("a", "b")))
     label = cut(components(good))
     stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
     unsettled = cut(_unsettled(members.where(F.col("id") != F.col("leader")).select("bucket", "id"), label))
+    # From here on only the summaries of unsettled members are wanted.
+    known = if_small(cut(summed.join(if_small(cut(unsettled.select(F.col("id").alias("node")).distinct())), "node", "left_semi")))
     large = unsettled.where(F.col("n") > SMALL)
-    x, y = (of(unsettled.where(F.col("n") <= SMALL).select("bucket", F.col("id").alias(f"id_{side}"), F.col("component").alias(f"component_{side}")), f"id_{side}", side) for side in "xy")
-    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & _possible(similarity))
+    near = unsettled.where(F.col("n") <= SMALL).select("bucket", F.col("id").alias("node"), "component").join(known, "node")
+    x, y = (near.select("bucket", F.col("node").alias(f"id_{side}"), F.col("component").alias(f"component_{side}"), *sided(side)) for side in "xy")
+    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & possible)
     more = verify(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())
     if large.isEmpty():
         more = cut(more)
         return label if more.isEmpty() else components(stars.unionByName(more))
     # Members of which no rare element is another's have no link left to find.
-    ranked = cut(features(large.select(F.col("id").alias("node")).distinct()).where(F.size("element") > 0))
-    weighed = large.withColumnRenamed("id", "node").join(ranked.select("node", "central"), "node")
-    central = weighed.groupBy("bucket").agg(F.max(F.struct("central", "node", "component")).alias("m"))
-    central = cut(of(central.select("bucket", F.col("m.node").alias("a"), F.col("m.component").alias("component_x")), "a", "x"))
-    second = of(weighed.withColumnRenamed("node", "b"), "b", "y").join(if_small(central), "bucket").where((F.col("component") != F.col("component_x")) & _possible(similarity))
+    ranked = cut(features(if_small(cut(large.select(F.col("id").alias("node")).distinct()))).where(F.size("element") > 0).join(known, "node"))
+    weighed = large.withColumnRenamed("id", "node").join(if_small(ranked.select("node", "central", *kept)), "node")
+    central = weighed.groupBy("bucket").agg(F.max(F.struct("central", "node", "component", *kept)).alias("m"))
+    central = cut(central.select("bucket", F.col("m.node").alias("a"), F.col("m.component").alias("component_x"), *[F.col(f"m.{c}").alias(f"{c}_x") for c in kept]))
+    second = weighed.select("bucket", F.col("node").alias("b"), "component", *sided("y")).join(if_small(central), "bucket").where((F.col("component") != F.col("component_x")) & possible)
     more = cut(more.unionByName(verify(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
     label = cut(components(stars.unionByName(more)))
     stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
     # Only members of buckets that still hold several components go on; what is known of a node is joined before its
     # elements become rows.
     left = _unsettled(large.select("bucket", "id"), label).select(F.col("id").alias("node"), "component").distinct()
-    named = cut(ranked.select("node", F.arrays_zip("element", "before").alias("rare")).join(left, "node").join(if_small(summed), "node"))
-    side = lambda s: named.select("node", "component", *SUMMARY, F.inline("rare")).select("element", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "before", *SUMMARY)])
+    named = cut(ranked.select("node", F.arrays_zip("element", "before").alias("rare"), *kept).join(left, "node"))
+    side = lambda s: named.select("node", "component", *kept, F.inline("rare")).select("element", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "before", *kept)])
     x, y = side("x"), side("y")
     after = F.least(F.col("size_x") - F.col("before_x"), F.col("size_y") - F.col("before_y"))
     enough = after >= similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
-    third = x.join(y, (x["element"] == y["element"]) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & enough & _possible(similarity))
+    third = x.join(y, (x["element"] == y["element"]) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & enough & possible)
     more = cut(verify(third.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()))
     return label if more.isEmpty() else components(stars.unionByName(more))
 
@@ -156,8 +170,8 @@ def prefixes(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     return {"owner": owner[kept], "element": element[kept], "df": df[kept], "before": before[kept].astype(np.int64), "place": place[kept], "central": central[owner[kept]]}
 
 
-def _possible(similarity: float) -> Column:
+def _possible(similarity: float, words: int) -> Column:
     """False only for two nodes that cannot reach `similarity`: by their sizes, or by the bits in which they differ."""
     a, b = F.col("size_x"), F.col("size_y")
-    differ = sum((F.bit_count(F.col(f"bits_{k}_x").bitwiseXOR(F.col(f"bits_{k}_y"))) for k in range(BITS)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"bits_{k}_x").bitwiseXOR(F.col(f"bits_{k}_y"))) for k in range(words)), F.lit(0))
     return (F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * (a + b) + 1e-6)

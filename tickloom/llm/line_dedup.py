@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.bag_minhash import ranked, summed
-from tickloom.llm.common import cut, fresh, if_small, small_batches, table
+from tickloom.llm.common import cut, fresh, if_small, of_pairs, small_batches, stored, table
 from tickloom.llm.components import crowded, links
 from tickloom.llm.hashing import _powers, mix
 
@@ -34,9 +34,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 5
 M = BANDS * ROWS
 EMPTY = np.uint32(0xFFFFFFFF)
-#: Characters that a worker handles at a time, and lines whose bands it remembers to have sent.
-SLAB = 1_000_000
+#: Characters that a worker handles at a time, and lines whose bands it remembers to have sent. A character takes some 300
+#: bytes while its shingles are hashed.
+SLAB = 100_000
 SENT = 1_000_000
+#: Words of a line's summary: lines are short, so more of them say little.
+WORDS = 4
 
 
 @functools.lru_cache(1)
@@ -150,12 +153,17 @@ def jaccard(left: list[str], right: list[str]) -> np.ndarray:
     """Jaccard similarity of the shingle sets of each pair of raw lines."""
     distinct = {t: i for i, t in enumerate(dict.fromkeys([*left, *right]))}
     line, h, _, _ = sets(list(distinct))
-    bounds = np.searchsorted(line, np.arange(len(distinct) + 1)).tolist()
-    values = h.tolist()
-    own = [frozenset(values[a:b]) for a, b in zip(bounds, bounds[1:])]
-    pairs = [(own[distinct[a]], own[distinct[b]]) for a, b in zip(left, right)]
-    common = [len(a & b) for a, b in pairs]
-    return np.array([n / (len(a) + len(b) - n) if a and b else float(a == b) for n, (a, b) in zip(common, pairs)])
+    key = (line.astype(np.uint64) << np.uint64(48)) | h
+    bounds = np.searchsorted(line, np.arange(len(distinct) + 1))
+    a, b = (np.fromiter((distinct[t] for t in side), np.int64, len(side)) for side in (left, right))
+    sizes = np.diff(bounds)
+    both = sizes[a] + sizes[b]
+    a, b = np.where(sizes[a] <= sizes[b], a, b), np.where(sizes[a] <= sizes[b], b, a)  # the smaller set is looked up
+    pair = np.repeat(np.arange(len(a)), sizes[a])
+    at = bounds[a][pair] + np.arange(len(pair)) - np.concatenate([[0], np.cumsum(sizes[a])])[pair]
+    wanted = (b[pair].astype(np.uint64) << np.uint64(48)) | h[at]
+    common = np.bincount(pair[key[np.minimum(np.searchsorted(key, wanted), len(key) - 1)] == wanted], minlength=len(a))
+    return np.where(both > 0, common / np.maximum(both - common, 1), 1.0)
 
 
 def verifier(texts: DataFrame, similarity: float):
@@ -166,7 +174,9 @@ def verifier(texts: DataFrame, similarity: float):
             yield batch.loc[jaccard(list(batch["text_a"]), list(batch["text_b"])) >= similarity, ["a", "b"]]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+        pairs = cut(pairs)
+        held = of_pairs(texts, pairs)
+        of = lambda side: held.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
         return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
     return verify
@@ -175,7 +185,7 @@ def verifier(texts: DataFrame, similarity: float):
 def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, tkey, line, component, first) for the lines of components of several lines; first tells whether the line
     is the first of its component."""
-    rows = cut(signed(docs))
+    rows = stored(signed(docs))
     members = cut(crowded(rows.where(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))))
     at = F.min(F.struct("doc_id", "tkey", "line")).alias("at")
     places = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), at)
@@ -190,7 +200,7 @@ def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     texts = texts.select(F.split("text", "\n").alias("lines"), "held")
     texts = texts.select(F.explode(F.transform("held", lambda x: F.struct(x["node"].alias("node"), F.get("lines", x["line"]).alias("text")))).alias("held")).select("held.*")
     texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")))
-    found = links(members, cut(summed(texts, sets)), verifier(texts, similarity), lambda nodes: ranked(texts.join(nodes, "node"), similarity, sets), similarity)
+    found = links(members, cut(summed(texts, sets, WORDS)), verifier(texts, similarity), lambda nodes: ranked(texts.join(nodes, "node"), similarity, sets), similarity)
     of_node = places.join(if_small(cut(found)), "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     kept = of_node.groupBy("component").agg(F.min("at").alias("at"))
     several = cut(of_node.select("node", "component").join(kept.select("component", at_doc, at_text, at_line), "component"))
