@@ -6,26 +6,51 @@ byte-level one puts a single space in front of the word that follows and makes p
 word they split letters from the signs behind them, so words are learnt as a stem and its signs. Stems are given to the
 library many in one text, whose ids are cut again at the tokens that end a word (word tokenizer) or begin with its space
 (byte level). Byte-level texts with control characters that the library and Python class differently are encoded whole.
+
+The words of a batch are told apart by Arrow's dictionary encoding, so the memo is asked once for each distinct word, and
+lists of ids are put together by Arrow's `take`.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words in the memo at most; when full, those seen once are dropped. Longer words than LONG are not kept.
-MEMO = 800_000
+#: Words in the memo at most, some 270 bytes each; when it is full, the half seen most stays. Longer words than LONG are not
+#: kept.
+MEMO = 300_000
 LONG = 64
 IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|\0")
 SEPARATORS = re.compile("[\x00\x1c-\x1f]")
 PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
 #: Signs that are no part of a contraction.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters of which every tokenizer makes words in the same way, in either case.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130")
 #: Stems that the library gets in one text.
 JOINED = 200
 
+#: Lists of ids, one behind the other, and where each begins; the last number is the end.
+Lists = tuple[np.ndarray, np.ndarray]
+
+
+def taken(lists: Lists, rows: np.ndarray) -> Lists:
+    """The lists of these rows."""
+    ids, starts = lists
+    found = pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), pa.array(ids, pa.uint32())).take(pa.array(rows, pa.int64()))
+    offsets = found.offsets.to_numpy()
+    return found.flatten().to_numpy(), offsets - offsets[0]
+
+
+def joined(*parts: Lists) -> Lists:
+    """All lists of all parts, in order."""
+    ends = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], *(starts[1:] + end for (_, starts), end in zip(parts, ends))])
+
 
 class TextEncoder:
     """ids of texts; `byte_level` tells how the tokenizer treats spaces."""
@@ -44,98 +69,95 @@ class TextEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("\u0120") if byte_level else token.endswith("</w>")
-        self.clear()
-
-    def clear(self) -> None:
+        self.plain = re.compile(f"({' ' * byte_level}[{LETTERS}]+)([{re.escape(SIGNS)}]*)").fullmatch
         self.memo: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.lists: Lists = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.seen = np.zeros(0, np.int64)
 
     def forget(self) -> None:
-        """Drop the words seen once; all of them if that leaves more than half the room taken."""
+        """Drop the words seen once, and all but the half of the room that was seen most."""
         keep = np.flatnonzero(self.seen > 1)
         if len(keep) > MEMO // 2:
-            return self.clear()
+            keep = np.sort(keep[np.argpartition(self.seen[keep], len(keep) - MEMO // 2)[len(keep) - MEMO // 2 :]])
         words = list(self.memo)
-        sizes = np.diff(self.starts)[keep]
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        self.flat = self.flat[np.repeat(self.starts[keep] - starts[:-1], sizes) + np.arange(starts[-1])]
         self.memo = {words[i]: n for n, i in enumerate(keep.tolist())}
-        self.starts, self.seen = starts, np.ones(len(keep), np.int64)
+        self.lists, self.seen = taken(self.lists, keep), np.ones(len(keep), np.int64)
 
-    def units(self, text: str) -> list[str]:
+    def units(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, and how many each text has."""
         if not self.byte_level:
-            return text.replace("\n", " ").split(" ")
+            split = pc.split_pattern(pc.replace_substring(pa.array([t or "" for t in texts], pa.large_string()), "\n", " "), " ")
+            return split.flatten(), np.diff(split.offsets.to_numpy())
+        parts = [self.pieces(t) if t else [] for t in texts]
+        return pa.array(list(chain.from_iterable(parts)), pa.large_string()), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def pieces(self, text: str) -> list[str]:
         if IRREGULAR.search(text):
             return [text] if SEPARATORS.search(text) else PIECES.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def library(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def library(self, words: list[str]) -> Lists:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        starts = np.concatenate([[0], ends]).astype(np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(starts[-1])), starts
 
     def stem(self, word: str) -> tuple[str, str]:
-        """The letters of a word, lower-cased where case does not count, and the signs behind them; ("", word) if it is
-        not of that kind."""
-        lead = " " if self.byte_level and word[:1] == " " else ""
-        letters = word[len(lead) :].rstrip(SIGNS)
-        if not letters.isalpha() or (self.byte_level and not lead) or max(letters) >= "\u0250" or "\u0130" in letters:
-            return "", word
-        return lead + (letters if self.byte_level else letters.lower()), word[len(lead) + len(letters) :]
-
-    def stem_ids(self, stems: list[str]) -> list[list[int]]:
+        """The letters of a word and the signs behind them; ("", word) if it is not of that kind."""
+        found = self.plain(word)
+        return found.groups() if found else ("", word)
+
+    def stem_ids(self, stems: list[str]) -> Lists:
         """The ids of stems, by texts of JOINED stems each."""
-        out: list[list[int]] = []
         between = "" if self.byte_level else " "
-        for ids in self.library([between.join(stems[i : i + JOINED]) for i in range(0, len(stems), JOINED)]):
-            edges = np.flatnonzero(self.edge[ids]).tolist()
-            cuts = [*edges, len(ids)] if self.byte_level else [0, *(e + 1 for e in edges)]
-            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        """Add the ids of new words."""
-        split = {word: self.stem(word) for word in words}
-        known = lambda part: self.flat[self.starts[i] : self.starts[i + 1]].tolist() if (i := self.memo.get(part)) is not None else None
-        stems = {s for s, _ in split.values() if s}
-        ids = {s: k for s in stems & self.memo.keys() if (k := known(s)) is not None}
-        stems = sorted(stems - ids.keys())
-        ids.update(zip(stems, self.stem_ids(stems), strict=True))
-        tails = sorted({t for _, t in split.values()})
-        signs = dict(zip(tails, self.library(tails)))
-        lists = [ids[s] + signs[t] if s else signs[t] for s, t in split.values()]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.memo.update(zip(split, range(len(self.starts) - 1, len(self.starts) - 1 + len(lists))))
-        self.seen = np.concatenate([self.seen, np.zeros(len(lists), np.int64)])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        ids, _ = self.library([between.join(stems[i : i + JOINED]) for i in range(0, len(stems), JOINED)])
+        edges = np.flatnonzero(self.edge[ids])
+        starts = np.append(edges, len(ids)) if self.byte_level else np.concatenate([[0], edges + 1])
+        if len(starts) != len(stems) + 1:
+            raise ValueError("the tokenizer does not tell words apart by their ids")
+        return ids, starts
+
+    def learnt(self, words: list[str]) -> Lists:
+        """The ids of new words."""
+        split = list(map(self.stem, words))
+        stems, tails = [s for s, _ in split], [t for _, t in split]
+        if not self.byte_level:  # case does not count
+            stems = [s.lower() for s in stems]
+        rows = {s: self.memo.get(s, -1) for s in dict.fromkeys(stems) if s}
+        known, new = [s for s, r in rows.items() if r >= 0], [s for s, r in rows.items() if r < 0]
+        place = {s: i for i, s in enumerate(chain(known, new, ("",)))}  # no stem: an empty list
+        signs = {t: i for i, t in enumerate(dict.fromkeys(tails), len(place))}
+        of_known = taken(self.lists, np.array([rows[s] for s in known], np.int64))
+        parts = joined(of_known, self.stem_ids(new), (np.zeros(0, np.uint32), np.zeros(2, np.int64)), self.library(list(signs)))
+        both = np.empty(2 * len(words), np.int64)
+        both[::2], both[1::2] = [place[s] for s in stems], [signs[t] for t in tails]
+        ids, starts = taken(parts, both)
+        return ids, starts[::2]
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each followed by `end`, and the offsets of the texts in them."""
-        split = [self.units(t) if t else [] for t in texts]
-        words = set().union(*split)
-        new = words - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
+        units, counts = self.units(texts)
+        coded = units.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        before = np.cumsum(counts)
+        at = np.insert(coded.indices.to_numpy().astype(np.int64), before, len(words))  # the last row: the end of a text
+        of_text = np.concatenate([[0], before + np.arange(1, len(texts) + 1)])
+        times = np.bincount(at, minlength=len(words) + 1)[:-1]
+        rows = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        if len(self.memo) + len(new) > MEMO and self.memo:
             self.forget()
-            new = words - self.memo.keys()
-        long = {w for w in new if len(w) > LONG}
-        if new - long:
-            self.learn(new - long)
-        kept = len(self.starts)
-        if long:
-            self.learn(long)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        self.seen += np.bincount(at, minlength=len(self.seen))
-        sizes = self.starts[at + 1] - self.starts[at]
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        of_text = np.concatenate([[0], np.cumsum(counts)])
-        begins = self.starts[at] - before[:-1]
-        ids = self.flat[np.repeat(begins, sizes) + np.arange(before[-1])]
-        ends = before[of_text[1:]]
-        out = np.insert(ids, ends, np.uint32(end))
-        if long:  # words that are not worth their memory
-            for w in long:
-                del self.memo[w]
-            self.starts, self.seen = self.starts[:kept], self.seen[: kept - 1]
-            self.flat = self.flat[: self.starts[-1]]
-        return out, np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
+            rows = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+            new = np.flatnonzero(rows < 0)
+        learnt = self.learnt([words[i] for i in new.tolist()])
+        old = np.flatnonzero(rows >= 0)
+        self.seen[rows[old]] += times[old]
+        row_of = np.empty(len(words) + 1, np.int64)
+        row_of[old], row_of[new], row_of[-1] = np.arange(len(old)), np.arange(len(old), len(words)), len(words)
+        ids, starts = taken(joined(taken(self.lists, rows[old]), learnt, (np.array([end], np.uint32), np.array([0, 1]))), row_of[at])
+        if len(new):  # long words are not worth their memory
+            names = [words[i] for i in new.tolist()]
+            kept = np.flatnonzero(np.fromiter(map(len, names), np.int64, len(names)) <= LONG)[: max(0, MEMO - len(self.memo))]
+            self.memo.update(zip([names[i] for i in kept.tolist()], range(len(self.memo), len(self.memo) + len(kept))))
+            self.lists, self.seen = joined(self.lists, taken(learnt, kept)), np.concatenate([self.seen, times[new[kept]]])
+        return ids, starts[of_text]
