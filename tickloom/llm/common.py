@@ -46,6 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """`df`, a checkpoint, after the driver's collector ran: Spark then deletes the shuffle files and checkpoints that no
+    frame refers to any more, which otherwise stay on disk until the driver's memory fills."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df`, written once as Parquet in the shared folder: later plans read the columns they need, and a wide column takes
     less room than in a checkpoint."""

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import BROADCAST_BYTES, cut, if_small
+from tickloom.llm.common import BROADCAST_BYTES, cut, if_small, swept
 from tickloom.llm.hashing import mix
 
 
@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large if few else large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(sent(least), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = swept(cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()))
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")))
     found = found.unionByName(loops.select("node", F.col("node").alias("component")))
     return found.groupBy("node").agg(F.min("component").alias("component"))
@@ -98,7 +98,7 @@ def links(members: DataFrame, summed: DataFrame, verify: Callable[[DataFrame], D
     sided = lambda side: [F.col(c).alias(f"{c}_{side}") for c in kept]
     of = lambda frame, on, side: frame.join(known.select(F.col("node").alias(on), *sided(side)), on)
     first = members.where(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    good = cut(verify(of(of(first, "a", "x"), "b", "y").where(possible).select("a", "b")))
+    good = swept(cut(verify(of(of(first, "a", "x"), "b", "y").where(possible).select("a", "b"))))
     label = cut(components(good))
     stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
     unsettled = cut(_unsettled(members.where(F.col("id") != F.col("leader")).select("bucket", "id"), label))
@@ -118,7 +118,7 @@ def links(members: DataFrame, summed: DataFrame, verify: Callable[[DataFrame], D
     central = weighed.groupBy("bucket").agg(F.max(F.struct("central", "node", "component", *kept)).alias("m"))
     central = cut(central.select("bucket", F.col("m.node").alias("a"), F.col("m.component").alias("component_x"), *[F.col(f"m.{c}").alias(f"{c}_x") for c in kept]))
     second = weighed.select("bucket", F.col("node").alias("b"), "component", *sided("y")).join(if_small(central), "bucket").where((F.col("component") != F.col("component_x")) & possible)
-    more = cut(more.unionByName(verify(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
+    more = swept(cut(more.unionByName(verify(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))))
     label = cut(components(stars.unionByName(more)))
     stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
     # Only members of buckets that still hold several components go on; what is known of a node is joined before its

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.bag_minhash import ranked, summed
-from tickloom.llm.common import cut, fresh, if_small, of_pairs, small_batches, stored, table
+from tickloom.llm.common import cut, fresh, if_small, of_pairs, small_batches, stored, swept, table
 from tickloom.llm.components import crowded, links
 from tickloom.llm.hashing import _powers, mix
 
@@ -186,7 +186,7 @@ def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """(doc_id, tkey, line, component, first) for the lines of components of several lines; first tells whether the line
     is the first of its component."""
     rows = stored(signed(docs))
-    members = cut(crowded(rows.where(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))))
+    members = swept(cut(crowded(rows.where(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), F.col("node").alias("id")))))
     at = F.min(F.struct("doc_id", "tkey", "line")).alias("at")
     places = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), at)
     wanted = members.select(F.col("id").alias("node"), F.lit(True).alias("wanted")).distinct()
@@ -199,7 +199,7 @@ def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     texts = source.join(if_small(holders), (F.col("doc_id") == F.col("at_doc")) & (F.xxhash64("text") == F.col("at_text")))
     texts = texts.select(F.split("text", "\n").alias("lines"), "held")
     texts = texts.select(F.explode(F.transform("held", lambda x: F.struct(x["node"].alias("node"), F.get("lines", x["line"]).alias("text")))).alias("held")).select("held.*")
-    texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")))
+    texts = swept(cut(texts.groupBy("node").agg(F.min("text").alias("text"))))
     found = links(members, cut(summed(texts, sets, WORDS)), verifier(texts, similarity), lambda nodes: ranked(texts.join(nodes, "node"), similarity, sets), similarity)
     of_node = places.join(if_small(cut(found)), "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     kept = of_node.groupBy("component").agg(F.min("at").alias("at"))
