@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, fresh, if_small, of_pairs, small_batches, table
-from tickloom.llm.components import BITS, CELLS, cells, crowded, links, prefixes, summaries, summary
+from tickloom.llm.components import BITS, CELLS, cells, crowded_bands, links, prefixes, summaries, summary
 from tickloom.llm.hashing import mix, windows, word_hashes
 
 WORDS = 5
@@ -216,9 +216,9 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spot = F.struct("doc_id", "tkey")
     nodes = rows.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), spot)).alias("spot"), F.min("tkey").alias("tkey"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes.select("node", "tkey", "n", "spot.doc_id", F.col("spot.tkey").alias("spot_tkey")))
-    # Copies are one before their bands become rows.
+    # Copies are one before their bands are shuffled.
     distinct = rows.select("node", "bands").dropDuplicates(["node"])
-    members = cut(crowded(distinct.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))))
+    members = cut(crowded_bands(distinct.select(F.col("node").alias("id"), "bands")))
     wanted = nodes.select("node", "tkey").join(members.select(F.col("id").alias("node")).distinct(), "node")
     # One row gives a node's text: one with the node's least text hash, and of these that of the least id.
     holder = cut(rows.join(wanted, ["node", "tkey"]).groupBy("node", "tkey").agg(F.min("doc_id").alias("holder")))

@@ -9,9 +9,10 @@ can split a hub's rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,67 @@ def crowded(members: DataFrame) -> DataFrame:
     return ends.where("leader < most").select("bucket", "id", "leader").dropDuplicates(["bucket", "id"])
 
 
+#: Keys that a task holds before it sends them on, and keys of a group of buckets on average.
+HELD = 1 << 19
+GROUP = 1 << 18
+
+
+def crowded_bands(banded: DataFrame) -> DataFrame:
+    """`crowded` for rows (id, bands), where `bands` are the buckets of the id.
+
+    Keys are shuffled once, as arrays, by group of buckets: most are alone in their bucket and never become rows. There are
+    as many groups as GROUP keys each need, so a group stays small however many keys there are."""
+    source = banded.where(F.size("bands") > 0).select("id", "bands")
+    groups = max(1, -(-(source.agg(F.sum(F.size("bands"))).first()[0] or 0) // GROUP))
+    layout = "part long, buckets array<long>, ids array<long>"
+
+    def dealt(buckets: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, node = np.concatenate(buckets), np.concatenate(ids)
+        part = (mix(bucket.view(np.uint64)) % np.uint64(groups)).astype(np.uint16 if groups <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        part, bucket, node = part[order], bucket[order], node[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = pa.array(np.append(first, len(part)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), pa.ListArray.from_arrays(ends, bucket), pa.ListArray.from_arrays(ends, node)], names=["part", "buckets", "ids"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, ids, held = [], [], 0
+        for batch in batches:
+            bands = batch.column("bands")
+            buckets.append(bands.flatten().to_numpy(zero_copy_only=False))
+            ids.append(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), bands.value_lengths().to_numpy(zero_copy_only=False)))
+            held += len(buckets[-1])
+            if held >= HELD:
+                yield dealt(buckets, ids)
+                buckets, ids, held = [], [], 0
+        if held:
+            yield dealt(buckets, ids)
+
+    def meet(group: pa.Table) -> pa.Table:
+        bucket, node = (group.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("buckets", "ids"))
+        bucket, node = _met(bucket, node)
+        first = np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]
+        leader = node[first][np.cumsum(first) - 1]
+        return pa.table({"bucket": bucket, "id": node, "leader": leader})
+
+    return source.mapInArrow(deal, layout).groupBy("part").applyInArrow(meet, "bucket long, id long, leader long")
+
+
+def _met(bucket: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (bucket, id) of buckets with several ids, in order."""
+    order = np.argsort(bucket)
+    again = bucket[order[1:]] == bucket[order[:-1]]
+    order = order[np.append(False, again) | np.append(again, False)] if len(order) else order
+    bucket, node = bucket[order], node[order]
+    order = np.lexsort((node, bucket))
+    bucket, node = bucket[order], node[order]
+    new = np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))[: len(bucket)]
+    bucket, node = bucket[new], node[new]
+    again = bucket[1:] == bucket[:-1]
+    several = (np.append(False, again) | np.append(again, False))[: len(bucket)]
+    return bucket[several], node[several]
+
+
 #: Buckets of more members than this are not compared pair by pair.
 SMALL = 64
 #: Words of 64 bits in which the parities of a set's elements are summed up, unless sets are known to be short.

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.bag_minhash import ranked, summed
 from tickloom.llm.common import cut, fresh, if_small, of_pairs, small_batches, stored, swept, table
-from tickloom.llm.components import crowded, links
+from tickloom.llm.components import crowded_bands, links
 from tickloom.llm.hashing import _powers, mix
 
 SHINGLE = 7
@@ -47,6 +47,11 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
 
 
+@functools.lru_cache(1)
+def _mixed_points() -> np.ndarray:
+    return mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the normalised lines of all texts; each line's start and end there; each text's first line."""
     points = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -70,15 +75,22 @@ def line_windows(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     """Hashes of the lines; and for every shingle the number of its line and its hash."""
     up, down = _powers(len(points) + 1)
     prefix = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=prefix[1:])
+    np.cumsum(_mixed_points()[points] * up[: len(points)], out=prefix[1:])
     sizes = ends - starts
     node = mix(mix((prefix[ends] - prefix[starts]) * down[starts]) + sizes.astype(np.uint64))
     windows = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
     line = np.repeat(np.arange(len(starts)), windows)
     offsets = np.concatenate([[0], np.cumsum(windows)])
-    at = starts[line] + np.arange(len(line)) - offsets[:-1][line]
-    until = at + np.minimum(SHINGLE, sizes)[line]
-    return node, line, mix((prefix[until] - prefix[at]) * down[at])
+    at = np.repeat(starts - offsets[:-1], windows)
+    at += np.arange(len(line))
+    # Of most shingles the end is SHINGLE further on; lines shorter than that have one each.
+    h = np.zeros(len(points) + 1, np.uint64)
+    if len(points) >= SHINGLE:
+        h[: len(prefix) - SHINGLE] = prefix[SHINGLE:] - prefix[:-SHINGLE]
+    short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
+    h[starts[short]] = prefix[ends[short]] - prefix[starts[short]]
+    h *= down
+    return node, line, mix(h[at])
 
 
 def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +198,7 @@ def labelled_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """(doc_id, tkey, line, component, first) for the lines of components of several lines; first tells whether the line
     is the first of its component."""
     rows = stored(signed(docs))
-    members = swept(cut(crowded(rows.where(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), F.col("node").alias("id")))))
+    members = swept(cut(crowded_bands(rows.select(F.col("node").alias("id"), "bands"))))
     at = F.min(F.struct("doc_id", "tkey", "line")).alias("at")
     places = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), at)
     wanted = members.select(F.col("id").alias("node"), F.lit(True).alias("wanted")).distinct()
@@ -227,7 +239,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     # The text is needed only to count lines and to tell rows apart, so both are taken before the join.
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long")
     rows = docs.select("doc_id", n_lines.alias("n_lines"), F.xxhash64("text").alias("tkey"))
     marks = removed_lines(docs).select(F.col("doc_id").alias("mark_id"), F.col("tkey").alias("mark_text"), "removed")
     joined = rows.join(marks, (F.col("doc_id") == F.col("mark_id")) & (F.col("tkey") == F.col("mark_text")), "left")
