@@ -76,8 +76,18 @@ def thin(df: DataFrame, key: Column, counts: DataFrame, label: str, bound: int)
 BROADCAST_BYTES = 16 << 20
 
 
+#: Small rows that are worth a task.
+TASK_ROWS = 1 << 16
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, a checkpoint of so many small rows, read by as many tasks as these are worth. A checkpoint has a partition for
+    each one of the shuffle that made it, and the driver keeps records of every task, however few rows it read."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df`, marked for broadcast if its rows take at most `limit` bytes. Measure it on a checkpoint."""
+    """`df`, a checkpoint, marked for broadcast and read by few tasks if its rows take at most `limit` bytes."""
     sizes = [F.lit(8 * (1 + len(df.columns)))]
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
@@ -88,9 +98,10 @@ def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
             sizes.append(8 * F.size(name))
     if len(sizes) == 1:  # numbers alone: as many rows as fit need counting, no more
         rows = limit // (8 * (1 + len(df.columns)))
-        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-    total = df.agg(F.sum(sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes[1:]), sizes[0]))).first()[0]
-    return F.broadcast(df) if (total or 0) <= limit else df
+        n = df.limit(rows + 1).count()
+        return F.broadcast(few_tasks(df, n)) if n <= rows else df
+    total, n = df.agg(F.sum(sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes[1:]), sizes[0])), F.count(F.lit(1))).first()
+    return F.broadcast(few_tasks(df, n)) if (total or 0) <= limit else df
 
 
 def of_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -98,7 +109,8 @@ def of_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     to all tasks."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     rows = BROADCAST_BYTES // 16
-    return texts.join(F.broadcast(nodes), "node", "left_semi") if nodes.limit(rows + 1).count() <= rows else texts
+    n = nodes.limit(rows + 1).count()
+    return texts.join(F.broadcast(few_tasks(nodes, n)), "node", "left_semi") if n <= rows else texts
 
 
 def fresh(columns: list[str], name: str) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import BROADCAST_BYTES, cut, if_small, swept
+from tickloom.llm.common import BROADCAST_BYTES, cut, few_tasks, if_small, swept
 from tickloom.llm.hashing import mix
 
 
@@ -30,11 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        # n edges have at most 2 n nodes of two numbers each. Where these can be sent to all tasks, edges stay in place.
+        few = state["n"] <= BROADCAST_BYTES // 48
+        now = few_tasks(now, state["n"]) if few else now
         if state["n"] == 0 or (state["n"], state["h"]) == before:
             break
         before = (state["n"], state["h"])
-        # n edges have at most 2 n nodes of two numbers each. Where these can be sent to all tasks, edges stay in place.
-        few = state["n"] <= BROADCAST_BYTES // 48
         sent = F.broadcast if few else lambda frame: frame
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
