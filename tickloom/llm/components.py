@@ -67,9 +67,11 @@ def crowded_bands(banded: DataFrame) -> DataFrame:
     """`crowded` for rows (id, bands), where `bands` are the buckets of the id.
 
     Keys are shuffled once, as arrays, by group of buckets: most are alone in their bucket and never become rows. There are
-    as many groups as GROUP keys each need, so a group stays small however many keys there are."""
+    as many groups as GROUP keys each need, or as shuffles have partitions, so a group stays small however many keys there
+    are."""
     source = banded.where(F.size("bands") > 0).select("id", "bands")
-    groups = max(1, -(-(source.agg(F.sum(F.size("bands"))).first()[0] or 0) // GROUP))
+    n = source.agg(F.sum(F.size("bands"))).first()[0] or 0
+    groups = max(int(banded.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // GROUP))
     layout = "part long, buckets array<long>, ids array<long>"
 
     def dealt(buckets: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
