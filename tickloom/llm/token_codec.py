@@ -1,14 +1,15 @@
 """Token ids in compressed, independently decodable blocks.
 
 A block holds up to BLOCK ids. Each id is coded by a mixture of three predictions: the id that last followed the two ids
-before it (order 2), the id that last followed the id before it (order 1), and the frequencies of all ids of the block so
-far (order 0). These are kept in a tree of three levels (32, 64 and 64 branches), each of whose nodes counts its branches
-and gives unseen ones a small prior, so an id that is new to the block costs what its neighbours' frequency suggests. How
-much weight orders 2 and 1 get depends on how often predictions of the same confidence were right in the block so far.
-The mixture drives a range coder. All state starts anew with each block, and a block carries a CRC-32 of its ids, so
-blocks are read alone and checked.
+before it (order 2), the id that last followed the id before it (order 1), and the frequencies of the block's ids so far that
+those two missed (order 0). In order 0 an id that is new to the block is told by its class, whose share grows with the
+new ids it had so far, and by its place there. How much weight orders 2 and 1 get depends on how often predictions of the
+same confidence were right in the block so far. The mixture drives a range coder. All state starts anew with each block, and
+a block carries a CRC-32 of its ids, so blocks are read alone and checked.
 
-Blocks are independent, so a task codes many at once: the coder's state is a numpy vector with a lane for each block.
+A block's ids are coded as up to STREAMS consecutive streams, each with a range coder of its own. They step side by side and
+share the block's state: orders 2 and 1 change with each step, frequencies and weights after each of `_stages`. Blocks are
+independent, so a task codes many at once: the coder's state is a numpy vector with a lane for each stream of each block.
 
 A file is a Parquet folder with one row for each block: its part (ranges of doc_id in ascending order) and number, its
 ids, steps, checksum and payload, and the index of its documents: id, ordinal in the part, ids in this block, and the
@@ -38,191 +39,304 @@ from tickloom.llm.packing import _encoder
 END = 2
 BLOCK = 8192
 LANES = 512
+#: Characters of the texts that are tokenized at once, at least.
+CHARACTERS = 4 << 20
 TABLE = 4096
-#: Range coder: 32-bit low and range, bytes shifted out at the top; totals stay below BOTTOM.
-TOP, BOTTOM, WORD = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
-LEVELS = 16
-#: Order 0: bits of each level of an id, from the top; what an occurrence counts; the total at which a node is halved.
-SHAPE = (5, 6, 6)
-GAIN = 24
-FULL = 40_000
-#: The order-0 share of the mixture, in whose units the others are weighed.
-REST = 4096
-
-
-class _Frequencies:
-    """Order 0 of all lanes: counts of the branches of each node of the tree, and a prior for each."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.counts, self.priors, above = [], [], 0
-        for level, bits in enumerate(SHAPE):
-            self.counts.append(np.zeros((lanes << above, 1 << bits), np.uint16))
-            # Byte-pair ids are ranked by frequency, so low branches are likelier at the top.
-            self.priors.append(np.maximum(96 // (1 + np.arange(1 << bits)), 1) if level == 0 else np.ones(1 << bits, np.int64))
-            above += bits
-
-    def node(self, level: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each lane's row of counts at a level, for ids of which the bits above are known; and their running sums."""
-        rows = (self.lane << sum(SHAPE[:level])) + (ids >> sum(SHAPE[level:]))
-        return rows, np.cumsum(self.counts[level][rows] + self.priors[level], axis=1)
-
-    def add(self, level: int, rows: np.ndarray, branch: np.ndarray, sums: np.ndarray) -> None:
-        self.counts[level][rows, branch] += np.uint16(GAIN)
-        full = rows[np.flatnonzero(sums[:, -1] > FULL)]
-        if len(full):
-            self.counts[level][full] >>= np.uint16(1)
+BITS = 3
+LEVELS = 1 << BITS
+#: Streams of a block at most, ids of a stream at least, and blocks that are coded side by side.
+STREAMS, LEAST, BESIDE = 16, 64, LANES
+#: Ids are below ROOM. Ids that are new to a block are told by class: two bits behind the highest of id + 4, then the rest.
+ROOM = 1 << 17
+_SHIFTED = np.arange(ROOM) + 4
+_WIDTH = np.frexp(_SHIFTED)[1] - 3
+CLASS = (_WIDTH << 2) + (_SHIFTED >> _WIDTH) - 4
+CLASSES = int(CLASS[-1]) + 1
+FIRST = np.searchsorted(CLASS, np.arange(CLASSES))
+SPAN = np.exp2(_WIDTH[FIRST])
+#: Range coder: the range is 2 ** 32 to 2 ** 48, held as a float, which is exact; words of 16 bits are shifted out.
+LEAST_RANGE, MOST_RANGE, WORD = 2.0**32, 2.0**48, 65536.0
+#: Shares of the mixture's predictions add up to SHARES; order 0 has REST where the others' odds are reckoned.
+SHARES, REST = 4096, 4096
+#: A block's streams share what they have coded after GROWTH times as many steps as the last time, and after OFTEN more.
+GROWTH, OFTEN = 1.25, 32
+#: Counts of order 0 add up to less than this.
+FULL = 65_000
+
+
+def _streams(steps: int) -> int:
+    return max(1, min(STREAMS, steps // LEAST))
+
+
+def _stages(length: int) -> list[tuple[int, int]]:
+    """Ranges of a stream's steps, after each of which the block learns."""
+    ends = [0]
+    while ends[-1] < length:
+        ends.append(min(length, ends[-1] + OFTEN, max(ends[-1] + 1, int(ends[-1] * GROWTH))))
+    return list(zip(ends, ends[1:]))
 
 
 class _Model:
-    """The predictions of all lanes."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.two, self.one = np.zeros(lanes * TABLE, np.int32), np.zeros(lanes * TABLE, np.int32)  # id and confidence
-        self.hits = np.ones((2, lanes * LEVELS), np.int32)
-        self.tries = np.full((2, lanes * LEVELS), 2, np.int32)
-        self.zero = _Frequencies(lanes)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    """The predictions of all lanes: `streams` lanes of each block code its ids side by side and share what it has learnt."""
+
+    def __init__(self, blocks: int, streams: int):
+        self.blocks, self.streams, lanes = blocks, streams, blocks * streams
+        self.block = np.repeat(np.arange(blocks), streams)
+        self.two, self.one = np.zeros(blocks * TABLE, np.int32), np.zeros(blocks * TABLE, np.int32)  # id and confidence
+        self.in_table, self.in_shares, self.in_odds = self.block * TABLE, self.block * (2 * LEVELS * LEVELS), self.block * (2 * LEVELS)
+        self.hits, self.tries = np.ones((2, blocks, LEVELS)), np.full((2, blocks, LEVELS), 4.0)
+        self.tries[:, :, 0] = 40
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        #: Order 0: an id's number among its block's ids, from 1; ids by number; how often each came, and classes of new ids.
+        self.number = np.zeros(blocks * ROOM, np.int16)
+        self.ids, self.sizes = np.zeros((blocks, 0), np.int64), np.zeros(blocks, np.int64)
+        self.counts, self.news = np.zeros((blocks, 0), np.int64), np.ones((blocks, CLASSES), np.int64)
+        self.outcomes: list[tuple[np.ndarray, ...]] = []
+        self.steps = 0
+        self.weigh()
+        self.arrange()
+
+    def weigh(self) -> None:
+        """Shares of orders 2 and 1 by their confidences, from the odds of right predictions so far."""
+        odds = np.floor(REST * self.hits / np.maximum(self.tries - self.hits, 1))
+        two = np.minimum(odds[0], 30_000)[:, None, :, None] + 1
+        one = np.stack([np.minimum(odds[1], 15_000) + 1, np.zeros((self.blocks, LEVELS))], 1)[:, :, None, :]  # none where both say the same
+        total = two + one + REST
+        first = 1 + np.floor(two * (SHARES - 3) / total)
+        both = first + np.where(one > 0, 1 + np.floor(one * (SHARES - 3) / total), 0)
+        self.shares = (first.astype(np.int32) | both.astype(np.int32) << 16).ravel()
+
+    def arrange(self) -> None:
+        """Order 0's shares: an id's is 2 n - 1 after n times, and one goes to its class as a new id."""
+        self.width = CLASSES + self.ids.shape[1]
+        weights = np.concatenate([self.news, np.maximum(2 * self.counts - 1, 0)], 1).ravel()
+        ends = np.cumsum(weights)
+        self.begins = np.concatenate([[0], ends[self.width - 1 :: self.width]])
+        self.total = np.diff(self.begins).astype(np.float64)
+        self.weights = weights.astype(np.int32)
+        self.starts = (ends - weights - np.repeat(self.begins[:-1], self.width)).astype(np.int32)
+
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each unit of order 0's shares, and what symbols are: ids, or -1 - class."""
+        values = np.concatenate([np.broadcast_to(-1 - np.arange(CLASSES), (self.blocks, CLASSES)), self.ids], 1)
+        return np.repeat(np.arange(len(self.weights), dtype=np.int32), self.weights), values.ravel().astype(np.int32)
 
     def predict(self) -> None:
-        base = self.lane * TABLE
-        self.at2 = base + ((self.last * 0x9E3779B1 + self.before * 0x85EBCA6B >> 7) & (TABLE - 1))
-        self.at1 = base + ((self.last * 0x9E3779B1 >> 9) & (TABLE - 1))
-        e2, e1 = self.two[self.at2], self.one[self.at1]
-        self.id2, self.id1 = e2 >> 4, e1 >> 4
-        self.level2, self.level1 = self.lane * LEVELS + (e2 & 15), self.lane * LEVELS + (e1 & 15)
-        # Weights in units of the order-0 share: odds of a right prediction at this confidence.
-        h2, t2 = self.hits[0, self.level2], self.tries[0, self.level2]
-        h1, t1 = self.hits[1, self.level1], self.tries[1, self.level1]
-        self.w2 = np.minimum(REST * h2 // np.maximum(t2 - h2, 1), 30_000) + 1
-        self.w1 = np.where(self.id1 == self.id2, 0, np.minimum(REST * h1 // np.maximum(t1 - h1, 1), 15_000) + 1)
-        self.total = self.w2 + self.w1 + REST
+        mixed = self.last * np.uint32(0x9E3779B1)
+        self.at1 = (mixed >> np.uint32(20)).astype(np.intp) + self.in_table
+        self.at2 = (mixed + self.before * np.uint32(0x85EBCA6B) >> np.uint32(20)).astype(np.intp) + self.in_table
+        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
+        self.c2, self.c1 = self.e2 & (LEVELS - 1), self.e1 & (LEVELS - 1)
+        self.id2, self.id1 = self.e2 >> BITS, self.e1 >> BITS
+        key = (self.c2 << BITS) + self.c1 + ((self.id1 == self.id2) * np.int32(LEVELS * LEVELS)) + self.in_shares
+        both = self.shares.take(key)
+        self.first, self.both = both & 0xFFFF, both >> 16
 
     def update(self, ids: np.ndarray) -> None:
-        for k, (table, at, guess, level) in enumerate(((self.two, self.at2, self.id2, self.level2), (self.one, self.at1, self.id1, self.level1))):
-            right = guess == ids
-            self.hits[k, level] += right
-            self.tries[k, level] += 1
-            confidence = table[at] & 15
-            confidence = np.where(right, np.minimum(confidence + 1, 15), confidence >> 1)
-            table[at] = (np.where(right | (confidence > 2), guess, ids) << 4) | confidence
-        self.before, self.last = self.last, ids
+        """`ids` int32. A prediction that was wrong gives way, unless it was right often; then it loses confidence."""
+        fresh = ids << BITS
+        right2, right1 = ids == self.id2, ids == self.id1
+        for table, at, entry, confidence, right in ((self.two, self.at2, self.e2, self.c2, right2), (self.one, self.at1, self.e1, self.c1, right1)):
+            wrong = np.where(confidence > 3, entry - 4, fresh)
+            table[at] = np.where(right, entry + (confidence < LEVELS - 1), wrong)
+        self.outcomes.append((self.c2, right2, self.c1, right1))
+        self.before, self.last = self.last, ids.view(np.uint32)
+        self.steps += 1
+
+    def learn(self, seen: np.ndarray, missed: np.ndarray) -> None:
+        """The odds of orders 1 and 2, and order 0 from the ids [step, lane] since the last time that those missed."""
+        told = [np.stack(x) for x in zip(*self.outcomes)]
+        for k in range(2):
+            codes = told[2 * k + 1] * np.int32(LEVELS) + told[2 * k] + self.in_odds
+            found = np.bincount(codes.ravel(), minlength=self.blocks * 2 * LEVELS).reshape(self.blocks, 2, LEVELS)
+            self.tries[k] += found.sum(1)
+            self.hits[k] += found[:, 1]
+        self.outcomes = []
+        self.weigh()
+        if 2 * self.steps * self.streams + CLASSES >= FULL:
+            return
+        keys = (seen + self.block * ROOM)[missed]
+        numbers = self.number.take(keys)
+        unknown = np.flatnonzero(numbers == 0)
+        new = np.unique(keys[unknown])
+        if len(new):
+            of, ids = new >> 17, new & (ROOM - 1)
+            per_block = np.bincount(of, minlength=self.blocks)
+            rank = self.sizes[of] + np.arange(len(new)) - (np.cumsum(per_block) - per_block)[of]
+            self.number[new] = rank + 1
+            numbers[unknown] = self.number.take(keys[unknown])
+            self.sizes += per_block
+            more = ((0, 0), (0, int(self.sizes.max()) - self.ids.shape[1]))
+            self.ids, self.counts = np.pad(self.ids, more), np.pad(self.counts, more)
+            self.ids[of, rank] = ids
+            self.news += np.bincount(of * CLASSES + CLASS[ids], minlength=self.blocks * CLASSES).reshape(self.blocks, CLASSES)
+        many = self.ids.shape[1]
+        at = (keys >> 17) * many + (numbers - 1)
+        self.counts += np.bincount(at, minlength=self.blocks * many).reshape(self.blocks, many)
+        self.arrange()
 
 
 class _Encoder:
     def __init__(self, lanes: int, steps: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, WORD)
-        self.out = np.zeros((lanes, 8 * steps + 16), np.uint8)
-        self.used = np.zeros(lanes, np.int64)
-
-    def put(self, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        r = self.range // total.astype(np.uint64)
-        self.low = (self.low + start.astype(np.uint64) * r) & WORD
-        self.range = size.astype(np.uint64) * r
-        while True:
-            settled = (self.low ^ (self.low + self.range)) < TOP
-            small = ~settled & (self.range < BOTTOM)
-            go = np.flatnonzero(settled | small)
-            if not len(go):
-                return
-            tight = np.flatnonzero(small)
-            self.range[tight] = (np.uint64(1 << 32) - self.low[tight]) & (BOTTOM - np.uint64(1))
-            self.out[go, self.used[go]] = (self.low[go] >> np.uint64(24)).astype(np.uint8)
-            self.used[go] += 1
-            self.low[go] = (self.low[go] << np.uint64(8)) & WORD
-            self.range[go] = (self.range[go] << np.uint64(8)) & WORD
-
-    def finish(self) -> list[bytes]:
-        for _ in range(4):
-            self.out[np.arange(len(self.low)), self.used] = (self.low >> np.uint64(24)).astype(np.uint8)
-            self.used += 1
-            self.low = (self.low << np.uint64(8)) & WORD
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.used)]
+        self.low, self.range = np.zeros(lanes), np.full(lanes, MOST_RANGE)
+        self.room = 3 * steps + 1
+        self.out = np.zeros(lanes * self.room, np.uint32)  # words, with their carry
+        self.at = np.arange(lanes) * self.room
+
+    def put(self, start: np.ndarray, size: np.ndarray, total: np.ndarray | float) -> None:
+        """Narrow all lanes to the shares from `start` on of `total`."""
+        unit = np.floor(self.range / total)
+        self.low += start * unit
+        np.multiply(size, unit, out=self.range)
+
+    def shift(self) -> None:
+        """Shift words out of the lanes whose range is small."""
+        while self.range.min() < LEAST_RANGE:
+            small = self.range < LEAST_RANGE
+            word = np.floor(self.low * (1 / LEAST_RANGE))
+            self.out[self.at] = word  # written again by the next one, if this lane goes on
+            self.at += small
+            factor = np.where(small, WORD, 1.0)
+            self.low -= word * small * LEAST_RANGE
+            self.low *= factor
+            self.range *= factor
+
+    def put_bits(self, lanes: np.ndarray, value: np.ndarray, span: np.ndarray) -> None:
+        """Narrow these lanes to one of `span` equal shares."""
+        unit = np.floor(self.range[lanes] / span)
+        self.low[lanes] += value * unit
+        self.range[lanes] = unit
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words of all lanes, and how many each lane has."""
+        self.out[self.at] = np.ceil(self.low * (1 / LEAST_RANGE))  # within the range, zeros behind it
+        used = self.at + 1 - np.arange(len(self.at)) * self.room
+        words = self.out.reshape(-1, self.room)[:, : used.max()].copy()
+        while (carry := words >> 16).any():
+            words &= 0xFFFF
+            words[:, :-1] += carry[:, 1:]
+        return words[np.arange(words.shape[1]) < used[:, None]].astype("<u2"), used
 
 
 class _Decoder:
-    def __init__(self, payloads: list[bytes]):
-        sizes = np.array([len(p) for p in payloads])
-        self.data = np.zeros((len(payloads), int(sizes.max()) + 8), np.uint8)
-        for i, p in enumerate(payloads):
-            self.data[i, : len(p)] = np.frombuffer(p, np.uint8)
-        lanes = len(payloads)
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, WORD)
-        self.code = np.zeros(lanes, np.uint64)
-        self.used = np.full(lanes, 4)
-        for k in range(4):
-            self.code = (self.code << np.uint64(8)) | self.data[:, k].astype(np.uint64)
-
-    def where(self, total: np.ndarray) -> np.ndarray:
-        self.unit = self.range // total.astype(np.uint64)
-        return np.minimum((((self.code - self.low) & WORD) // self.unit).astype(np.int64), total - 1)
+    def __init__(self, words: np.ndarray, used: np.ndarray):
+        self.room = int(used.max()) + 3
+        data = np.zeros((len(used), self.room), np.uint16)
+        data[np.arange(self.room) < used[:, None]] = words
+        self.code = data[:, 0] * LEAST_RANGE + data[:, 1] * WORD + data[:, 2]
+        self.range = np.full(len(used), MOST_RANGE)
+        self.data, self.at = data.ravel(), np.arange(len(used)) * self.room + 3
+
+    def where(self, total: np.ndarray | float) -> np.ndarray:
+        self.unit = np.floor(self.range / total)
+        return np.minimum(self.code / self.unit, total - 1).astype(np.int32)
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
-        self.low = (self.low + start.astype(np.uint64) * self.unit) & WORD
-        self.range = size.astype(np.uint64) * self.unit
-        while True:
-            settled = (self.low ^ (self.low + self.range)) < TOP
-            small = ~settled & (self.range < BOTTOM)
-            go = np.flatnonzero(settled | small)
-            if not len(go):
-                return
-            tight = np.flatnonzero(small)
-            self.range[tight] = (np.uint64(1 << 32) - self.low[tight]) & (BOTTOM - np.uint64(1))
-            self.code[go] = ((self.code[go] << np.uint64(8)) & WORD) | self.data[go, np.minimum(self.used[go], self.data.shape[1] - 1)].astype(np.uint64)
-            self.used[go] += 1
-            self.low[go] = (self.low[go] << np.uint64(8)) & WORD
-            self.range[go] = (self.range[go] << np.uint64(8)) & WORD
+        self.code -= start * self.unit
+        np.multiply(size, self.unit, out=self.range)
+
+    def shift(self) -> None:
+        while self.range.min() < LEAST_RANGE:
+            small = self.range < LEAST_RANGE
+            factor = np.where(small, WORD, 1.0)
+            self.code *= factor
+            self.code += self.data.take(self.at, mode="clip") * small
+            self.range *= factor
+            self.at += small
+
+    def take_bits(self, lanes: np.ndarray, span: np.ndarray) -> np.ndarray:
+        unit = np.floor(self.range[lanes] / span)
+        value = np.minimum(np.floor(self.code[lanes] / unit), span - 1)
+        self.code[lanes] -= value * unit
+        self.range[lanes] = unit
+        return value
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Payloads of the rows of `ids` [block, step]; ids are below 2 ** 17."""
-    lanes, steps = ids.shape
-    model, coder = _Model(lanes), _Encoder(lanes, steps)
-    columns = np.ascontiguousarray(ids.T).astype(np.int64)
-    for now in columns:
-        model.predict()
-        hit2 = now == model.id2
-        hit1 = ~hit2 & (now == model.id1)
-        hit = hit2 | hit1
-        start = np.where(hit2, 0, np.where(hit1, model.w2, model.w2 + model.w1))
-        coder.put(start, np.where(hit2, model.w2, np.where(hit1, model.w1, REST)), model.total)
-        for level, bits in enumerate(SHAPE):
-            rows, sums = model.zero.node(level, now)
-            branch = (now >> sum(SHAPE[level + 1 :])) & ((1 << bits) - 1)
-            high = sums[model.lane, branch]
-            low = np.where(branch > 0, sums[model.lane, branch - 1], 0)
-            coder.put(np.where(hit, 0, low), np.where(hit, 1, high - low), np.where(hit, 1, sums[:, -1]))
-            model.zero.add(level, rows, branch, sums)
-        model.update(now)
-    return coder.finish()
+    """Payloads of the rows of `ids` [block, step]; ids are below ROOM."""
+    return [p for low in range(0, len(ids), BESIDE) for p in _encode_beside(ids[low : low + BESIDE])]
+
+
+def _encode_beside(ids: np.ndarray) -> list[bytes]:
+    blocks, steps = ids.shape
+    streams = _streams(steps)
+    length = -(-steps // streams)
+    columns = np.ascontiguousarray(np.pad(ids.astype(np.int32), ((0, 0), (0, streams * length - steps))).reshape(-1, length).T)
+    model, coder = _Model(blocks, streams), _Encoder(blocks * streams, length)
+    missed = np.zeros(columns.shape, bool)
+    for begun, ended in _stages(length):
+        part = columns[begun:ended]
+        total = model.total.take(model.block)
+        numbers = model.number.take(part + model.block * ROOM)
+        symbols = np.where(numbers > 0, numbers + (CLASSES - 1), CLASS.take(part)) + model.block * model.width
+        starts, weights = model.starts.take(symbols), model.weights.take(symbols)
+        for now, number, start, weight, miss in zip(part, numbers, starts, weights, missed[begun:ended]):
+            model.predict()
+            hit2 = now == model.id2
+            np.logical_not(hit2 | (now == model.id1), out=miss)
+            low = np.where(miss, model.both, np.where(hit2, 0, model.first))
+            high = np.where(miss, SHARES, np.where(hit2, model.first, model.both))
+            coder.put(low, high - low, SHARES)
+            coder.put(np.where(miss, start, 0), np.where(miss, weight, 1), np.where(miss, total, 1.0))
+            new = np.flatnonzero(miss & (number == 0))
+            if len(new):
+                coder.shift()
+                fresh = now[new]
+                kind = CLASS.take(fresh)
+                coder.put_bits(new, fresh - FIRST.take(kind), SPAN.take(kind))
+            coder.shift()
+            model.update(now)
+        if ended < length:
+            model.learn(part, missed[begun:ended])
+    words, used = coder.finish()
+    per_block = used.reshape(blocks, streams)
+    ends = np.cumsum(per_block.sum(1))
+    heads = per_block.astype(_length_type(length))
+    return [heads[b].tobytes() + words[end - n : end].tobytes() for b, (end, n) in enumerate(zip(ends.tolist(), per_block.sum(1).tolist()))]
+
+
+def _length_type(length: int) -> str:
+    return "<u2" if 3 * length + 1 < 1 << 16 else "<u4"
 
 
 def decode_blocks(payloads: list[bytes], steps: int) -> np.ndarray:
-    lanes = len(payloads)
-    model, coder = _Model(lanes), _Decoder(payloads)
-    out = np.zeros((steps, lanes), np.int64)
-    for t in range(steps):
-        model.predict()
-        at = coder.where(model.total)
-        hit2 = at < model.w2
-        hit1 = ~hit2 & (at < model.w2 + model.w1)
-        hit = hit2 | hit1
-        start = np.where(hit2, 0, np.where(hit1, model.w2, model.w2 + model.w1))
-        coder.take(start, np.where(hit2, model.w2, np.where(hit1, model.w1, REST)))
-        now = np.where(hit2, model.id2, np.where(hit1, model.id1, 0)).astype(np.int64)
-        for level, bits in enumerate(SHAPE):
-            rows, sums = model.zero.node(level, now)
-            below = sum(SHAPE[level + 1 :])
-            at = coder.where(np.where(hit, 1, sums[:, -1]))
-            branch = np.where(hit, (now >> below) & ((1 << bits) - 1), (sums <= at[:, None]).sum(1))
-            low = np.where(branch > 0, sums[model.lane, branch - 1], 0)
-            coder.take(np.where(hit, 0, low), np.where(hit, 1, sums[model.lane, branch] - low))
-            now = np.where(hit, now, now | (branch << below))
-            model.zero.add(level, rows, branch, sums)
-        model.update(now)
-        out[t] = now
-    return out.T
+    return np.concatenate([_decode_beside(payloads[low : low + BESIDE], steps) for low in range(0, len(payloads), BESIDE)])
+
+
+def _decode_beside(payloads: list[bytes], steps: int) -> np.ndarray:
+    blocks, streams = len(payloads), _streams(steps)
+    length = -(-steps // streams)
+    kind = np.dtype(_length_type(length))
+    used = np.concatenate([np.frombuffer(p, kind, streams) for p in payloads]).astype(np.int64)
+    words = np.concatenate([np.frombuffer(p, "<u2", offset=streams * kind.itemsize) for p in payloads])
+    model, coder = _Model(blocks, streams), _Decoder(words, used)
+    out = np.zeros((length, blocks * streams), np.int32)
+    missed = np.zeros(out.shape, bool)
+    for begun, ended in _stages(length):
+        slots, values = model.slots()
+        in_slots, total = model.begins.take(model.block), model.total.take(model.block)
+        for t in range(begun, ended):
+            model.predict()
+            at = coder.where(SHARES)
+            hit2, miss = at < model.first, at >= model.both
+            low = np.where(miss, model.both, np.where(hit2, 0, model.first))
+            high = np.where(miss, SHARES, np.where(hit2, model.first, model.both))
+            coder.take(low, high - low)
+            symbol = slots.take(coder.where(np.where(miss, total, 1.0)) + in_slots)
+            coder.take(model.starts.take(symbol), np.where(miss, model.weights.take(symbol), 1))  # the first symbol's start is 0
+            found = values.take(symbol)
+            new = np.flatnonzero(miss & (found < 0))
+            if len(new):
+                coder.shift()
+                kind = -1 - found[new]
+                found[new] = np.minimum(FIRST.take(kind) + coder.take_bits(new, SPAN.take(kind)), ROOM - 1)
+            coder.shift()
+            now = np.where(miss, found, np.where(hit2, model.id2, model.id1))
+            out[t], missed[t] = now, miss
+            model.update(now)
+        if ended < length:
+            model.learn(out[begun:ended], missed[begun:ended])
+    return out.T.reshape(blocks, streams * length)[:, :steps].astype(np.int64)
 
 
 FILE_SCHEMA = "part int, block long, n_ids int, steps int, crc32 long, payload binary, doc_ids array<long>, ordinals array<long>, lengths array<long>, starts array<long>"
@@ -232,6 +346,21 @@ def _checksum(ids: np.ndarray, running: int = 0) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes(), running)
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str | None]]]:
+    """Ids and texts of as many batches as have CHARACTERS, so that words are told apart in one go."""
+    doc_ids, texts, characters = [], [], 0
+    for batch in batches:
+        doc_ids += batch["doc_id"].tolist()
+        more = [t if isinstance(t, str) else None for t in batch["text"]]
+        texts += more
+        characters += sum(len(t) for t in more if t)
+        if characters >= CHARACTERS:
+            yield doc_ids, texts
+            doc_ids, texts, characters = [], [], 0
+    if texts:
+        yield doc_ids, texts
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: int) -> None:
     """Encode the texts of `docs` (doc_id, text) and write their ids to a new folder."""
 
@@ -273,9 +402,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
             held = [ids]
 
         waiting = 0
-        for batch in batches:
-            ids, offsets = encoder.encode([t if isinstance(t, str) else None for t in batch["text"]], END)
-            for d, a, b in zip(batch["doc_id"].tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        for doc_ids, texts in _gathered(batches):
+            ids, offsets = encoder.encode(texts, END)
+            for d, a, b in zip(doc_ids, offsets[:-1].tolist(), offsets[1:].tolist()):
                 index.append((None if pd.isna(d) else int(d), ordinal, position + a, position + b))
                 ordinal += 1
             position += len(ids)

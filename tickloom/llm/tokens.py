@@ -8,7 +8,9 @@ library many in one text, whose ids are cut again at the tokens that end a word
 (byte level). Byte-level texts with control characters that the library and Python class differently are encoded whole.
 
 The words of a batch are told apart by Arrow's dictionary encoding, so the memo is asked once for each distinct word, and
-lists of ids are put together by Arrow's `take`.
+lists of ids are put together by Arrow's `take`. Byte-level texts are cut where their UTF-8 bytes tell: words are slices of
+the batch's bytes, and a plain word's signs are a word of their own. Only texts with runs of white space or rarer white
+space are cut one by one.
 """
 
 from __future__ import annotations
@@ -33,6 +35,19 @@ SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130")
 #: Stems that the library gets in one text.
 JOINED = 200
+#: Kinds of UTF-8 bytes. RARE are those of white space other than SPACE and LINE, of NUL and separators, or may begin such.
+OTHER, SPACE, LINE, LETTER, SIGN, RARE = range(6)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[ord(" "), ord("\n")]] = SPACE, LINE
+KINDS[[b for b in range(128) if chr(b) in LETTERS]] = LETTER
+KINDS[[ord(c) for c in SIGNS]] = SIGN
+LATIN = np.isin(np.arange(256), range(0xC3, 0xC9))  # first of the two bytes of a letter, but for these three signs
+NO_LETTERS = [(0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)]
+KINDS[LATIN] = LETTER
+KINDS[[0, *b"\t\v\f\r", 0x1C, 0x1D, 0x1E, 0x1F, *{c.encode()[0] for c in map(chr, range(0x80, 0x3001)) if c.isspace()}]] = RARE
+#: The characters in which byte-level tokenizers write bytes.
+PRINTED = np.isin(np.arange(256), [*range(33, 127), *range(161, 173), *range(174, 256)])
+WRITTEN = np.where(PRINTED, np.arange(256), 255 + np.cumsum(~PRINTED)).astype("<u2")
 
 #: Lists of ids, one behind the other, and where each begins; the last number is the end.
 Lists = tuple[np.ndarray, np.ndarray]
@@ -59,7 +74,7 @@ class TextEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -70,6 +85,10 @@ class TextEncoder:
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("\u0120") if byte_level else token.endswith("</w>")
         self.plain = re.compile(f"({' ' * byte_level}[{LETTERS}]+)([{re.escape(SIGNS)}]*)").fullmatch
+        self.stems_only = f"^ [{LETTERS}]+\\z"
+        #: The same merges for stems whose bytes are WRITTEN already.
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.Split("\u0120", "merged_with_next")
         self.memo: dict[str, int] = {}
         self.lists: Lists = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.seen = np.zeros(0, np.int64)
@@ -88,16 +107,44 @@ class TextEncoder:
         if not self.byte_level:
             split = pc.split_pattern(pc.replace_substring(pa.array([t or "" for t in texts], pa.large_string()), "\n", " "), " ")
             return split.flatten(), np.diff(split.offsets.to_numpy())
-        parts = [self.pieces(t) if t else [] for t in texts]
-        return pa.array(list(chain.from_iterable(parts)), pa.large_string()), np.fromiter(map(len, parts), np.int64, len(parts))
+        column = pa.array([t or "" for t in texts], pa.large_string())
+        bounds, data = np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1], column.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[: bounds[-1]] if bounds[-1] else np.zeros(0, np.uint8)
+        kinds = KINDS[raw]
+        latin = np.flatnonzero(LATIN[raw]) + 1
+        kinds[latin] = LETTER
+        for pair in NO_LETTERS:
+            kinds[latin[(raw[latin - 1] == pair[0]) & (raw[latin] == pair[1])]] = OTHER
+        white = (kinds == SPACE) | (kinds == LINE)
+        begins = white.copy()  # whether a word begins with this byte
+        begins[1:] |= kinds[:-1] == LINE
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        odd = kinds == RARE
+        odd[1:] |= white[1:] & white[:-1]
+        for i in np.unique(np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1).tolist():
+            begins[bounds[i] : bounds[i + 1]] = False
+            ends = np.cumsum([len(piece.encode()) for piece in self.pieces(texts[i])])
+            begins[bounds[i] + np.concatenate([[0], ends[ends < ends[-1]]])] = True
+        # A word of a space, letters and signs is cut before its signs.
+        to_signs = np.zeros(len(kinds), bool)
+        to_signs[1:] = (kinds[1:] == SIGN) & (kinds[:-1] == LETTER) & ~begins[1:]
+        odd = (kinds == OTHER) | (kinds == RARE) | (white & ~begins) | (begins & (kinds != SPACE))
+        odd[1:] |= (kinds[1:] == LETTER) & (kinds[:-1] == SIGN)
+        word = np.cumsum(begins, dtype=np.int32)
+        whole = np.zeros(len(word) and int(word[-1]) + 1, bool)
+        whole[word[odd]] = True
+        cuts = np.flatnonzero(to_signs)
+        begins[cuts[~whole[word[cuts]]]] = True
+        starts = np.append(np.flatnonzero(begins), bounds[-1])
+        return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), data), np.diff(np.searchsorted(starts[:-1], bounds))
 
     def pieces(self, text: str) -> list[str]:
         if IRREGULAR.search(text):
             return [text] if SEPARATORS.search(text) else PIECES.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def library(self, words: list[str]) -> Lists:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def library(self, words: list[str], merger: bool = False) -> Lists:
+        found = [e.ids for e in (self.merger if merger else self.tokenizer).encode_batch_fast(words, add_special_tokens=False)]
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         starts = np.concatenate([[0], ends]).astype(np.int64)
         return np.fromiter(chain.from_iterable(found), np.uint32, int(starts[-1])), starts
@@ -110,15 +157,34 @@ class TextEncoder:
     def stem_ids(self, stems: list[str]) -> Lists:
         """The ids of stems, by texts of JOINED stems each."""
         between = "" if self.byte_level else " "
-        ids, _ = self.library([between.join(stems[i : i + JOINED]) for i in range(0, len(stems), JOINED)])
+        return self.cut_ids(self.library([between.join(stems[i : i + JOINED]) for i in range(0, len(stems), JOINED)])[0], len(stems))
+
+    def cut_ids(self, ids: np.ndarray, n: int) -> Lists:
+        """The lists of n stems that were encoded side by side."""
         edges = np.flatnonzero(self.edge[ids])
         starts = np.append(edges, len(ids)) if self.byte_level else np.concatenate([[0], edges + 1])
-        if len(starts) != len(stems) + 1:
+        if len(starts) != n + 1:
             raise ValueError("the tokenizer does not tell words apart by their ids")
         return ids, starts
 
-    def learnt(self, words: list[str]) -> Lists:
+    def learnt(self, words: pa.Array) -> Lists:
         """The ids of new words."""
+        if not self.byte_level:
+            return self.learnt_apart(words.to_pylist())
+        plain = pc.match_substring_regex(words, self.stems_only)
+        stems, others = words.filter(plain), words.filter(pc.invert(plain))
+        if not len(stems):
+            return self.learnt_apart(others.to_pylist())
+        bounds, written = np.frombuffer(stems.buffers()[1], np.int64)[: len(stems) + 1], WRITTEN[np.frombuffer(stems.buffers()[2], np.uint8)]
+        ends = [*bounds[:-1:JOINED].tolist(), int(bounds[-1])]
+        texts = [written[a:b].tobytes().decode("utf-16-le") for a, b in zip(ends, ends[1:])]
+        row = np.empty(len(words), np.int64)
+        is_stem = plain.to_numpy(zero_copy_only=False)
+        row[is_stem], row[~is_stem] = np.arange(len(stems)), np.arange(len(stems), len(words))
+        return taken(joined(self.cut_ids(self.library(texts, True)[0], len(stems)), self.learnt_apart(others.to_pylist())), row)
+
+    def learnt_apart(self, words: list[str]) -> Lists:
+        """The ids of new words, by stems and the signs behind them."""
         split = list(map(self.stem, words))
         stems, tails = [s for s, _ in split], [t for _, t in split]
         if not self.byte_level:  # case does not count
@@ -149,7 +215,7 @@ class TextEncoder:
             self.forget()
             rows = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
             new = np.flatnonzero(rows < 0)
-        learnt = self.learnt([words[i] for i in new.tolist()])
+        learnt = self.learnt(coded.dictionary.take(pa.array(new)))
         old = np.flatnonzero(rows >= 0)
         self.seen[rows[old]] += times[old]
         row_of = np.empty(len(words) + 1, np.int64)
@@ -157,7 +223,7 @@ class TextEncoder:
         ids, starts = taken(joined(taken(self.lists, rows[old]), learnt, (np.array([end], np.uint32), np.array([0, 1]))), row_of[at])
         if len(new):  # long words are not worth their memory
             names = [words[i] for i in new.tolist()]
-            kept = np.flatnonzero(np.fromiter(map(len, names), np.int64, len(names)) <= LONG)[: max(0, MEMO - len(self.memo))]
+            kept = np.flatnonzero(pc.utf8_length(coded.dictionary).to_numpy()[new] <= LONG)[: max(0, MEMO - len(self.memo))]
             self.memo.update(zip([names[i] for i in kept.tolist()], range(len(self.memo), len(self.memo) + len(kept))))
             self.lists, self.seen = joined(self.lists, taken(learnt, kept)), np.concatenate([self.seen, times[new[kept]]])
         return ids, starts[of_text]
