@@ -46,11 +46,11 @@ BITS = 3
 LEVELS = 1 << BITS
 #: Streams of a block at most, ids of a stream at least, and blocks that are coded side by side.
 STREAMS, LEAST, BESIDE = 16, 64, LANES
-#: Ids are below ROOM. Ids that are new to a block are told by class: two bits behind the highest of id + 4, then the rest.
+#: Ids are below ROOM. Ids that are new to a block are told by class: one bit behind the highest of id + 2, then the rest.
 ROOM = 1 << 17
-_SHIFTED = np.arange(ROOM) + 4
-_WIDTH = np.frexp(_SHIFTED)[1] - 3
-CLASS = (_WIDTH << 2) + (_SHIFTED >> _WIDTH) - 4
+_SHIFTED = np.arange(ROOM) + 2
+_WIDTH = np.frexp(_SHIFTED)[1] - 2
+CLASS = (_WIDTH << 1) + (_SHIFTED >> _WIDTH) - 2
 CLASSES = int(CLASS[-1]) + 1
 FIRST = np.searchsorted(CLASS, np.arange(CLASSES))
 SPAN = np.exp2(_WIDTH[FIRST])
@@ -59,7 +59,7 @@ LEAST_RANGE, MOST_RANGE, WORD = 2.0**32, 2.0**48, 65536.0
 #: Shares of the mixture's predictions add up to SHARES; order 0 has REST where the others' odds are reckoned.
 SHARES, REST = 4096, 4096
 #: A block's streams share what they have coded after GROWTH times as many steps as the last time, and after OFTEN more.
-GROWTH, OFTEN = 1.25, 32
+GROWTH, OFTEN = 1.35, 40
 #: Counts of order 0 add up to less than this.
 FULL = 65_000
 
@@ -82,8 +82,9 @@ class _Model:
     def __init__(self, blocks: int, streams: int):
         self.blocks, self.streams, lanes = blocks, streams, blocks * streams
         self.block = np.repeat(np.arange(blocks), streams)
+        self.blocks_of_stage = np.tile(self.block, OFTEN)
         self.two, self.one = np.zeros(blocks * TABLE, np.int32), np.zeros(blocks * TABLE, np.int32)  # id and confidence
-        self.in_table, self.in_shares, self.in_odds = self.block * TABLE, self.block * (2 * LEVELS * LEVELS), self.block * (2 * LEVELS)
+        self.in_table, self.in_shares, self.in_odds = self.block * TABLE, self.block * (2 * LEVELS * LEVELS), self.block * (4 * LEVELS * LEVELS)
         self.hits, self.tries = np.ones((2, blocks, LEVELS)), np.full((2, blocks, LEVELS), 4.0)
         self.tries[:, :, 0] = 40
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
@@ -91,7 +92,7 @@ class _Model:
         self.number = np.zeros(blocks * ROOM, np.int16)
         self.ids, self.sizes = np.zeros((blocks, 0), np.int64), np.zeros(blocks, np.int64)
         self.counts, self.news = np.zeros((blocks, 0), np.int64), np.ones((blocks, CLASSES), np.int64)
-        self.outcomes: list[tuple[np.ndarray, ...]] = []
+        self.outcomes: list[np.ndarray] = []
         self.steps = 0
         self.weigh()
         self.arrange()
@@ -113,13 +114,16 @@ class _Model:
         ends = np.cumsum(weights)
         self.begins = np.concatenate([[0], ends[self.width - 1 :: self.width]])
         self.total = np.diff(self.begins).astype(np.float64)
-        self.weights = weights.astype(np.int32)
-        self.starts = (ends - weights - np.repeat(self.begins[:-1], self.width)).astype(np.int32)
+        values = np.concatenate([np.broadcast_to(-1 - np.arange(CLASSES), (self.blocks, CLASSES)), self.ids], 1).ravel()
+        starts = ends - weights - np.repeat(self.begins[:-1], self.width)
+        #: A symbol's id, or -1 - class, where its shares start, and how many it has, in one number.
+        self.symbols = values << 32 | starts << 16 | weights
+        self.in_symbols = self.block * self.width
+        self.weights = weights
 
-    def slots(self) -> tuple[np.ndarray, np.ndarray]:
-        """The symbol of each unit of order 0's shares, and what symbols are: ids, or -1 - class."""
-        values = np.concatenate([np.broadcast_to(-1 - np.arange(CLASSES), (self.blocks, CLASSES)), self.ids], 1)
-        return np.repeat(np.arange(len(self.weights), dtype=np.int32), self.weights), values.ravel().astype(np.int32)
+    def slots(self) -> np.ndarray:
+        """The symbol, counted in its block, of each of order 0's shares."""
+        return np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), self.blocks), self.weights)
 
     def predict(self) -> None:
         mixed = self.last * np.uint32(0x9E3779B1)
@@ -139,39 +143,38 @@ class _Model:
         for table, at, entry, confidence, right in ((self.two, self.at2, self.e2, self.c2, right2), (self.one, self.at1, self.e1, self.c1, right1)):
             wrong = np.where(confidence > 3, entry - 4, fresh)
             table[at] = np.where(right, entry + (confidence < LEVELS - 1), wrong)
-        self.outcomes.append((self.c2, right2, self.c1, right1))
+        self.outcomes.append((((right1 * np.int32(LEVELS) + self.c1) * np.int32(2) + right2) << BITS) + self.c2)
         self.before, self.last = self.last, ids.view(np.uint32)
         self.steps += 1
 
-    def learn(self, seen: np.ndarray, missed: np.ndarray) -> None:
-        """The odds of orders 1 and 2, and order 0 from the ids [step, lane] since the last time that those missed."""
-        told = [np.stack(x) for x in zip(*self.outcomes)]
-        for k in range(2):
-            codes = told[2 * k + 1] * np.int32(LEVELS) + told[2 * k] + self.in_odds
-            found = np.bincount(codes.ravel(), minlength=self.blocks * 2 * LEVELS).reshape(self.blocks, 2, LEVELS)
-            self.tries[k] += found.sum(1)
-            self.hits[k] += found[:, 1]
+    def learn(self, seen: np.ndarray, missed: np.ndarray, numbers: np.ndarray) -> None:
+        """The odds of orders 1 and 2, and order 0 from the ids [step, lane] since the last time that those missed, and their numbers."""
+        codes = np.stack(self.outcomes) + self.in_odds
+        found = np.bincount(codes.ravel(), minlength=self.blocks * 4 * LEVELS * LEVELS).reshape(self.blocks, 2, LEVELS, 2, LEVELS)
+        self.tries += found.sum((1, 2, 3)), found.sum((1, 3, 4))
+        self.hits += found[..., 1, :].sum((1, 2)), found[:, 1].sum((2, 3))
         self.outcomes = []
         self.weigh()
         if 2 * self.steps * self.streams + CLASSES >= FULL:
             return
-        keys = (seen + self.block * ROOM)[missed]
-        numbers = self.number.take(keys)
+        lanes = np.flatnonzero(missed)
+        numbers, of_lane = numbers.ravel()[lanes], self.blocks_of_stage.take(lanes)
         unknown = np.flatnonzero(numbers == 0)
-        new = np.unique(keys[unknown])
+        keys = seen.ravel()[lanes[unknown]] + of_lane[unknown] * ROOM
+        new = np.unique(keys)
         if len(new):
             of, ids = new >> 17, new & (ROOM - 1)
             per_block = np.bincount(of, minlength=self.blocks)
             rank = self.sizes[of] + np.arange(len(new)) - (np.cumsum(per_block) - per_block)[of]
             self.number[new] = rank + 1
-            numbers[unknown] = self.number.take(keys[unknown])
+            numbers[unknown] = self.number.take(keys)
             self.sizes += per_block
             more = ((0, 0), (0, int(self.sizes.max()) - self.ids.shape[1]))
             self.ids, self.counts = np.pad(self.ids, more), np.pad(self.counts, more)
             self.ids[of, rank] = ids
             self.news += np.bincount(of * CLASSES + CLASS[ids], minlength=self.blocks * CLASSES).reshape(self.blocks, CLASSES)
         many = self.ids.shape[1]
-        at = (keys >> 17) * many + (numbers - 1)
+        at = of_lane * many + (numbers - 1)
         self.counts += np.bincount(at, minlength=self.blocks * many).reshape(self.blocks, many)
         self.arrange()
 
@@ -191,15 +194,25 @@ class _Encoder:
 
     def shift(self) -> None:
         """Shift words out of the lanes whose range is small."""
-        while self.range.min() < LEAST_RANGE:
-            small = self.range < LEAST_RANGE
-            word = np.floor(self.low * (1 / LEAST_RANGE))
-            self.out[self.at] = word  # written again by the next one, if this lane goes on
-            self.at += small
-            factor = np.where(small, WORD, 1.0)
-            self.low -= word * small * LEAST_RANGE
-            self.low *= factor
-            self.range *= factor
+        small = self.range < LEAST_RANGE
+        word = np.floor(self.low * (1 / LEAST_RANGE))
+        self.out[self.at] = word  # written again by the next one, if this lane goes on
+        self.at += small
+        factor = np.where(small, WORD, 1.0)
+        self.low -= word * small * LEAST_RANGE
+        self.low *= factor
+        self.range *= factor
+        self.shift_in(np.flatnonzero(self.range < LEAST_RANGE))
+
+    def shift_in(self, lanes: np.ndarray) -> None:
+        """The same for a few lanes."""
+        while len(lanes := lanes[self.range[lanes] < LEAST_RANGE]):
+            low, at = self.low[lanes], self.at[lanes]
+            word = np.floor(low * (1 / LEAST_RANGE))
+            self.out[at] = word
+            self.at[lanes] = at + 1
+            self.low[lanes] = (low - word * LEAST_RANGE) * WORD
+            self.range[lanes] *= WORD
 
     def put_bits(self, lanes: np.ndarray, value: np.ndarray, span: np.ndarray) -> None:
         """Narrow these lanes to one of `span` equal shares."""
@@ -236,13 +249,20 @@ class _Decoder:
         np.multiply(size, self.unit, out=self.range)
 
     def shift(self) -> None:
-        while self.range.min() < LEAST_RANGE:
-            small = self.range < LEAST_RANGE
-            factor = np.where(small, WORD, 1.0)
-            self.code *= factor
-            self.code += self.data.take(self.at, mode="clip") * small
-            self.range *= factor
-            self.at += small
+        small = self.range < LEAST_RANGE
+        factor = np.where(small, WORD, 1.0)
+        self.code *= factor
+        self.code += self.data.take(self.at, mode="clip") * small
+        self.range *= factor
+        self.at += small
+        self.shift_in(np.flatnonzero(self.range < LEAST_RANGE))
+
+    def shift_in(self, lanes: np.ndarray) -> None:
+        while len(lanes := lanes[self.range[lanes] < LEAST_RANGE]):
+            at = self.at[lanes]
+            self.code[lanes] = self.code[lanes] * WORD + self.data.take(at, mode="clip")
+            self.at[lanes] = at + 1
+            self.range[lanes] *= WORD
 
     def take_bits(self, lanes: np.ndarray, span: np.ndarray) -> np.ndarray:
         unit = np.floor(self.range[lanes] / span)
@@ -268,8 +288,8 @@ def _encode_beside(ids: np.ndarray) -> list[bytes]:
         part = columns[begun:ended]
         total = model.total.take(model.block)
         numbers = model.number.take(part + model.block * ROOM)
-        symbols = np.where(numbers > 0, numbers + (CLASSES - 1), CLASS.take(part)) + model.block * model.width
-        starts, weights = model.starts.take(symbols), model.weights.take(symbols)
+        symbols = model.symbols.take(np.where(numbers > 0, numbers + (CLASSES - 1), CLASS.take(part)) + model.in_symbols).astype(np.uint32)
+        starts, weights = symbols >> np.uint32(16), symbols & np.uint32(0xFFFF)
         for now, number, start, weight, miss in zip(part, numbers, starts, weights, missed[begun:ended]):
             model.predict()
             hit2 = now == model.id2
@@ -277,17 +297,17 @@ def _encode_beside(ids: np.ndarray) -> list[bytes]:
             low = np.where(miss, model.both, np.where(hit2, 0, model.first))
             high = np.where(miss, SHARES, np.where(hit2, model.first, model.both))
             coder.put(low, high - low, SHARES)
-            coder.put(np.where(miss, start, 0), np.where(miss, weight, 1), np.where(miss, total, 1.0))
+            coder.put(start * miss, np.where(miss, weight, np.uint32(1)), np.where(miss, total, 1.0))
             new = np.flatnonzero(miss & (number == 0))
             if len(new):
-                coder.shift()
+                coder.shift_in(new)
                 fresh = now[new]
                 kind = CLASS.take(fresh)
                 coder.put_bits(new, fresh - FIRST.take(kind), SPAN.take(kind))
             coder.shift()
             model.update(now)
         if ended < length:
-            model.learn(part, missed[begun:ended])
+            model.learn(part, missed[begun:ended], numbers)
     words, used = coder.finish()
     per_block = used.reshape(blocks, streams)
     ends = np.cumsum(per_block.sum(1))
@@ -311,9 +331,9 @@ def _decode_beside(payloads: list[bytes], steps: int) -> np.ndarray:
     words = np.concatenate([np.frombuffer(p, "<u2", offset=streams * kind.itemsize) for p in payloads])
     model, coder = _Model(blocks, streams), _Decoder(words, used)
     out = np.zeros((length, blocks * streams), np.int32)
-    missed = np.zeros(out.shape, bool)
+    missed, numbers = np.zeros(out.shape, bool), np.zeros(out.shape, np.int32)
     for begun, ended in _stages(length):
-        slots, values = model.slots()
+        slots = model.slots()
         in_slots, total = model.begins.take(model.block), model.total.take(model.block)
         for t in range(begun, ended):
             model.predict()
@@ -322,12 +342,14 @@ def _decode_beside(payloads: list[bytes], steps: int) -> np.ndarray:
             low = np.where(miss, model.both, np.where(hit2, 0, model.first))
             high = np.where(miss, SHARES, np.where(hit2, model.first, model.both))
             coder.take(low, high - low)
-            symbol = slots.take(coder.where(np.where(miss, total, 1.0)) + in_slots)
-            coder.take(model.starts.take(symbol), np.where(miss, model.weights.take(symbol), 1))  # the first symbol's start is 0
-            found = values.take(symbol)
+            number = slots.take(coder.where(np.where(miss, total, 1.0)) + in_slots)
+            symbol = model.symbols.take(number + model.in_symbols)
+            coder.take(symbol >> 16 & 0xFFFF, np.where(miss, symbol & 0xFFFF, 1))  # the first symbol's start is 0
+            found = (symbol >> 32).astype(np.int32)
+            np.maximum(number - np.int32(CLASSES - 1), 0, out=numbers[t])
             new = np.flatnonzero(miss & (found < 0))
             if len(new):
-                coder.shift()
+                coder.shift_in(new)
                 kind = -1 - found[new]
                 found[new] = np.minimum(FIRST.take(kind) + coder.take_bits(new, SPAN.take(kind)), ROOM - 1)
             coder.shift()
@@ -335,8 +357,8 @@ def _decode_beside(payloads: list[bytes], steps: int) -> np.ndarray:
             out[t], missed[t] = now, miss
             model.update(now)
         if ended < length:
-            model.learn(out[begun:ended], missed[begun:ended])
-    return out.T.reshape(blocks, streams * length)[:, :steps].astype(np.int64)
+            model.learn(out[begun:ended], missed[begun:ended], numbers[begun:ended])
+    return out.T.reshape(blocks, streams * length)[:, :steps]
 
 
 FILE_SCHEMA = "part int, block long, n_ids int, steps int, crc32 long, payload binary, doc_ids array<long>, ordinals array<long>, lengths array<long>, starts array<long>"
@@ -420,6 +442,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
     ordered.mapInPandas(run, FILE_SCHEMA).write.mode("errorifexists").parquet(path)
 
 
+#: x ** 8, which is one zero byte, squared again and again.
+_ZEROS = [1 << 23]
+
+
 def combined_crc(first: int, second: int, n_bytes: int) -> int:
     """The CRC-32 of two joined byte strings from theirs: the first is shifted by n_bytes zero bytes."""
 
@@ -432,12 +458,13 @@ def combined_crc(first: int, second: int, n_bytes: int) -> int:
             b = (b >> 1) ^ 0xEDB88320 if b & 1 else b >> 1
         return product
 
-    factor, power = 1 << 31, 1 << 23  # one, and x ** 8: one byte
-    while n_bytes:
-        if n_bytes & 1:
-            factor = times(factor, power)
-        power = times(power, power)
-        n_bytes >>= 1
+    factor, k = 1 << 31, 0  # one
+    while n_bytes >> k:
+        if k == len(_ZEROS):
+            _ZEROS.append(times(_ZEROS[-1], _ZEROS[-1]))
+        if n_bytes >> k & 1:
+            factor = times(factor, _ZEROS[k])
+        k += 1
     return times(factor, first) ^ second
 
 
@@ -463,10 +490,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             codes = []
-            for pieces in batch.pop("pieces"):
-                crc = pieces[0]["crc"]
-                for p in pieces[1:]:
-                    crc = combined_crc(crc, p["crc"], 4 * p["n"])
+            for sizes, crcs in zip(batch.pop("sizes"), batch.pop("crcs")):
+                crc = int(crcs[0])
+                for n, second in zip(sizes[1:].tolist(), crcs[1:].tolist()):
+                    crc = combined_crc(crc, second, 4 * n)
                 codes.append(crc)
             yield batch.assign(ids_crc32=codes)
 
@@ -480,7 +507,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         bases.append((r["part"], total))
         total += r["n"]
     base = spark.createDataFrame(bases, "part int, base long")
-    joined = documents.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "pieces")
+    joined = documents.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", F.col("pieces.n").alias("sizes"), F.col("pieces.crc").alias("crcs"))
     return joined.mapInPandas(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words in the memo at most, some 270 bytes each; when it is full, the half seen most stays. Longer words than LONG are not
-#: kept.
-MEMO = 300_000
+#: Words in the memo at most; when it is full, those seen most stay. At byte level a word takes some 60 bytes, else 270, so that
+#: memo has four fifths of the room. Longer words than LONG are not kept.
+MEMO = 370_000
 LONG = 64
 IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|\0")
 SEPARATORS = re.compile("[\x00\x1c-\x1f]")
@@ -36,14 +36,13 @@ LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0
 #: Stems that the library gets in one text.
 JOINED = 200
 #: Kinds of UTF-8 bytes. RARE are those of white space other than SPACE and LINE, of NUL and separators, or may begin such.
-OTHER, SPACE, LINE, LETTER, SIGN, RARE = range(6)
+OTHER, SPACE, LINE, LETTER, SIGN, RARE, LATIN = range(7)
 KINDS = np.full(256, OTHER, np.uint8)
 KINDS[[ord(" "), ord("\n")]] = SPACE, LINE
 KINDS[[b for b in range(128) if chr(b) in LETTERS]] = LETTER
 KINDS[[ord(c) for c in SIGNS]] = SIGN
-LATIN = np.isin(np.arange(256), range(0xC3, 0xC9))  # first of the two bytes of a letter, but for these three signs
+KINDS[0xC3:0xC9] = LATIN  # first of the two bytes of a letter, but for these three
 NO_LETTERS = [(0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)]
-KINDS[LATIN] = LETTER
 KINDS[[0, *b"\t\v\f\r", 0x1C, 0x1D, 0x1E, 0x1F, *{c.encode()[0] for c in map(chr, range(0x80, 0x3001)) if c.isspace()}]] = RARE
 #: The characters in which byte-level tokenizers write bytes.
 PRINTED = np.isin(np.arange(256), [*range(33, 127), *range(161, 173), *range(174, 256)])
@@ -85,19 +84,26 @@ class TextEncoder:
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("\u0120") if byte_level else token.endswith("</w>")
         self.plain = re.compile(f"({' ' * byte_level}[{LETTERS}]+)([{re.escape(SIGNS)}]*)").fullmatch
-        self.stems_only = f"^ [{LETTERS}]+\\z"
-        #: The same merges for stems whose bytes are WRITTEN already.
-        self.merger = Tokenizer(self.tokenizer.model)
-        self.merger.pre_tokenizer = pre_tokenizers.Split("\u0120", "merged_with_next")
-        self.memo: dict[str, int] = {}
+        if byte_level:
+            self.stems_only = f"^ [{LETTERS}]+\\z"
+            #: The same merges for stems whose bytes are WRITTEN already.
+            self.merger = Tokenizer(self.tokenizer.model)
+            self.merger.pre_tokenizer = pre_tokenizers.Split("\u0120", "merged_with_next")
+        #: Words by row; as a column at byte level.
+        self.memo: dict[str, int] | pa.Array = pa.array([], pa.large_string()) if byte_level else {}
         self.lists: Lists = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.seen = np.zeros(0, np.int64)
 
-    def forget(self) -> None:
-        """Drop the words seen once, and all but the half of the room that was seen most."""
+    def worth(self) -> np.ndarray:
+        """The rows of words that were seen twice, of half the room those seen most."""
         keep = np.flatnonzero(self.seen > 1)
         if len(keep) > MEMO // 2:
             keep = np.sort(keep[np.argpartition(self.seen[keep], len(keep) - MEMO // 2)[len(keep) - MEMO // 2 :]])
+        return keep
+
+    def forget(self) -> None:
+        """Drop the words that are not worth their room."""
+        keep = self.worth()
         words = list(self.memo)
         self.memo = {words[i]: n for n, i in enumerate(keep.tolist())}
         self.lists, self.seen = taken(self.lists, keep), np.ones(len(keep), np.int64)
@@ -111,10 +117,11 @@ class TextEncoder:
         bounds, data = np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1], column.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[: bounds[-1]] if bounds[-1] else np.zeros(0, np.uint8)
         kinds = KINDS[raw]
-        latin = np.flatnonzero(LATIN[raw]) + 1
-        kinds[latin] = LETTER
+        latin = np.flatnonzero(kinds == LATIN) + 1
+        kinds[latin - 1] = kinds[latin] = LETTER
         for pair in NO_LETTERS:
-            kinds[latin[(raw[latin - 1] == pair[0]) & (raw[latin] == pair[1])]] = OTHER
+            none = latin[(raw[latin - 1] == pair[0]) & (raw[latin] == pair[1])]
+            kinds[none - 1] = kinds[none] = OTHER
         white = (kinds == SPACE) | (kinds == LINE)
         begins = white.copy()  # whether a word begins with this byte
         begins[1:] |= kinds[:-1] == LINE
@@ -189,7 +196,7 @@ class TextEncoder:
         stems, tails = [s for s, _ in split], [t for _, t in split]
         if not self.byte_level:  # case does not count
             stems = [s.lower() for s in stems]
-        rows = {s: self.memo.get(s, -1) for s in dict.fromkeys(stems) if s}
+        rows = {s: -1 if self.byte_level else self.memo.get(s, -1) for s in dict.fromkeys(stems) if s}
         known, new = [s for s, r in rows.items() if r >= 0], [s for s, r in rows.items() if r < 0]
         place = {s: i for i, s in enumerate(chain(known, new, ("",)))}  # no stem: an empty list
         signs = {t: i for i, t in enumerate(dict.fromkeys(tails), len(place))}
@@ -203,6 +210,8 @@ class TextEncoder:
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each followed by `end`, and the offsets of the texts in them."""
         units, counts = self.units(texts)
+        if self.byte_level:
+            return self.encode_units(units, counts, end)
         coded = units.dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         before = np.cumsum(counts)
@@ -211,7 +220,7 @@ class TextEncoder:
         times = np.bincount(at, minlength=len(words) + 1)[:-1]
         rows = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(rows < 0)
-        if len(self.memo) + len(new) > MEMO and self.memo:
+        if len(self.memo) + len(new) > 4 * MEMO // 5 and self.memo:
             self.forget()
             rows = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
             new = np.flatnonzero(rows < 0)
@@ -223,7 +232,28 @@ class TextEncoder:
         ids, starts = taken(joined(taken(self.lists, rows[old]), learnt, (np.array([end], np.uint32), np.array([0, 1]))), row_of[at])
         if len(new):  # long words are not worth their memory
             names = [words[i] for i in new.tolist()]
-            kept = np.flatnonzero(pc.utf8_length(coded.dictionary).to_numpy()[new] <= LONG)[: max(0, MEMO - len(self.memo))]
+            kept = np.flatnonzero(pc.utf8_length(coded.dictionary).to_numpy()[new] <= LONG)[: max(0, 4 * MEMO // 5 - len(self.memo))]
             self.memo.update(zip([names[i] for i in kept.tolist()], range(len(self.memo), len(self.memo) + len(kept))))
             self.lists, self.seen = joined(self.lists, taken(learnt, kept)), np.concatenate([self.seen, times[new[kept]]])
         return ids, starts[of_text]
+
+    def encode_units(self, units: pa.Array, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words at byte level. The memo's words are told apart with them, and come first."""
+        known = len(self.memo)
+        coded = pa.concat_arrays([self.memo, units]).dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()[known:]
+        times = np.bincount(at, minlength=len(words))
+        lists = joined(self.lists, self.learnt(words.slice(known).take(pa.array(np.arange(len(words) - known)))))
+        before = np.cumsum(counts)
+        at = np.insert(at, before, len(words))  # the last row: the end of a text
+        ids, starts = taken(joined(lists, (np.array([end], np.uint32), np.array([0, 1]))), at)
+        seen = np.concatenate([self.seen, np.zeros(len(words) - known, np.int64)]) + times
+        new = known + np.flatnonzero(pc.utf8_length(words.slice(known)).to_numpy() <= LONG)  # long words are not worth their memory
+        old = np.arange(known)
+        if known + len(new) > MEMO and known:
+            self.seen = seen[:known]
+            old = self.worth()
+            seen[old] //= 2
+        keep = np.concatenate([old, new])[:MEMO]
+        self.memo, self.lists, self.seen = words.take(pa.array(keep)), taken(lists, keep), seen[keep]
+        return ids, starts[np.concatenate([[0], before + np.arange(1, len(counts) + 1)])]
