@@ -58,7 +58,7 @@ SPAN = np.exp2(_WIDTH[FIRST])
 LEAST_RANGE, MOST_RANGE, WORD = 2.0**32, 2.0**48, 65536.0
 #: Shares of the mixture's predictions add up to SHARES; order 0 has REST where the others' odds are reckoned.
 SHARES, REST = 4096, 4096
-#: A block's streams share what they have coded after GROWTH times as many steps as the last time, and after OFTEN more.
+#: A block learns from what its streams have coded after GROWTH times as many steps as the last time, or OFTEN more if that is sooner.
 GROWTH, OFTEN = 1.35, 40
 #: Counts of order 0 add up to less than this.
 FULL = 65_000
